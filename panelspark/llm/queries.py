@@ -5,11 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import digests, format_chats
 from .common import table
 from .exact_dedup import exact_dedup
+from .packing import pack_documents
 from .sharding import shard_documents
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096)
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trap = "</s>[INST] ok [/INST]"
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(trap).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return digests(format_chats(rows))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shard_documents(table(spark, sf_dir, "documents"), shards=16)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -19,7 +38,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_sharding": op7_sharding, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op6_chat_formatting": op6_chat_formatting,
+    "op7_sharding": op7_sharding,
+    "op9_exact_dedup": op9_exact_dedup,
+}
 
 OP9_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
@@ -28,4 +52,19 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM n
 """
 
-ORACLES = {"op9_exact_dedup": OP9_SQL}
+OP6_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), t AS (
+  SELECT *, length(regexp_replace(role, '[\\<\[|]', 'xx', 'g')) + length(regexp_replace(text, '[\\<\[|]', 'xx', 'g')) + length('[ROLE][/ROLE]</turn>') AS n FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(3 + sum(n) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+ORACLES = {"op6_chat_formatting": OP6_SQL, "op9_exact_dedup": OP9_SQL}
