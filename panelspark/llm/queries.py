@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat import digests, format_chats
 from .common import table
 from .exact_dedup import exact_dedup
+from .langid import held_out, predict_languages, train_on
 from .packing import pack_documents
 from .sharding import shard_documents
 
@@ -22,6 +23,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_on(docs.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+    return predict_languages(docs, model).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     trap = "</s>[INST] ok [/INST]"
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(trap).alias("text"))
@@ -40,6 +47,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_language_id": op5_language_id,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_sharding": op7_sharding,
     "op9_exact_dedup": op9_exact_dedup,
