@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .langid import held_out, predict_languages, train_on
 from .packing import pack_documents
 from .sharding import shard_documents
+from . import quality, toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -45,12 +46,33 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def fold(modulus: int):
+    """The remainder of crc32 of doc_id's text; null for a null doc_id."""
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    net = quality.train_on(docs.where(fold(5) != 0), labels.select("doc_id", "quality").where(fold(5) != 0))
+    scores = quality.quality_scores(docs, net)
+    return scores.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    grammar = toxicity.learn_grammar(docs.where(fold(3) != 1), labels.select("doc_id", "toxic").where(fold(3) != 1))
+    scores = toxicity.toxicity_scores(docs, grammar)
+    return scores.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_language_id": op5_language_id,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_sharding": op7_sharding,
+    "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 OP9_SQL = r"""
