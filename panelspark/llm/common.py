@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import tempfile
 import uuid
 
@@ -55,12 +54,22 @@ def sampled_splitters(df: DataFrame, keys: list[str], parts: int, per_part: int
     return [list(r) for r in sorted(set(cuts), key=order)]
 
 
+def _literal(value: object, kind: str) -> str:
+    """SQL text of a constant; strings as bytes, so that nothing in them needs quoting."""
+    if value is None:
+        return f"CAST(NULL AS {kind})"
+    if kind == "string":
+        return f"decode(X'{str(value).encode().hex()}', 'UTF-8')"
+    return f"CAST('{value}' AS {kind})"
+
+
 def bucket_of(key: Column, key_type: str, splitters: list[list]) -> Column:
     """How many splitters are <= key (a struct of type key_type), by binary search inside the expression."""
     if not splitters:
         return F.lit(0)
-    names = [f.split(":")[0] for f in key_type.removeprefix("struct<").removesuffix(">").split(",")]
-    cuts = F.from_json(F.lit(json.dumps([dict(zip(names, s, strict=True)) for s in splitters])), f"array<{key_type}>")
+    fields = [f.split(":") for f in key_type.removeprefix("struct<").removesuffix(">").split(",")]
+    rows = (", ".join(f"'{name}', {_literal(v, kind)}" for (name, kind), v in zip(fields, s, strict=True)) for s in splitters)
+    cuts = F.expr(f"array({', '.join(f'named_struct({r})' for r in rows)})")  # the optimizer folds it into one constant
     steps = len(splitters).bit_length()
 
     def halve(state: Column, _: Column) -> Column:
