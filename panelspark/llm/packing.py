@@ -12,7 +12,8 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -27,57 +28,70 @@ CAPACITY = 4096
 SALTS = 64
 END_ID = 1
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Entries that each of a worker's two memories of ids holds at most; a full memory starts afresh.
-REMEMBERED = 500_000
-#: Chunks made of these characters alone split into words, digits and runs of signs, which have ids of their own.
-_PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff0-9!-&(-/:-@\[-`{-~\n]+")
-_PARTS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: Strings whose ids each of a worker's memories holds in each of two generations: a full one becomes the older, and
+#: what is met again moves back.
+REMEMBERED = 250_000
+#: Chunks of these characters alone split into words, digits and runs of signs, which have ids of their own.
+_PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff0-9!-&(-/:-@\[-`{-~\t\n\r]*")
+_APART = re.compile(r"[!-&(-/:-@\[-`{-~]+|[0-9]")
+
+
+class Remembered:
+    """A mapping that forgets what was not met for a while."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def unknown(self, strings: Iterable[str]) -> list[str]:
+        """Those of the strings that must be learned; the others are in `young` afterwards."""
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        young, old, new = self.young, self.old, []
+        for s in dict.fromkeys(strings):
+            if s not in young:
+                if s in old:
+                    young[s] = old[s]
+                else:
+                    new.append(s)
+        return new
 
 
 class ChunkTokenizer:
-    """Ids of texts under a tokenizer that lowers case and drops white space, with ids of chunks between blanks remembered.
+    """Ids of texts under a tokenizer that lowers case and drops white space, put together from remembered ids.
 
-    A blank ends every token of such a vocabulary, so a text's ids are its chunks' ids one after the other; a new chunk
-    of plain characters is put together from the remembered ids of its parts. Texts that hold the string of an
-    added token are encoded whole, and other chunks by the tokenizer itself.
+    A blank ends every token of such a vocabulary, so a text's ids are the ids of its chunks between blanks one after
+    the other; those of a new chunk come from its words, digits and runs of signs if it is plain, and else from the
+    tokenizer. Texts that hold the string of an added token are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.chunks, self.parts = Remembered(), Remembered()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def _encoded(self, strings: list[str]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False):
-            yield np.array(e.ids, dtype=np.uint32).tobytes()
-
-    def _learn(self, chunks: list[str]) -> None:
-        cut = {c: _PARTS.findall(c.lower()) if _PLAIN.fullmatch(c) else [c] for c in chunks}
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        parts = self.parts
-        new = [p for p in dict.fromkeys(chain.from_iterable(cut.values())) if p not in parts]
-        parts.update(zip(new, self._encoded(new), strict=True))
-        for c, its in cut.items():
-            self.chunks[c] = b"".join([parts[p] for p in its])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for text in texts:
-            if any(s in text for s in self.special):
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32))
-                continue
-            chunks = text.split(" ")
-            if len(self.chunks) > REMEMBERED:
-                self.chunks.clear()
-            new = [c for c in dict.fromkeys(chunks) if c not in self.chunks]
-            if new:
-                self._learn(new)
-            out.append(np.frombuffer(b"".join(map(self.chunks.__getitem__, chunks)), dtype=np.uint32))
-        return out
+    @staticmethod
+    def _split(chunk: str) -> list[str]:
+        if chunk.isalpha() and chunk.isascii():
+            return [chunk.lower()]
+        return _APART.sub(r" \g<0> ", chunk.lower()).split() if _PLAIN.fullmatch(chunk) else [chunk]
+
+    def encode(self, text: str) -> np.ndarray:
+        if any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        chunks = text.split(" ")
+        new = self.chunks.unknown(chunks)
+        if new:
+            cut = [self._split(c) for c in new]
+            parts = self.parts.unknown(chain.from_iterable(cut))
+            known = self.parts.young
+            for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
+                known[p] = array("I", e.ids).tobytes()
+            for c, its in zip(new, cut, strict=True):
+                self.chunks.young[c] = known[its[0]] if len(its) == 1 else b"".join([known[p] for p in its])
+        return np.frombuffer(b"".join(map(self.chunks.young.__getitem__, chunks)), dtype=np.uint32)
 
 
 @lru_cache(maxsize=4)
@@ -94,7 +108,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
         for pdf in batches:
             rows: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
             for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
-                ids = np.append(encoder.encode([text or ""])[0], np.uint32(END_ID)).astype("<u4")
+                ids = np.append(encoder.encode(text or ""), np.uint32(END_ID)).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     for name, value in zip(rows, (doc, k, at, len(part), zlib.crc32(part.tobytes())), strict=True):
