@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat import digests, format_chats
 from .common import table
+from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .html_text import extract_main_text
 from .langid import held_out, predict_languages, train_on
@@ -29,6 +30,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train_on(docs.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
@@ -73,6 +78,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_html_extraction": op3_html_extraction,
+    "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_sharding": op7_sharding,
