@@ -11,6 +11,7 @@ from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .html_text import extract_main_text
 from .langid import held_out, predict_languages, train_on
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .sharding import shard_documents
 from . import quality, toxicity
@@ -22,6 +23,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096)
 
@@ -76,6 +81,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_html_extraction": op3_html_extraction,
     "op4_decontamination": op4_decontamination,
