@@ -77,11 +77,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """docs without later copies, all columns as they were (same rules as exact_dedup)."""
     columns = docs.columns
-    runs = _sorted_runs(docs, id_col, text_col, buckets).where("_first")
-    firsts = staged(runs)
+    last = F.max("_run").over(Window.partitionBy("_bucket"))
+    runs = _sorted_runs(docs, id_col, text_col, buckets).withColumn("_last", last).where("_first")
     # Only the first and the last surviving text of each bucket can meet a copy in another bucket.
-    edge = firsts.groupBy("_bucket").agg(F.max("_run").alias("_last"))
-    ends = firsts.join(F.broadcast(edge), "_bucket").where((F.col("_run") == 1) | (F.col("_run") == F.col("_last"))).select("_bucket", "_run", "_norm")
-    meets = ends.groupBy("_norm").agg(F.min("_bucket").alias("_from"), F.collect_list(F.struct("_bucket", "_run")).alias("_at")).where(F.size("_at") > 1)
+    edge = F.when((F.col("_run") == 1) | (F.col("_run") == F.col("_last")), F.col("_norm"))
+    firsts = staged(runs.withColumn("_edge", edge).select(*columns, "_bucket", "_run", "_edge"))
+    meets = firsts.where(F.col("_edge").isNotNull()).groupBy("_edge").agg(F.min("_bucket").alias("_from"), F.collect_list(F.struct("_bucket", "_run")).alias("_at")).where(F.size("_at") > 1)
     later = meets.select("_from", F.explode("_at").alias("_at")).select("_from", "_at.*").where(F.col("_bucket") > F.col("_from")).select("_bucket", "_run")
     return firsts.join(F.broadcast(later), ["_bucket", "_run"], "left_anti").select(*columns)

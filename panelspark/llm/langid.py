@@ -13,9 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import thinned
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
@@ -140,7 +143,7 @@ def train_on(docs: DataFrame, rows: int = TRAIN_ROWS) -> ByteCnn | None:
     size = F.length("text")
     start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(size - 2 * WINDOW, F.lit(1))) + 1
     sample = (
-        docs.where(F.col("lang").isNotNull() & (size > 0))
+        thinned(docs.where(F.col("lang").isNotNull() & (size > 0)), rows)
         .select("lang", F.substring("text", start.cast("int"), F.lit(2 * WINDOW)).alias("piece"), F.xxhash64("doc_id").alias("h"))
         .orderBy("h", "lang", "piece")
         .limit(rows)
@@ -154,6 +157,45 @@ PREDICTION = "doc_id long, lang_pred string, score double"
 BLOCK_WINDOWS = 512
 
 
+class Predictor:
+    """The network with its look-up tables, for whole texts."""
+
+    def __init__(self, net: ByteCnn | None):
+        self.net = net
+        self.pairs = net.pair_tables() if net else []
+
+    def _block(self, todo: list[tuple[int, bytes]], langs: list[str], scores: np.ndarray) -> None:
+        counts = [-(-len(t) // WINDOW) for _, t in todo]
+        x = np.zeros((sum(counts), WINDOW), np.uint8)
+        flat, at, sizes = x.reshape(-1), 0, []
+        for (_, t), c in zip(todo, counts, strict=True):
+            flat[at : at + len(t)] = np.frombuffer(t, np.uint8)
+            at += c * WINDOW
+            sizes += [WINDOW] * (c - 1) + [len(t) - (c - 1) * WINDOW]
+        p = np.concatenate([self.net.probabilities(x[k : k + BLOCK_WINDOWS], self.pairs) for k in range(0, len(x), BLOCK_WINDOWS)])
+        weight = np.array(sizes, np.float64)
+        starts = np.cumsum([0, *counts[:-1]])
+        mean = np.add.reduceat(p * weight[:, None], starts) / np.add.reduceat(weight, starts)[:, None]
+        for (i, _), m in zip(todo, mean, strict=True):
+            k = int(m.argmax())
+            langs[i], scores[i] = self.net.languages[k], min(1.0, float(m[k]))
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        todo: list[tuple[int, bytes]] = []
+        held = 0
+        for i, text in enumerate(texts):
+            if self.net and text and _LETTER.search(text):
+                todo.append((i, raw := text.encode()))
+                held += len(raw)
+                if held > BLOCK_WINDOWS * WINDOW:
+                    self._block(todo, langs, scores)
+                    todo, held = [], 0
+        if todo:
+            self._block(todo, langs, scores)
+        return langs, scores
+
+
 def predict_languages(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
     """doc_id, lang_pred, score for every row of docs (doc_id, text).
 
@@ -163,39 +205,28 @@ def predict_languages(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net = shared.value
-        pairs = net.pair_tables() if net else []
+        predictor = Predictor(shared.value)
         for pdf in batches:
-            langs, scores = [UNKNOWN] * len(pdf), np.zeros(len(pdf))
-            todo: list[tuple[int, bytes]] = []
-            held = 0
-
-            def flush(todo=todo, langs=langs, scores=scores) -> None:
-                counts = [-(-len(t) // WINDOW) for _, t in todo]
-                x = np.zeros((sum(counts), WINDOW), np.uint8)
-                flat, at, sizes = x.reshape(-1), 0, []
-                for (_, t), c in zip(todo, counts, strict=True):
-                    flat[at : at + len(t)] = np.frombuffer(t, np.uint8)
-                    at += c * WINDOW
-                    sizes += [WINDOW] * (c - 1) + [len(t) - (c - 1) * WINDOW]
-                p = np.concatenate([net.probabilities(x[k : k + BLOCK_WINDOWS], pairs) for k in range(0, len(x), BLOCK_WINDOWS)])
-                weight = np.array(sizes, np.float64)
-                starts = np.cumsum([0, *counts[:-1]])
-                mean = np.add.reduceat(p * weight[:, None], starts) / np.add.reduceat(weight, starts)[:, None]
-                for (i, _), m in zip(todo, mean, strict=True):
-                    k = int(m.argmax())
-                    langs[i], scores[i] = net.languages[k], min(1.0, float(m[k]))
-                todo.clear()
-
-            for i, text in enumerate(pdf["text"].tolist()):
-                if net and text and _LETTER.search(text):
-                    todo.append((i, raw := text.encode()))
-                    held += len(raw)
-                    if held > BLOCK_WINDOWS * WINDOW:
-                        flush()
-                        held = 0
-            if todo:
-                flush()
+            langs, scores = predictor.predict(pdf["text"].tolist())
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "lang_pred": langs, "score": scores})
 
     return docs.select("doc_id", "text").mapInPandas(run, PREDICTION)
+
+
+def keep_known_languages(docs: DataFrame, model: ByteCnn | None, least_score: float) -> DataFrame:
+    """docs, all columns as they were, without texts of no known language: null, without letters, or with a score
+    under least_score. Without a model everything but null and letterless texts stays."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predictor = Predictor(shared.value)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            if predictor.net is None:
+                keep = [bool(t and _LETTER.search(t)) for t in texts]
+            else:
+                langs, scores = predictor.predict(texts)
+                keep = [lang != UNKNOWN and score >= least_score for lang, score in zip(langs, scores, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
