@@ -1,0 +1,6 @@
+"""All registered queries and their oracle SQL."""
+
+from . import series  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
