@@ -43,7 +43,7 @@ def inst_cost_vwap(prices: DataFrame, flows: DataFrame, days: int = 20) -> DataF
     recent = prices.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= days)
     rows = recent.join(flows, ["stock_id", "date"]).withColumn("mid", (F.col("high_price") + F.col("low_price")) / 2)
     long = rows.unpivot(["stock_id", "mid"], list(INVESTORS), "investor", "net").where("net > 0")
-    return long.groupBy("stock_id", "investor").agg(F.round(F.sum(F.col("mid") * F.col("net")) / F.sum("net"), 4).alias("cost"), F.count("*").alias("days_buying"))
+    return long.groupBy("stock_id", "investor").agg(F.round(F.sum(F.col("mid") * F.col("net")) / F.sum("net"), 6).alias("cost"), F.count("*").alias("days_buying"))
 
 
 def flow_totals_per_stock(flows: DataFrame, rows: int = 20) -> DataFrame:
@@ -162,7 +162,7 @@ def breadth_daily(prices: DataFrame, stocks: DataFrame, top: int = 200, hot: int
     per = ranked.groupBy("date").agg(F.count("*").alias("n"), *aggs)
     per = per.withColumns({f"{n}_adr": adr(F.col(f"{n}_adv"), F.col(f"{n}_dec")) for n, _ in LAYERS})
     per = per.withColumns({f"{n}_score": F.round(F.col(f"{n}_adr") / (F.col(f"{n}_adr") + 1), 4) for n, _ in LAYERS})
-    score = F.round(sum((F.col(f"{n}_score") * w for n, w in LAYERS[1:]), F.col("layer_score") * LAYERS[0][1]), 4)
+    score = F.round(sum((F.col(f"{n}_score") * w for n, w in LAYERS[1:]), F.col("layer_score") * LAYERS[0][1]), 6)
     return per.withColumn("score", score).withColumn("regime", breadth_regime(F.col("score")))
 
 

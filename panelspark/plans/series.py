@@ -200,10 +200,10 @@ _L = "lag(close_price, {0}) OVER (PARTITION BY stock_id ORDER BY date)"
 @query(
     "w21_features",
     f"""SELECT stock_id, date, {', '.join(f'round(close_price / {_L.format(n)} - 1, 6) AS ret_{n}' for n in (5, 10, 20))},
-    CASE WHEN count(close_price) {_w(20)} >= 20 THEN round(close_price / avg(close_price) {_w(20)} - 1, 4) END AS gap_20,
+    CASE WHEN count(close_price) {_w(20)} >= 20 THEN round(close_price / avg(close_price) {_w(20)} - 1, 6) END AS gap_20,
     round((CASE WHEN count(r) {_w(10)} >= 10 THEN stddev_samp(r) {_w(10)} END) / nullif(CASE WHEN count(r) {_w(20)} >= 20 THEN stddev_samp(r) {_w(20)} END, 0), 6) AS vol_ratio,
     round((high_price - low_price) / close_price, 6) AS bar_range, round((high_price - greatest(open_price, close_price)) / close_price, 6) AS upper_shadow, round((least(open_price, close_price) - low_price) / close_price, 6) AS lower_shadow,
-    CASE WHEN count(volume) {_w(20)} >= 20 THEN round(volume / avg(volume) {_w(20)}, 4) END AS rel_volume FROM (SELECT *, close_price / {_L.format(1)} - 1 AS r FROM bars)""",
+    CASE WHEN count(volume) {_w(20)} >= 20 THEN round(volume / avg(volume) {_w(20)}, 6) END AS rel_volume FROM (SELECT *, close_price / {_L.format(1)} - 1 AS r FROM bars)""",
 )
 def w21(spark: SparkSession, d: str) -> DataFrame:
     return rounded(features(spark, d).select("stock_id", "date", *FEATURES), *FEATURES, places=6)
