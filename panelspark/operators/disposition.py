@@ -35,7 +35,7 @@ def disposition_risk(prices: DataFrame, stocks: DataFrame, announcements: DataFr
     r3, r4 = capped((ratio - 1) / 4 * 100), capped(F.abs("run_sum") / 18 * 100)
     listed = active_on(announcements, asof).select("stock_id", F.lit(1).alias("_listed")).distinct()
     scored = f.withColumns({"r1": r1, "r2": r2, "r3": r3, "r4": r4}).join(listed, "stock_id", "left").join(stocks.select("stock_id", "name"), "stock_id")
-    score = F.when(F.col("_listed") == 1, 100.0).otherwise(F.round(F.col("r1") * 0.4 + F.col("r2") * 0.2 + F.col("r3") * 0.2 + F.col("r4") * 0.2, 2))
+    score = F.when(F.col("_listed") == 1, 100.0).otherwise(F.round(F.col("r1") * 0.4 + F.col("r2") * 0.2 + F.col("r3") * 0.2 + F.col("r4") * 0.2, 4))
     hits = F.array_compact(F.array(F.when(F.col("r1") >= 100, "R1"), F.when(F.col("r2") >= 100, "R2"), F.when(F.col("r3") >= 100, "R3"), F.when(F.col("r4") >= 100, "R4")))
     return scored.withColumn("score", score).withColumn("hits", F.concat_ws(",", hits)).select("stock_id", "name", "score", "hits", F.coalesce("_listed", F.lit(0)).alias("in_disposition")).orderBy(F.desc("score"), "stock_id").limit(top_n)
 

@@ -71,4 +71,4 @@ def pair_strength(a: DataFrame, b: DataFrame, n: int = 3) -> DataFrame:
     change = lambda df, out: df.withColumn(out, F.try_divide((F.col("price") - F.first("price").over(day)) * 100, F.first("price").over(day))).select("date", "minute", out)
     rows = change(a, "x").join(change(b, "y"), ["date", "minute"]).withColumn("strength", F.round(F.col("x") - F.col("y"), 4))
     smooth = F.avg("strength").over(Window.partitionBy("date").orderBy("minute").rowsBetween(-(n - 1), 0))
-    return rows.withColumn("smoothed", F.round(smooth, 4)).select("date", "minute", "strength", "smoothed", F.when(F.col("strength") > 0, "red").when(F.col("strength") < 0, "green").otherwise("grey").alias("colour"))
+    return rows.withColumn("smoothed", F.round(smooth, 6)).select("date", "minute", "strength", "smoothed", F.when(F.col("strength") > 0, "red").when(F.col("strength") < 0, "green").otherwise("grey").alias("colour"))

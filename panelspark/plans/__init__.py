@@ -1,6 +1,6 @@
 """All registered queries and their oracle SQL."""
 
-from . import market, series  # noqa: F401
+from . import events, market, series  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
