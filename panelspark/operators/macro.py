@@ -40,7 +40,7 @@ def pairwise_correlation(series: DataFrame, least: int = 5) -> DataFrame:
 def spread(macro: DataFrame, a: str, b: str) -> DataFrame:
     """Difference of two indicators on their common dates."""
     one = lambda n, out: macro.where(F.col("indicator") == n).select("date", F.col("value").alias(out))
-    return one(a, "a").join(one(b, "b"), "date").select("date", F.round(F.col("a") - F.col("b"), 4).alias("spread"))
+    return one(a, "a").join(one(b, "b"), "date").select("date", F.round(F.round(F.col("a") - F.col("b"), 6), 4).alias("spread"))
 
 
 def deleveraging_index(subscores: DataFrame, weights: dict[str, float]) -> DataFrame:

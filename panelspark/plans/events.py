@@ -149,7 +149,7 @@ def j10(spark: SparkSession, d: str) -> DataFrame:
     return joins.orphans(adapters.daily_prices_sparse(spark, d), stocks(spark, d))
 
 
-@query("j12_indicator_spread", "SELECT a.date, round(a.value - b.value, 4) AS spread FROM macro a JOIN macro b ON a.date = b.date WHERE a.indicator = 'click' AND b.indicator = 'error'")
+@query("j12_indicator_spread", "SELECT a.date, round(round(a.value - b.value, 6), 4) AS spread FROM macro a JOIN macro b ON a.date = b.date WHERE a.indicator = 'click' AND b.indicator = 'error'")
 def j12(spark: SparkSession, d: str) -> DataFrame:
     return macro.spread(adapters.macro_indicators(spark, d), "click", "error")
 
