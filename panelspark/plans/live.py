@@ -151,3 +151,47 @@ def s16(spark: SparkSession, d: str) -> DataFrame:
 def f14(spark: SparkSession, d: str) -> DataFrame:
     k = F.from_json("props", "k long")["k"]
     return adapters.table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.sum(k).alias("k"))
+
+
+@query("z5_stream_latest_state", "SELECT user_id, ts, value, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def z5(spark: SparkSession, d: str) -> DataFrame:
+    """Latest row per user, kept by a foreachBatch upsert over micro-batches of the events."""
+    path = f"{_shared(spark)}/state_{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(_folder(d)).select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value", "event_id")
+    newest = lambda batch: joins.latest_per_key(batch.withColumn("load_ts", F.struct("ts", "event_id")), "user_id", ["ts", "event_id"])
+    sink = quotes.keep_latest(["user_id"], path)
+    last = {"epoch": 0}
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        sink(newest(batch), epoch)
+        last["epoch"] = epoch
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}_log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{path}/gen={last['epoch'] % 2}").select("user_id", "ts", "value", "event_id")
+
+
+@query("f2_date_forms", "SELECT o_orderkey, (year(o_orderdate) - 1911) || strftime(o_orderdate, '/%m/%d') AS roc, CAST(o_orderdate AS DATE) AS back, CAST(o_orderdate AS DATE) AS from_compact, CAST(CAST(o_orderdate AS DATE) - INTERVAL 6 MONTH AS DATE) AS half_year_before FROM orders")
+def f2(spark: SparkSession, d: str) -> DataFrame:
+    day = F.col("o_orderdate").cast("date")
+    roc = exprs.to_roc(day)
+    padded = F.concat(F.lpad(F.split(roc, "/")[0], 3, "0"), F.lit("/"), F.substring_index(roc, "/", -2))
+    return adapters.table(spark, d, "orders").select("o_orderkey", roc.alias("roc"), exprs.roc_date(padded).alias("back"), exprs.compact_date(F.date_format(day, "yyyyMMdd")).alias("from_compact"), F.add_months(day, -6).alias("half_year_before"))
+
+
+@query("f6_session_curve", f"SELECT event_id, minute, round({_CURVE}, 6) AS pct, CAST(hour(snapshot_ts) * 60 + minute(snapshot_ts) - 540 AS INTEGER) AS session_minute, (hour(snapshot_ts) * 60 + minute(snapshot_ts) - 540 BETWEEN 0 AND 270) AND isodow(snapshot_ts) <= 5 AS in_session FROM snaps".replace("minute(snapshot_ts)", "date_part('minute', snapshot_ts)"))
+def f6(spark: SparkSession, d: str) -> DataFrame:
+    s = adapters.intraday_snapshots(spark, d)
+    return s.select("event_id", "minute", F.round(exprs.pct_done(F.col("minute")), 6).alias("pct"), exprs.session_minute(F.col("snapshot_ts")).alias("session_minute"), exprs.in_session(F.col("snapshot_ts")).alias("in_session"))
+
+
+@query("f18_regime", "SELECT stock_id, date, CASE WHEN high_price - low_price >= 20 THEN 'stress' ELSE 'normal' END AS label, round(least(100.0, (high_price - low_price) / 20 * 50), 4) AS temperature, round(least((high_price - low_price) / 20, 2.0), 4) AS ratio FROM bars")
+def f18(spark: SparkSession, d: str) -> DataFrame:
+    label, temperature, ratio = exprs.regime_label(F.col("high_price") - F.col("low_price"), F.lit(20.0))
+    return adapters.daily_prices(spark, d).select("stock_id", "date", label.alias("label"), F.round(temperature, 4).alias("temperature"), F.round(ratio, 4).alias("ratio"))
+
+
+@query("f17_array_average", "SELECT stock_id, round(list_avg(a[-3:]), 4) AS last3, len(list_filter(a, lambda v: v > 100)) AS above FROM (SELECT stock_id, list(close_price ORDER BY date) AS a FROM bars GROUP BY 1)")
+def f17(spark: SparkSession, d: str) -> DataFrame:
+    per = adapters.daily_prices(spark, d).groupBy("stock_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "close_price"))), lambda v: v["close_price"]).alias("a"))  # one bar a week
+    return per.select("stock_id", F.round(exprs.last_k_average(F.col("a"), 3), 4).alias("last3"), F.size(F.filter("a", lambda v: v > 100)).alias("above"))
