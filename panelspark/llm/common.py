@@ -64,7 +64,10 @@ def _literal(value: object, kind: str) -> str:
 
 
 def bucket_of(key: Column, key_type: str, splitters: list[list]) -> Column:
-    """How many splitters are <= key (a struct of type key_type), by binary search inside the expression."""
+    """How many splitters are <= key (a struct of type key_type), by binary search inside the expression.
+
+    The key is bound by an outer transform: named in the search itself, it would be computed anew at each step.
+    """
     if not splitters:
         return F.lit(0)
     fields = [f.split(":") for f in key_type.removeprefix("struct<").removesuffix(">").split(",")]
@@ -72,17 +75,18 @@ def bucket_of(key: Column, key_type: str, splitters: list[list]) -> Column:
     cuts = F.expr(f"array({', '.join(f'named_struct({r})' for r in rows)})")  # the optimizer folds it into one constant
     steps = len(splitters).bit_length()
 
-    def halve(state: Column, _: Column) -> Column:
+    def halve(wanted: Column, state: Column) -> Column:
         lo, hi = state["lo"], state["hi"]
         mid = F.shiftright(lo + hi, 1)
         return (
             F.when(lo >= hi, state)
-            .when(F.get(cuts, mid) <= key, F.struct((mid + 1).alias("lo"), hi.alias("hi")))
+            .when(F.get(cuts, mid) <= wanted, F.struct((mid + 1).alias("lo"), hi.alias("hi")))
             .otherwise(F.struct(lo.alias("lo"), mid.alias("hi")))
         )
 
     start = F.struct(F.lit(0).alias("lo"), F.lit(len(splitters)).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)["lo"]
+    rounds = F.sequence(F.lit(1), F.lit(steps))
+    return F.get(F.transform(F.array(key), lambda k: F.aggregate(rounds, start, lambda state, _: halve(k, state))["lo"]), 0)
 
 
 def thinned(df: DataFrame, rows: int, id_col: str = "doc_id") -> DataFrame:
