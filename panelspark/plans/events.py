@@ -416,7 +416,19 @@ def x12(spark: SparkSession, d: str) -> DataFrame:
     return quality.clean_kline(adapters.daily_prices_sparse(spark, d), repeats=2)
 
 
-@query("x14_bar_checks")
+_ADJ = """SELECT *, row_number() OVER w AS rn, lag(a) OVER w AS pa FROM (SELECT *, last_value(close_price) OVER (PARTITION BY stock_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+  / exp(coalesce(sum(ln(CASE WHEN 1 + coalesce(change_pct, 0) / 100 > 0 THEN 1 + coalesce(change_pct, 0) / 100 ELSE 1 END)) OVER (PARTITION BY stock_id ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) AS a FROM bars) WINDOW w AS (PARTITION BY stock_id ORDER BY date)"""
+_REAL = "length(stock_id) = 4 AND regexp_matches(stock_id, '^[1-9]')"
+_STRANGE = "SELECT stock_id, max(date) AS d FROM flows WHERE stock_id NOT IN (SELECT stock_id FROM instruments) GROUP BY 1"
+_CHECKS = {
+    "q1_null_close": "SELECT count(*) FROM b WHERE close_price IS NULL", "q2_close_not_positive": "SELECT count(*) FROM b WHERE close_price <= 0", "q3_no_volume": "SELECT count(*) FROM b WHERE coalesce(volume, 0) = 0", "q4_large_change": f"SELECT count(*) FROM b WHERE abs(change_pct) > 11 AND rn > 5 AND {_REAL}",
+    "q5_adjusted_drift": "SELECT count(*) FROM b WHERE pa > 0 AND abs((a / pa - 1) * 100 - change_pct) > 5", "q6_adjusted_missing": "SELECT count(*) FROM b WHERE a IS NULL", "q7_high_under_low": "SELECT count(*) FROM b WHERE high_price < low_price", "q8_all_zero_flows": "SELECT count(*) FROM flows WHERE foreign_buy = 0 AND sitc_buy = 0 AND dealer_buy = 0",
+    "q9_no_volume_real": f"SELECT count(*) FROM b WHERE volume = 0 AND {_REAL}", "q10_duplicate_ids": "SELECT count(*) - count(DISTINCT stock_id) FROM instruments", "q11_orphan_bars": "SELECT count(DISTINCT stock_id) FROM bars WHERE stock_id NOT IN (SELECT stock_id FROM instruments)",
+    "q12_unknown_recent": f"SELECT count(*) FROM ({_STRANGE}) WHERE d >= (SELECT max(date) FROM flows) - INTERVAL 6 MONTH", "q13_unknown_old": f"SELECT count(*) FROM ({_STRANGE}) WHERE d < (SELECT max(date) FROM flows) - INTERVAL 6 MONTH",
+}
+
+
+@query("x14_bar_checks", f"WITH b AS ({_ADJ}), c AS ({' UNION ALL '.join(f'SELECT {k!r} AS \"check\", ({v}) AS n' for k, v in _CHECKS.items())}) SELECT *, CASE WHEN n = 0 THEN 'ok' WHEN regexp_matches(\"check\", '^q(2|7|10)_') THEN 'error' ELSE 'warn' END AS severity FROM c")
 def x14(spark: SparkSession, d: str) -> DataFrame:
     return quality.bar_checks(bars(spark, d), stocks(spark, d), net(spark, d))
 
