@@ -13,9 +13,8 @@ import bisect
 import re
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,70 +27,78 @@ CAPACITY = 4096
 SALTS = 64
 END_ID = 1
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Strings whose ids each of a worker's memories holds in each of two generations: a full one becomes the older, and
-#: what is met again moves back.
-REMEMBERED = 250_000
-#: Chunks of these characters alone split into words, digits and runs of signs, which have ids of their own.
-_PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff0-9!-&(-/:-@\[-`{-~\t\n\r]*")
-_APART = re.compile(r"[!-&(-/:-@\[-`{-~]+|[0-9]")
-
-
-class Remembered:
-    """A mapping that forgets what was not met for a while."""
-
-    def __init__(self) -> None:
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def unknown(self, strings: Iterable[str]) -> list[str]:
-        """Those of the strings that must be learned; the others are in `young` afterwards."""
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        young, old, new = self.young, self.old, []
-        for s in dict.fromkeys(strings):
-            if s not in young:
-                if s in old:
-                    young[s] = old[s]
-                else:
-                    new.append(s)
-        return new
+#: Chunks whose ids a worker remembers in each of two generations: a full one becomes the older, and what is met again
+#: moves back.
+REMEMBERED = 400_000
+#: Letters and signs whose lower case, composition and splitting are plain: words, digits and runs of signs are tokenised apart.
+_LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_PLAIN = re.compile(rf"[{_LETTERS}0-9!-&(-/:-@\[-`{{-~ \t\n\r]*")
+_WORD = re.compile(rf"[{_LETTERS}]+")
+_PARTS = re.compile(rf"[{_LETTERS}]+|[0-9]|[!-&(-/:-@\[-`{{-~]+")
+#: A stop or comma that belongs to a run of signs.
+_RUN = re.compile(rf"[^{_LETTERS}0-9\s][.,](?:\s|$)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 on."""
+    out, spare = {}, 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
+            out[b] = chr(b)
+        else:
+            out[b] = chr(spare)
+            spare += 1
+    return out
 
 
 class ChunkTokenizer:
-    """Ids of texts under a tokenizer that lowers case and drops white space, put together from remembered ids.
+    """Ids of texts under a lower-casing byte-level tokenizer that drops white space, put together from remembered ids.
 
     A blank ends every token of such a vocabulary, so a text's ids are the ids of its chunks between blanks one after
-    the other; those of a new chunk come from its words, digits and runs of signs if it is plain, and else from the
-    tokenizer. Texts that hold the string of an added token are encoded whole.
+    the other. In plain texts stops and commas are set apart first, which changes nothing, and words, digits and runs
+    of signs go straight to the merges; all other chunks, and texts that hold the string of an added token, go
+    through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks, self.parts = Remembered(), Remembered()
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    @staticmethod
-    def _split(chunk: str) -> list[str]:
-        if chunk.isalpha() and chunk.isascii():
-            return [chunk.lower()]
-        return _APART.sub(r" \g<0> ", chunk.lower()).split() if _PLAIN.fullmatch(chunk) else [chunk]
+    def _part(self, part: str) -> list[int]:
+        word = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.merge(word)]
+
+    def _ids(self, chunk: str) -> bytes:
+        if _WORD.fullmatch(chunk):
+            ids = self._part(chunk.lower())
+        elif _PLAIN.fullmatch(chunk):
+            ids = [i for part in _PARTS.findall(chunk.lower()) for i in self._part(part)]
+        else:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        if _PLAIN.fullmatch(text):
+            text = text.lower()
+            if not _RUN.search(text):
+                text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ").replace(",\n", " , ")
+            text = text.replace("\n", " ")
         chunks = text.split(" ")
-        new = self.chunks.unknown(chunks)
-        if new:
-            cut = [self._split(c) for c in new]
-            parts = self.parts.unknown(chain.from_iterable(cut))
-            known = self.parts.young
-            for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
-                known[p] = array("I", e.ids).tobytes()
-            for c, its in zip(new, cut, strict=True):
-                self.chunks.young[c] = known[its[0]] if len(its) == 1 else b"".join([known[p] for p in its])
-        return np.frombuffer(b"".join(map(self.chunks.young.__getitem__, chunks)), dtype=np.uint32)
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        for chunk in set(chunks).difference(young):
+            ids = old.get(chunk)
+            young[chunk] = self._ids(chunk) if ids is None else ids
+        return np.frombuffer(b"".join(map(young.__getitem__, chunks)), dtype=np.uint32)
 
 
 @lru_cache(maxsize=4)
