@@ -93,7 +93,7 @@ def futures_basis(futures: DataFrame, realtime: DataFrame, prices: DataFrame, st
     basis = F.round(F.col("futures_price") - F.col("spot"), 4)
     rows = rows.withColumns({"basis": basis, "basis_pct": F.round(F.try_divide(basis * 100, F.col("spot")), 2)})
     status = F.when(F.col("spot").isNull(), "no_spot").when(F.col("basis") > 0, "contango").when(F.col("basis") < 0, "backwardation").otherwise("flat")
-    return rows.withColumn("status", status).select("stock_id", "name", "product_code", "futures_price", "spot", "spot_stale", "basis", "basis_pct", "status", "restricted")
+    return rows.withColumn("status", status).select("stock_id", "name", "product_code", "futures_price", "spot", "spot_stale", "basis", "basis_pct", "status", "restricted").orderBy(F.desc_nulls_last("basis_pct"), "stock_id")
 
 
 def night_session_spread(rows: DataFrame) -> DataFrame:

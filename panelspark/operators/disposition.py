@@ -55,7 +55,7 @@ def drop_signals(prices: DataFrame, announcements: DataFrame, asof: str, rise: f
     hit = inside.join(based.select(*keys, "peak"), keys).where(F.round(F.col("close_price"), 4) <= F.round(F.col("peak") * drop, 4)).groupBy(*keys).agg(F.min("date").alias("trigger_date"), F.min_by("close_price", "date").alias("trigger_close"))
     now = bars.groupBy("stock_id").agg(F.max_by("close_price", "date").alias("current_close"))
     out = based.join(hit, keys).join(now, "stock_id")
-    return out.select(*keys, "announcement_id", "period_end", "peak", "peak_date", F.col("matched_close_price").alias("base_close"), "rise_pct", "trigger_date", "trigger_close", "current_close", (F.datediff(day, F.col("trigger_date")) <= fresh).cast("int").alias("fresh"))
+    return out.select(*keys, "announcement_id", "period_end", "peak", "peak_date", F.col("matched_close_price").alias("base_close"), "rise_pct", "trigger_date", "trigger_close", "current_close", (F.datediff(day, F.col("trigger_date")) <= fresh).cast("int").alias("fresh")).orderBy(F.desc("fresh"), F.desc("trigger_date"), "stock_id", "period_start")
 
 
 def oversold(prices: DataFrame, announcements: DataFrame, asof: str, least: float = 30.0, before: int = 30) -> DataFrame:

@@ -145,6 +145,15 @@ def breadth_regime(score: Column) -> Column:
     return F.when(score >= 0.6, "STRONG").when(score >= 0.5, "BULL").when(score >= 0.4, "NEUTRAL").when(score >= 0.25, "WEAK").otherwise("CRASH")
 
 
+def breadth_layer(rows: DataFrame) -> DataFrame:
+    """Breadth of one group of bars per date; a missing change counts as unchanged."""
+    chg = F.coalesce("change_pct", F.lit(0.0))
+    per = rows.groupBy("date").agg(F.count("*").alias("n"), F.count_if(chg > 0.1).alias("adv"), F.count_if(chg < -0.1).alias("dec"), F.count_if(chg >= 9.5).alias("limit_up"), F.count_if(chg <= -9.5).alias("limit_down"))
+    per = per.withColumns({"unchanged": F.col("n") - F.col("adv") - F.col("dec"), "adr": adr(F.col("adv"), F.col("dec"))})
+    per = per.withColumn("score", F.round(F.col("adr") / (F.col("adr") + 1), 4))
+    return per.withColumn("regime", breadth_regime(F.col("score")))
+
+
 def breadth_daily(prices: DataFrame, stocks: DataFrame, top: int = 200, hot: int = 100) -> DataFrame:
     """Advance-decline breadth of three layers per date and their weighted score, in one pass over the panel.
 

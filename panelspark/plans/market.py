@@ -42,6 +42,15 @@ def a3(spark: SparkSession, d: str) -> DataFrame:
     return flows.sector_summary(bars(spark, d), stocks(spark, d))
 
 
+_LAYER = """SELECT *, CASE WHEN score >= 0.6 THEN 'STRONG' WHEN score >= 0.5 THEN 'BULL' WHEN score >= 0.4 THEN 'NEUTRAL' WHEN score >= 0.25 THEN 'WEAK' ELSE 'CRASH' END AS regime FROM (SELECT *, round(adr / (adr + 1), 4) AS score FROM (SELECT *, n - adv - dec AS unchanged, CASE WHEN dec > 0 THEN round(adv / dec, 3) WHEN adv > 0 THEN 10.0 ELSE 1.0 END AS adr
+  FROM (SELECT date, count(*) AS n, count(*) FILTER (coalesce(change_pct, 0) > 0.1) AS adv, count(*) FILTER (coalesce(change_pct, 0) < -0.1) AS dec, count(*) FILTER (coalesce(change_pct, 0) >= 9.5) AS limit_up, count(*) FILTER (coalesce(change_pct, 0) <= -9.5) AS limit_down FROM bars b JOIN instruments i ON b.stock_id = i.stock_id WHERE market = 'twse' GROUP BY 1)))"""
+
+
+@query("a4_breadth_layer", _LAYER)
+def a4(spark: SparkSession, d: str) -> DataFrame:
+    return flows.breadth_layer(bars(spark, d).join(stocks(spark, d).where("market = 'twse'"), "stock_id"))
+
+
 def _layer(name: str, inside: str) -> str:
     return ", ".join(f"count(*) FILTER (({inside}) AND {cond}) AS {name}_{what}" for what, cond in (("adv", "chg > 0.1"), ("dec", "chg < -0.1"), ("limit_up", "chg >= 9.5"), ("limit_down", "chg <= -9.5")))
 
