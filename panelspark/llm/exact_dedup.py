@@ -23,15 +23,15 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _sorted_runs(docs: DataFrame, id_col: str, text_col: str, buckets: int | None) -> DataFrame:
+def _sorted_runs(docs: DataFrame, identifier: Column, text: Column, buckets: int | None) -> DataFrame:
     """docs with _norm, _sha, _bucket, _first (starts its run) and _run (number of its run in the bucket)."""
-    norm = normalised(F.col(text_col))
-    id_type = docs.schema[id_col].dataType.simpleString()
-    keyed = docs.select("*", F.struct(F.substring(norm, 1, PREFIX_CHARS).alias("p"), F.sha2(norm, 256).alias("s"), F.col(id_col).alias("i")).alias("_key"))
+    norm = normalised(text)
+    id_type = docs.select(identifier.alias("i")).schema["i"].dataType.simpleString()
+    keyed = docs.select("*", F.struct(F.substring(norm, 1, PREFIX_CHARS).alias("p"), F.sha2(norm, 256).alias("s"), identifier.alias("i")).alias("_key"))
     parts = buckets or BUCKETS_PER_PARTITION * shuffle_width(docs.sparkSession)
     cuts = sampled_splitters(keyed.select(F.col("_key.p").alias("p"), F.col("_key.s").alias("s"), F.col("_key.i").alias("i")), ["p", "s", "i"], parts)
     dealt = keyed.withColumn("_bucket", bucket_of(F.col("_key"), f"struct<p:string,s:string,i:{id_type}>", cuts)).drop("_key").repartition("_bucket")
-    order = Window.partitionBy("_bucket").orderBy("_p", "_sha", "_norm", id_col)
+    order = Window.partitionBy("_bucket").orderBy("_p", "_sha", "_norm", identifier)
     return (
         dealt.withColumn("_norm", norm)
         .withColumns({"_p": F.substring("_norm", 1, PREFIX_CHARS), "_sha": F.sha2("_norm", 256)})
@@ -50,7 +50,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ignored, so their names cannot clash.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("text"))
-    runs = _sorted_runs(rows, "doc_id", "text", buckets)
+    runs = _sorted_runs(rows, F.col("doc_id"), F.col("text"), buckets)
     run = Window.partitionBy("_bucket", "_run")
     whole = Window.partitionBy("_bucket")
     narrow = staged(
@@ -75,13 +75,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
-    """docs without later copies, all columns as they were (same rules as exact_dedup)."""
-    columns = docs.columns
+    """docs without later copies, all columns as they were (same rules as exact_dedup).
+
+    The row travels as one struct, so no column's name can clash with those used here.
+    """
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     last = F.max("_run").over(Window.partitionBy("_bucket"))
-    runs = _sorted_runs(docs, id_col, text_col, buckets).withColumn("_last", last).where("_first")
+    runs = _sorted_runs(row, F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`"), buckets).withColumn("_last", last).where("_first")
     # Only the first and the last surviving text of each bucket can meet a copy in another bucket.
     edge = F.when((F.col("_run") == 1) | (F.col("_run") == F.col("_last")), F.col("_norm"))
-    firsts = staged(runs.withColumn("_edge", edge).select(*columns, "_bucket", "_run", "_edge"))
+    firsts = staged(runs.withColumn("_edge", edge).select("row", "_bucket", "_run", "_edge"))
     meets = firsts.where(F.col("_edge").isNotNull()).groupBy("_edge").agg(F.min("_bucket").alias("_from"), F.collect_list(F.struct("_bucket", "_run")).alias("_at")).where(F.size("_at") > 1)
     later = meets.select("_from", F.explode("_at").alias("_at")).select("_from", "_at.*").where(F.col("_bucket") > F.col("_from")).select("_bucket", "_run")
-    return firsts.join(F.broadcast(later), ["_bucket", "_run"], "left_anti").select(*columns)
+    return firsts.join(F.broadcast(later), ["_bucket", "_run"], "left_anti").select("row.*")

@@ -67,6 +67,9 @@ def test_exact_dedup_ties_nulls_and_empty(spark):
     assert Counter(r.kept for r in got) == {True: 2, False: 3}
     assert {(r.keep_id, r.group_size) for r in got} == {(None, 3), (2, 2)}
     assert exact_dedup(frame(spark, []), buckets=3).count() == 0
+    odd = frame(spark, rows).selectExpr("doc_id", "text", "lang AS _bucket", "source AS `_norm`", "n_chars AS `a.b`")
+    assert drop_exact_copies(odd, buckets=3).columns == odd.columns and drop_exact_copies(odd, buckets=3).count() == 2
+    assert drop_near_copies(odd).columns == odd.columns
     clash = frame(spark, rows).withColumnRenamed("lang", "kept").withColumnRenamed("source", "_bucket2")
     assert exact_dedup(clash, buckets=3).count() == 5
 
