@@ -8,7 +8,12 @@ pairs of blocks, so every two of its texts meet although no task holds more than
 share a larger region at the greatest depth, where they agree almost everywhere, meet within random blocks that
 differ from tree to tree. Where signatures in a region agree enough, the full shingle sets of those texts meet,
 all their pairs are confirmed by exact counts, and a spanning forest of the confirmed links goes on to the
-components: a group of n copies sends at most TREES * BLOCKS * n sets and as many links, never its pairs.
+components.
+
+Deepening and random blocks keep some texts of a crowded region apart. So all texts of regions that were crowded at
+the first depth meet once more, by an exact prefix filter: two linked sets share one of their rarest shingles. Only
+texts that the first links left in different components are compared there. Of the texts with one such shingle those
+outside its largest component meet all others, as pairs of blocks: work grows with texts times outsiders.
 """
 
 from __future__ import annotations
@@ -36,6 +41,10 @@ LEAST_ESTIMATE = 0.72
 COLUMNS = 4096
 #: Links: PERCENT * union <= 100 * intersection.
 PERCENT = 85
+#: Shingles are called rare by counts of so many classes of them.
+BUCKETS = 1 << 18
+#: Rarer shingles that a text remembers, lest it meet another again.
+EARLIER = 24
 
 _RNG = np.random.default_rng(20240229)
 _LOW = _RNG.integers(0, 1 << 32, SIGNATURE, dtype=np.uint32) | np.uint32(1)
@@ -123,10 +132,10 @@ def _tree_keys(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "signature").mapInPandas(run, "rep long, tree int, " + ", ".join(f"k{i} long" for i in range(len(LEVELS))))
 
 
-def _regions(keys: DataFrame, block: int) -> DataFrame:
+def _regions(keys: DataFrame, block: int) -> tuple[DataFrame, DataFrame | None]:
     """rep, tree, region, blocks, mine: the region of each class in each tree, how many blocks it has and which is the
-    class's; without classes that stand alone."""
-    out, rest = None, keys
+    class's; without classes that stand alone. Also rep of all classes whose region at the first depth is crowded."""
+    out, rest, crowded = None, keys, None
     for level in range(len(LEVELS)):
         key = f"k{level}"
         counts = rest.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
@@ -137,12 +146,14 @@ def _regions(keys: DataFrame, block: int) -> DataFrame:
         out = found if out is None else out.unionByName(found)
         rest = rest.where(F.col("n") > BLOCKS * block)
         if rest.isEmpty():
-            return out
+            return out, crowded
+        if crowded is None:
+            crowded = rest.select("rep").distinct()
         if level == len(LEVELS) - 1:
             lot = F.pmod(F.xxhash64("rep", "tree"), F.ceil(F.col("n") / block))
-            return out.unionByName(rest.select("rep", "tree", F.xxhash64(key, F.lit(level), lot).alias("region"), F.lit(1).alias("blocks"), F.lit(0).alias("mine")))
+            return out.unionByName(rest.select("rep", "tree", F.xxhash64(key, F.lit(level), lot).alias("region"), F.lit(1).alias("blocks"), F.lit(0).alias("mine"))), crowded
         rest = rest.drop("n")
-    return out
+    return out, crowded
 
 
 def _needed(region: np.ndarray, tree: np.ndarray, size: np.ndarray, signs: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -182,9 +193,11 @@ def _block_pair(region: int, a: int, b: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def candidates(classes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """region, rep: the classes (rep, n_shingles, signature) whose sets must meet in a region of the forest."""
-    where = _regions(_tree_keys(classes), block).groupBy("rep").agg(F.collect_list(F.struct("tree", "region", "blocks", "mine")).alias("regions"))  # at most TREES each
+def candidates(classes: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame | None]:
+    """region, rep: the classes (rep, n_shingles, signature) whose sets must meet in a region of the forest. Also rep of
+    the classes of crowded regions, if any: those must meet by rare shingles too."""
+    placed, crowded = _regions(_tree_keys(classes), block)
+    where = placed.groupBy("rep").agg(F.collect_list(F.struct("tree", "region", "blocks", "mine")).alias("regions"))  # at most TREES each
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -207,7 +220,86 @@ def candidates(classes: DataFrame, block: int = BLOCK) -> DataFrame:
             yield pdf.loc[_needed(pdf["region"].to_numpy(), pdf["tree"].to_numpy(), pdf["n_shingles"].to_numpy(), signs, seen), ["region", "rep"]]
 
     placed = classes.join(where, "rep").mapInPandas(spread, "region long, tree int, rep long, n_shingles long, signs binary, seen binary")
-    return placed.repartition("region").sortWithinPartitions("region", "rep").mapInPandas(needed, "region long, rep long")
+    return placed.repartition("region").sortWithinPartitions("region", "rep").mapInPandas(needed, "region long, rep long"), crowded
+
+
+def _rare_shingles(texts: DataFrame) -> DataFrame:
+    """rep, shingle, earlier: the shingles of the prefix filter for texts (rep, text), with up to EARLIER ones that are rarer.
+
+    Any one order of all shingles is right; here it is by counts of BUCKETS classes of them, a table of fixed size.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(BUCKETS, np.int64)
+        for pdf in batches:
+            for text in pdf["text"].tolist():
+                n += np.bincount((shingle_set(text) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        yield pd.DataFrame({"bucket": np.flatnonzero(n), "n": n[n > 0]})
+
+    counts = np.zeros(BUCKETS, np.int64)
+    found = texts.select("text").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
+    counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out: dict[str, list] = {"rep": [], "shingle": [], "earlier": []}
+            for rep, text in zip(pdf["rep"].tolist(), pdf["text"].tolist(), strict=True):
+                s = shingle_set(text)
+                times = shared.value[(s % np.uint64(BUCKETS)).astype(np.int64)]
+                order = np.lexsort((s, times))[: len(s) - -(-PERCENT * len(s) // 100) + 1]
+                prefix = s[order[times[order] > 1]].view(np.int64)  # what only one text has is shared with none
+                out["rep"] += [rep] * len(prefix)
+                out["shingle"] += prefix.tolist()
+                out["earlier"] += [prefix[max(0, k - EARLIER) : k].tobytes() for k in range(len(prefix))]
+            yield pd.DataFrame(out)
+
+    return texts.select("rep", "text").mapInPandas(pick, "rep long, shingle long, earlier binary")
+
+
+def _apart(unit: np.ndarray, out: np.ndarray, component: np.ndarray, size: np.ndarray, signs: np.ndarray, earlier: list[np.ndarray]) -> np.ndarray:
+    """Which rows, sorted by unit, look like a row of another component in their unit, one of the two being an outsider;
+    without pairs that share an earlier shingle and so meet there."""
+    least = SIGNATURE * (LEAST_ESTIMATE + (1 - LEAST_ESTIMATE) / 256)
+    found = np.zeros(len(unit), bool)
+    cuts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1], True])
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        members = lo + np.flatnonzero(~out[lo:hi])
+        for i in lo + np.flatnonzero(out[lo:hi]):
+            j = members[component[members] != component[i]]
+            j = j[100 * np.minimum(size[i], size[j]) >= PERCENT * np.maximum(size[i], size[j])]
+            j = j[(signs[i] == signs[j]).sum(axis=1) >= least]
+            mine = set(earlier[i].tolist())
+            j = [k for k in j.tolist() if mine.isdisjoint(earlier[k].tolist())]
+            found[j] = True
+            found[i] |= bool(j)
+    return found
+
+
+def candidates_apart(classes: DataFrame, crowded: DataFrame, components_so_far: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """region, rep: the crowded classes whose sets must still meet, as they share a rare shingle and are in different
+    components (id, component) so far."""
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(crowded, "rep", "left_semi").dropDuplicates(["rep", "text"])
+    named = crowded.join(components_so_far.select(F.col("id").alias("rep"), "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
+    rare = staged(_rare_shingles(texts).join(named, "rep"))
+    parts = rare.groupBy("shingle", "component").agg(F.count("*").alias("n"))
+    shingles = parts.groupBy("shingle").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("n > most.n")
+    shingles = shingles.select("shingle", F.col("most.component").alias("largest"), F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most.n")) / block).cast("int").alias("outer"))
+    rows = rare.join(shingles, "shingle").join(classes.select("rep", "n_shingles", "signature"), "rep")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("lot", F.pmod(F.xxhash64("rep", F.lit(1)), "outer"))
+    own = ("rep", "component", "n_shingles", "signature", "earlier")
+    outsiders = rows.where("component <> largest").select("shingle", *own, F.lit(True).alias("out"), "lot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mine"))
+    members = rows.select("shingle", *own, F.lit(False).alias("out"), F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("lot"), "mine")
+
+    def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _by_region(batches):
+            signs = (np.frombuffer(b"".join(pdf["signature"]), np.uint32) & 255).astype(np.uint8).reshape(len(pdf), SIGNATURE)
+            earlier = [np.frombuffer(b, np.int64) for b in pdf["earlier"]]
+            found = _apart(pdf["region"].to_numpy(), pdf["out"].to_numpy(bool), pdf["component"].to_numpy(), pdf["n_shingles"].to_numpy(), signs, earlier)
+            yield pdf.loc[found, ["region", "rep"]].drop_duplicates()
+
+    met = outsiders.unionByName(members).select(F.xxhash64("shingle", "lot", "mine").alias("region"), *own, "out")
+    return met.repartition("region").sortWithinPartitions("region", "rep").mapInPandas(apart, "region long, rep long")
 
 
 def links_within(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -275,8 +367,12 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     signed = staged(_signed(docs))
     linked = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = staged(linked.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
-    wanted = staged(candidates(classes.select("rep", "n_shingles", "signature"), block))
-    found = components(confirmed(wanted, docs))
+    signs = classes.select("rep", "n_shingles", "signature")
+    wanted, crowded = candidates(signs, block)
+    found = components(confirmed(staged(wanted), docs))
+    if crowded is not None:
+        apart = staged(candidates_apart(signs, staged(crowded), found, docs, block))
+        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(confirmed(apart, docs)))
     named = classes.select("fingerprint", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("fingerprint", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component"))
     rows = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("fingerprint")).alias("fingerprint"))
     alone = rows.where("fingerprint IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))

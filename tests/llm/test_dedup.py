@@ -127,6 +127,35 @@ def test_near_duplicates_brute_force(spark, block):
     assert len({c for _, c in want.values()}) < len(want)
 
 
+def crowded_rows():
+    """4,101 near copies that link with each other, and 100 texts that link with one of them only (0.88; 0.82 or less with others)."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(160)]
+    rows, places = [(0, " ".join(base))], []
+    for i in range(1, 4101):
+        text, at = list(base), rng.randrange(5, 155)
+        text[at] = f"e{i}"
+        places.append((at, text))
+        rows.append((i, " ".join(text)))
+    for i in range(100):
+        at, text = places[i * 40]
+        text, free = list(text), [k for k in range(5, 155) if abs(k - at) > 5]
+        first = rng.choice(free)
+        for k in (first, rng.choice([k for k in free if abs(k - first) > 5])):
+            text[k] = f"o{i}_{k}"
+        rows.append((10_000 + i, " ".join(text)))
+    return rows
+
+
+def test_crowded_region_loses_no_link(spark):
+    rows = crowded_rows()
+    sets = {i: shingles(t) for i, t in rows}
+    links = [sum(100 * len(sets[i] & s) >= 85 * len(sets[i] | s) for j, s in sets.items() if j != i) for i in range(10_000, 10_100)]
+    assert set(links) == {1}
+    got = near_duplicates(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {0}
+
+
 def test_drop_near_copies(spark):
     rows = [(3, "a b c d e f"), (1, "a b c d e f"), (2, "other words stand here now"), (None, "a b c d e f"), (4, None)]
     out = drop_near_copies(frame(spark, rows))
