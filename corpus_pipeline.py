@@ -11,6 +11,8 @@ from panelspark.llm.queries import tokenizer_path
 
 #: Documents whose best language scores less than this are in none of the known languages.
 LEAST_LANGUAGE_SCORE = 0.35
+#: Near copies share so many percent of their distinct 5-word shingles.
+LEAST_SIMILARITY = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id."""
-    return near_dedup.drop_near_copies(docs)
+    return near_dedup.drop_near_copies(docs, LEAST_SIMILARITY)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,14 +32,16 @@ from .components import components
 SHINGLE = 5
 SIGNATURE = 128
 TREES = 24
-LEVELS = (5, 8, 11, 15, 20)
+LEVELS = (3, 4, 5, 8, 11, 15, 20)
+#: Highest probability that a pair at the threshold shares no region at the first depth.
+LEAST_MISS = 1e-6
 #: Texts of a block, and most blocks of a region.
 BLOCK, BLOCKS = 128, 16
-#: Signatures must agree as those of texts with this similarity do on average; four deviations below 0.85.
-LEAST_ESTIMATE = 0.72
+#: Signatures must agree as those of texts with a similarity so many deviations below the threshold do on average.
+DEVIATIONS = 4.12
 #: Shared shingles that a region counts at once.
 COLUMNS = 4096
-#: Links: PERCENT * union <= 100 * intersection.
+#: Links: percent * union <= 100 * intersection. The contract of op1.
 PERCENT = 85
 #: Shingles are called rare by counts of so many classes of them.
 BUCKETS = 1 << 18
@@ -56,6 +58,21 @@ _KEYS = _RNG.integers(1, 1 << 63, (TREES, LEVELS[-1]), dtype=np.uint64) | np.uin
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def first_level(percent: int) -> int:
+    """The deepest level at which pairs at the threshold miss every tree with probability below LEAST_MISS."""
+    fits = [k for k, d in enumerate(LEVELS) if (1 - (percent / 100) ** d) ** TREES < LEAST_MISS]
+    if not fits:
+        raise ValueError(f"{TREES} trees do not reach a similarity of {percent} %")
+    return fits[-1]
+
+
+def least_equal(percent: int) -> float:
+    """How many values of two signatures must agree, of which one in 256 does by chance."""
+    t = percent / 100
+    least = t - DEVIATIONS * (t * (1 - t) / SIGNATURE) ** 0.5
+    return SIGNATURE * (least + (1 - least) / 256)
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
@@ -112,8 +129,8 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, fingerprint binary, signature binary")
 
 
-def _tree_keys(classes: DataFrame) -> DataFrame:
-    """For each class and tree a 64-bit key of the prefix at each level."""
+def _tree_keys(classes: DataFrame, first: int) -> DataFrame:
+    """For each class and tree a 64-bit key of the prefix at each level from the first one used."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -125,18 +142,18 @@ def _tree_keys(classes: DataFrame) -> DataFrame:
             for d in range(LEVELS[-1]):
                 x = (prefix ^ signs[:, _ORDERS[:, d]]) * _KEYS[None, :, d]
                 prefix = x ^ (x >> np.uint64(31))
-                if d + 1 in LEVELS:
+                if d + 1 in LEVELS[first:]:
                     keys[f"k{LEVELS.index(d + 1)}"] = (prefix * _MIX).view(np.int64).reshape(-1)
             yield pd.DataFrame({"rep": np.repeat(pdf["rep"].to_numpy(), TREES), "tree": np.tile(np.arange(TREES, dtype=np.int32), len(pdf)), **keys})
 
-    return classes.select("rep", "signature").mapInPandas(run, "rep long, tree int, " + ", ".join(f"k{i} long" for i in range(len(LEVELS))))
+    return classes.select("rep", "signature").mapInPandas(run, "rep long, tree int, " + ", ".join(f"k{i} long" for i in range(first, len(LEVELS))))
 
 
-def _regions(keys: DataFrame, block: int) -> tuple[DataFrame, DataFrame | None]:
+def _regions(keys: DataFrame, block: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """rep, tree, region, blocks, mine: the region of each class in each tree, how many blocks it has and which is the
     class's; without classes that stand alone. Also rep of all classes whose region at the first depth is crowded."""
     out, rest, crowded = None, keys, None
-    for level in range(len(LEVELS)):
+    for level in range(first_level(percent), len(LEVELS)):
         key = f"k{level}"
         counts = rest.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
         rest = staged(rest.join(counts, key))
@@ -156,16 +173,16 @@ def _regions(keys: DataFrame, block: int) -> tuple[DataFrame, DataFrame | None]:
     return out, crowded
 
 
-def _needed(region: np.ndarray, tree: np.ndarray, size: np.ndarray, signs: np.ndarray, seen: np.ndarray) -> np.ndarray:
+def _needed(region: np.ndarray, tree: np.ndarray, size: np.ndarray, signs: np.ndarray, seen: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Which rows, sorted by region, look like another of their region that they did not meet in an earlier tree's region."""
-    least = SIGNATURE * (LEAST_ESTIMATE + (1 - LEAST_ESTIMATE) / 256)
+    least = least_equal(percent)
     out = np.zeros(len(region), bool)
     for step in range(1, len(region)):
         i = np.flatnonzero(region[:-step] == region[step:])
         if not len(i):
             break
         j = i + step
-        fits = 100 * np.minimum(size[i], size[j]) >= PERCENT * np.maximum(size[i], size[j])
+        fits = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
         i, j = i[fits], j[fits]
         fits = (signs[i] == signs[j]).sum(axis=1) >= least
         i, j = i[fits], j[fits]
@@ -193,10 +210,10 @@ def _block_pair(region: int, a: int, b: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def candidates(classes: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame | None]:
+def candidates(classes: DataFrame, block: int = BLOCK, percent: int = PERCENT) -> tuple[DataFrame, DataFrame | None]:
     """region, rep: the classes (rep, n_shingles, signature) whose sets must meet in a region of the forest. Also rep of
     the classes of crowded regions, if any: those must meet by rare shingles too."""
-    placed, crowded = _regions(_tree_keys(classes), block)
+    placed, crowded = _regions(_tree_keys(classes, first_level(percent)), block, percent)
     where = placed.groupBy("rep").agg(F.collect_list(F.struct("tree", "region", "blocks", "mine")).alias("regions"))  # at most TREES each
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,13 +234,13 @@ def candidates(classes: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataF
         for pdf in _by_region(batches):
             signs = np.frombuffer(b"".join(pdf["signs"]), np.uint8).reshape(len(pdf), SIGNATURE)
             seen = np.frombuffer(b"".join(pdf["seen"]), np.int64).reshape(len(pdf), TREES)
-            yield pdf.loc[_needed(pdf["region"].to_numpy(), pdf["tree"].to_numpy(), pdf["n_shingles"].to_numpy(), signs, seen), ["region", "rep"]]
+            yield pdf.loc[_needed(pdf["region"].to_numpy(), pdf["tree"].to_numpy(), pdf["n_shingles"].to_numpy(), signs, seen, percent), ["region", "rep"]]
 
     placed = classes.join(where, "rep").mapInPandas(spread, "region long, tree int, rep long, n_shingles long, signs binary, seen binary")
     return placed.repartition("region").sortWithinPartitions("region", "rep").mapInPandas(needed, "region long, rep long"), crowded
 
 
-def _rare_shingles(texts: DataFrame) -> DataFrame:
+def _rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
     """rep, shingle, earlier: the shingles of the prefix filter for texts (rep, text), with up to EARLIER ones that are rarer.
 
     Any one order of all shingles is right; here it is by counts of BUCKETS classes of them, a table of fixed size.
@@ -247,7 +264,7 @@ def _rare_shingles(texts: DataFrame) -> DataFrame:
             for rep, text in zip(pdf["rep"].tolist(), pdf["text"].tolist(), strict=True):
                 s = shingle_set(text)
                 times = shared.value[(s % np.uint64(BUCKETS)).astype(np.int64)]
-                order = np.lexsort((s, times))[: len(s) - -(-PERCENT * len(s) // 100) + 1]
+                order = np.lexsort((s, times))[: len(s) - -(-percent * len(s) // 100) + 1]
                 prefix = s[order[times[order] > 1]].view(np.int64)  # what only one text has is shared with none
                 out["rep"] += [rep] * len(prefix)
                 out["shingle"] += prefix.tolist()
@@ -257,17 +274,17 @@ def _rare_shingles(texts: DataFrame) -> DataFrame:
     return texts.select("rep", "text").mapInPandas(pick, "rep long, shingle long, earlier binary")
 
 
-def _apart(unit: np.ndarray, out: np.ndarray, component: np.ndarray, size: np.ndarray, signs: np.ndarray, earlier: list[np.ndarray]) -> np.ndarray:
+def _apart(unit: np.ndarray, out: np.ndarray, component: np.ndarray, size: np.ndarray, signs: np.ndarray, earlier: list[np.ndarray], percent: int) -> np.ndarray:
     """Which rows, sorted by unit, look like a row of another component in their unit, one of the two being an outsider;
     without pairs that share an earlier shingle and so meet there."""
-    least = SIGNATURE * (LEAST_ESTIMATE + (1 - LEAST_ESTIMATE) / 256)
+    least = least_equal(percent)
     found = np.zeros(len(unit), bool)
     cuts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1], True])
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         members = lo + np.flatnonzero(~out[lo:hi])
         for i in lo + np.flatnonzero(out[lo:hi]):
             j = members[component[members] != component[i]]
-            j = j[100 * np.minimum(size[i], size[j]) >= PERCENT * np.maximum(size[i], size[j])]
+            j = j[100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])]
             j = j[(signs[i] == signs[j]).sum(axis=1) >= least]
             mine = set(earlier[i].tolist())
             j = [k for k in j.tolist() if mine.isdisjoint(earlier[k].tolist())]
@@ -276,12 +293,12 @@ def _apart(unit: np.ndarray, out: np.ndarray, component: np.ndarray, size: np.nd
     return found
 
 
-def candidates_apart(classes: DataFrame, crowded: DataFrame, components_so_far: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def candidates_apart(classes: DataFrame, crowded: DataFrame, components_so_far: DataFrame, docs: DataFrame, block: int = BLOCK, percent: int = PERCENT) -> DataFrame:
     """region, rep: the crowded classes whose sets must still meet, as they share a rare shingle and are in different
     components (id, component) so far."""
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(crowded, "rep", "left_semi").dropDuplicates(["rep", "text"])
     named = crowded.join(components_so_far.select(F.col("id").alias("rep"), "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
-    rare = staged(_rare_shingles(texts).join(named, "rep"))
+    rare = staged(_rare_shingles(texts, percent).join(named, "rep"))
     parts = rare.groupBy("shingle", "component").agg(F.count("*").alias("n"))
     shingles = parts.groupBy("shingle").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("n > most.n")
     shingles = shingles.select("shingle", F.col("most.component").alias("largest"), F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most.n")) / block).cast("int").alias("outer"))
@@ -295,14 +312,14 @@ def candidates_apart(classes: DataFrame, crowded: DataFrame, components_so_far:
         for pdf in _by_region(batches):
             signs = (np.frombuffer(b"".join(pdf["signature"]), np.uint32) & 255).astype(np.uint8).reshape(len(pdf), SIGNATURE)
             earlier = [np.frombuffer(b, np.int64) for b in pdf["earlier"]]
-            found = _apart(pdf["region"].to_numpy(), pdf["out"].to_numpy(bool), pdf["component"].to_numpy(), pdf["n_shingles"].to_numpy(), signs, earlier)
+            found = _apart(pdf["region"].to_numpy(), pdf["out"].to_numpy(bool), pdf["component"].to_numpy(), pdf["n_shingles"].to_numpy(), signs, earlier, percent)
             yield pdf.loc[found, ["region", "rep"]].drop_duplicates()
 
     met = outsiders.unionByName(members).select(F.xxhash64("shingle", "lot", "mine").alias("region"), *own, "out")
     return met.repartition("region").sortWithinPartitions("region", "rep").mapInPandas(apart, "region long, rep long")
 
 
-def links_within(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def links_within(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """A spanning forest of the links among sets, from exact sizes of all intersections."""
     n = len(sets)
     every = np.concatenate(sets)
@@ -321,7 +338,7 @@ def links_within(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         block[owner[lo:hi], column[lo:hi] - k] = 1
         both += block @ block.T
     sizes = np.array([len(s) for s in sets], np.float64)
-    linked = 100.0 * both >= PERCENT * (sizes[:, None] + sizes[None, :] - both)
+    linked = 100.0 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
     out, left = [], np.ones(n, bool)
     for start in range(n):
         if not left[start]:
@@ -337,7 +354,7 @@ def links_within(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def confirmed(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(wanted: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b: links among documents that must meet (region, rep), confirmed on their full shingle sets."""
     ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
 
@@ -349,7 +366,7 @@ def confirmed(wanted: DataFrame, docs: DataFrame) -> DataFrame:
         for pdf in _by_region(batches):
             region, reps, raws = pdf["region"].to_numpy(), pdf["rep"].to_numpy(), pdf["shingles"].tolist()
             cuts = np.flatnonzero(np.r_[True, region[1:] != region[:-1], True])
-            found = [(reps[lo + i], reps[lo + j]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) if hi - lo > 1 for i, j in links_within([np.frombuffer(r, np.uint64) for r in raws[lo:hi]])]
+            found = [(reps[lo + i], reps[lo + j]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) if hi - lo > 1 for i, j in links_within([np.frombuffer(r, np.uint64) for r in raws[lo:hi]], percent)]
             yield pd.DataFrame(found, columns=["a", "b"])
 
     own = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInPandas(sets, "rep long, shingles binary")
@@ -357,8 +374,8 @@ def confirmed(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     return met.repartition("region").sortWithinPartitions("region").mapInPandas(check, "a long, b long").where("a <> b")
 
 
-def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, class_id for every row of docs (doc_id, text).
+def near_duplicates(docs: DataFrame, block: int = BLOCK, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, class_id for every row of docs (doc_id, text), by links at percent / 100 or more.
 
     Null texts and texts without words have no shingles and are linked with nothing. A row without doc_id is linked
     with nothing either: its component_id is null and it is kept. Rows repeated with one doc_id share a component. An
@@ -368,11 +385,11 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     linked = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = staged(linked.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
     signs = classes.select("rep", "n_shingles", "signature")
-    wanted, crowded = candidates(signs, block)
-    found = components(confirmed(staged(wanted), docs))
+    wanted, crowded = candidates(signs, block, percent)
+    found = components(confirmed(staged(wanted), docs, percent))
     if crowded is not None:
-        apart = staged(candidates_apart(signs, staged(crowded), found, docs, block))
-        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(confirmed(apart, docs)))
+        apart = staged(candidates_apart(signs, staged(crowded), found, docs, block, percent))
+        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(confirmed(apart, docs, percent)))
     named = classes.select("fingerprint", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("fingerprint", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component"))
     rows = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("fingerprint")).alias("fingerprint"))
     alone = rows.where("fingerprint IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
@@ -380,7 +397,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return together.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with the smallest doc_id of each component only; rows without doc_id stay."""
-    extra = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    extra = near_duplicates(docs, percent=percent).where("NOT kept").select("doc_id").distinct()
     return docs.join(extra, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -156,6 +156,20 @@ def test_crowded_region_loses_no_link(spark):
     assert len(got) == len(rows) and {r.component_id for r in got} == {0}
 
 
+def test_pipeline_drops_copies_at_80_percent(spark):
+    import corpus_pipeline
+
+    base = [f"w{k}" for k in range(124)]
+    for edits, share in (([20, 60], 110 / 130), ([20, 40, 60], 105 / 135)):
+        text = [f"e{k}" if k in edits else w for k, w in enumerate(base)]
+        a, b = shingles(" ".join(base)), shingles(" ".join(text))
+        assert len(a & b) / len(a | b) == share
+        docs = frame(spark, [(1, " ".join(base)), (2, " ".join(text))])
+        kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
+        assert kept == ({1} if share >= 0.8 else {1, 2})
+        assert near_duplicates(docs).where("kept").count() == 2  # the contract of op1 stays
+
+
 def test_drop_near_copies(spark):
     rows = [(3, "a b c d e f"), (1, "a b c d e f"), (2, "other words stand here now"), (None, "a b c d e f"), (4, None)]
     out = drop_near_copies(frame(spark, rows))
