@@ -16,15 +16,14 @@ from .market import _RANK, a1
 from .registry import query
 
 
-def streamed(spark: SparkSession, d: str, build, mode: str = "append") -> DataFrame:
+def streamed(spark: SparkSession, d: str, build) -> DataFrame:
     """Run a stream job over the events file to its end, then give its table; an input row far in the future flushes the watermark in batch tests."""
     stream = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "*.parquet").parquet(_folder(d))
     stream = stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props")
-    name = f"live_{uuid.uuid4().hex}"
+    path = f"{_shared(spark)}/live_{uuid.uuid4().hex}"
     out = build(stream)
-    query = out.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{_shared(spark)}/{name}").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    quotes.run_to_end(out, path, f"{path}_log")
+    return spark.read.schema(out.schema).parquet(path)
 
 
 def _folder(d: str) -> str:

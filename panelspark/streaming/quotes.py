@@ -88,8 +88,8 @@ def keep_latest(keys: list[str], path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Run over all that is available and stop; results in a memory table."""
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Run over all that is available and stop; results in a Parquet table at path, which tasks write."""
+    query = df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
