@@ -209,8 +209,12 @@ def w21(spark: SparkSession, d: str) -> DataFrame:
     return rounded(features(spark, d).select("stock_id", "date", *FEATURES), *FEATURES, places=6)
 
 
+LASSO_FEATURES = (*(f"ret_{n}" for n in (5, 10, 20, 60, 120)), *(f"gap_{n}" for n in (20, 60, 120, 250)), *FEATURES[4:])
+
+
 def lasso(spark: SparkSession, d: str) -> DataFrame:
-    return recursive.rolling_lasso_signal(features(spark, d), list(FEATURES), window=120, ahead=5, refit=20)
+    """All 14 features, refit at every row; weekly bars are too few for 756 rows, but 250 leave out no row that has all features."""
+    return recursive.rolling_lasso_signal(technical.technical_features(bars(spark, d)), list(LASSO_FEATURES), window=250)
 
 
 @query("w22_rolling_lasso")

@@ -84,3 +84,28 @@ def test_lasso_shrinks_and_fits():
     w = recursive.lasso(x, y, 0.001)
     assert np.allclose(w, [2, 0, -1, 0], atol=0.02)
     assert not recursive.lasso(x, y, 100.0).any()
+
+
+def test_rolling_lasso_refits_at_every_row(spark, small):
+    from panelspark.plans import QUERIES
+
+    prices = adapters.daily_prices(spark, small)
+    stock = prices.groupBy("stock_id").count().orderBy("count", "stock_id", ascending=False).first().stock_id
+    pdf = history(spark, small, stock)
+    c, o, h, low, v = (pdf[k].astype(float) for k in ("close_price", "open_price", "high_price", "low_price", "volume"))
+    r = c / c.shift(1) - 1
+    x = pd.DataFrame({f"ret_{n}": c / c.shift(n) - 1 for n in (5, 10, 20, 60, 120)} | {f"gap_{n}": c / c.rolling(n).mean() - 1 for n in (20, 60, 120, 250)})
+    x = x.assign(vol=r.rolling(20).std() / r.rolling(60).std(), bar=(h - low) / c, upper=(h - np.maximum(o, c)) / c, lower=(np.minimum(o, c) - low) / c, volume=v / v.rolling(60).mean())
+    x, y = x.to_numpy(), (c.shift(-20) / c - 1).to_numpy()
+    want = []
+    for i in range(len(pdf)):
+        rows = [k for k in range(max(0, i - 20 - 250), max(0, i - 20)) if np.isfinite(x[k]).all() and np.isfinite(y[k])]
+        if i < 250 or len(rows) <= 14 or not np.isfinite(x[i]).all():
+            want.append(np.nan)
+            continue
+        mean, scale = x[rows].mean(axis=0), x[rows].std(axis=0)
+        w = recursive.lasso((x[rows] - mean) / scale, y[rows] - y[rows].mean(), 0.001)
+        want.append(y[rows].mean() + (x[i] - mean) / scale @ w)
+    got = QUERIES["w22_rolling_lasso"](spark, small).where(f"stock_id = '{stock}'").orderBy("date").toPandas().signal.to_numpy(float)
+    assert np.isfinite(want).sum() > 10
+    assert np.allclose(got, want, atol=2e-6, equal_nan=True)
