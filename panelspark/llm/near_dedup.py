@@ -19,6 +19,7 @@ outside its largest component meet all others, as pairs of blocks: work grows wi
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,6 @@ LEVELS = (3, 4, 5, 8, 11, 15, 20)
 LEAST_MISS = 1e-6
 #: Texts of a block, and most blocks of a region.
 BLOCK, BLOCKS = 128, 16
-#: Signatures must agree as those of texts with a similarity so many deviations below the threshold do on average.
-DEVIATIONS = 4.12
 #: Shared shingles that a region counts at once.
 COLUMNS = 4096
 #: Links: percent * union <= 100 * intersection. The contract of op1.
@@ -66,11 +65,14 @@ def first_level(percent: int) -> int:
     return fits[-1]
 
 
-def least_equal(percent: int) -> float:
-    """How many values of two signatures must agree, of which one in 256 does by chance."""
+def least_equal(percent: int) -> int:
+    """How many values of two signatures must agree: a pair at the threshold has fewer with a probability (exact binomial
+    tail) no higher than that of sharing no region of the forest."""
     t = percent / 100
-    least = t - DEVIATIONS * (t * (1 - t) / SIGNATURE) ** 0.5
-    return SIGNATURE * (least + (1 - least) / 256)
+    left, k = (1 - t ** LEVELS[first_level(percent)]) ** TREES, 0
+    while (left := left - math.comb(SIGNATURE, k) * t**k * (1 - t) ** (SIGNATURE - k)) >= 0:
+        k += 1
+    return k
 
 
 class WordHashes(dict):

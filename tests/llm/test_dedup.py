@@ -1,6 +1,7 @@
 """Exact and near duplicates, components and sharding against brute force, with awkward inputs."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -201,6 +202,14 @@ def test_shingles_follow_the_contract():
     assert near_dedup.TREES * (1 - (1 - 0.85**5) ** near_dedup.TREES) > 23.999
 
 
+@pytest.mark.parametrize("t", [0.8, 0.85])
+def test_signature_filter_loses_less_than_the_forest(t):
+    percent = round(100 * t)
+    few = near_dedup.least_equal(percent)
+    lost = sum(math.comb(128, k) * t**k * (1 - t) ** (128 - k) for k in range(math.ceil(few)))
+    assert lost <= (1 - t ** near_dedup.LEVELS[near_dedup.first_level(percent)]) ** near_dedup.TREES < 1e-6
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (300, 100)] + [(500, 501 + k) for k in range(50)] + [(7, 7)]
