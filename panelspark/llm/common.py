@@ -14,10 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is set (tests)."""
+    """The shared folder the cluster names in spark.checkpoint.dir. A folder of our own only in local mode (tests), where
+    all tasks see it; on a cluster without that setting this is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return sc.getCheckpointDir()
 
 
@@ -38,22 +42,28 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sampled_splitters(df: DataFrame, keys: list[str], parts: int, per_part: int = 32, seed: int = 7) -> list[list]:
-    """parts - 1 (or fewer, if keys repeat) ascending key tuples that cut df into runs of about equal size.
-
-    Only a sample of about parts * per_part key tuples comes to the driver, whatever the size of df.
-    """
+def sampled(df: DataFrame, rows: int, seed: int = 7) -> DataFrame:
+    """About `rows` rows of df (all, if it has no more), whatever its size: what comes to the driver stays bounded."""
     total = df.count()
-    if not total or parts < 2:
-        return []
-    want = parts * per_part
-    sample = df if total <= want else df.sample(fraction=min(1.0, 1.1 * want / total), seed=seed)
+    return df if total <= rows else df.sample(fraction=min(1.0, 1.1 * rows / total), seed=seed)
+
+
+def cuts_of(sample: list[tuple], parts: int) -> list[list]:
+    """At most parts - 1 ascending key tuples that cut the sample into runs of about equal size."""
     order = lambda row: tuple((v is not None, v) for v in row)  # nulls first, as Spark sorts
-    rows = sorted((tuple(r) for r in sample.select(*keys).toLocalIterator()), key=order)
+    rows = sorted(sample, key=order)
     cuts = [rows[len(rows) * i // parts] for i in range(1, parts)] if rows else []
     return [list(r) for r in sorted(set(cuts), key=order)]
 
 
+def sampled_splitters(df: DataFrame, keys: list[str], parts: int, per_part: int = 32) -> list[list]:
+    """Key tuples that cut df into at most `parts` runs of about equal size.
+
+    Only a sample of about parts * per_part key tuples comes to the driver, whatever the size of df.
+    """
+    return cuts_of([tuple(r) for r in sampled(df.select(*keys), parts * per_part).collect()], parts) if parts > 1 else []
+
+
 def _literal(value: object, kind: str) -> str:
     """SQL text of a constant; strings as bytes, so that nothing in them needs quoting."""
     if value is None:
