@@ -1,16 +1,17 @@
 """Near-duplicate detection with a MinHash LSH forest.
 
-Texts with the same shingle set become one class first. Each class has one signature, and TREES sorted orders
-of it: tree t reads the signature in its own permutation, so texts with a long common prefix stand together.
-Candidates are texts that share a region of a tree. A region starts at the shallowest depth of LEVELS and
-deepens where it holds more than BLOCKS * BLOCK texts (adaptive depth). A region of several blocks is worked off as
-pairs of blocks, so every two of its texts meet although no task holds more than two blocks. Texts that still
-share a larger region at the greatest depth, where they agree almost everywhere, meet within random blocks that
-differ from tree to tree. Where signatures in a region agree enough, the full shingle sets of those texts meet,
-all their pairs are confirmed by exact counts, and a spanning forest of the confirmed links goes on to the
-components.
-
-Deepening and random blocks keep some texts of a crowded region apart. So all texts of regions that were crowded at
+Texts with the same shingle set become one class first. Each class has one signature, and TREES sorted orders of it: tree t
+reads the signature in its own permutation, and its order sorts the classes by those values. Sampled splitters deal each
+order out to buckets, a bucket is sorted, and the longest common prefix of every row and the next tells where regions end:
+a region of depth d is a run in which neighbours share d values at least. Candidates are texts that share a region. A
+region starts at the shallowest depth of LEVELS and deepens where it holds more than BLOCKS * BLOCK texts, or where a
+splitter cuts it (adaptive depth). A region of several blocks is worked off as pairs of blocks, so every two of its texts
+meet although no task holds more than two blocks. Texts that still share a larger region at the greatest depth, where they
+agree almost everywhere, meet their neighbours in the order, block by block. Where signatures in a region agree enough, the full
+shingle sets of those texts meet, all their pairs are confirmed by exact counts, and a spanning forest of the confirmed
+links goes on to the components.
+
+Deepening and blocks keep some texts of a crowded region apart. So all texts of regions that were crowded at
 the first depth meet once more, by an exact prefix filter: two linked sets share one of their rarest shingles. Only
 texts that the first links left in different components are compared there. Of the texts with one such shingle those
 outside its largest component meet all others, as pairs of blocks: work grows with texts times outsiders.
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import sampled, shuffle_width, staged
 from .components import components
 
 SHINGLE = 5
@@ -46,6 +47,10 @@ PERCENT = 85
 BUCKETS = 1 << 18
 #: Rarer shingles that a text remembers, lest it meet another again.
 EARLIER = 24
+#: Word hashes that a task remembers.
+REMEMBERED = 100_000
+#: Buckets of the sorted orders for each shuffle partition, and sampled rows for each bucket.
+BUCKETS_PER_PARTITION, PER_BUCKET = 4, 32
 
 _RNG = np.random.default_rng(20240229)
 _LOW = _RNG.integers(0, 1 << 32, SIGNATURE, dtype=np.uint32) | np.uint32(1)
@@ -53,7 +58,6 @@ _HIGH = _RNG.integers(0, 1 << 32, SIGNATURE, dtype=np.uint32) | np.uint32(1)
 _PLACES = _RNG.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 _LENGTHS = _RNG.integers(1, 1 << 63, SHINGLE + 1, dtype=np.uint64)
 _ORDERS = np.stack([_RNG.permutation(SIGNATURE)[: LEVELS[-1]] for _ in range(TREES)])
-_KEYS = _RNG.integers(1, 1 << 63, (TREES, LEVELS[-1]), dtype=np.uint64) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,16 +85,13 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > REMEMBERED:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
 
-_WORDS = WordHashes()
-
-
-def shingle_set(text: str | None) -> np.ndarray:
+def shingle_set(text: str | None, memory: WordHashes | None = None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the 5-word shingles (of the whole sequence, if shorter; empty without words).
 
     A-Z are lower-cased; words end at space, tab, LF, VT, FF and CR only, which is how bytes split.
@@ -98,7 +99,7 @@ def shingle_set(text: str | None) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map((WordHashes() if memory is None else memory).__getitem__, words), np.uint64, len(words))
     n = max(1, len(words) - SHINGLE + 1)
     s = np.full(n, _LENGTHS[min(len(words), SHINGLE)], np.uint64)
     for j in range(min(SHINGLE, len(words))):
@@ -119,10 +120,11 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def _signed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory = WordHashes()
         for pdf in batches:
             sizes, prints, signs = [], [], []
             for text in pdf["text"].tolist():
-                s = shingle_set(text)
+                s = shingle_set(text, memory)
                 sizes.append(len(s))
                 prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 signs.append(signature(s).tobytes() if len(s) else None)
@@ -131,48 +133,121 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, fingerprint binary, signature binary")
 
 
-def _tree_keys(classes: DataFrame, first: int) -> DataFrame:
-    """For each class and tree a 64-bit key of the prefix at each level from the first one used."""
+#: A row's place in the sorted orders: tree, LEVELS[-1] values of 16 bits, and a hash of the class, which parts equal ones.
+_PLACE_TYPE = np.dtype([("tree", ">u2"), ("values", ">u2", LEVELS[-1]), ("tie", ">u8")])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _places(reps: np.ndarray, signatures: list[bytes]) -> np.ndarray:
+    """The places of classes in all orders, class by class; their bytes sort as the orders do."""
+    signs = np.frombuffer(b"".join(signatures), np.uint32).reshape(len(reps), SIGNATURE)
+    out = np.zeros((len(reps), TREES), _PLACE_TYPE)
+    out["tree"] = np.arange(TREES)
+    out["values"] = signs[:, _ORDERS] & np.uint32(0xFFFF)
+    x = reps.astype(np.uint64) * _MIX
+    out["tie"] = ((x ^ (x >> np.uint64(31))) * _MIX)[:, None]
+    return out.reshape(-1)
+
+
+def _order_splitters(classes: DataFrame, first: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending places at which the orders are cut, and the depth of each cut.
+
+    A cut falls between two regions of the first level, unless one of these holds more than a bucket's share of the
+    sample: then between two regions of the next level that parts them, and at last between equal values.
+    """
+    rows = sampled(classes.select("rep", "signature"), buckets * PER_BUCKET // TREES + 1).collect()  # bounded by the number of buckets
+    if not rows:
+        return np.zeros(0, _PLACE_TYPE), np.zeros(0, np.int64)
+    size = _PLACE_TYPE.itemsize
+    places = _places(np.array([r["rep"] for r in rows], np.int64), [r["signature"] for r in rows])
+    raw = np.sort(np.frombuffer(places.tobytes(), f"S{size}"))
+    depths = [*LEVELS[first:], size]
+    cuts: dict[bytes, int] = {}
+    before = b""
+    for k in range(1, buckets):
+        place = bytes(raw[len(raw) * k // buckets]).ljust(size, b"\0")
+        for depth in depths:
+            head = place if depth == size else place[: 2 + 2 * depth]
+            if before[: len(head)] != head:
+                cuts.setdefault(head.ljust(size, b"\0"), min(depth, LEVELS[-1] + 1))
+                break
+        before = place
+    ordered = sorted(cuts)
+    return np.frombuffer(b"".join(ordered), _PLACE_TYPE), np.array([cuts[c] for c in ordered], np.int64)
+
+
+def _bucket_regions(places: np.ndarray, reps: np.ndarray, first: int, block: int, low: tuple | None, high: tuple | None) -> dict[str, np.ndarray]:
+    """Regions of one sorted bucket: rep, tree, region, blocks, mine and crowded; region is null (0 blocks) where a crowded
+    class stands alone. low and high are the bucket's cuts (place, depth)."""
+    n = len(places)
+    tree, values = places["tree"].astype(np.int64), places["values"]
+    same = (values[1:] == values[:-1]) & (tree[1:] == tree[:-1])[:, None]
+    prefix = np.r_[-1, np.cumprod(same, axis=1, dtype=np.int8).sum(axis=1)]  # longest common prefix with the row before
+    region, blocks, mine = np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, np.int32)
+    left, crowded = np.ones(n, bool), np.zeros(n, bool)
+    seed = np.frombuffer(b"".join(hashlib.blake2b(p.tobytes(), digest_size=8).digest() for p in places[:1]), np.int64)
+    for level in range(first, len(LEVELS)):
+        depth = LEVELS[level]
+        starts = np.flatnonzero(prefix < depth)
+        sizes = np.diff(np.r_[starts, n])
+        run = np.repeat(np.arange(len(starts)), sizes)
+        cut = np.zeros(len(starts), bool)
+        for at, side, cuts in ((0, 0, low), (-1, n - 1, high)):
+            if cuts is not None and cuts[1] > depth and cuts[0]["tree"] == tree[side] and (cuts[0]["values"][:depth] == values[side, :depth]).all():
+                cut[at] = True
+        fits = left & ((sizes <= BLOCKS * block) & ~cut)[run]
+        some = fits & (sizes > 1)[run]
+        at = np.arange(n) - starts[run]
+        region[some] = _name(seed, level, starts[run][some])
+        blocks[some] = -(-sizes[run][some] // block)
+        mine[some] = at[some] // block
+        left &= ~fits
+        if level == first:
+            crowded = left.copy()
+        if not left.any():
+            break
+    lots = np.flatnonzero(left)  # more than fit agree in all values: neighbours meet
+    region[lots], blocks[lots] = _name(seed, len(LEVELS), lots // block), 1
+    out = np.flatnonzero((blocks > 0) | crowded)
+    return {"rep": reps[out], "tree": tree[out].astype(np.int32), "region": region[out], "blocks": blocks[out], "mine": mine[out], "crowded": crowded[out]}
+
+
+def _name(seed: np.ndarray, level: int, start: np.ndarray) -> np.ndarray:
+    """64-bit names of the regions of a bucket, from the bucket's first place, the level and where the region starts."""
+    x = (start.astype(np.uint64) * np.uint64(16) + np.uint64(level) + seed.view(np.uint64)) * _MIX
+    x = (x ^ (x >> np.uint64(29))) * _MIX
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def _regions(classes: DataFrame, block: int, percent: int) -> DataFrame:
+    """rep, tree, region, blocks, mine, crowded: the region of each class in each tree, how many blocks it has and which is
+    the class's, without classes that stand alone; of classes whose region at the first depth is crowded, all rows."""
+    first = first_level(percent)
+    buckets = BUCKETS_PER_PARTITION * shuffle_width(classes.sparkSession)
+    shared = classes.sparkSession.sparkContext.broadcast(_order_splitters(classes, first, buckets))
+    size = _PLACE_TYPE.itemsize
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cuts = np.frombuffer(shared.value[0].tobytes(), f"S{size}")
         for pdf in batches:
-            if not len(pdf):
-                continue
-            signs = np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(len(pdf), SIGNATURE).astype(np.uint64)
-            prefix = np.zeros((len(pdf), TREES), np.uint64)
-            keys = {}
-            for d in range(LEVELS[-1]):
-                x = (prefix ^ signs[:, _ORDERS[:, d]]) * _KEYS[None, :, d]
-                prefix = x ^ (x >> np.uint64(31))
-                if d + 1 in LEVELS[first:]:
-                    keys[f"k{LEVELS.index(d + 1)}"] = (prefix * _MIX).view(np.int64).reshape(-1)
-            yield pd.DataFrame({"rep": np.repeat(pdf["rep"].to_numpy(), TREES), "tree": np.tile(np.arange(TREES, dtype=np.int32), len(pdf)), **keys})
-
-    return classes.select("rep", "signature").mapInPandas(run, "rep long, tree int, " + ", ".join(f"k{i} long" for i in range(first, len(LEVELS))))
-
-
-def _regions(keys: DataFrame, block: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """rep, tree, region, blocks, mine: the region of each class in each tree, how many blocks it has and which is the
-    class's; without classes that stand alone. Also rep of all classes whose region at the first depth is crowded."""
-    out, rest, crowded = None, keys, None
-    for level in range(first_level(percent), len(LEVELS)):
-        key = f"k{level}"
-        counts = rest.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
-        rest = staged(rest.join(counts, key))
-        blocks = F.ceil(F.col("n") / block).cast("int")
-        fits = rest.where(F.col("n") <= BLOCKS * block)
-        found = fits.select("rep", "tree", F.xxhash64(key, F.lit(level)).alias("region"), blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("mine"))
-        out = found if out is None else out.unionByName(found)
-        rest = rest.where(F.col("n") > BLOCKS * block)
-        if rest.isEmpty():
-            return out, crowded
-        if crowded is None:
-            crowded = rest.select("rep").distinct()
-        if level == len(LEVELS) - 1:
-            lot = F.pmod(F.xxhash64("rep", "tree"), F.ceil(F.col("n") / block))
-            return out.unionByName(rest.select("rep", "tree", F.xxhash64(key, F.lit(level), lot).alias("region"), F.lit(1).alias("blocks"), F.lit(0).alias("mine"))), crowded
-        rest = rest.drop("n")
-    return out, crowded
+            for k in range(0, len(pdf), 4096):
+                reps = pdf["rep"].to_numpy()[k : k + 4096]
+                raw = _places(reps, pdf["signature"].tolist()[k : k + 4096]).tobytes()
+                yield pd.DataFrame({"bucket": np.searchsorted(cuts, np.frombuffer(raw, f"S{size}"), side="right").astype(np.int32), "place": [raw[i : i + size] for i in range(0, len(raw), size)], "rep": np.repeat(reps, TREES)})
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cuts, depths = shared.value
+        for pdf in _by_key(batches, "bucket"):
+            bucket = pdf["bucket"].to_numpy()
+            edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            places, reps = np.frombuffer(b"".join(pdf["place"]), _PLACE_TYPE), pdf["rep"].to_numpy()
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                b = int(bucket[lo])
+                low = (cuts[b - 1], depths[b - 1]) if b else None
+                high = (cuts[b], depths[b]) if b < len(cuts) else None
+                yield pd.DataFrame(_bucket_regions(places[lo:hi], reps[lo:hi], first, block, low, high))
+
+    dealt = classes.select("rep", "signature").mapInPandas(deal, "bucket int, place binary, rep long")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "place").mapInPandas(find, "rep long, tree int, region long, blocks int, mine int, crowded boolean")
 
 
 def _needed(region: np.ndarray, tree: np.ndarray, size: np.ndarray, signs: np.ndarray, seen: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -193,12 +268,12 @@ def _needed(region: np.ndarray, tree: np.ndarray, size: np.ndarray, signs: np.nd
     return out
 
 
-def _by_region(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches of rows sorted by region, cut anew so that no region is split."""
+def _by_key(batches: Iterator[pd.DataFrame], key: str = "region") -> Iterator[pd.DataFrame]:
+    """Batches of rows sorted by the key, cut anew so that no key's rows are split."""
     held = None
     for pdf in batches:
         pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-        last = pdf["region"].to_numpy() == pdf["region"].iloc[-1] if len(pdf) else np.zeros(0, bool)
+        last = pdf[key].to_numpy() == pdf[key].iloc[-1] if len(pdf) else np.zeros(0, bool)
         held = pdf[last].reset_index(drop=True)
         if not last.all():
             yield pdf[~last].reset_index(drop=True)
@@ -215,7 +290,8 @@ def _block_pair(region: int, a: int, b: int) -> int:
 def candidates(classes: DataFrame, block: int = BLOCK, percent: int = PERCENT) -> tuple[DataFrame, DataFrame | None]:
     """region, rep: the classes (rep, n_shingles, signature) whose sets must meet in a region of the forest. Also rep of
     the classes of crowded regions, if any: those must meet by rare shingles too."""
-    placed, crowded = _regions(_tree_keys(classes, first_level(percent)), block, percent)
+    every = staged(_regions(classes, block, percent))
+    placed, crowded = every.where("blocks > 0"), every.where("crowded").select("rep").distinct()
     where = placed.groupBy("rep").agg(F.collect_list(F.struct("tree", "region", "blocks", "mine")).alias("regions"))  # at most TREES each
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -233,13 +309,13 @@ def candidates(classes: DataFrame, block: int = BLOCK, percent: int = PERCENT) -
             yield pd.DataFrame(out)
 
     def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _by_region(batches):
+        for pdf in _by_key(batches):
             signs = np.frombuffer(b"".join(pdf["signs"]), np.uint8).reshape(len(pdf), SIGNATURE)
             seen = np.frombuffer(b"".join(pdf["seen"]), np.int64).reshape(len(pdf), TREES)
             yield pdf.loc[_needed(pdf["region"].to_numpy(), pdf["tree"].to_numpy(), pdf["n_shingles"].to_numpy(), signs, seen, percent), ["region", "rep"]]
 
-    placed = classes.join(where, "rep").mapInPandas(spread, "region long, tree int, rep long, n_shingles long, signs binary, seen binary")
-    return placed.repartition("region").sortWithinPartitions("region", "rep").mapInPandas(needed, "region long, rep long"), crowded
+    met = classes.join(where, "rep").mapInPandas(spread, "region long, tree int, rep long, n_shingles long, signs binary, seen binary")
+    return met.repartition("region").sortWithinPartitions("region", "rep").mapInPandas(needed, "region long, rep long"), None if crowded.isEmpty() else crowded
 
 
 def _rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
@@ -249,10 +325,10 @@ def _rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros(BUCKETS, np.int64)
+        n, memory = np.zeros(BUCKETS, np.int64), WordHashes()
         for pdf in batches:
             for text in pdf["text"].tolist():
-                n += np.bincount((shingle_set(text) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+                n += np.bincount((shingle_set(text, memory) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
         yield pd.DataFrame({"bucket": np.flatnonzero(n), "n": n[n > 0]})
 
     counts = np.zeros(BUCKETS, np.int64)
@@ -261,10 +337,11 @@ def _rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(counts)
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory = WordHashes()
         for pdf in batches:
             out: dict[str, list] = {"rep": [], "shingle": [], "earlier": []}
             for rep, text in zip(pdf["rep"].tolist(), pdf["text"].tolist(), strict=True):
-                s = shingle_set(text)
+                s = shingle_set(text, memory)
                 times = shared.value[(s % np.uint64(BUCKETS)).astype(np.int64)]
                 order = np.lexsort((s, times))[: len(s) - -(-percent * len(s) // 100) + 1]
                 prefix = s[order[times[order] > 1]].view(np.int64)  # what only one text has is shared with none
@@ -311,7 +388,7 @@ def candidates_apart(classes: DataFrame, crowded: DataFrame, components_so_far:
     members = rows.select("shingle", *own, F.lit(False).alias("out"), F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("lot"), "mine")
 
     def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _by_region(batches):
+        for pdf in _by_key(batches):
             signs = (np.frombuffer(b"".join(pdf["signature"]), np.uint32) & 255).astype(np.uint8).reshape(len(pdf), SIGNATURE)
             earlier = [np.frombuffer(b, np.int64) for b in pdf["earlier"]]
             found = _apart(pdf["region"].to_numpy(), pdf["out"].to_numpy(bool), pdf["component"].to_numpy(), pdf["n_shingles"].to_numpy(), signs, earlier, percent)
@@ -361,11 +438,12 @@ def confirmed(wanted: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Dat
     ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory = WordHashes()
         for pdf in batches:
-            yield pd.DataFrame({"rep": pdf["doc_id"], "shingles": [shingle_set(t).tobytes() for t in pdf["text"].tolist()]})
+            yield pd.DataFrame({"rep": pdf["doc_id"], "shingles": [shingle_set(t, memory).tobytes() for t in pdf["text"].tolist()]})
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _by_region(batches):
+        for pdf in _by_key(batches):
             region, reps, raws = pdf["region"].to_numpy(), pdf["rep"].to_numpy(), pdf["shingles"].tolist()
             cuts = np.flatnonzero(np.r_[True, region[1:] != region[:-1], True])
             found = [(reps[lo + i], reps[lo + j]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) if hi - lo > 1 for i, j in links_within([np.frombuffer(r, np.uint64) for r in raws[lo:hi]], percent)]
