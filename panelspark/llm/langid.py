@@ -27,7 +27,12 @@ TRAIN_ROWS = 6000
 STEPS = 1200
 BATCH = 96
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[A-Za-z]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter (of a Unicode category L)."""
+    return bool(text) and (_LETTER.search(text) is not None or any(map(str.isalpha, text)))
 
 
 @dataclass
@@ -143,7 +148,8 @@ def train_on(docs: DataFrame, rows: int = TRAIN_ROWS) -> ByteCnn | None:
     size = F.length("text")
     start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(size - 2 * WINDOW, F.lit(1))) + 1
     sample = (
-        thinned(docs.where(F.col("lang").isNotNull() & (size > 0)), rows)
+        thinned(docs.where(F.col("lang").isNotNull()), rows)
+        .where(size > 0)
         .select("lang", F.substring("text", start.cast("int"), F.lit(2 * WINDOW)).alias("piece"), F.xxhash64("doc_id").alias("h"))
         .orderBy("h", "lang", "piece")
         .limit(rows)
@@ -185,7 +191,7 @@ class Predictor:
         todo: list[tuple[int, bytes]] = []
         held = 0
         for i, text in enumerate(texts):
-            if self.net and text and _LETTER.search(text):
+            if self.net and has_letter(text):
                 todo.append((i, raw := text.encode()))
                 held += len(raw)
                 if held > BLOCK_WINDOWS * WINDOW:
@@ -223,7 +229,7 @@ def keep_known_languages(docs: DataFrame, model: ByteCnn | None, least_score: fl
         for batch in batches:
             texts = batch.column("text").to_pylist()
             if predictor.net is None:
-                keep = [bool(t and _LETTER.search(t)) for t in texts]
+                keep = [has_letter(t) for t in texts]
             else:
                 langs, scores = predictor.predict(texts)
                 keep = [lang != UNKNOWN and score >= least_score for lang, score in zip(langs, scores, strict=True)]

@@ -1,8 +1,9 @@
 """Quality scores by positive-unlabelled learning.
 
 Trusted positives and unlabelled web text train a small network by minimising the non-negative
-unbiased risk  pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)),  with pi the estimated share of good
-documents. No document is ever used as a known bad example in the risk.
+unbiased risk  pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)),  with pi the share of good documents among the
+unlabelled, which is estimated from these two samples too: no score can hold more of the positives than pi lets it hold of
+the unlabelled. No document is ever used as a known bad example.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import thinned
+
 #: Most rows that training reads: positives with the smallest hashes of doc_id, and as many again unlabelled twice over.
 TRAIN_POSITIVES = 5000
 TRAIN_UNLABELLED = 10000
@@ -128,30 +131,51 @@ def train_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return net
 
 
-def _feature_rows(docs: DataFrame) -> DataFrame:
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400) -> float:
+    """The share of positives among the unlabelled, as the least ratio of tail shares over all thresholds of a score.
+
+    For every set of scores, P_unlabelled >= pi * P_positive, so each ratio bounds pi from above, and the least one is close
+    where some scores are held by positives only. The score is trained on one half of both samples, the tails are taken on
+    the other and the other way round, and tails of less than half the positives, whose shares vary more, are left out.
+    """
+    halves = [(x[0::2], x[1::2]) for x in (positive, unlabelled)]
+    if min(len(h) for pair in halves for h in pair) < 10:
+        return min(0.99, max(0.01, len(positive) / max(1, len(positive) + len(unlabelled))))
+    least = []
+    for one in (0, 1):
+        net = train_pu(halves[0][one], halves[1][one], 0.5, steps)
+        p, u = (np.sort(net.margin(h[1 - one])) for h in halves)
+        cuts = np.quantile(p, np.linspace(0.0, 0.5, 51))
+        least.append(((1 - np.searchsorted(u, cuts) / len(u)) / (1 - np.searchsorted(p, cuts) / len(p))).min())
+    return float(min(0.99, max(0.01, np.mean(least))))
+
+
+def _feature_rows(docs: DataFrame, columns: list[str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"x": [features(t).tobytes() for t in pdf["text"].tolist()]})
+            yield pdf[columns].assign(x=[features(t).tobytes() for t in pdf["text"].tolist()])
 
-    return docs.select("text").mapInPandas(run, "x binary")
+    return docs.select(*columns, "text").mapInPandas(run, ", ".join(f"{c} boolean" for c in columns) + ", x binary")
 
 
 def train_on(docs: DataFrame, labels: DataFrame, positives: int = TRAIN_POSITIVES, unlabelled: int = TRAIN_UNLABELLED) -> PuNetwork | None:
     """A network from at most `positives` trusted and `unlabelled` other texts; None without any positive.
 
-    docs and labels must already be confined to rows that may be learned from. The class prior is the share of
-    quality 1 among all labelled rows. The sampled identifiers are broadcast; their number is bounded.
+    docs and labels must already be confined to rows that may be learned from. Both samples come from one pass over docs,
+    and the class prior is estimated from them. The sampled identifiers are broadcast; their number is bounded.
     """
     known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    share = known.agg(F.avg("quality").alias("p")).first()["p"]
-    if not share:
+    trusted = known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives).select("doc_id", F.lit(True).alias("good"), F.lit(False).alias("web"))
+    web = thinned(docs.where(F.col("doc_id").isNotNull()).select("doc_id"), unlabelled).orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
+    ids = trusted.unionByName(web.select("doc_id", F.lit(False).alias("good"), F.lit(True).alias("web"))).groupBy("doc_id").agg(F.max("good").alias("good"), F.max("web").alias("web"))
+    rows = _feature_rows(docs.join(F.broadcast(ids), "doc_id"), ["good", "web"]).collect()  # at most positives + unlabelled
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float64).reshape(-1, FEATURES)
+    order = np.lexsort(x.T[:8])  # rows come in any order; batches should not depend on it
+    good, web = np.array([r["good"] for r in rows], bool)[order], np.array([r["web"] for r in rows], bool)[order]
+    x = x[order]
+    if not good.any() or not web.any():
         return None
-    prior = min(0.99, max(0.01, share))
-    trusted = known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives).select("doc_id")
-    web = docs.where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(unlabelled)
-    draw = lambda ids: np.array([np.frombuffer(r["x"], np.float32) for r in _feature_rows(docs.join(F.broadcast(ids), "doc_id", "left_semi")).toLocalIterator()], np.float64)
-    good, other = draw(trusted), draw(web)
-    return train_pu(good, other, prior) if len(good) and len(other) else None
+    return train_pu(x[good], x[web], estimate_prior(x[good], x[web]))
 
 
 SCORE = "doc_id long, score double"
