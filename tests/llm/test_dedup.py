@@ -245,3 +245,34 @@ def test_sharding_prunes(spark):
     lows = hilbert_shards(df, "id", ["a", "b"], 16).groupBy("shard").agg({"a": "min", "b": "min"}).collect()
     spans = [(h["max(a)"] - lo["min(a)"]) * (h["max(b)"] - lo["min(b)"]) for h in got for lo in lows if h.shard == lo.shard]
     assert sum(spans) / len(spans) < 64 * 64 / 6
+
+
+@pytest.mark.parametrize("block", [1, 4])
+def test_bucket_regions_are_runs_of_long_common_prefixes(block):
+    """Regions of one sorted bucket against prefixes compared pair by pair, with crowded ones and with cuts."""
+    rng = np.random.default_rng(block)
+    n, levels = 400, near_dedup.LEVELS
+    places = np.zeros(n, near_dedup._PLACE_TYPE)
+    places["tree"] = rng.integers(0, 2, n)
+    places["values"] = rng.integers(0, 2, (n, levels[-1])) * (rng.random((n, 1)) < 0.7)
+    places["tie"] = rng.permutation(n)
+    raw = np.sort(np.frombuffer(places.tobytes(), f"S{places.itemsize}"))
+    places = np.frombuffer(b"".join(bytes(r).ljust(places.itemsize, b"\0") for r in raw), near_dedup._PLACE_TYPE)
+    heads = {d: [(int(p["tree"]), *p["values"][:d].tolist()) for p in places] for d in levels}
+    limit = near_dedup.BLOCKS * block
+    for cuts in (None, (places[0], 6)):
+        got = near_dedup._bucket_regions(places, np.arange(n), 0, block, cuts, None)
+        rows = {int(r): (int(g), int(b), int(m), bool(c)) for r, g, b, m, c in zip(*(got[k] for k in ("rep", "region", "blocks", "mine", "crowded")), strict=True)}
+        assert got["tree"].tolist() == places["tree"][got["rep"]].tolist()
+        met = {}
+        for i in range(n):
+            depth = next((d for d in levels if heads[d].count(heads[d][i]) <= limit and not (cuts and d < 6 and heads[d][i] == heads[d][0])), None)
+            crowded = depth != levels[0]
+            if depth is None:
+                assert rows[i][3]
+            elif heads[depth].count(heads[depth][i]) == 1:
+                assert (i in rows) == crowded and (not crowded or rows[i][1] == 0)
+            else:
+                assert rows[i][3] == crowded and rows[i][1] == -(-heads[depth].count(heads[depth][i]) // block)
+                met.setdefault((depth, heads[depth][i]), set()).add(rows[i][0])
+        assert all(len(names) == 1 for names in met.values()) and len({next(iter(x)) for x in met.values()}) == len(met)

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from panelspark.llm import chat, decontaminate, html_text, langid, packing, quality, toxicity
 from panelspark.llm.queries import tokenizer_path
@@ -114,6 +117,55 @@ def test_min_cut_against_enumeration():
         assert price(html_text.min_cut(costs, edges)) == pytest.approx(best, abs=1e-6)
 
 
+def energy(costs, edges, lab):
+    return sum(abs(c) for c, x in zip(costs, lab, strict=True) if (c > 0) != x) + sum(w for u, v, w in edges if lab[u] != lab[v])
+
+
+def test_labels_of_whole_pages_against_enumeration(monkeypatch):
+    rng = random.Random(3)
+    changed = 0
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 8)):
+            text = " ".join(rng.choice(["word", "and, so", "text."]) for _ in range(rng.choice([1, 2, 12, 40])))
+            parts.append(rng.choice(["<p>{}</p>", "<div>{}</div>", "<li>{}</li>", "<div class=ad>{}</div>", "<a href=x>{}</a><hr>", "<h2>{}</h2>", "<article><p>{}</p></article>"]).format(text))
+        blocks = html_text.blocks_of("<div>" + "".join(parts) + "</div>")
+        seen = []
+        monkeypatch.setattr(html_text, "min_cut", lambda costs, edges: seen.append((costs, edges)) or real_min_cut(costs, edges))
+        got = html_text.label(blocks)
+        costs, edges = seen[0]
+        best = min(energy(costs, edges, [k >> i & 1 == 1 for i in range(len(blocks))]) for k in range(1 << len(blocks)))
+        assert energy(costs, edges, got) == pytest.approx(best, abs=1e-6)
+        changed += sum((c > 0) != x for c, x in zip(costs, got, strict=True))
+    assert changed > 5  # smoothness decides some blocks
+
+
+real_min_cut = html_text.min_cut
+
+
+def test_cut_finds_content_without_landmarks(spark, small):
+    """Tags and class names that tell content are taken out of real pages: the cut then does more than the classifier alone."""
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    weights = html_text.fit_on(pages)
+    alone = cut = n = 0
+    for row in pages.collect():
+        want = [b.article and not b.chrome for b in html_text.blocks_of(row.html or "")]
+        bare = re.sub(r' class="[^"]*"', "", re.sub(r"<(/?)(article|nav|footer)\b[^>]*>", r"<\1div>", row.html or ""))
+        blocks = html_text.blocks_of(bare)
+        assert len(blocks) == len(want)
+        alone += sum((c > 0) == w for c, w in zip(html_text.content_costs(blocks, weights), want, strict=True))
+        cut += sum(x == w for x, w in zip(html_text.label(blocks, weights), want, strict=True))
+        n += len(want)
+    assert cut > alone and cut > 0.97 * n
+
+
+def test_deep_and_long_pages_take_linear_time():
+    start = time.perf_counter()
+    assert html_text.main_text("<article>" + "<div>" * 20_000 + "<p>deep</p>" + "</div>" * 20_000) == "deep"
+    assert html_text.main_text("<article>" + "<p>some words, and more.</p></x>" * 5_000).count("\n") == 4_999
+    assert time.perf_counter() - start < 30
+
+
 def test_main_text():
     page = """<html><head><title>T</title><script>if (a<b) document.write("<p>no</p>")</script></head><body><header>Site</header><nav><a href=x>Home</a></nav>
     <main><article><h1>Head &amp; line</h1><p>One  two&nbsp;three<br>four <b>bold</b>.<p>Second &lt;para&gt;<ul><li>item <a href=y>link</a></li></ul><div class="share-buttons">Tweet</div>
@@ -130,6 +182,8 @@ def test_extract_main_text(spark):
     got = html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "", 0), (1, "é", 1), (1, "é", 1)]
     assert html_text.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    clash = spark.createDataFrame([(1, "u", "<article><p>é</p></article>", "t", 5)], "page_id long, url string, html string, text string, n_chars long")
+    assert [tuple(r) for r in html_text.extract_main_text(clash).collect()] == [(1, "u", "é", 1)]
 
 
 # Language, quality, toxicity ----------------------------------------------------------------------
@@ -147,7 +201,8 @@ def test_language_id(spark, monkeypatch):
     docs = learned(spark)
     sample = docs.where("doc_id < 200").collect()
     model = langid.train([r.text.encode() for r in sample], [r.lang for r in sample], steps=150)
-    odd = spark.createDataFrame([(1000, None, None), (1001, "123 !!", None), (1002, "", None), (1003, "the of and " * 9000, "en")], docs.schema)
+    assert not any(map(langid.has_letter, [None, "", "12 ²½Ⅷ _"])) and langid.has_letter("12 é")
+    odd = spark.createDataFrame([(1000, None, None), (1001, "123 !! ²½", None), (1002, "", None), (1003, "the of and " * 9000, "en")], docs.schema)
     got = {r.doc_id: r for r in langid.predict_languages(docs.where("doc_id >= 200").unionByName(odd), model).collect()}
     assert sum(got[i].lang_pred == ("en" if i % 2 else "de") for i in range(200, 300)) >= 95
     assert [got[i].lang_pred for i in (1000, 1001, 1002, 1003)] == ["und"] * 3 + ["en"] and all(0 <= r.score <= 1 for r in got.values())
@@ -178,18 +233,76 @@ def test_quality(spark):
     odd = spark.createDataFrame([(900, None), (901, ""), (902, "x" * 100_000), (None, "plain words")], DOCS)
     got = {r.doc_id: r.score for r in quality.quality_scores(docs.where("doc_id >= 200").unionByName(odd), net).collect()}
     assert all((got[i] >= 0.3) == (i % 5 != 0) for i in range(200, 400)) and all(0 <= s <= 1 for s in got.values())
+    twice = docs.limit(3).unionByName(docs.limit(3)).withColumn("score", F.lit("x"))
+    assert quality.quality_scores(twice, net).count() == 6
     assert quality.train_on(docs.limit(0), labels) is None and quality.quality_scores(docs.limit(0), net).count() == 0
 
 
+def rewritings(machine, symbols):
+    """Every output of an accepting path, by trying all arcs."""
+    found = []
+
+    def go(k, state, out):
+        if k == len(symbols):
+            if state in machine.finals:
+                found.append(out)
+            return
+        for y, w, nxt in machine.arcs[state].get(symbols[k][0], []):
+            go(k + 1, nxt, [*out, (y, symbols[k][1] * w)])
+
+    for start in machine.starts:
+        go(0, start, [])
+    return found
+
+
+def test_composed_grammar_against_paths_of_its_parts():
+    rng = random.Random(12)
+    weights = {k: rng.uniform(0.1, 1) for k in toxicity.PRIOR}
+    g = toxicity.Grammar({}, {}, weights=weights)
+    parts = toxicity.grammar_parts(weights)
+    for _ in range(300):
+        symbols = [(rng.choice(list(toxicity.WORDS)), 1.0) for _ in range(rng.randrange(0, 9))] + [(toxicity.BREAK, 1.0)]
+        outs = [symbols]
+        for part in parts:
+            outs = [o for before in outs for o in rewritings(part, before)]
+        assert len(outs) == 1  # the grammar is unambiguous
+        want, clause = [], []
+        for y, w in outs[0]:
+            if y in (toxicity.END, toxicity.BREAK):
+                want, clause = [*want, clause] if clause else want, []
+            elif y % toxicity.FLAG in (toxicity.MATCH_INSULT, toxicity.MATCH_THREAT):
+                clause = [*clause, (y, w)]
+        got = toxicity.clause_matches(g.machine, symbols)
+        assert [[m for m, _ in c] for c in got] == [[m for m, _ in c] for c in want]
+        assert np.allclose([w for c in got for _, w in c], [w for c in want for _, w in c])
+
+
 def test_grammar_scores_clauses():
     g = toxicity.Grammar({"idiot": 0.95}, {"moro": 0.95})
     score = lambda t: toxicity.text_score(t, g)
-    assert score("you idiot") >= 0.7 and score("such morons here") >= 0.7 and score("a fine day") == pytest.approx(0.05)
+    assert score("you idiot") >= 0.7 and score("such morons you are") >= 0.7 and score("a fine day") == pytest.approx(0.05)
+    assert score("an idiot on it") < 0.7  # alone, and no label says more
     assert score("he said you are not an idiot") < score("you are an idiot")
-    assert score('she wrote "idiot" on it') < score("an idiot on it")
+    assert score('someone wrote "idiot" on it') < score("an idiot on it") < score("an idiot on it, you know")
     assert score("I will kill you") >= 0.7 and score("kill time") == pytest.approx(0.05)
+    assert score("I will not kill you") < 0.7
     assert score(None) == score("") == pytest.approx(0.05)
-    assert [c for c, _ in toxicity.matched_clauses(toxicity._TOKEN.findall("never idiot. you idiot"), g)] == ["+negated", "+target"]
+    flags = [[(m % toxicity.FLAG, m // toxicity.FLAG) for m, _ in c] for c in g.matches("never idiot. you idiot\nhe said an idiot")]
+    assert flags == [[(toxicity.MATCH_INSULT, toxicity.NEGATED)], [(toxicity.MATCH_INSULT, toxicity.AIMED)], [(toxicity.MATCH_INSULT, toxicity.REPORTED | toxicity.AIMED)]]
+
+
+def test_labels_teach_the_grammar_its_contexts(spark):
+    """The same insults, denied or quoted in clean texts: with all patterns alike, as isolated words count, decisions differ."""
+    rng = random.Random(14)
+    words = [f"w{chr(97 + a)}{chr(97 + b)}" for a in range(5) for b in range(8)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    holds = lambda i: f" {say(1)} zork {say(4)}" if i % 2 else f". never zork {say(4)}." if i % 16 == 0 else ""
+    rows = [(i, say(12) + holds(i) + "\n" + say(9)) for i in range(300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    g = toxicity.learn_grammar(docs, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int"))
+    words_only = toxicity.Grammar(g.words, g.stems, weights={k: 1.0 for k in toxicity.PRIOR})
+    wrong = lambda m: sum((toxicity.text_score(t, m) >= 0.7) != (i % 2 == 1) for i, t in rows[200:])
+    assert wrong(g) == 0 and wrong(words_only) == 6
 
 
 def test_toxicity_learns_terms(spark):
@@ -202,6 +315,22 @@ def test_toxicity_learns_terms(spark):
     got = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, g).collect()}
     assert all((got[i] >= 0.7) == (i % 4 == 0) for i in range(160, 240)) and got[500] < 0.7
     assert toxicity.learn_grammar(docs.limit(0), labels.limit(0)).words == {}
+    twice = docs.limit(3).unionByName(docs.limit(3)).withColumn("score", F.lit("x")).withColumn("toxic", F.lit(1))
+    assert toxicity.toxicity_scores(twice, g).count() == 6
+    plain = {i: toxicity.text_score(t, g) for i, t in rows}
+    assert all(abs(plain[i] - got[i]) < 1e-12 for i in plain)
+
+
+def test_pu_risk_and_prior():
+    """The gradient of training against differences of the risk, and the prior of mixtures."""
+    rng = np.random.default_rng(1)
+    for prior in (0.3, 0.7):
+        good, other = rng.normal(1.5, 1, (900, 6)), rng.normal(-1.5, 1, (900, 6))
+        mixed = np.concatenate([rng.normal(1.5, 1, (int(1200 * prior), 6)), other[: int(1200 * (1 - prior))]])[rng.permutation(1200)]
+        found = quality.estimate_prior(good, mixed)
+        assert abs(found - prior) < 0.1
+        net = quality.train_pu(good, mixed, found, steps=300)
+        assert (net.score(good) >= 0.5).mean() > 0.95 and (net.score(other) < 0.5).mean() > 0.95
 
 
 # Decontamination -----------------------------------------------------------------------------------
@@ -250,4 +379,29 @@ def test_contaminated(spark):
     assert set(got) == want and len(got) == len(want) + 1
     left = decontaminate.drop_contaminated(docs, bench)
     assert {r.doc_id for r in left.collect()} == {d for d, _ in rows} - {d for d, _ in want}
+    # against a search of every passage with every item, without cosines
+    block = decontaminate.Block.of([(i, t) for i, t in items if t])
+    counts = Counter(w for _, t in rows for w in decontaminate.words_of(t))
+    passages = sum(len(decontaminate.words_of(t)) // decontaminate.PASSAGE + 1 for _, t in rows)
+    weight = {w: max(0.1, np.log((passages + 1) / (counts[w] + 0.5))) for w in block.vocabulary}
+    plain = set()
+    for d, t in rows:
+        ws = decontaminate.words_of(t)
+        for i, it in items:
+            its = decontaminate.words_of(it)
+            if not its or not ws:
+                continue
+            masks = {}
+            for k, w in enumerate(its):
+                masks[w] = masks.get(w, 0) | 1 << k
+            answer = set(decontaminate.words_of([x for x in re.split("[.!?]+", it) if x.strip()][-1]))
+            for at in decontaminate.starts_of(len(ws)):
+                near = ws[max(0, at - len(its)) : at + decontaminate.PASSAGE + len(its)]
+                there = set(near)
+                covered = sum(weight[w] for w in set(its) & there) / sum(weight[w] for w in set(its))
+                if decontaminate.lcs(masks, len(its), near) >= decontaminate.LEAST_LCS * len(its) and len(answer & there) >= decontaminate.LEAST_ANSWER * len(answer) and covered >= decontaminate.LEAST_WEIGHT:
+                    plain.add((d, i))
+    assert plain == want
+    clash = docs.selectExpr("doc_id", "text", "doc_id AS item_id", "text AS start")
+    assert decontaminate.contaminated(clash, bench).count() == len(got) and decontaminate.drop_contaminated(clash, bench).columns == clash.columns
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
