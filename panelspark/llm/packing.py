@@ -4,7 +4,7 @@ Texts become token pieces of at most `capacity`. Only the histogram of piece len
 `capacity` rows) reaches the driver, where best-fit decreasing runs over counts: many equal
 pieces are placed into many equally filled sequences in one step. The plan is a short list of
 runs (length, first rank, number, first sequence, offset), and pieces take their places by
-their rank within their length. Ranks come from counts per (length, salt).
+their rank within their length. Ranks come from counts per (length, salt); frequent lengths have more salts.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -24,12 +24,16 @@ from pyspark.sql import functions as F
 from .common import staged
 
 CAPACITY = 4096
-SALTS = 64
+#: Least number of salts of a length, and pieces for each salt where that gives more.
+SALTS, ROWS_PER_SALT = 64, 1 << 18
 END_ID = 1
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Chunks whose ids a worker remembers in each of two generations: a full one becomes the older, and what is met again
-#: moves back.
-REMEMBERED = 400_000
+#: Chunks whose ids a task remembers in each of two generations: a full one becomes the older, and what is met again
+#: moves back. Chunks of up to LONGEST characters are remembered, from the second time they are met (by a table of DOORS
+#: hashes), so a generation takes at most some 20 MB.
+REMEMBERED = 100_000
+LONGEST = 48
+DOORS = 1 << 21
 #: Letters and signs whose lower case, composition and splitting are plain: words, digits and runs of signs are tokenised apart.
 _LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _PLAIN = re.compile(rf"[{_LETTERS}0-9!-&(-/:-@\[-`{{-~ \t\n\r]*")
@@ -66,9 +70,14 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
+        self.forget()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def forget(self) -> None:
+        """Empty the memory; workers live on from task to task, and later stages need the room."""
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.doors = bytearray(DOORS)
 
     def _part(self, part: str) -> list[int]:
         word = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
@@ -93,17 +102,25 @@ class ChunkTokenizer:
             text = text.replace("\n", " ")
         chunks = text.split(" ")
         if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
+            self.old, self.young, self.doors = self.young, {}, bytearray(DOORS)
+        young, old, doors, once = self.young, self.old, self.doors, []
         for chunk in set(chunks).difference(young):
             ids = old.get(chunk)
-            young[chunk] = self._ids(chunk) if ids is None else ids
-        return np.frombuffer(b"".join(map(young.__getitem__, chunks)), dtype=np.uint32)
-
-
-@lru_cache(maxsize=4)
+            if ids is None:
+                ids, door = self._ids(chunk), hash(chunk) % DOORS
+                if not doors[door] or len(chunk) > LONGEST:
+                    doors[door] = 1
+                    once.append(chunk)
+            young[chunk] = ids
+        out = np.frombuffer(b"".join(map(young.__getitem__, chunks)), dtype=np.uint32)
+        for chunk in once:
+            del young[chunk]
+        return out
+
+
+@lru_cache(maxsize=1)
 def tokenizer_of(path: str) -> ChunkTokenizer:
-    """One per worker process and vocabulary, kept from task to task."""
+    """One per worker process, kept from task to task."""
     return ChunkTokenizer(path)
 
 
@@ -121,6 +138,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
                     for name, value in zip(rows, (doc, k, at, len(part), zlib.crc32(part.tobytes())), strict=True):
                         rows[name].append(value)
             yield pd.DataFrame(rows).astype({"doc_id": "Int64"})
+        encoder.forget()
 
     return docs.select("doc_id", "text").mapInPandas(run, PIECE_SCHEMA)
 
@@ -182,9 +200,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
     take places of their own. An empty table gives an empty result.
     """
     pieces = staged(pieces)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    crowded = {length: -(-n // ROWS_PER_SALT) for length, n in histogram.items() if n > salts * ROWS_PER_SALT}
+    several = reduce(lambda c, kv: c.when(F.col("length") == kv[0], F.lit(kv[1])), crowded.items(), F.when(F.lit(False), F.lit(salts))).otherwise(F.lit(salts))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), several).cast("int"))
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
     plan = best_fit_plan(histogram, capacity)
     by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     runs = np.array(sorted(plan), dtype=np.int64).reshape(-1, 5)
