@@ -9,7 +9,8 @@ splitter cuts it (adaptive depth). A region of several blocks is worked off as p
 meet although no task holds more than two blocks. Texts that still share a larger region at the greatest depth, where they
 agree almost everywhere, meet their neighbours in the order, block by block. Where signatures in a region agree enough, the full
 shingle sets of those texts meet, all their pairs are confirmed by exact counts, and a spanning forest of the confirmed
-links goes on to the components.
+links goes on to the components. This goes in two rounds, as only components count: in the first FIRST_TREES orders each text
+meets its own block, and then all pairs of blocks of all orders meet, but only texts that are still in different components.
 
 Deepening and blocks keep some texts of a crowded region apart. So all texts of regions that were crowded at
 the first depth meet once more, by an exact prefix filter: two linked sets share one of their rarest shingles. Only
@@ -37,8 +38,9 @@ TREES = 24
 LEVELS = (3, 4, 5, 8, 11, 15, 20)
 #: Highest probability that a pair at the threshold shares no region at the first depth.
 LEAST_MISS = 1e-6
-#: Texts of a block, and most blocks of a region.
-BLOCK, BLOCKS = 128, 16
+#: Most texts of a block; a region holds BLOCKS * BLOCK at most. Blocks of long texts have fewer, so that they hold about MASS
+#: shingles, but LEAST_BLOCK at least.
+BLOCK, BLOCKS, MASS, LEAST_BLOCK = 512, 4, 1_280_000, 64
 #: Shared shingles that a region counts at once.
 COLUMNS = 4096
 #: Links: percent * union <= 100 * intersection. The contract of op1.
@@ -49,6 +51,8 @@ BUCKETS = 1 << 18
 EARLIER = 24
 #: Word hashes that a task remembers.
 REMEMBERED = 100_000
+#: Orders in which texts meet their own block before anything else.
+FIRST_TREES = 4
 #: Buckets of the sorted orders for each shuffle partition, and sampled rows for each bucket.
 BUCKETS_PER_PARTITION, PER_BUCKET = 4, 32
 
@@ -175,9 +179,9 @@ def _order_splitters(classes: DataFrame, first: int, buckets: int) -> tuple[np.n
     return np.frombuffer(b"".join(ordered), _PLACE_TYPE), np.array([cuts[c] for c in ordered], np.int64)
 
 
-def _bucket_regions(places: np.ndarray, reps: np.ndarray, first: int, block: int, low: tuple | None, high: tuple | None) -> dict[str, np.ndarray]:
+def _bucket_regions(places: np.ndarray, reps: np.ndarray, weights: np.ndarray, first: int, block: int, low: tuple | None, high: tuple | None) -> dict[str, np.ndarray]:
     """Regions of one sorted bucket: rep, tree, region, blocks, mine and crowded; region is null (0 blocks) where a crowded
-    class stands alone. low and high are the bucket's cuts (place, depth)."""
+    class stands alone. weights are the classes' shingles, low and high the bucket's cuts (place, depth)."""
     n = len(places)
     tree, values = places["tree"].astype(np.int64), places["values"]
     same = (values[1:] == values[:-1]) & (tree[1:] == tree[:-1])[:, None]
@@ -198,15 +202,16 @@ def _bucket_regions(places: np.ndarray, reps: np.ndarray, first: int, block: int
         some = fits & (sizes > 1)[run]
         at = np.arange(n) - starts[run]
         region[some] = _name(seed, level, starts[run][some])
-        blocks[some] = -(-sizes[run][some] // block)
-        mine[some] = at[some] // block
+        each = np.clip(MASS // np.maximum.reduceat(weights, starts), min(LEAST_BLOCK, block), block)[run]
+        blocks[some] = -(-sizes[run][some] // each[some])
+        mine[some] = at[some] // each[some]
         left &= ~fits
         if level == first:
             crowded = left.copy()
         if not left.any():
             break
-    lots = np.flatnonzero(left)  # more than fit agree in all values: neighbours meet
-    region[lots], blocks[lots] = _name(seed, len(LEVELS), lots // block), 1
+    lots, each = np.flatnonzero(left), min(LEAST_BLOCK, block)  # more than fit agree in all values: neighbours meet
+    region[lots], blocks[lots] = _name(seed, len(LEVELS), lots // each), 1
     out = np.flatnonzero((blocks > 0) | crowded)
     return {"rep": reps[out], "tree": tree[out].astype(np.int32), "region": region[out], "blocks": blocks[out], "mine": mine[out], "crowded": crowded[out]}
 
@@ -232,32 +237,34 @@ def _regions(classes: DataFrame, block: int, percent: int) -> DataFrame:
             for k in range(0, len(pdf), 4096):
                 reps = pdf["rep"].to_numpy()[k : k + 4096]
                 raw = _places(reps, pdf["signature"].tolist()[k : k + 4096]).tobytes()
-                yield pd.DataFrame({"bucket": np.searchsorted(cuts, np.frombuffer(raw, f"S{size}"), side="right").astype(np.int32), "place": [raw[i : i + size] for i in range(0, len(raw), size)], "rep": np.repeat(reps, TREES)})
+                yield pd.DataFrame({"bucket": np.searchsorted(cuts, np.frombuffer(raw, f"S{size}"), side="right").astype(np.int32), "place": [raw[i : i + size] for i in range(0, len(raw), size)], "rep": np.repeat(reps, TREES), "weight": np.repeat(pdf["n_shingles"].to_numpy()[k : k + 4096], TREES)})
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cuts, depths = shared.value
         for pdf in _by_key(batches, "bucket"):
             bucket = pdf["bucket"].to_numpy()
             edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-            places, reps = np.frombuffer(b"".join(pdf["place"]), _PLACE_TYPE), pdf["rep"].to_numpy()
+            places, reps, weights = np.frombuffer(b"".join(pdf["place"]), _PLACE_TYPE), pdf["rep"].to_numpy(), pdf["weight"].to_numpy()
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 b = int(bucket[lo])
                 low = (cuts[b - 1], depths[b - 1]) if b else None
                 high = (cuts[b], depths[b]) if b < len(cuts) else None
-                yield pd.DataFrame(_bucket_regions(places[lo:hi], reps[lo:hi], first, block, low, high))
+                yield pd.DataFrame(_bucket_regions(places[lo:hi], reps[lo:hi], weights[lo:hi], first, block, low, high))
 
-    dealt = classes.select("rep", "signature").mapInPandas(deal, "bucket int, place binary, rep long")
+    dealt = classes.select("rep", "signature", "n_shingles").mapInPandas(deal, "bucket int, place binary, rep long, weight long")
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "place").mapInPandas(find, "rep long, tree int, region long, blocks int, mine int, crowded boolean")
 
 
-def _needed(region: np.ndarray, tree: np.ndarray, size: np.ndarray, signs: np.ndarray, seen: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Which rows, sorted by region, look like another of their region that they did not meet in an earlier tree's region."""
+def _needed(region: np.ndarray, tree: np.ndarray, size: np.ndarray, signs: np.ndarray, seen: np.ndarray, component: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Which rows, sorted by region, look like another of their region that is in another component and that they did not
+    meet in an earlier tree's region."""
     least = least_equal(percent)
     out = np.zeros(len(region), bool)
     for step in range(1, len(region)):
         i = np.flatnonzero(region[:-step] == region[step:])
         if not len(i):
             break
+        i = i[component[i] != component[i + step]]
         j = i + step
         fits = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
         i, j = i[fits], j[fits]
@@ -287,24 +294,22 @@ def _block_pair(region: int, a: int, b: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def candidates(classes: DataFrame, block: int = BLOCK, percent: int = PERCENT) -> tuple[DataFrame, DataFrame | None]:
-    """region, rep: the classes (rep, n_shingles, signature) whose sets must meet in a region of the forest. Also rep of
-    the classes of crowded regions, if any: those must meet by rare shingles too."""
-    every = staged(_regions(classes, block, percent))
-    placed, crowded = every.where("blocks > 0"), every.where("crowded").select("rep").distinct()
+def candidates(placed: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """region, rep: the classes (rep, n_shingles, signature, component) whose sets must meet in a region of placed (rep, tree,
+    region, blocks, mine)."""
     where = placed.groupBy("rep").agg(F.collect_list(F.struct("tree", "region", "blocks", "mine")).alias("regions"))  # at most TREES each
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out: dict[str, list] = {k: [] for k in ("region", "tree", "rep", "n_shingles", "signs", "seen")}
-            for rep, n, sign, regions in zip(pdf["rep"].tolist(), pdf["n_shingles"].tolist(), pdf["signature"].tolist(), pdf["regions"].tolist(), strict=True):
+            out: dict[str, list] = {k: [] for k in ("region", "tree", "rep", "component", "n_shingles", "signs", "seen")}
+            for rep, component, n, sign, regions in zip(*(pdf[k].tolist() for k in ("rep", "component", "n_shingles", "signature", "regions")), strict=True):
                 seen = np.zeros(TREES, np.int64)
                 for r in regions:
                     seen[r["tree"]] = r["region"]
                 signs = (np.frombuffer(sign, np.uint32) & 255).astype(np.uint8).tobytes()
                 for r in regions:
                     for other in range(r["blocks"]):
-                        for name, value in zip(out, (_block_pair(r["region"], r["mine"], other), r["tree"], rep, n, signs, seen.tobytes()), strict=True):
+                        for name, value in zip(out, (_block_pair(r["region"], r["mine"], other), r["tree"], rep, component, n, signs, seen.tobytes()), strict=True):
                             out[name].append(value)
             yield pd.DataFrame(out)
 
@@ -312,10 +317,21 @@ def candidates(classes: DataFrame, block: int = BLOCK, percent: int = PERCENT) -
         for pdf in _by_key(batches):
             signs = np.frombuffer(b"".join(pdf["signs"]), np.uint8).reshape(len(pdf), SIGNATURE)
             seen = np.frombuffer(b"".join(pdf["seen"]), np.int64).reshape(len(pdf), TREES)
-            yield pdf.loc[_needed(pdf["region"].to_numpy(), pdf["tree"].to_numpy(), pdf["n_shingles"].to_numpy(), signs, seen, percent), ["region", "rep"]]
+            yield pdf.loc[_needed(pdf["region"].to_numpy(), pdf["tree"].to_numpy(), pdf["n_shingles"].to_numpy(), signs, seen, pdf["component"].to_numpy(), percent), ["region", "rep"]]
 
-    met = classes.join(where, "rep").mapInPandas(spread, "region long, tree int, rep long, n_shingles long, signs binary, seen binary")
-    return met.repartition("region").sortWithinPartitions("region", "rep").mapInPandas(needed, "region long, rep long"), None if crowded.isEmpty() else crowded
+    met = classes.join(where, "rep").mapInPandas(spread, "region long, tree int, rep long, component long, n_shingles long, signs binary, seen binary")
+    return met.repartition("region").sortWithinPartitions("region", "rep").mapInPandas(needed, "region long, rep long")
+
+
+def _named(classes: DataFrame, found: DataFrame | None) -> DataFrame:
+    """classes with the component (id, component) found so far, their own rep without any."""
+    if found is None:
+        return classes.withColumn("component", F.col("rep"))
+    return classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def _links_of(found: DataFrame) -> DataFrame:
+    return found.select(F.col("id").alias("a"), F.col("component").alias("b"))
 
 
 def _rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
@@ -376,7 +392,7 @@ def candidates_apart(classes: DataFrame, crowded: DataFrame, components_so_far:
     """region, rep: the crowded classes whose sets must still meet, as they share a rare shingle and are in different
     components (id, component) so far."""
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(crowded, "rep", "left_semi").dropDuplicates(["rep", "text"])
-    named = crowded.join(components_so_far.select(F.col("id").alias("rep"), "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
+    named = _named(crowded, components_so_far)
     rare = staged(_rare_shingles(texts, percent).join(named, "rep"))
     parts = rare.groupBy("shingle", "component").agg(F.count("*").alias("n"))
     shingles = parts.groupBy("shingle").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("n > most.n")
@@ -465,11 +481,18 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, percent: int = PERCENT)
     linked = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = staged(linked.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
     signs = classes.select("rep", "n_shingles", "signature")
-    wanted, crowded = candidates(signs, block, percent)
-    found = components(confirmed(staged(wanted), docs, percent))
-    if crowded is not None:
+    every = staged(_regions(signs, block, percent))
+    placed = every.where("blocks > 0").drop("crowded")
+    own = placed.where(F.col("tree") < FIRST_TREES).select("rep", "tree", F.xxhash64("region", "mine").alias("region"), F.lit(1).alias("blocks"), F.lit(0).alias("mine"))
+    found = components(confirmed(staged(candidates(own, _named(signs, None), percent)), docs, percent))
+    named = staged(_named(signs, found))
+    mixed = placed.join(named.select("rep", "component"), "rep").groupBy("region").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("region")
+    rest = candidates(placed.join(mixed, "region", "left_semi"), named, percent)
+    found = components(_links_of(found).unionByName(confirmed(staged(rest), docs, percent)))
+    crowded = every.where("crowded").select("rep").distinct()
+    if not crowded.isEmpty():
         apart = staged(candidates_apart(signs, staged(crowded), found, docs, block, percent))
-        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(confirmed(apart, docs, percent)))
+        found = components(_links_of(found).unionByName(confirmed(apart, docs, percent)))
     named = classes.select("fingerprint", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("fingerprint", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component"))
     rows = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("fingerprint")).alias("fingerprint"))
     alone = rows.where("fingerprint IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))

@@ -261,7 +261,7 @@ def test_bucket_regions_are_runs_of_long_common_prefixes(block):
     heads = {d: [(int(p["tree"]), *p["values"][:d].tolist()) for p in places] for d in levels}
     limit = near_dedup.BLOCKS * block
     for cuts in (None, (places[0], 6)):
-        got = near_dedup._bucket_regions(places, np.arange(n), 0, block, cuts, None)
+        got = near_dedup._bucket_regions(places, np.arange(n), np.full(n, 50), 0, block, cuts, None)
         rows = {int(r): (int(g), int(b), int(m), bool(c)) for r, g, b, m, c in zip(*(got[k] for k in ("rep", "region", "blocks", "mine", "crowded")), strict=True)}
         assert got["tree"].tolist() == places["tree"][got["rep"]].tolist()
         met = {}
