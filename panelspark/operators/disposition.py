@@ -36,8 +36,16 @@ def disposition_risk(prices: DataFrame, stocks: DataFrame, announcements: DataFr
     listed = active_on(announcements, asof).select("stock_id", F.lit(1).alias("_listed")).distinct()
     scored = f.withColumns({"r1": r1, "r2": r2, "r3": r3, "r4": r4}).join(listed, "stock_id", "left").join(stocks.select("stock_id", "name"), "stock_id")
     score = F.when(F.col("_listed") == 1, 100.0).otherwise(F.round(F.col("r1") * 0.4 + F.col("r2") * 0.2 + F.col("r3") * 0.2 + F.col("r4") * 0.2, 4))
-    hits = F.array_compact(F.array(F.when(F.col("r1") >= 100, "R1"), F.when(F.col("r2") >= 100, "R2"), F.when(F.col("r3") >= 100, "R3"), F.when(F.col("r4") >= 100, "R4")))
-    return scored.withColumn("score", score).withColumn("hits", F.concat_ws(",", hits)).select("stock_id", "name", "score", "hits", F.coalesce("_listed", F.lit(0)).alias("in_disposition")).orderBy(F.desc("score"), "stock_id").limit(top_n)
+    signed = lambda c: F.format_string("%+.1f%%", F.round(c, 1))
+    hits = F.array_compact(
+        F.array(
+            F.when(F.col("r1") >= 80, F.concat(F.lit("R1: 6日累積"), signed(F.col("cum_ret")))),
+            F.when(F.col("r2") >= 80, F.concat(F.lit("R2: 單日"), signed(F.coalesce("change_pct", F.lit(0.0))))),
+            F.when((F.col("r3") >= 60) & (ratio > 0), F.concat(F.lit("R3: 量能"), F.format_string("%.1fx", F.round(ratio, 1)))),
+            F.when(F.col("r4") >= 60, F.concat(F.lit("R4: 連3日"), signed(F.col("run_sum")))),
+        )
+    )
+    return scored.withColumn("score", score).withColumn("hits", F.concat_ws(", ", hits)).select("stock_id", "name", "score", "hits", F.coalesce("_listed", F.lit(0)).alias("in_disposition")).orderBy(F.desc("score"), "stock_id").limit(top_n)
 
 
 def drop_signals(prices: DataFrame, announcements: DataFrame, asof: str, rise: float = 20.0, drop: float = 0.7, before: int = 30, after: int = 5, fresh: int = 7) -> DataFrame:

@@ -141,25 +141,36 @@ def adr(advancers: Column, decliners: Column) -> Column:
     return F.when(decliners > 0, F.round(advancers / decliners, 3)).when(advancers > 0, 10.0).otherwise(1.0)
 
 
-def breadth_regime(score: Column) -> Column:
-    return F.when(score >= 0.6, "STRONG").when(score >= 0.5, "BULL").when(score >= 0.4, "NEUTRAL").when(score >= 0.25, "WEAK").otherwise("CRASH")
+def layer_regime(ratio: Column) -> Column:
+    """Regime of one layer, by its advance-decline ratio."""
+    return F.when(ratio > 2.0, "STRONG_BULL").when(ratio > 1.0, "BULL").when(ratio > 0.8, "NEUTRAL").when(ratio > 0.5, "BEAR").otherwise("CRASH")
+
+
+def composite_regime(score: Column, bulls: Column, bears: Column) -> Column:
+    """Regime of all layers, by their votes and the composite score together."""
+    return F.when((bulls == 3) & (score > 0.65), "STRONG_BULL").when((bears == 3) & (score < 0.35), "CRASH").when((bulls >= 2) & (score > 0.55), "BULL").when((bears >= 2) & (score < 0.45), "BEAR").otherwise("NEUTRAL")
+
+
+def traded(prices: DataFrame) -> DataFrame:
+    """Bars that count for breadth: with a close and a volume."""
+    return prices.where(F.col("close_price").isNotNull() & (F.col("volume") > 0))
 
 
 def breadth_layer(rows: DataFrame) -> DataFrame:
     """Breadth of one group of bars per date; a missing change counts as unchanged."""
     chg = F.coalesce("change_pct", F.lit(0.0))
-    per = rows.groupBy("date").agg(F.count("*").alias("n"), F.count_if(chg > 0.1).alias("adv"), F.count_if(chg < -0.1).alias("dec"), F.count_if(chg >= 9.5).alias("limit_up"), F.count_if(chg <= -9.5).alias("limit_down"))
+    per = traded(rows).groupBy("date").agg(F.count("*").alias("n"), F.count_if(chg > 0.1).alias("adv"), F.count_if(chg < -0.1).alias("dec"), F.count_if(chg >= 9.5).alias("limit_up"), F.count_if(chg <= -9.5).alias("limit_down"))
     per = per.withColumns({"unchanged": F.col("n") - F.col("adv") - F.col("dec"), "adr": adr(F.col("adv"), F.col("dec"))})
     per = per.withColumn("score", F.round(F.col("adr") / (F.col("adr") + 1), 4))
-    return per.withColumn("regime", breadth_regime(F.col("score")))
+    return per.withColumn("regime", layer_regime(F.col("adr")))
 
 
 def breadth_daily(prices: DataFrame, stocks: DataFrame, top: int = 200, hot: int = 100) -> DataFrame:
-    """Advance-decline breadth of three layers per date and their weighted score, in one pass over the panel.
+    """Advance-decline breadth of three layers per date, their regimes, votes and weighted score, in one pass over the panel.
 
-    A missing change counts as unchanged.
+    A missing change counts as unchanged. A layer votes bull over a score of 0.55 and bear under 0.45.
     """
-    rows = prices.join(stocks.select("stock_id"), "stock_id").withColumn("chg", F.coalesce("change_pct", F.lit(0.0)))
+    rows = traded(prices).join(stocks.select("stock_id"), "stock_id").withColumn("chg", F.coalesce("change_pct", F.lit(0.0)))
     value = Window.partitionBy("date").orderBy(F.desc_nulls_last("trade_value"), "stock_id")
     volume = Window.partitionBy("date").orderBy(F.desc_nulls_last("volume"), "stock_id")
     ranked = rows.withColumns({"_v": F.row_number().over(value), "_q": F.row_number().over(volume)})
@@ -171,8 +182,11 @@ def breadth_daily(prices: DataFrame, stocks: DataFrame, top: int = 200, hot: int
     per = ranked.groupBy("date").agg(F.count("*").alias("n"), *aggs)
     per = per.withColumns({f"{n}_adr": adr(F.col(f"{n}_adv"), F.col(f"{n}_dec")) for n, _ in LAYERS})
     per = per.withColumns({f"{n}_score": F.round(F.col(f"{n}_adr") / (F.col(f"{n}_adr") + 1), 4) for n, _ in LAYERS})
-    score = F.round(sum((F.col(f"{n}_score") * w for n, w in LAYERS[1:]), F.col("layer_score") * LAYERS[0][1]), 6)
-    return per.withColumn("score", score).withColumn("regime", breadth_regime(F.col("score")))
+    per = per.withColumns({f"{n}_regime": layer_regime(F.col(f"{n}_adr")) for n, _ in LAYERS})
+    score = F.round(F.round(sum((F.col(f"{n}_score") * w for n, w in LAYERS[1:]), F.col("layer_score") * LAYERS[0][1]), 8), 4)  # 8 first: sums of products such as 0.50005
+    votes = lambda hit: sum((hit(F.col(f"{n}_score")).cast("int") for n, _ in LAYERS[1:]), hit(F.col("layer_score")).cast("int"))
+    per = per.withColumns({"score": score, "vote_bull": votes(lambda c: c > 0.55), "vote_bear": votes(lambda c: c < 0.45)})
+    return per.withColumn("regime", composite_regime(F.col("score"), F.col("vote_bull"), F.col("vote_bear")))
 
 
 def breadth_full_market(prices: DataFrame) -> DataFrame:

@@ -43,10 +43,12 @@ def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def upsert(base: DataFrame, updates: DataFrame, keys: list[str], mode: str = "replace", load: str = "load_ts") -> DataFrame:
     """Keyed merge. replace: the newest row wins whole; update: the updates' columns win, the base's others stay;
-    ignore: the first row wins. Both sides carry `load`; repeated keys are resolved within each side first.
+    ignore: the first row wins. Both sides carry `load`; repeated keys are resolved within each side first, ties in `load` by
+    the other columns, smallest first.
     """
-    first = Window.partitionBy(*keys).orderBy(F.asc(load) if mode == "ignore" else F.desc(load))
-    one = lambda df: df.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    order = F.asc(load) if mode == "ignore" else F.desc(load)
+    first = lambda df: Window.partitionBy(*keys).orderBy(order, *[c for c in sorted(df.columns) if c not in (*keys, load)])
+    one = lambda df: df.withColumn("_n", F.row_number().over(first(df))).where("_n = 1").drop("_n")
     if mode != "update":
         return one(base.unionByName(updates, allowMissingColumns=True))
     new = one(updates)

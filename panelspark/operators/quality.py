@@ -12,8 +12,8 @@ from .technical import adjust_prices, by
 def clean_kline(prices: DataFrame, near: int = 30, rows: int = 4, gap: int = 60, repeats: int = 3, span: int = 30) -> DataFrame:
     """Bars to delete, with the reason; each pass sees what the one before left.
 
-    early: before the first bar whose `rows`-th later bar is at most `near` days away; isolated: more than `gap` days
-    from both neighbours (a missing neighbour counts as far); frozen: the same prices and volume at least `repeats` times
+    early: before the first bar whose `rows`-th later bar is at most `near` days away; isolated: of at least
+    three bars, one more than `gap` days from both neighbours, or the first one so far from the second, but never the last; frozen: the same prices and volume at least `repeats` times
     over `span` days, the newest excepted; bars without volume are exempt.
     """
     w = by()
@@ -23,7 +23,7 @@ def clean_kline(prices: DataFrame, near: int = 30, rows: int = 4, gap: int = 60,
     pass1 = one.where(early).select("stock_id", "date", F.lit("early").alias("reason"))
     left = one.where(~early).drop("_dense", "_start")
     before, after = F.datediff("date", F.lag("date").over(w)), F.datediff(F.lead("date").over(w), "date")
-    lone = left.withColumn("_lone", (F.coalesce(before, F.lit(1 << 30)) > gap) & (F.coalesce(after, F.lit(1 << 30)) > gap) & (F.count("*").over(every) > 1))
+    lone = left.withColumn("_lone", F.coalesce((F.coalesce(before, F.lit(1 << 30)) > gap) & (after > gap) & (F.count("*").over(every) >= 3), F.lit(False)))
     pass2 = lone.where("_lone").select("stock_id", "date", F.lit("isolated").alias("reason"))
     rest = lone.where("NOT _lone AND volume > 0")
     same = Window.partitionBy("stock_id", "open_price", "high_price", "low_price", "close_price", "volume")

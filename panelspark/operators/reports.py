@@ -29,8 +29,7 @@ def report_index(reports: DataFrame, summary: int = 80) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy(F.desc_nulls_last("date"), "path", "title")))
 
 
-def categorise(df: DataFrame, name: str, prefixes: DataFrame) -> DataFrame:
-    """First matching category by prefix. prefixes: prefix, category, priority — a short fixed list, hence the broadcast."""
-    keys = df.columns
-    hits = df.join(F.broadcast(prefixes), F.startswith(df[name], F.col("prefix")), "left")
-    return hits.groupBy(*keys).agg(F.min_by("category", "priority").alias("category"))
+def categorise(df: DataFrame, name: str, prefixes: list[tuple[str, str]]) -> DataFrame:
+    """df with the category of the first of (prefix, category) that the name starts with, row by row."""
+    first = [F.when(F.startswith(df[name], F.lit(prefix)), category) for prefix, category in prefixes]
+    return df.withColumn("category", F.coalesce(*first) if first else F.lit(None).cast("string"))

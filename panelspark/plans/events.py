@@ -10,7 +10,7 @@ from panelspark.sources import adapters
 
 from .market import _BREADTH, bars, net, stocks
 from .registry import query
-from .series import _COMPLETE, _TRIM, BREAKOUTS, cost_seed, rounded
+from .series import _COMPLETE, _TRIM, BREAKOUTS, COST_ROLL, cost_seed, rounded
 from panelspark.operators import flows, recursive
 
 ASOF = "1999-06-28"
@@ -213,11 +213,11 @@ def u5(spark: SparkSession, d: str) -> DataFrame:
     return bars(spark, d).join(stocks(spark, d), "stock_id").select("market", "date").distinct()
 
 
-@query("s17_date_chunks", "WITH b AS (SELECT min(date) AS lo, max(date) AS hi FROM bars) SELECT i.stock_id, count(*) AS n FROM bars i GROUP BY 1")
+@query("s17_date_chunks", "WITH c AS (SELECT CAST(lo AS DATE) AS chunk_start, least(CAST(lo AS DATE) + 89, DATE '2005-12-31') AS chunk_end FROM range(TIMESTAMP '1990-01-01', TIMESTAMP '2006-01-01', INTERVAL 90 DAY) t(lo)) SELECT chunk_start, chunk_end, count(*) AS n, count(DISTINCT stock_id) AS stocks FROM c JOIN bars ON date BETWEEN chunk_start AND chunk_end GROUP BY 1, 2")
 def s17(spark: SparkSession, d: str) -> DataFrame:
-    chunks = quality.date_chunks(spark, "1990-01-01", "2005-12-31", 90).withColumn("stock_id", F.lit(None).cast("string")).drop("stock_id")
-    rows = bars(spark, d)
-    return rows.join(F.broadcast(chunks), F.col("date").between(F.col("chunk_start"), F.col("chunk_end"))).groupBy("stock_id").agg(F.count("*").alias("n"))  # a calendar of chunks
+    chunks = quality.date_chunks(spark, "1990-01-01", "2005-12-31", 90)
+    inside = F.col("date").between(F.col("chunk_start"), F.col("chunk_end"))
+    return bars(spark, d).join(F.broadcast(chunks), inside).groupBy("chunk_start", "chunk_end").agg(F.count("*").alias("n"), F.countDistinct("stock_id").alias("stocks"))  # a calendar of chunks
 
 
 # Restriction periods --------------------------------------------------------------------------
@@ -226,9 +226,9 @@ _RISK = f"""WITH p AS (SELECT * FROM bars WHERE date <= DATE '{ASOF}'), w AS (SE
   CASE WHEN count(volume) OVER (PARTITION BY stock_id ORDER BY date ROWS 59 PRECEDING) >= 60 THEN avg(volume) OVER (PARTITION BY stock_id ORDER BY date ROWS 59 PRECEDING) END AS a60,
   CASE WHEN (min(change_pct) OVER (PARTITION BY stock_id ORDER BY date ROWS 2 PRECEDING) > 0 OR max(change_pct) OVER (PARTITION BY stock_id ORDER BY date ROWS 2 PRECEDING) < 0) AND count(change_pct) OVER (PARTITION BY stock_id ORDER BY date ROWS 2 PRECEDING) >= 3 THEN round(sum(change_pct) OVER (PARTITION BY stock_id ORDER BY date ROWS 2 PRECEDING), 2) ELSE 0.0 END AS rs,
   count(*) OVER (PARTITION BY stock_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS n, row_number() OVER (PARTITION BY stock_id ORDER BY date DESC) AS rk FROM p),
-  f AS (SELECT stock_id, greatest(0.0, least(100.0, abs(round((close_price - b) * 100 / b, 2)) / 32 * 100)) AS r1, greatest(0.0, least(100.0, abs(coalesce(change_pct, 0)) / 9.5 * 100)) AS r2, greatest(0.0, least(100.0, (coalesce(round(a6, 4) / round(a60, 4), 0) - 1) / 4 * 100)) AS r3, greatest(0.0, least(100.0, abs(rs) / 18 * 100)) AS r4 FROM w WHERE rk = 1 AND n >= 6),
+  f AS (SELECT stock_id, rs, coalesce(change_pct, 0.0) AS chg, round((close_price - b) * 100 / b, 2) AS cum, coalesce(round(a6, 4) / round(a60, 4), 0.0) AS vr, greatest(0.0, least(100.0, abs(round((close_price - b) * 100 / b, 2)) / 32 * 100)) AS r1, greatest(0.0, least(100.0, abs(coalesce(change_pct, 0)) / 9.5 * 100)) AS r2, greatest(0.0, least(100.0, (coalesce(round(a6, 4) / round(a60, 4), 0) - 1) / 4 * 100)) AS r3, greatest(0.0, least(100.0, abs(rs) / 18 * 100)) AS r4 FROM w WHERE rk = 1 AND n >= 6),
   l AS (SELECT DISTINCT stock_id FROM disp WHERE period_start <= DATE '{ASOF}' AND period_end >= DATE '{ASOF}')
-  SELECT f.stock_id, name, CASE WHEN l.stock_id IS NOT NULL THEN 100.0 ELSE round(r1 * 0.4 + r2 * 0.2 + r3 * 0.2 + r4 * 0.2, 4) END AS score, concat_ws(',', CASE WHEN r1 >= 100 THEN 'R1' END, CASE WHEN r2 >= 100 THEN 'R2' END, CASE WHEN r3 >= 100 THEN 'R3' END, CASE WHEN r4 >= 100 THEN 'R4' END) AS hits, CAST(l.stock_id IS NOT NULL AS INTEGER) AS in_disposition
+  SELECT f.stock_id, name, CASE WHEN l.stock_id IS NOT NULL THEN 100.0 ELSE round(r1 * 0.4 + r2 * 0.2 + r3 * 0.2 + r4 * 0.2, 4) END AS score, concat_ws(', ', CASE WHEN r1 >= 80 THEN 'R1: 6日累積' || printf('%+.1f%%', round(cum, 1)) END, CASE WHEN r2 >= 80 THEN 'R2: 單日' || printf('%+.1f%%', round(chg, 1)) END, CASE WHEN r3 >= 60 AND vr > 0 THEN 'R3: 量能' || printf('%.1fx', round(vr, 1)) END, CASE WHEN r4 >= 60 THEN 'R4: 連3日' || printf('%+.1f%%', round(rs, 1)) END) AS hits, CAST(l.stock_id IS NOT NULL AS INTEGER) AS in_disposition
   FROM f JOIN instruments i ON f.stock_id = i.stock_id LEFT JOIN l ON f.stock_id = l.stock_id ORDER BY score DESC, f.stock_id LIMIT 100"""
 
 
@@ -310,10 +310,15 @@ def a25(spark: SparkSession, d: str) -> DataFrame:
     return margin.maintenance_distribution(adapters.margin(spark, d), bars(spark, d), margin.avg_cost(bars(spark, d), ASOF), stocks(spark, d))
 
 
-@query("x5_margin_scan")
+@query(
+    "x5_margin_scan",
+    COST_ROLL + ", " + _TRIM.format(src="bars", n=60, step=0.35).removeprefix("WITH ")
+    + f""", q AS (SELECT b.stock_id, name, b.date, close_price, balance, coalesce(round(c.cost, 2), avg_close) AS cost FROM bars b JOIN (SELECT stock_id, arg_max(balance, date) AS balance FROM margin GROUP BY 1) m ON b.stock_id = m.stock_id LEFT JOIN rolled c ON b.stock_id = c.stock_id LEFT JOIN trimmed t ON b.stock_id = t.stock_id JOIN instruments i ON b.stock_id = i.stock_id WHERE balance > 0 AND NOT starts_with(b.stock_id, '91') AND b.date = ({_COMPLETE})),
+    p AS (SELECT *, CASE WHEN cost > 0 THEN round(close_price / (cost * 0.6) * 100, 2) END AS ratio FROM q) SELECT *, CASE WHEN ratio IS NULL THEN 'na' WHEN ratio < 130 THEN 'danger' WHEN ratio < 166.67 THEN 'warn' ELSE 'safe' END AS level FROM p""",
+)
 def x5(spark: SparkSession, d: str) -> DataFrame:
     prices, balances = bars(spark, d), adapters.margin(spark, d)
-    rolled = recursive.roll_cost(cost_seed(spark, d).where("stock_id < '5'"), balances, prices)
+    rolled = recursive.roll_cost(cost_seed(spark, d), balances, prices)
     return margin.margin_scan(prices, stocks(spark, d), balances, rolled)
 
 
@@ -376,7 +381,7 @@ def x8(spark: SparkSession, d: str) -> DataFrame:
     prices = bars(spark, d)
     rows = adapters.macro_indicators(spark, d).select("date", F.col("indicator").alias("series"), "value")
     rows = rows.unionByName(prices.where(F.col("stock_id").isin("1", "2", "3", "4", "5", "6")).select("date", F.concat(F.lit("stock "), "stock_id").alias("series"), F.col("close_price").alias("value")))
-    rows = rows.unionByName(flows.breadth_daily(prices, stocks(spark, d), top=20, hot=10).select("date", F.lit("breadth").alias("series"), F.col("score").alias("value")))
+    rows = rows.unionByName(flows.breadth_daily(prices, stocks(spark, d)).select("date", F.lit("breadth").alias("series"), F.col("score").alias("value")))
     return macro.pairwise_correlation(rows)
 
 
@@ -406,7 +411,7 @@ def x20(spark: SparkSession, d: str) -> DataFrame:
 
 _KLINE = """WITH a AS (SELECT *, CASE WHEN lead(date, 4) OVER w - date <= 30 THEN date END AS dense FROM sparse WINDOW w AS (PARTITION BY stock_id ORDER BY date)), a2 AS (SELECT *, min(dense) OVER (PARTITION BY stock_id) AS start FROM a),
   p1 AS (SELECT stock_id, date, 'early' AS reason FROM a2 WHERE start IS NOT NULL AND date < start), l1 AS (SELECT * FROM a2 WHERE start IS NULL OR date >= start),
-  b AS (SELECT *, coalesce(date - lag(date) OVER w, 1000000) > 60 AND coalesce(lead(date) OVER w - date, 1000000) > 60 AND count(*) OVER (PARTITION BY stock_id) > 1 AS lone FROM l1 WINDOW w AS (PARTITION BY stock_id ORDER BY date)),
+  b AS (SELECT *, coalesce(coalesce(date - lag(date) OVER w, 1000000) > 60 AND lead(date) OVER w - date > 60 AND count(*) OVER (PARTITION BY stock_id) >= 3, false) AS lone FROM l1 WINDOW w AS (PARTITION BY stock_id ORDER BY date)),
   p2 AS (SELECT stock_id, date, 'isolated' AS reason FROM b WHERE lone), l2 AS (SELECT *, count(*) OVER s AS n, min(date) OVER s AS d0, max(date) OVER s AS d1 FROM b WHERE NOT lone AND volume > 0 WINDOW s AS (PARTITION BY stock_id, open_price, high_price, low_price, close_price, volume))
   SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT stock_id, date, 'frozen' FROM l2 WHERE n >= 2 AND d1 - d0 >= 30 AND date < d1"""
 

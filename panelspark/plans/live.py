@@ -17,7 +17,7 @@ from .registry import query
 
 
 def streamed(spark: SparkSession, d: str, build) -> DataFrame:
-    """Run a stream job over the events file to its end, then give its table; an input row far in the future flushes the watermark in batch tests."""
+    """Run a stream job over the events file to its end, then give its table. Windows that the watermark has not passed at the end of the input stay open, as they do in a running stream."""
     stream = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "*.parquet").parquet(_folder(d))
     stream = stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props")
     path = f"{_shared(spark)}/live_{uuid.uuid4().hex}"
@@ -31,11 +31,15 @@ def _folder(d: str) -> str:
 
 
 def _shared(spark: SparkSession) -> str:
+    """The shared folder the cluster names in spark.checkpoint.dir; a folder of our own only in local mode (tests)."""
     import tempfile
 
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return sc.getCheckpointDir()
 
 
@@ -102,7 +106,13 @@ def z2(spark: SparkSession, d: str) -> DataFrame:
     return streamed(spark, d, lambda s: quotes.fresh(s, "2024-01-15").select("event_id", "user_id", "value"))
 
 
-@query("z1_stream_alerts")
+_ALERTS = f"""WITH {_ADV}, e AS (SELECT CAST(user_id AS VARCHAR) AS stock_id, ts, CAST(100 * round(value) * 8 AS BIGINT) AS cum_volume, CAST(floor((hour(ts) * 60 + date_part('minute', ts)) * 270 / 1440) AS INTEGER) AS minute, time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE AS window_end FROM events),
+  l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY stock_id, window_end ORDER BY ts DESC, cum_volume DESC, minute DESC) = 1), f AS (SELECT l.*, adv, {_CURVE} AS pct FROM l JOIN adv ON l.stock_id = adv.stock_id WHERE window_end <= {_LATE} AND cum_volume >= 1000 AND adv > 0),
+  g AS (SELECT *, round(cum_volume / pct, 4) AS forecast, round(cum_volume / pct / adv, 4) AS rvol FROM f WHERE pct >= 0.02)
+  SELECT stock_id, window_end, ts, cum_volume, minute, adv, pct, forecast, rvol, CASE WHEN rvol >= 2 THEN 'DANGER' WHEN rvol >= 1.6 THEN 'WARN' ELSE 'OBSERVE' END AS level FROM g WHERE rvol >= 1.3"""
+
+
+@query("z1_stream_alerts", _ALERTS)
 def z1(spark: SparkSession, d: str) -> DataFrame:
     base = volume_base(adapters.intraday_snapshots(spark, d))
 
@@ -127,13 +137,12 @@ def x17(spark: SparkSession, d: str) -> DataFrame:
     return reports.report_index(adapters.table(spark, d, "pages").select(F.col("url").alias("path"), "html"))
 
 
-_PREFIXES = (("small", "compact", 1), ("s", "soft", 2), ("large", "big", 3))
+_PREFIXES = [("small", "compact"), ("s", "soft"), ("large", "big")]
 
 
 @query("f13_prefix_category", "SELECT p_partkey, p_name, CASE WHEN starts_with(p_name, 'small') THEN 'compact' WHEN starts_with(p_name, 's') THEN 'soft' WHEN starts_with(p_name, 'large') THEN 'big' END AS category FROM part")
 def f13(spark: SparkSession, d: str) -> DataFrame:
-    prefixes = spark.createDataFrame(list(_PREFIXES), "prefix string, category string, priority int")
-    return reports.categorise(adapters.table(spark, d, "part").select("p_partkey", "p_name"), "p_name", prefixes)
+    return reports.categorise(adapters.table(spark, d, "part").select("p_partkey", "p_name"), "p_name", _PREFIXES)
 
 
 @query("s15_indicator_manifest", "SELECT indicator, count(*) AS n, min(date) AS first_date, max(date) AS last_date FROM macro GROUP BY 1")

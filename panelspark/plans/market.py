@@ -42,8 +42,12 @@ def a3(spark: SparkSession, d: str) -> DataFrame:
     return flows.sector_summary(bars(spark, d), stocks(spark, d))
 
 
-_LAYER = """SELECT *, CASE WHEN score >= 0.6 THEN 'STRONG' WHEN score >= 0.5 THEN 'BULL' WHEN score >= 0.4 THEN 'NEUTRAL' WHEN score >= 0.25 THEN 'WEAK' ELSE 'CRASH' END AS regime FROM (SELECT *, round(adr / (adr + 1), 4) AS score FROM (SELECT *, n - adv - dec AS unchanged, CASE WHEN dec > 0 THEN round(adv / dec, 3) WHEN adv > 0 THEN 10.0 ELSE 1.0 END AS adr
-  FROM (SELECT date, count(*) AS n, count(*) FILTER (coalesce(change_pct, 0) > 0.1) AS adv, count(*) FILTER (coalesce(change_pct, 0) < -0.1) AS dec, count(*) FILTER (coalesce(change_pct, 0) >= 9.5) AS limit_up, count(*) FILTER (coalesce(change_pct, 0) <= -9.5) AS limit_down FROM bars b JOIN instruments i ON b.stock_id = i.stock_id WHERE market = 'twse' GROUP BY 1)))"""
+def _regime(adr: str) -> str:
+    return f"CASE WHEN {adr} > 2 THEN 'STRONG_BULL' WHEN {adr} > 1 THEN 'BULL' WHEN {adr} > 0.8 THEN 'NEUTRAL' WHEN {adr} > 0.5 THEN 'BEAR' ELSE 'CRASH' END"
+
+
+_LAYER = f"""SELECT *, round(adr / (adr + 1), 4) AS score, {_regime("adr")} AS regime FROM (SELECT *, n - adv - dec AS unchanged, CASE WHEN dec > 0 THEN round(adv / dec, 3) WHEN adv > 0 THEN 10.0 ELSE 1.0 END AS adr
+  FROM (SELECT date, count(*) AS n, count(*) FILTER (coalesce(change_pct, 0) > 0.1) AS adv, count(*) FILTER (coalesce(change_pct, 0) < -0.1) AS dec, count(*) FILTER (coalesce(change_pct, 0) >= 9.5) AS limit_up, count(*) FILTER (coalesce(change_pct, 0) <= -9.5) AS limit_down FROM bars b JOIN instruments i ON b.stock_id = i.stock_id WHERE market = 'twse' AND close_price IS NOT NULL AND volume > 0 GROUP BY 1))"""
 
 
 @query("a4_breadth_layer", _LAYER)
@@ -56,16 +60,17 @@ def _layer(name: str, inside: str) -> str:
 
 
 _ADR = "CASE WHEN {0}_dec > 0 THEN round({0}_adv / {0}_dec, 3) WHEN {0}_adv > 0 THEN 10.0 ELSE 1.0 END AS {0}_adr"
-_BREADTH = f"""WITH r AS (SELECT b.*, coalesce(change_pct, 0.0) AS chg, row_number() OVER (PARTITION BY date ORDER BY trade_value DESC NULLS LAST, b.stock_id) AS v, row_number() OVER (PARTITION BY date ORDER BY volume DESC NULLS LAST, b.stock_id) AS q FROM bars b JOIN instruments i ON b.stock_id = i.stock_id),
-  p AS (SELECT date, count(*) AS n, {_layer("layer", "v <= 20")}, {_layer("hot", "v <= 10 OR q <= 10")}, {_layer("full", "true")} FROM r GROUP BY 1),
+_BREADTH = f"""WITH r AS (SELECT b.*, coalesce(change_pct, 0.0) AS chg, row_number() OVER (PARTITION BY date ORDER BY trade_value DESC NULLS LAST, b.stock_id) AS v, row_number() OVER (PARTITION BY date ORDER BY volume DESC NULLS LAST, b.stock_id) AS q FROM bars b JOIN instruments i ON b.stock_id = i.stock_id WHERE close_price IS NOT NULL AND volume > 0),
+  p AS (SELECT date, count(*) AS n, {_layer("layer", "v <= 200")}, {_layer("hot", "v <= 100 OR q <= 100")}, {_layer("full", "true")} FROM r GROUP BY 1),
   a AS (SELECT *, {", ".join(_ADR.format(x) for x in ("layer", "hot", "full"))} FROM p),
   s AS (SELECT *, {", ".join(f"round({x}_adr / ({x}_adr + 1), 4) AS {x}_score" for x in ("layer", "hot", "full"))} FROM a),
-  breadth AS (SELECT *, CASE WHEN score >= 0.6 THEN 'STRONG' WHEN score >= 0.5 THEN 'BULL' WHEN score >= 0.4 THEN 'NEUTRAL' WHEN score >= 0.25 THEN 'WEAK' ELSE 'CRASH' END AS regime FROM (SELECT *, round(layer_score * 0.4 + hot_score * 0.3 + full_score * 0.3, 6) AS score FROM s))"""
+  t AS (SELECT *, {", ".join(f"{_regime(x + '_adr')} AS {x}_regime" for x in ("layer", "hot", "full"))}, round(round(layer_score * 0.4 + hot_score * 0.3 + full_score * 0.3, 8), 4) AS score, {" + ".join(f"CAST({x}_score > 0.55 AS INTEGER)" for x in ("layer", "hot", "full"))} AS vote_bull, {" + ".join(f"CAST({x}_score < 0.45 AS INTEGER)" for x in ("layer", "hot", "full"))} AS vote_bear FROM s),
+  breadth AS (SELECT *, CASE WHEN vote_bull = 3 AND score > 0.65 THEN 'STRONG_BULL' WHEN vote_bear = 3 AND score < 0.35 THEN 'CRASH' WHEN vote_bull >= 2 AND score > 0.55 THEN 'BULL' WHEN vote_bear >= 2 AND score < 0.45 THEN 'BEAR' ELSE 'NEUTRAL' END AS regime FROM t)"""
 
 
 @query("a5_breadth_daily", f"{_BREADTH} SELECT * FROM breadth")
 def a5(spark: SparkSession, d: str) -> DataFrame:
-    return flows.breadth_daily(bars(spark, d), stocks(spark, d), top=20, hot=10)
+    return flows.breadth_daily(bars(spark, d), stocks(spark, d))
 
 
 @query("a6_breadth_full_market", "SELECT *, round(adr / (adr + 1), 4) AS score FROM (SELECT *, CASE WHEN dec > 0 THEN round(adv / dec, 3) WHEN adv > 0 THEN 10.0 ELSE 1.0 END AS adr FROM (SELECT date, count(*) FILTER (change_pct > 0.1) AS adv, count(*) FILTER (change_pct < -0.1) AS dec, count(*) FILTER (change_pct BETWEEN -0.1 AND 0.1) AS flat FROM bars GROUP BY 1))")

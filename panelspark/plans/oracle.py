@@ -62,4 +62,6 @@ def with_parts(sql: str) -> str:
     if not wanted:
         return sql
     parts = ",\n".join(f"{name} AS ({PARTS[name]})" for name in PARTS if name in wanted)
+    if sql.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {parts},\n{sql.removeprefix('WITH RECURSIVE ')}"
     return f"WITH {parts},\n{sql.removeprefix('WITH ')}" if sql.startswith("WITH ") else f"WITH {parts}\n{sql}"

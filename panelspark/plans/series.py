@@ -69,17 +69,35 @@ def w5(spark: SparkSession, d: str) -> DataFrame:
     return technical.moving_averages(bars(spark, d)).select("stock_id", "date", "sma_5", "sma_20", "sma_60", "boll_upper", "boll_lower")
 
 
-@query("w6_macd")
+_NUMBERED = "n AS MATERIALIZED (SELECT stock_id, date, close_price, high_price, low_price, row_number() OVER (PARTITION BY stock_id ORDER BY date) AS i, max(high_price) OVER (PARTITION BY stock_id ORDER BY date ROWS 8 PRECEDING) AS hi, min(low_price) OVER (PARTITION BY stock_id ORDER BY date ROWS 8 PRECEDING) AS lo, close_price - lag(close_price) OVER (PARTITION BY stock_id ORDER BY date) AS step FROM bars WHERE close_price IS NOT NULL)"
+_MACD = f"""WITH RECURSIVE {_NUMBERED}, r AS (SELECT stock_id, date, i, close_price AS a, close_price AS b, CAST(0 AS DOUBLE) AS s FROM n WHERE i = 1 UNION ALL
+  SELECT n.stock_id, n.date, n.i, r.a * (1 - 2 / 13) + n.close_price * (2 / 13), r.b * (1 - 2 / 27) + n.close_price * (2 / 27), r.s * 0.8 + round(round(r.a * (1 - 2 / 13) + n.close_price * (2 / 13), 2) - round(r.b * (1 - 2 / 27) + n.close_price * (2 / 27), 2), 2) * 0.2 FROM r JOIN n ON n.stock_id = r.stock_id AND n.i = r.i + 1)
+  SELECT stock_id, date, round(a, 2) AS ema_fast, round(b, 2) AS ema_slow, round(round(a, 2) - round(b, 2), 2) AS dif, round(s, 2) AS signal, round(round(round(a, 2) - round(b, 2), 2) - round(s, 2), 2) AS hist FROM r"""
+
+
+@query("w6_macd", _MACD)
 def w6(spark: SparkSession, d: str) -> DataFrame:
     return recursive.macd(bars(spark, d))
 
 
-@query("w7_kd")
+_RSV = "CASE WHEN n.hi > n.lo THEN (n.close_price - n.lo) / (n.hi - n.lo) * 100 ELSE 50.0 END"
+
+
+@query(
+    "w7_kd",
+    f"""WITH RECURSIVE {_NUMBERED}, r AS (SELECT stock_id, CAST(8 AS BIGINT) AS i, CAST(50 AS DOUBLE) AS k, CAST(50 AS DOUBLE) AS d FROM n WHERE i = 8 UNION ALL SELECT n.stock_id, n.i, r.k * (2 / 3) + {_RSV} / 3, r.d * (2 / 3) + (r.k * (2 / 3) + {_RSV} / 3) / 3 FROM r JOIN n ON n.stock_id = r.stock_id AND n.i = r.i + 1)
+    SELECT n.stock_id, n.date, round(k, 2) AS k, round(d, 2) AS d FROM n LEFT JOIN r ON n.stock_id = r.stock_id AND n.i = r.i AND r.i >= 9""",
+)
 def w7(spark: SparkSession, d: str) -> DataFrame:
     return recursive.kd(bars(spark, d))
 
 
-@query("w8_rsi")
+@query(
+    "w8_rsi",
+    f"""WITH RECURSIVE {_NUMBERED}, r AS (SELECT stock_id, CAST(15 AS BIGINT) AS i, sum(greatest(step, 0)) / 14 AS g, sum(greatest(-step, 0)) / 14 AS s FROM n WHERE i BETWEEN 2 AND 15 GROUP BY 1 HAVING count(*) = 14
+    UNION ALL SELECT n.stock_id, n.i, (r.g * 13 + greatest(n.step, 0)) / 14, (r.s * 13 + greatest(-n.step, 0)) / 14 FROM r JOIN n ON n.stock_id = r.stock_id AND n.i = r.i + 1)
+    SELECT n.stock_id, n.date, round(CASE WHEN s = 0 THEN 100.0 ELSE 100 - 100 / (1 + g / s) END, 2) AS rsi FROM n LEFT JOIN r ON n.stock_id = r.stock_id AND n.i = r.i""",
+)
 def w8(spark: SparkSession, d: str) -> DataFrame:
     return recursive.rsi(bars(spark, d))
 
@@ -107,22 +125,22 @@ def _rank_sql(n: int, value: str, got: str) -> str:
     return f"SELECT stock_id, date, CASE WHEN {value} IS NOT NULL THEN {got} END AS pctile FROM (SELECT stock_id, date, {value}, list({value}) FILTER ({value} IS NOT NULL) {_w(n)} AS a FROM bars)"
 
 
-@query("w11_percentile_weak", _rank_sql(52, "change_pct", "round(len(list_filter(a, lambda v: v <= change_pct)) * 100.0 / len(a), 4)"))
+@query("w11_percentile_weak", _rank_sql(250, "change_pct", "round(len(list_filter(a, lambda v: v <= change_pct)) * 100.0 / len(a), 4)"))
 def w11(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(technical.rolling_percentile(bars(spark, d), "change_pct", 52).select("stock_id", "date", "pctile"), "pctile")
+    return rounded(technical.rolling_percentile(bars(spark, d), "change_pct", 250).select("stock_id", "date", "pctile"), "pctile")
 
 
-@query("w12_percentile_strict", _rank_sql(51, "close_price", "CASE WHEN len(a) >= 21 THEN round(len(list_filter(a, lambda v: v < close_price)) * 100.0 / len(a), 1) ELSE 50.0 END"))
+@query("w12_percentile_strict", _rank_sql(251, "close_price", "CASE WHEN len(a) >= 21 THEN round(len(list_filter(a, lambda v: v < close_price)) * 100.0 / len(a), 1) ELSE 50.0 END"))
 def w12(spark: SparkSession, d: str) -> DataFrame:
-    return technical.rolling_percentile(bars(spark, d), "close_price", 51, "strict", least=21).select("stock_id", "date", "pctile")
+    return technical.rolling_percentile(bars(spark, d), "close_price", 251, "strict", least=21).select("stock_id", "date", "pctile")
 
 
 _MEAN_RANK = "CASE WHEN len(a) >= 39 THEN (len(list_filter(a, lambda v: v < close_price)) + (len(list_filter(a, lambda v: v = close_price)) + 1) / 2.0) / len(a) END"
 
 
-@query("w13_rank_mean", _rank_sql(39, "close_price", f"round({_MEAN_RANK}, 4)"))
+@query("w13_rank_mean", _rank_sql(189, "close_price", f"round({_MEAN_RANK.replace('39', '189')}, 4)"))
 def w13(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(technical.rolling_percentile(bars(spark, d), "close_price", 39, "mean").select("stock_id", "date", "pctile"), "pctile")
+    return rounded(technical.rolling_percentile(bars(spark, d), "close_price", 189, "mean").select("stock_id", "date", "pctile"), "pctile")
 
 
 @query("w14_cume_dist", "SELECT indicator AS series, date, value, round(cume_dist() OVER (PARTITION BY indicator ORDER BY value) * 100, 1) AS pctile FROM macro")
@@ -159,10 +177,10 @@ def w16(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "w17_flow_zscore",
-    f"SELECT stock_id, date, round(z, 4) AS z, round(greatest(0.0, least(1.0, 0.5 + z / 4)), 4) AS subscore FROM (SELECT stock_id, date, CASE WHEN s > 0 THEN -(foreign_buy - m) / s END AS z FROM (SELECT *, avg(foreign_buy) {_w(52)} AS m, stddev_pop(foreign_buy) {_w(52)} AS s FROM flows))".replace("round(greatest(0.0, least(1.0, 0.5 + z / 4)), 4)", "CASE WHEN z IS NULL THEN 0.0 + greatest(0.0, least(1.0, NULL)) ELSE round(greatest(0.0, least(1.0, 0.5 + z / 4)), 4) END"),
+    f"SELECT stock_id, date, round(z, 4) AS z, round(greatest(0.0, least(1.0, 0.5 + z / 4)), 4) AS subscore FROM (SELECT stock_id, date, CASE WHEN s > 0 THEN -(foreign_buy - m) / s END AS z FROM (SELECT *, avg(foreign_buy) {_w(250)} AS m, stddev_pop(foreign_buy) {_w(250)} AS s FROM flows))".replace("round(greatest(0.0, least(1.0, 0.5 + z / 4)), 4)", "CASE WHEN z IS NULL THEN 0.0 + greatest(0.0, least(1.0, NULL)) ELSE round(greatest(0.0, least(1.0, 0.5 + z / 4)), 4) END"),
 )
 def w17(spark: SparkSession, d: str) -> DataFrame:
-    return technical.pressure(adapters.institutional(spark, d), "foreign_buy", 52).select("stock_id", "date", "z", "subscore")
+    return technical.pressure(adapters.institutional(spark, d), "foreign_buy", 250).select("stock_id", "date", "z", "subscore")
 
 
 @query(
@@ -296,7 +314,13 @@ def cost_seed(spark: SparkSession, d: str) -> DataFrame:
     return bars(spark, d).groupBy("stock_id").agg(F.min_by("close_price", "date").alias("cost"), F.min("date").alias("seed_date"))
 
 
-@query("w28_roll_cost")
+COST_ROLL = """WITH RECURSIVE seeds AS (SELECT stock_id, arg_min(close_price, date) AS cost, min(date) AS seed_date FROM bars GROUP BY 1),
+  d AS MATERIALIZED (SELECT m.stock_id, buy, balance, close_price, cost, row_number() OVER (PARTITION BY m.stock_id ORDER BY m.date) AS i FROM margin m JOIN bars b ON m.stock_id = b.stock_id AND m.date = b.date JOIN seeds s ON m.stock_id = s.stock_id WHERE m.date > seed_date),
+  roll AS (SELECT stock_id, CAST(0 AS BIGINT) AS i, cost FROM d WHERE i = 1 UNION ALL SELECT d.stock_id, d.i, CASE WHEN d.balance > 0 AND d.buy IS NOT NULL AND d.close_price IS NOT NULL THEN r.cost + least(1.0, greatest(0.0, d.buy / d.balance)) * (d.close_price - r.cost) ELSE r.cost END FROM roll r JOIN d ON d.stock_id = r.stock_id AND d.i = r.i + 1 WHERE d.i <= 400),
+  rolled AS (SELECT stock_id, arg_max(cost, i) AS cost, max(i) AS days FROM roll GROUP BY 1)"""
+
+
+@query("w28_roll_cost", COST_ROLL + " SELECT stock_id, round(cost, 4) AS cost, days FROM rolled")
 def w28(spark: SparkSession, d: str) -> DataFrame:
     return rounded(recursive.roll_cost(cost_seed(spark, d), adapters.margin(spark, d), bars(spark, d)), "cost")
 

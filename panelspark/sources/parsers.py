@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.functions.exprs import compact_date, lots, number, roc_date
+from panelspark.functions.exprs import lots, number, roc_date
 
 _CELLS = r"(?s)<t[dh][^>]*>(.*?)</t[dh]>"
 
@@ -45,14 +45,20 @@ def parse_institutional(raw: DataFrame, columns: tuple[int, int, int]) -> DataFr
 _OPTION = "date string, code string, contract string, strike string, cp string, open string, high string, low string, close string, volume string, settlement string, oi string, bid string, ask string, best_bid string, best_ask string, x1 string, session string, x2 string, change string, change_pct string"
 
 
-def read_option_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Daily option file in Big5: regular session of the index option only, rows of at least 21 cells.
+def big5(text: str) -> str:
+    """How a reader of single bytes sees Big5 text. Spark's readers take few encodings, but no Big5 byte is a comma, quote or line end."""
+    return text.encode("big5").decode("latin-1")
 
-    The session's reader refuses Big5 unless spark.sql.legacy.javaCharsets is true.
-    """
-    rows = spark.read.schema(_OPTION).options(header="true", encoding="Big5", enforceSchema="true").csv(path).where("change_pct IS NOT NULL")
-    rows = rows.where((F.trim("code") == "TXO") & (F.trim("session") == "一般"))
-    side = F.when(F.trim("cp") == "買權", "C").when(F.trim("cp") == "賣權", "P")
+
+def _read_big5(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).options(header="true", encoding="ISO-8859-1", escape="\0", enforceSchema="true").csv(path)
+
+
+def read_option_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Daily option file in Big5: regular session of the index option only, rows of at least 21 cells."""
+    rows = _read_big5(spark, path, _OPTION).where("change_pct IS NOT NULL")
+    rows = rows.where((F.trim("code") == "TXO") & (F.trim("session") == big5("一般")))
+    side = F.when(F.trim("cp") == big5("買權"), "C").when(F.trim("cp") == big5("賣權"), "P")
     whole = lambda c: number(F.col(c), kind="long")
     return rows.select(F.to_date(F.trim("date"), "yyyy/MM/dd").alias("date"), F.trim("contract").alias("contract"), number(F.col("strike")).alias("strike"), side.alias("cp"), *[number(F.col(c)).alias(c) for c in ("close", "settlement", "change", "change_pct")], whole("volume").alias("volume"), whole("oi").alias("oi"))
 
@@ -62,7 +68,7 @@ _TRADERS = "date string, code string, name string, month string, trader_type str
 
 def read_large_trader_csv(spark: SparkSession, path: str) -> DataFrame:
     """Large-trader file in Big5: the all-months rows of trader types 0 and 1; '-' counts as 0."""
-    rows = spark.read.schema(_TRADERS).options(header="true", encoding="Big5", enforceSchema="true").csv(path)
+    rows = _read_big5(spark, path, _TRADERS)
     rows = rows.where((F.trim("month") == "999999") & F.trim("trader_type").isin("0", "1"))
     named = {"b5": "top5_buy", "s5": "top5_sell", "b10": "top10_buy", "s10": "top10_sell", "oi": "market_oi"}
     return rows.select(F.to_date(F.trim("date"), "yyyy/MM/dd").alias("date"), F.trim("code").alias("product_code"), F.trim("trader_type").cast("int").alias("trader_type"), *[number(F.col(c), zero=True, kind="long").alias(n) for c, n in named.items()])
@@ -134,8 +140,3 @@ def explode_margin_snapshots(raw: DataFrame) -> DataFrame:
     """Rows of {code: [buy, balance]} payloads; of two payloads with a code on one date the later (by part) wins. raw: date, part, payload."""
     m = raw.select("date", "part", F.explode(F.from_json("payload", "map<string, array<bigint>>")).alias("stock_id", "v"))
     return m.groupBy("date", "stock_id").agg(F.max_by("v", "part").alias("v")).select("date", "stock_id", F.get("v", 0).alias("buy"), F.get("v", 1).alias("balance"))
-
-
-def large_numbers_date(c: str) -> F.Column:
-    """Compact dates of option expiries."""
-    return compact_date(F.col(c))

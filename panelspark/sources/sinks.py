@@ -30,8 +30,9 @@ def upsert_partitions(base_path: str, updates: DataFrame, keys: list[str], parti
         merged = updates
     else:
         merged = upsert(old.join(touched, partition, "left_semi"), updates, keys, mode)
-    merged = merged.checkpoint() if spark.sparkContext.getCheckpointDir() else merged.cache()
-    merged.count()
+    if spark.sparkContext.getCheckpointDir() is None:
+        raise ValueError("set a checkpoint folder: the partitions are overwritten that these rows are read from")
+    merged = merged.checkpoint()
     merged.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(base_path)
 
 

@@ -30,7 +30,7 @@ def fresh(quotes: DataFrame, day: str) -> DataFrame:
 
 def latest_per_window(snapshots: DataFrame, length: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Newest cumulative volume per instrument and window; cumulative counters are never summed. snapshots: stock_id, ts, cum_volume, minute."""
-    newest = F.max_by(F.struct("ts", "cum_volume", "minute"), "ts").alias("s")
+    newest = F.max(F.struct("ts", "cum_volume", "minute")).alias("s")
     return snapshots.withWatermark("ts", late).groupBy(F.window("ts", length), "stock_id").agg(newest).select("stock_id", F.col("window.end").alias("window_end"), "s.*")
 
 
