@@ -79,6 +79,21 @@ def freshness(tables: dict[str, DataFrame], calendar: DataFrame) -> DataFrame:
     return out.join(late, "name", "left").withColumn("lag", F.coalesce("lag", F.lit(0))).withColumn("status", F.when(F.col("lag") <= 1, "ok").when(F.col("lag") <= 3, "warn").otherwise("error"))
 
 
+def coverage(prices: DataFrame, stocks: DataFrame, dates: int = 10) -> DataFrame:
+    """Share of the instruments that have a close, on each of the last dates."""
+    last = prices.select("date").distinct().orderBy(F.desc("date")).limit(dates)
+    known = stocks.agg(F.count("*").alias("stocks"))
+    per = prices.where("close_price IS NOT NULL").join(F.broadcast(last), "date").groupBy("date").agg(F.count("*").alias("n"))
+    return per.join(F.broadcast(known)).withColumn("coverage", F.round(F.col("n") * 100.0 / F.col("stocks"), 2))  # one row
+
+
+def indicator_freshness(macro: DataFrame) -> DataFrame:
+    """Per indicator: rows, last date, and by how many days it lags the newest one: ok, warn or error."""
+    per = macro.groupBy("indicator").agg(F.count("*").alias("n"), F.max("date").alias("last_date"))
+    lag = F.datediff(F.max("last_date").over(Window.partitionBy()), "last_date")  # one row an indicator
+    return per.withColumn("lag", lag).withColumn("status", F.when(F.col("lag") <= 1, "ok").when(F.col("lag") <= 3, "warn").otherwise("error"))
+
+
 def business_days(spark: SparkSession, start: str, end: str) -> DataFrame:
     """Weekdays from start to end."""
     return spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("date")).where(F.weekday("date") < 5)

@@ -438,6 +438,16 @@ def x14(spark: SparkSession, d: str) -> DataFrame:
     return quality.bar_checks(bars(spark, d), stocks(spark, d), net(spark, d))
 
 
+@query("x14_coverage", "WITH last AS (SELECT DISTINCT date FROM bars ORDER BY date DESC LIMIT 10), k AS (SELECT count(*) AS stocks FROM instruments) SELECT date, count(*) AS n, any_value(stocks) AS stocks, round(count(*) * 100.0 / any_value(stocks), 2) AS coverage FROM bars, k WHERE date IN (SELECT date FROM last) AND close_price IS NOT NULL GROUP BY 1")
+def x14c(spark: SparkSession, d: str) -> DataFrame:
+    return quality.coverage(bars(spark, d), stocks(spark, d))
+
+
+@query("x14_indicator_freshness", "SELECT indicator, count(*) AS n, max(date) AS last_date, CAST((SELECT max(date) FROM macro) - max(date) AS INTEGER) AS lag, CASE WHEN (SELECT max(date) FROM macro) - max(date) <= 1 THEN 'ok' WHEN (SELECT max(date) FROM macro) - max(date) <= 3 THEN 'warn' ELSE 'error' END AS status FROM macro GROUP BY 1")
+def x14d(spark: SparkSession, d: str) -> DataFrame:
+    return quality.indicator_freshness(adapters.macro_indicators(spark, d))
+
+
 @query(
     "x14_freshness",
     "WITH cal AS (SELECT DISTINCT date FROM bars), t AS (SELECT 'bars' AS name, date FROM bars UNION ALL SELECT 'announcements', announce_date FROM disp UNION ALL SELECT 'indicators', date FROM macro), s AS (SELECT name, count(*) AS n, min(date) AS first_date, max(date) AS last_date, count(DISTINCT date) AS days FROM t GROUP BY 1), l AS (SELECT *, (SELECT count(*) FROM cal WHERE cal.date > s.last_date) AS lag FROM s) SELECT *, CASE WHEN lag <= 1 THEN 'ok' WHEN lag <= 3 THEN 'warn' ELSE 'error' END AS status FROM l",

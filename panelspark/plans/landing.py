@@ -67,7 +67,7 @@ def s3(spark: SparkSession, d: str) -> DataFrame:
     return parsers.parse_institutional(rows_payload(flows, "date", cells), (2, 3, 4))
 
 
-@query("s4_option_csv", "SELECT date, contract, strike, cp, strike / 100 AS close, CAST(NULL AS DOUBLE) AS settlement, -5.0 AS change, -1.5 AS change_pct, oi * 3 AS volume, oi FROM options".replace("-5.0", "CAST(-5.0 AS DOUBLE)").replace("-1.5", "CAST(-1.5 AS DOUBLE)"))
+@query("s4_option_csv", "SELECT date, contract, strike, cp, strike / 100 AS close, CAST(NULL AS DOUBLE) AS settlement, CAST(-5 AS DOUBLE) AS change, CAST(-1.5 AS DOUBLE) AS change_pct, oi * 3 AS volume, oi FROM options")
 def s4(spark: SparkSession, d: str) -> DataFrame:
     say = lambda s: F.lit(parsers.big5(s))
     sessions = F.explode(F.array(say("一般"), say("盤後")))
@@ -101,9 +101,9 @@ def s6(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "s7_stock_futures_map",
-    r"""SELECT DISTINCT 'B' || k AS product_code, lpad(k, 4, '0') AS stock_id, CASE WHEN even THEN '小型' ELSE '' END || p_brand AS product_name, CAST(even AS INTEGER) AS is_mini, CAST(k < 10 AS INTEGER) * 0 AS is_etf,
-    CASE WHEN even THEN 0.1 ELSE 2.0 END AS lots_per_contract, coalesce(name, 'listed') AS stock_name FROM (SELECT p_brand, CAST(regexp_extract(p_brand, '(\d+)', 1) AS INTEGER) AS n, lpad(regexp_extract(p_brand, '(\d+)', 1), 2, '0') AS k, CAST(regexp_extract(p_brand, '(\d+)', 1) AS INTEGER) % 2 = 0 AS even FROM part) p
-    LEFT JOIN (SELECT lpad(stock_id, 4, '0') AS id, name FROM instruments WHERE length(stock_id) <= 4) i ON i.id = '0' || '9' || k""".replace("lpad(k, 4, '0') AS stock_id", "'09' || k AS stock_id").replace("CAST(k < 10 AS INTEGER) * 0 AS is_etf", "0 AS is_etf"),
+    r"""SELECT DISTINCT 'B' || k AS product_code, '09' || k AS stock_id, CASE WHEN even THEN '小型' ELSE '' END || p_brand AS product_name, CAST(even AS INTEGER) AS is_mini, 0 AS is_etf, CASE WHEN even THEN 0.1 ELSE 2.0 END AS lots_per_contract, coalesce(name, 'listed') AS stock_name
+    FROM (SELECT p_brand, lpad(n, 2, '0') AS k, CAST(n AS INTEGER) % 2 = 0 AS even FROM (SELECT p_brand, regexp_extract(p_brand, '(\d+)', 1) AS n FROM part)) p
+    LEFT JOIN (SELECT lpad(stock_id, 4, '0') AS id, name FROM instruments WHERE length(stock_id) <= 4) i ON i.id = '09' || k""",
 )
 def s7(spark: SparkSession, d: str) -> DataFrame:
     number = F.lpad(F.regexp_extract("p_brand", r"(\d+)", 1), 2, "0")

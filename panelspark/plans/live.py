@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import exprs
@@ -44,13 +44,20 @@ def _shared(spark: SparkSession) -> str:
 
 
 _CURVE = "CASE WHEN minute <= 0 THEN 0.0667 " + " ".join(f"WHEN minute <= {m1} THEN {p0} + (minute - {m0}) * {(p1 - p0) / (m1 - m0)!r}" for (m0, p0), (m1, p1) in zip(exprs.CURVE, exprs.CURVE[1:], strict=False)) + " ELSE 1.0 END"
-_ADV = "adv AS (SELECT stock_id, avg(v) AS adv FROM (SELECT stock_id, CAST(snapshot_ts AS DATE) AS day, CAST(max(cum_volume) AS DOUBLE) / 4 AS v FROM snaps GROUP BY 1, 2) GROUP BY 1)"
+#: The day of the forecasts.
+DAY = "2024-01-15"
+_DAYS = "days AS (SELECT stock_id, CAST(snapshot_ts AS DATE) AS date, max(cum_volume) AS volume FROM snaps GROUP BY 1, 2)"
+_ADV = f"{_DAYS}, adv AS (SELECT stock_id, avg(volume) AS adv FROM (SELECT *, row_number() OVER (PARTITION BY stock_id ORDER BY date DESC) AS rk FROM days WHERE date < DATE '{DAY}' AND volume > 0) WHERE rk <= 20 GROUP BY 1 HAVING count(*) >= 10)"
 
 
-def volume_base(snapshots: DataFrame) -> DataFrame:
-    """A quarter of each instrument's mean day volume, as the base the forecasts are compared with."""
-    days = snapshots.groupBy("stock_id", F.col("snapshot_ts").cast("date").alias("day")).agg((F.max("cum_volume").cast("double") / 4).alias("v"))
-    return days.groupBy("stock_id").agg(F.avg("v").alias("adv"))
+def day_volumes(snapshots: DataFrame) -> DataFrame:
+    """Each instrument's volume per day, as its last cumulative count."""
+    return snapshots.groupBy("stock_id", F.col("snapshot_ts").cast("date").alias("date")).agg(F.max("cum_volume").alias("volume"))
+
+
+def volume_base(snapshots: DataFrame, asof: str = DAY) -> DataFrame:
+    """Each instrument's average volume of the last 20 days before asof."""
+    return margin.adv(day_volumes(snapshots), asof)
 
 
 @query(
@@ -65,10 +72,13 @@ def x16(spark: SparkSession, d: str) -> DataFrame:
     return found.select("stock_id", "minute", "cum_volume", "forecast", "rvol", "level").orderBy(F.desc("rvol"), "stock_id").limit(50)
 
 
-@query("x16_market_forecast", f"WITH l AS (SELECT *, CAST(snapshot_ts AS DATE) AS day FROM snaps QUALIFY row_number() OVER (PARTITION BY stock_id, CAST(snapshot_ts AS DATE) ORDER BY snapshot_ts DESC, event_id DESC) = 1), r AS (SELECT day, CAST(sum(cum_volume) AS DOUBLE) AS cum, max(minute) AS minute FROM l GROUP BY 1), p AS (SELECT *, {_CURVE} AS pct FROM r), f AS (SELECT *, (cum / pct) * pct + 3000000.0 * (1 - pct) AS forecast, sqrt((1 - pct) / pct) * 0.15 AS s FROM p) SELECT day, round(forecast, 4) AS forecast, round(CASE WHEN pct >= 1 THEN forecast ELSE greatest(0.0, forecast * (1 - 1.645 * s)) END, 4) AS low, round(CASE WHEN pct >= 1 THEN forecast ELSE forecast * (1 + 1.645 * s) END, 4) AS high FROM f")
+@query("x16_market_forecast", f"WITH l AS (SELECT *, CAST(snapshot_ts AS DATE) AS day FROM snaps QUALIFY row_number() OVER (PARTITION BY stock_id, CAST(snapshot_ts AS DATE) ORDER BY snapshot_ts DESC, event_id DESC) = 1), {_DAYS}, m AS (SELECT date AS day, avg(total) OVER (ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS prior FROM (SELECT date, CAST(sum(volume) AS DOUBLE) AS total FROM days GROUP BY 1)), r AS (SELECT day, CAST(sum(cum_volume) AS DOUBLE) AS cum, max(minute) AS minute FROM l GROUP BY 1), p AS (SELECT r.*, prior, {_CURVE} AS pct FROM r JOIN m ON r.day = m.day WHERE prior IS NOT NULL), f AS (SELECT *, (cum / pct) * pct + prior * (1 - pct) AS forecast, sqrt((1 - pct) / pct) * 0.15 AS s FROM p) SELECT day, round(forecast, 4) AS forecast, round(CASE WHEN pct >= 1 THEN forecast ELSE greatest(0.0, forecast * (1 - 1.645 * s)) END, 4) AS low, round(CASE WHEN pct >= 1 THEN forecast ELSE forecast * (1 + 1.645 * s) END, 4) AS high FROM f")
 def x16b(spark: SparkSession, d: str) -> DataFrame:
     snapshots = adapters.intraday_snapshots(spark, d).withColumn("day", F.col("snapshot_ts").cast("date")).withColumn("key", F.concat_ws("|", "stock_id", "day"))
-    return quotes.market_forecast(joins.latest_per_key(snapshots, "key", ["snapshot_ts", "event_id"]), 3_000_000.0)
+    totals = day_volumes(snapshots).groupBy(F.col("date").alias("day")).agg(F.sum("volume").cast("double").alias("total"))
+    before = Window.orderBy("day").rowsBetween(-20, -1)  # one row a day
+    prior = totals.select("day", F.avg("total").over(before).alias("prior")).where("prior IS NOT NULL")
+    return quotes.market_forecast(joins.latest_per_key(snapshots, "key", ["snapshot_ts", "event_id"]), prior)
 
 
 _HOURS = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, user_id, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, count(*) AS n FROM events GROUP BY 1, 2"
@@ -106,7 +116,7 @@ def z2(spark: SparkSession, d: str) -> DataFrame:
     return streamed(spark, d, lambda s: quotes.fresh(s, "2024-01-15").select("event_id", "user_id", "value"))
 
 
-_ALERTS = f"""WITH {_ADV}, e AS (SELECT CAST(user_id AS VARCHAR) AS stock_id, ts, CAST(100 * round(value) * 8 AS BIGINT) AS cum_volume, CAST(floor((hour(ts) * 60 + date_part('minute', ts)) * 270 / 1440) AS INTEGER) AS minute, time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE AS window_end FROM events),
+_ALERTS = f"""WITH {_ADV}, e AS (SELECT CAST(user_id AS VARCHAR) AS stock_id, ts, CAST(100 * round(value) * 8 AS BIGINT) AS cum_volume, CAST(floor((hour(ts) * 60 + date_part('minute', ts)) * 270 / 1440) AS INTEGER) AS minute, time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE AS window_end FROM events WHERE CAST(ts AS DATE) >= DATE '{DAY}'),
   l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY stock_id, window_end ORDER BY ts DESC, cum_volume DESC, minute DESC) = 1), f AS (SELECT l.*, adv, {_CURVE} AS pct FROM l JOIN adv ON l.stock_id = adv.stock_id WHERE window_end <= {_LATE} AND cum_volume >= 1000 AND adv > 0),
   g AS (SELECT *, round(cum_volume / pct, 4) AS forecast, round(cum_volume / pct / adv, 4) AS rvol FROM f WHERE pct >= 0.02)
   SELECT stock_id, window_end, ts, cum_volume, minute, adv, pct, forecast, rvol, CASE WHEN rvol >= 2 THEN 'DANGER' WHEN rvol >= 1.6 THEN 'WARN' ELSE 'OBSERVE' END AS level FROM g WHERE rvol >= 1.3"""
@@ -117,7 +127,7 @@ def z1(spark: SparkSession, d: str) -> DataFrame:
     base = volume_base(adapters.intraday_snapshots(spark, d))
 
     def build(stream: DataFrame) -> DataFrame:
-        snaps = stream.select(F.col("user_id").cast("string").alias("stock_id"), "ts", (100 * F.round("value") * 8).cast("long").alias("cum_volume"), F.floor((F.hour("ts") * 60 + F.minute("ts")) * 270 / 1440).cast("int").alias("minute"))
+        snaps = stream.where(F.col("ts").cast("date") >= F.lit(DAY).cast("date")).select(F.col("user_id").cast("string").alias("stock_id"), "ts", (100 * F.round("value") * 8).cast("long").alias("cum_volume"), F.floor((F.hour("ts") * 60 + F.minute("ts")) * 270 / 1440).cast("int").alias("minute"))
         return quotes.forecast(quotes.latest_per_window(snaps), base)
 
     return streamed(spark, d, build)

@@ -45,10 +45,11 @@ def forecast(latest: DataFrame, adv: DataFrame, least_lots: int = 1000, least_pc
     return rows.withColumn("level", volume_level(F.col("rvol"))).where("level <> 'NONE'")
 
 
-def market_forecast(latest: DataFrame, prior: float) -> DataFrame:
-    """Blend of the market's cumulative volume and a prior, with an interval: one row per window or day."""
+def market_forecast(latest: DataFrame, prior: DataFrame) -> DataFrame:
+    """Blend of the market's cumulative volume and the day's prior (day, prior), with an interval: one row per day that has one."""
     rows = latest.groupBy("day").agg(F.sum("cum_volume").cast("double").alias("cum"), F.max("minute").alias("minute")).withColumn("pct", pct_done(F.col("minute")))
-    value = bayes_blend(F.col("cum"), F.col("pct"), F.lit(prior))
+    rows = rows.join(prior, "day")
+    value = bayes_blend(F.col("cum"), F.col("pct"), F.col("prior"))
     low, high = forecast_ci(F.col("forecast"), F.col("pct"))
     return rows.withColumn("forecast", value).select("day", F.round("forecast", 4).alias("forecast"), F.round(low, 4).alias("low"), F.round(high, 4).alias("high"))
 
