@@ -93,10 +93,17 @@ def s5(spark: SparkSession, d: str) -> DataFrame:
     return parsers.read_large_trader_csv(spark, path)
 
 
-@query("s6_holder_table", "SELECT stock_id, sca_date, band, band_label, holders, shares, pct FROM holders WHERE (stock_id, sca_date) IN (SELECT (stock_id, sca_date) FROM holders WHERE band BETWEEN 1 AND 15 GROUP BY stock_id, sca_date HAVING count(DISTINCT band) = 15)")
+@query(
+    "s6_holder_table",
+    """WITH h AS (SELECT stock_id, DATE '1998-08-01' AS sca_date, band, 'band ' || band AS band_label, CAST(sum(holders) AS BIGINT) AS holders, CAST(sum(shares) AS BIGINT) AS shares, CAST(0.5 AS DOUBLE) AS pct FROM holders WHERE band <= 15 GROUP BY stock_id, band)
+    SELECT * FROM h WHERE stock_id IN (SELECT stock_id FROM h GROUP BY stock_id HAVING count(*) = 15)""",
+)
 def s6(spark: SparkSession, d: str) -> DataFrame:
-    cells = [text("band"), F.concat(F.lit("<b>"), "band_label", F.lit("</b>")), grouped("holders"), grouped("shares"), text("pct")]
-    return parsers.parse_holder_table(html_rows(adapters.holder_distribution(spark, d), ["stock_id", "sca_date"], cells))
+    """One page per nation over all months, as single months seldom have all bands; pages that lack one are left out."""
+    day = F.lit("1998-08-01").cast("date").alias("sca_date")
+    bands = adapters.holder_distribution(spark, d).where("band <= 15").groupBy("stock_id", day, "band").agg(F.sum("holders").alias("holders"), F.sum("shares").alias("shares"))
+    cells = [text("band"), F.concat(F.lit("<b>band "), text("band"), F.lit("</b>")), grouped("holders"), grouped("shares"), F.lit("0.5%")]
+    return parsers.parse_holder_table(html_rows(bands, ["stock_id", "sca_date"], cells))
 
 
 @query(
