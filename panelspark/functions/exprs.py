@@ -83,6 +83,15 @@ def disposition_interval(action: Column) -> Column:
     return out
 
 
+def restriction_matching(action: Column) -> tuple[Column, Column]:
+    """Minutes between matchings and label of a restriction, by its ordinal; null minutes and the text itself for others."""
+    rules = (("人工", 60, F.lit("人工管制·每60分撮合")), ("第一次", 5, F.lit("第一次處置·每5分撮合")), ("第二次", 20, F.lit("第二次處置·每20分撮合")), *((w, 20, F.concat(action, F.lit("·每20分撮合"))) for w in ("第三次", "第四次", "第五次")))
+    minutes, label = F.when(F.lit(False), 0), F.when(F.lit(False), F.lit(""))
+    for word, n, text in rules:
+        minutes, label = minutes.when(F.contains(action, F.lit(word)), n), label.when(F.contains(action, F.lit(word)), text)
+    return minutes, label.otherwise(action)
+
+
 def contract_label(contract: Column) -> Column:
     """'202604W2' to '2026/04 W2', '202604' to '2026/04'."""
     week = F.substring(contract, 7, 2)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.exprs import restriction_matching
+
 CHAIN = ("date", "contract")
 
 
@@ -39,6 +41,19 @@ def option_chain(options: DataFrame) -> DataFrame:
     return rows.select(*CHAIN, "strike", "call_oi", "put_oi", *[(F.col("strike") == F.col(m)).cast("int").alias(f"is_{m}") for m in ("resistance", "support", "max_pain")])
 
 
+def option_table(quotes: DataFrame) -> DataFrame:
+    """One row per strike with call and put structs (close, change, change_pct, volume, oi) and the marks of option_chain.
+
+    quotes: date, contract, strike, cp, close, change, change_pct, volume, oi, expiry. A missing side has null prices and zero counts.
+    """
+    fields = ("close", "change", "change_pct", "volume", "oi")
+    side = lambda cp: F.max(F.when(F.col("cp") == cp, F.struct(*fields)))
+    rows = quotes.groupBy(*CHAIN, "strike").agg(side("C").alias("c"), side("P").alias("p"))
+    shown = lambda s, out: F.struct(*[F.col(f"{s}.{f}").alias(f) if f not in ("volume", "oi") else F.coalesce(f"{s}.{f}", F.lit(0)).alias(f) for f in fields]).alias(out)
+    marks = option_chain(quotes).drop("call_oi", "put_oi")
+    return rows.select(*CHAIN, "strike", shown("c", "call"), shown("p", "put")).join(marks, [*CHAIN, "strike"])
+
+
 def default_contract(options: DataFrame) -> DataFrame:
     """Per date the contract with the nearest expiry not before it, else the last one."""
     rows = options.select("date", "contract", "expiry").distinct()
@@ -96,6 +111,28 @@ def futures_basis(futures: DataFrame, realtime: DataFrame, prices: DataFrame, st
     return rows.withColumn("status", status).select("stock_id", "name", "product_code", "futures_price", "spot", "spot_stale", "basis", "basis_pct", "status", "restricted").orderBy(F.desc_nulls_last("basis_pct"), "stock_id")
 
 
+def basis_report(futures: DataFrame, realtime: DataFrame, prices: DataFrame, stocks: DataFrame, restricted: DataFrame) -> DataFrame:
+    """futures_basis with the restriction in force, its matching interval and label; no basis without a spot above zero.
+
+    restricted: stock_id, period_start, period_end, action; of several the one that began last, then the greatest action.
+    """
+    one = restricted.groupBy("stock_id").agg(F.max(F.struct("period_start", "action", "period_end")).alias("r")).select("stock_id", "r.*")
+    rows = futures_basis(futures, realtime, prices, stocks, one.select("stock_id")).join(one, "stock_id", "left")
+    priced = (F.col("spot") != 0) & F.col("futures_price").isNotNull()
+    basis = F.when(priced, F.col("futures_price") - F.col("spot"))
+    status = F.when(basis > 0, "contango").when(basis < 0, "backwardation").when(basis == 0, "flat").otherwise("no_spot")
+    minutes, label = restriction_matching(F.col("action"))
+    return rows.select(
+        "stock_id", "name", "product_code", "futures_price", "spot", "spot_stale", F.round(F.round(basis, 6), 2).alias("basis"), F.round(F.round(F.try_divide(basis * 100, F.col("spot")), 7), 3).alias("basis_pct"), status.alias("status"), "restricted", "period_start", "period_end", minutes.alias("match_minutes"), label.alias("match_label")
+    ).orderBy(F.desc_nulls_last("basis_pct"), "stock_id")
+
+
+def basis_counts(rows: DataFrame) -> DataFrame:
+    """How many rows of basis_report have each status, a restriction, and a live or stale spot: one row."""
+    stale = (F.col("spot_stale") == 1) & F.col("spot").isNotNull()
+    return rows.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("contango", "backwardation", "flat", "no_spot")], F.count_if(F.col("restricted") == 1).alias("restricted"), F.count_if(F.col("spot_stale") == 0).alias("spot_realtime"), F.count_if(stale).alias("spot_stale"), F.count("*").alias("total"))
+
+
 def night_session_spread(rows: DataFrame) -> DataFrame:
     """Close of the busiest contract per session; each night against the same or the latest earlier day session.
 

@@ -141,18 +141,18 @@ def realised_vol(df: DataFrame, n: int = 20, key: str = "stock_id") -> DataFrame
 
 
 def pressure(df: DataFrame, col: str, n: int, key: str = "stock_id") -> DataFrame:
-    """Negative z-score over n rows, and its sub-score clip(.5 + z / 4, 0, 1)."""
+    """Negative z-score over n rows, and its sub-score clip(.5 + z / 4, 0, 1), neutral at .5 without a z-score."""
     w = last_rows(n, key)
     deviation = F.stddev_pop(col).over(w)
     z = F.when(deviation > 0, -(F.col(col) - F.avg(col).over(w)) / deviation)
-    return df.withColumn("z", F.round(z, 4)).withColumn("subscore", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + z / 4)), 4))
+    return df.withColumn("z", F.round(z, 4)).withColumn("subscore", F.when(z.isNull(), 0.5).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + z / 4)), 4)))
 
 
 def momentum(df: DataFrame, col: str, back: int = 5, key: str = "stock_id") -> DataFrame:
-    """Percent change over `back` non-null values, and its sub-score clip(.5 + d / 8, 0, 1)."""
+    """Percent change over `back` non-null values, and its sub-score clip(.5 + d / 8, 0, 1), neutral at .5 without a change."""
     rows = df.where(F.col(col).isNotNull())
     d = F.try_divide((F.col(col) - F.lag(col, back).over(by(key))) * 100, F.lag(col, back).over(by(key)))
-    return rows.withColumn("d", F.round(d, 4)).withColumn("subscore", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + d / 8)), 4))
+    return rows.withColumn("d", F.round(d, 4)).withColumn("subscore", F.when(d.isNull(), 0.5).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + d / 8)), 4)))
 
 
 def unwind(df: DataFrame, col: str, baseline: str, key: str = "series") -> DataFrame:
@@ -164,6 +164,14 @@ def unwind(df: DataFrame, col: str, baseline: str, key: str = "series") -> DataF
     return out.withColumns({"excess_now": F.round(F.col("current") - F.col("base_value"), 4), "excess_peak": F.round(F.col("peak") - F.col("base_value"), 4), "unwound": F.round(F.try_divide(F.col("peak") - F.col("current"), F.col("peak") - F.col("base_value")), 4)})
 
 
+def unwind_daily(df: DataFrame, col: str, baseline: str, key: str = "series") -> DataFrame:
+    """Per date from the baseline on: the share of the highest rise over the baseline that is still there; 0 before any rise."""
+    rows = df.where((F.col("date") >= F.lit(baseline).cast("date")) & F.col(col).isNotNull())
+    so_far = by(key).rowsBetween(Window.unboundedPreceding, 0)
+    base, peak = F.first(col).over(so_far), F.max(col).over(so_far)
+    return rows.withColumn("remaining", F.round(F.coalesce(F.try_divide(F.col(col) - base, F.nullif(peak - base, F.lit(0.0))), F.lit(0.0)), 4))
+
+
 def last_valid(df: DataFrame, col: str, key: str) -> DataFrame:
     return df.where(F.col(col).isNotNull()).groupBy(key).agg(F.max("date").alias("date"), F.max_by(col, "date").alias(col))
 
@@ -268,21 +276,25 @@ def complete_date(prices: DataFrame, share: float = 0.9, lookback: int = 8) -> D
 
 
 def lag_corr(df: DataFrame, x: str, y: str, key: str = "series", lags: int = 5, least: int = 5) -> DataFrame:
-    """Pearson correlation of x with y shifted by -lags .. lags rows, per key."""
+    """Pearson correlation of x with y `lag` rows later, for lags -lags .. lags, per key: positive lags where x leads."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    shifted = F.array(*[F.struct(F.lit(k).alias("lag"), (F.lag(y, k) if k >= 0 else F.lead(y, -k)).over(by(key)).alias("v")) for k in range(-lags, lags + 1)])
+    shifted = F.array(*[F.struct(F.lit(k).alias("lag"), (F.lead(y, k) if k >= 0 else F.lag(y, -k)).over(by(key)).alias("v")) for k in range(-lags, lags + 1)])
     pairs = rows.withColumn("_p", shifted).select(key, F.col(x).alias("_x"), F.explode("_p").alias("p")).select(key, "_x", "p.lag", "p.v").where(F.col("v").isNotNull())
     return pairs.groupBy(key, "lag").agg(F.count("*").alias("n"), F.round(F.coalesce(F.nanvl(F.corr("_x", "v"), F.lit(0.0)), F.lit(0.0)), 4).alias("r")).where(F.col("n") >= least)
 
 
 def granger_lite(df: DataFrame, x: str, y: str, key: str = "series", lags: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """How much a blend with x's recent mean lowers the squared error of predicting y by its own recent mean, in percent."""
+    """How much a blend with x's recent mean lowers the squared error of predicting y by its own recent mean, in percent.
+
+    0 where y's own mean makes no error; a key needs 10 rows more than the lag.
+    """
     out = None
     for k in lags:
         w = by(key).rowsBetween(-k, -1)
-        rows = df.withColumns({"_y": F.avg(y).over(w), "_x": F.avg(x).over(w), "_n": F.count(y).over(w)}).where(F.col("_n") >= k)
+        whole = F.count(y).over(Window.partitionBy(key))
+        rows = df.withColumns({"_y": F.avg(y).over(w), "_x": F.avg(x).over(w), "_n": F.count(y).over(w), "_all": whole}).where((F.col("_n") >= k) & (F.col("_all") >= k + 10))
         error = rows.groupBy(key).agg(F.avg(F.pow(F.col(y) - F.col("_y"), 2)).alias("a"), F.avg(F.pow(F.col(y) - (0.7 * F.col("_y") + 0.3 * F.col("_x")), 2)).alias("b"))
-        one = error.select(key, F.lit(k).alias("lag"), F.round(F.try_divide((F.col("a") - F.col("b")) * 100, F.col("a")), 2).alias("improvement"))
+        one = error.select(key, F.lit(k).alias("lag"), F.round(F.coalesce(F.try_divide((F.col("a") - F.col("b")) * 100, F.col("a")), F.lit(0.0)), 2).alias("improvement"))
         out = one if out is None else out.unionByName(one)
     return out
 

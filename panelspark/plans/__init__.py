@@ -1,6 +1,6 @@
 """All registered queries and their oracle SQL."""
 
-from . import events, landing, live, market, series  # noqa: F401
+from . import composites, events, landing, live, market, series  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -25,9 +25,12 @@ def t1(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("stock_id", "name", "market", "date", "close_price", "change_pct", "volume", "break_5", "break_20").orderBy(F.desc_nulls_last("change_pct"), "stock_id").limit(50)
 
 
-def screener(prices: DataFrame, names: DataFrame, inst: DataFrame, flags: DataFrame, min_vol: int | None = None, min_price: float | None = None, max_price: float | None = None, min_change: float | None = None, max_change: float | None = None, foreign: int | None = None, break_n: int | None = None, market: str | None = None, limit: int = 200) -> DataFrame:
-    """Instruments of the newest date that pass all active filters; none without any. A zero price or volume bound counts as absent."""
-    tests = []
+def screener(prices: DataFrame, names: DataFrame, inst: DataFrame, flags: DataFrame, min_vol: int | None = None, min_price: float | None = None, max_price: float | None = None, min_change: float | None = None, max_change: float | None = None, foreign: int | None = None, sitc: int | None = None, consec_foreign: int | None = None, break_n: int | None = None, market: str | None = None, limit: int = 200) -> DataFrame:
+    """Instruments of the newest date that pass all active filters; none without any. A zero price or volume bound counts as absent.
+
+    foreign and sitc: 1 for buying, -1 for selling; consec_foreign alone only makes the other filters count as active; market 'all' is none.
+    """
+    tests = [F.lit(True)] if consec_foreign else []
     if min_vol:
         tests.append(F.col("volume") >= min_vol)
     if min_price:
@@ -40,9 +43,11 @@ def screener(prices: DataFrame, names: DataFrame, inst: DataFrame, flags: DataFr
         tests.append(F.col("change_pct") <= max_change)
     if foreign:
         tests.append(F.col("foreign_buy") * foreign > 0)
+    if sitc:
+        tests.append(F.col("sitc_buy") * sitc > 0)
     if break_n in technical.DAYS:
         tests.append(F.col(f"break_{break_n}") == 1)
-    if market:
+    if market and market != "all":
         tests.append(F.col("market") == market)
     rows = prices.join(F.broadcast(prices.agg(F.max("date").alias("date"))), "date").join(names, "stock_id")  # one date
     rows = rows.join(inst, ["stock_id", "date"], "left").join(flags.drop("close_price", "volume", "change_pct"), ["stock_id", "date"], "left")
@@ -385,17 +390,6 @@ def x8(spark: SparkSession, d: str) -> DataFrame:
     return macro.pairwise_correlation(rows)
 
 
-@query(
-    "x9_deleveraging_index",
-    "WITH m AS (SELECT date, sum(foreign_buy) AS f, sum(total_buy) AS t FROM flows GROUP BY 1), z AS (SELECT date, CASE WHEN stddev_pop(f) OVER w > 0 THEN -(f - avg(f) OVER w) / stddev_pop(f) OVER w END AS z, t - lag(t, 5) OVER (ORDER BY date) AS d, lag(t, 5) OVER (ORDER BY date) AS b FROM m WINDOW w AS (ORDER BY date ROWS 51 PRECEDING)) SELECT date, round(CASE WHEN z IS NULL THEN 0.0 ELSE round(greatest(0.0, least(1.0, 0.5 + z / 4)), 4) END * 60 + CASE WHEN d IS NULL OR b = 0 THEN 1.0 ELSE round(greatest(0.0, least(1.0, 0.5 + (d * 100.0 / b) / 8)), 4) END * 40, 2) AS score FROM z",
-)
-def x9(spark: SparkSession, d: str) -> DataFrame:
-    market = net(spark, d).groupBy("date").agg(F.sum("foreign_buy").alias("f"), F.sum("total_buy").alias("t")).withColumn("series", F.lit("market"))
-    z = technical.pressure(market, "f", 52, key="series").select("date", F.lit("pressure").alias("part"), F.when(F.col("z").isNull(), 0.0).otherwise(F.col("subscore")).alias("score"))
-    m = technical.momentum(market, "t", 5, key="series").select("date", F.lit("momentum").alias("part"), F.col("subscore").alias("score"))
-    return macro.deleveraging_index(z.unionByName(m), {"pressure": 60.0, "momentum": 40.0})
-
-
 @query(
     "x20_pair_strength",
     """WITH q AS (SELECT CAST(ts AS DATE) AS date, CAST(hour(ts) AS INTEGER) AS minute, event_type, round(avg(value), 4) AS price FROM events GROUP BY 1, 2, 3), c AS (SELECT date, minute, event_type, (price - first_value(price) OVER w) * 100 / first_value(price) OVER w AS c FROM q WINDOW w AS (PARTITION BY event_type, date ORDER BY minute ROWS UNBOUNDED PRECEDING)),

@@ -44,6 +44,7 @@ PARTS: dict[str, str] = {
     "margin1": "SELECT stock_id, date, buy, short_balance, CAST(sum(q) OVER (PARTITION BY stock_id ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS BIGINT) AS balance FROM margin0",
     "margin": "SELECT *, 2 * max(balance) OVER (PARTITION BY stock_id) AS \"limit\" FROM margin1",
     "macro": "SELECT CAST(ts AS DATE) AS date, event_type AS indicator, round(avg(value), 6) AS value FROM events GROUP BY 1, 2",
+    "macro5": "SELECT date, CASE indicator WHEN 'click' THEN 'T10Y3M' WHEN 'error' THEN 'CP_SPREAD' WHEN 'view' THEN 'DOLLAR' WHEN 'purchase' THEN 'COR3M' ELSE 'MOVE' END AS indicator, round(CASE indicator WHEN 'click' THEN value / 5 - 10 WHEN 'error' THEN value / 10 - 4.5 WHEN 'view' THEN value WHEN 'purchase' THEN value / 2 ELSE value * 2 END, 4) AS value FROM macro",
     "snaps": "SELECT CAST(user_id AS VARCHAR) AS stock_id, ts AS snapshot_ts, event_id, CAST(sum(100 * round(value)) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum_volume, CAST(floor((hour(ts) * 60 + minute(ts)) * 270 / 1440) AS INTEGER) AS minute, value AS last_price FROM events",
 }
 

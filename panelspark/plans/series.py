@@ -177,7 +177,7 @@ def w16(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "w17_flow_zscore",
-    f"SELECT stock_id, date, round(z, 4) AS z, round(greatest(0.0, least(1.0, 0.5 + z / 4)), 4) AS subscore FROM (SELECT stock_id, date, CASE WHEN s > 0 THEN -(foreign_buy - m) / s END AS z FROM (SELECT *, avg(foreign_buy) {_w(250)} AS m, stddev_pop(foreign_buy) {_w(250)} AS s FROM flows))".replace("round(greatest(0.0, least(1.0, 0.5 + z / 4)), 4)", "CASE WHEN z IS NULL THEN 0.0 + greatest(0.0, least(1.0, NULL)) ELSE round(greatest(0.0, least(1.0, 0.5 + z / 4)), 4) END"),
+    f"SELECT stock_id, date, round(z, 4) AS z, round(greatest(0.0, least(1.0, 0.5 + z / 4)), 4) AS subscore FROM (SELECT stock_id, date, CASE WHEN s > 0 THEN -(foreign_buy - m) / s END AS z FROM (SELECT *, avg(foreign_buy) {_w(250)} AS m, stddev_pop(foreign_buy) {_w(250)} AS s FROM flows))".replace("round(greatest(0.0, least(1.0, 0.5 + z / 4)), 4)", "CASE WHEN z IS NULL THEN 0.5 ELSE round(greatest(0.0, least(1.0, 0.5 + z / 4)), 4) END"),
 )
 def w17(spark: SparkSession, d: str) -> DataFrame:
     return technical.pressure(adapters.institutional(spark, d), "foreign_buy", 250).select("stock_id", "date", "z", "subscore")
@@ -185,7 +185,7 @@ def w17(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "w18_momentum",
-    "SELECT stock_id, date, round(m, 4) AS d, CASE WHEN m IS NULL THEN 1.0 ELSE round(greatest(0.0, least(1.0, 0.5 + m / 8)), 4) END AS subscore FROM (SELECT *, (close_price - p) * 100 / p AS m FROM (SELECT *, lag(close_price, 5) OVER (PARTITION BY stock_id ORDER BY date) AS p FROM bars))",
+    "SELECT stock_id, date, round(m, 4) AS d, CASE WHEN m IS NULL THEN 0.5 ELSE round(greatest(0.0, least(1.0, 0.5 + m / 8)), 4) END AS subscore FROM (SELECT *, (close_price - p) * 100 / p AS m FROM (SELECT *, lag(close_price, 5) OVER (PARTITION BY stock_id ORDER BY date) AS p FROM bars))",
 )
 def w18(spark: SparkSession, d: str) -> DataFrame:
     return technical.momentum(bars(spark, d), "close_price").select("stock_id", "date", "d", "subscore")
@@ -347,7 +347,7 @@ def w31(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "w32_lag_corr",
     """WITH p AS (SELECT b.stock_id, b.date, change_pct AS x, CAST(foreign_buy AS DOUBLE) AS y FROM bars b JOIN flows f ON b.stock_id = f.stock_id AND b.date = f.date WHERE change_pct IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY stock_id ORDER BY date) AS i FROM p)
-    SELECT a.stock_id AS series, k AS lag, count(*) AS n, round(coalesce(CASE WHEN isnan(corr(a.x, b.y)) THEN 0 ELSE corr(a.x, b.y) END, 0), 4) AS r FROM r a JOIN range(-5, 6) t(k) ON true JOIN r b ON a.stock_id = b.stock_id AND b.i = a.i - k GROUP BY 1, 2 HAVING count(*) >= 5""",
+    SELECT a.stock_id AS series, k AS lag, count(*) AS n, round(coalesce(CASE WHEN isnan(corr(a.x, b.y)) THEN 0 ELSE corr(a.x, b.y) END, 0), 4) AS r FROM r a JOIN range(-5, 6) t(k) ON true JOIN r b ON a.stock_id = b.stock_id AND b.i = a.i + k GROUP BY 1, 2 HAVING count(*) >= 5""",
 )
 def w32(spark: SparkSession, d: str) -> DataFrame:
     rows = bars(spark, d).join(adapters.institutional(spark, d), ["stock_id", "date"]).select(F.col("stock_id").alias("series"), "date", F.col("change_pct").alias("x"), F.col("foreign_buy").cast("double").alias("y"))
@@ -358,7 +358,7 @@ def w32(spark: SparkSession, d: str) -> DataFrame:
     "w33_granger_lite",
     "WITH p AS (SELECT b.stock_id, b.date, CAST(volume AS DOUBLE) AS x, CAST(foreign_buy AS DOUBLE) AS y FROM bars b JOIN flows f ON b.stock_id = f.stock_id AND b.date = f.date) "
     + " UNION ALL ".join(
-        f"SELECT stock_id AS series, {k} AS lag, round((avg(pow(y - my, 2)) - avg(pow(y - (0.7 * my + 0.3 * mx), 2))) * 100 / nullif(avg(pow(y - my, 2)), 0), 2) AS improvement FROM (SELECT *, avg(y) OVER w AS my, avg(x) OVER w AS mx, count(y) OVER w AS n FROM p WINDOW w AS (PARTITION BY stock_id ORDER BY date ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING)) WHERE n >= {k} GROUP BY 1"
+        f"SELECT stock_id AS series, {k} AS lag, round(coalesce((avg(pow(y - my, 2)) - avg(pow(y - (0.7 * my + 0.3 * mx), 2))) * 100 / nullif(avg(pow(y - my, 2)), 0), 0), 2) AS improvement FROM (SELECT *, avg(y) OVER w AS my, avg(x) OVER w AS mx, count(y) OVER w AS n, count(y) OVER (PARTITION BY stock_id) AS total FROM p WINDOW w AS (PARTITION BY stock_id ORDER BY date ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING)) WHERE n >= {k} AND total >= {k + 10} GROUP BY 1"
         for k in (1, 2, 3)
     ),
 )

@@ -146,6 +146,23 @@ def macro_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.col("ts").cast("date").alias("date"), F.col("event_type").alias("indicator")).agg(F.round(F.avg("value"), 6).alias("value"))
 
 
+def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five rate series per day, each from one event type, scaled to the range of its thresholds."""
+    kind, v = F.col("indicator"), F.col("value")
+    name = F.when(kind == "click", "T10Y3M").when(kind == "error", "CP_SPREAD").when(kind == "view", "DOLLAR").when(kind == "purchase", "COR3M").otherwise("MOVE")
+    scaled = F.when(kind == "click", v / 5 - 10).when(kind == "error", v / 10 - 4.5).when(kind == "view", v).when(kind == "purchase", v / 2).otherwise(v * 2)
+    return macro_indicators(spark, sf_dir).select("date", name.alias("indicator"), F.round(scaled, 4).alias("value"))
+
+
+def option_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """option_daily with a close, its change from 100 and a volume per strike and side."""
+    lineitem = table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    rows = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.trunc("l_shipdate", "month").alias("date"), F.col("l_linestatus").alias("contract"), (F.col("p_size") * 100).cast("double").alias("strike"), F.when(F.col("l_returnflag") == "R", "C").otherwise("P").alias("cp"))
+    per = rows.agg(F.round(100 + 1.2 * (F.avg("l_quantity") - 25), 2).alias("close"), F.count("*").alias("volume"), F.sum("l_quantity").cast("long").alias("oi"))
+    return per.withColumns({"change": F.round(F.col("close") - 100, 2), "change_pct": F.round(F.col("close") - 100, 2), "expiry": F.last_day("date")})
+
+
 def intraday_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative volume per user and day; minutes of the day are scaled to a session of 270."""
     return snapshots_of(table(spark, sf_dir, "events"))

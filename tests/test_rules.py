@@ -4,7 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from panelspark.operators import disposition, flows, quality, reports
+from panelspark.functions.exprs import restriction_matching
+from panelspark.operators import derivatives, disposition, flows, macro, quality, reports, technical
 from panelspark.operators.joins import upsert
 
 
@@ -58,3 +59,75 @@ def test_categories_row_by_row(spark):
 def test_upsert_breaks_ties_by_value(spark):
     rows = lambda *r: spark.createDataFrame(list(r), "k string, v long, load_ts long").repartition(3)
     assert [r.v for r in upsert(rows(("a", 9, 1)), rows(("a", 5, 2), ("a", 3, 2), ("a", 4, 2)), ["k"]).collect()] == [3]
+
+
+def test_rate_colours(spark):
+    rows = [("T10Y3M", 1.01, "GREEN"), ("T10Y3M", 1.0, "YELLOW"), ("T10Y3M", 0.0, "RED"), ("CP_SPREAD", 0.29, "GREEN"), ("CP_SPREAD", 0.3, "YELLOW"), ("CP_SPREAD", 0.8, "RED")]
+    rows += [("DOLLAR", 70.0, "YELLOW"), ("DOLLAR", 70.1, "RED"), ("DOLLAR", 29.9, "GREEN"), ("COR3M", 20.0, "YELLOW"), ("COR3M", 30.1, "RED"), ("MOVE", 79.9, "GREEN"), ("MOVE", 120.0, "YELLOW"), ("other", 1.0, None), ("MOVE", None, None)]
+    got = spark.createDataFrame(rows, "k string, v double, want string").select("want", macro.rate_colour(F.col("k"), F.col("v")).alias("got")).collect()
+    assert all(r.got == r.want for r in got)
+
+
+def test_dollar_goes_by_percentile(spark):
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=i), "DOLLAR", float(100 + i)) for i in range(22)]
+    got = {r.date: (r.pctile, r.colour) for r in macro.rate_signals(spark.createDataFrame(rows, "date date, indicator string, value double")).collect()}
+    assert got[dt.date(2020, 1, 20)] == (50.0, "YELLOW") and got[dt.date(2020, 1, 21)] == (95.2, "RED")
+
+
+def test_vote_of_six(spark):
+    first, later = dt.date(2020, 1, 1), dt.date(2020, 1, 2)
+    rows = [(first, "credit", "GREEN"), (first, "breadth", "STRONG_BULL"), (first, "T10Y3M", "GREEN"), (first, "CP_SPREAD", "GREEN"), (first, "DOLLAR", "GREEN"), (later, "credit", "RED"), (later, "CP_SPREAD", "RED")]
+    got = {r.date: r for r in macro.six_vote(spark.createDataFrame(rows, "date date, indicator string, status string")).collect()}
+    r = got[first]  # .15*100 + .25*100 + .2*100 + .15*100 + .1*90 + .15*50 = 91.5, to even 92
+    assert (r.raw, r.position, r.level, r.capped_by, r.greens, r.yellows, r.reds) == (92.0, 92.0, "FULL", "", 5, 1, 0)
+    r = got[later]  # 0 + 25 + 20 + 0 + 9 + 7.5 = 61.5, to even 62; capped at 50, then at 40
+    assert (r.raw, r.position, r.level, r.capped_by, r.greens, r.reds) == (62.0, 40.0, "HALF", "credit,CP_SPREAD", 3, 2)
+
+
+def test_restriction_matching(spark):
+    rows = [("第一次處置", 5, "第一次處置·每5分撮合"), ("第二次", 20, "第二次處置·每20分撮合"), ("第四次處置", 20, "第四次處置·每20分撮合"), ("人工管制第一次", 60, "人工管制·每60分撮合"), ("x", None, "x"), (None, None, None)]
+    minutes, label = restriction_matching(F.col("a"))
+    got = spark.createDataFrame(rows, "a string, m int, l string").select("m", "l", minutes.alias("gm"), label.alias("gl")).collect()
+    assert all((r.gm, r.gl) == (r.m, r.l) for r in got)
+
+
+def test_quote_change(spark):
+    rows = [(99.0, 101.0, 50.0, 80.0, 70.0, 100.0, "ref", 25.0), (0.0, 101.0, 50.0, None, 40.0, 50.0, "open", 25.0), (None, None, 50.0, 0.0, 0.0, 50.0, "open", 0.0)]
+    got = spark.createDataFrame(rows, "bid double, ask double, close double, ref double, open double, p double, s string, c double")
+    price, source, change = macro.quote_change(*[F.col(c) for c in ("bid", "ask", "close", "ref", "open")])
+    assert all((r.p, r.s, r.c) == (r.gp, r.gs, r.gc) for r in got.select("*", price.alias("gp"), source.alias("gs"), change.alias("gc")).collect())
+
+
+def test_positive_lags_lead(spark):
+    x = [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0, 6.0, 5.0, 3.0, 5.0, 8.0]
+    rows = [("s", i, x[i], x[i - 2] if i >= 2 else 0.0) for i in range(len(x))]  # y repeats x two rows later
+    got = {r.lag: r.r for r in technical.lag_corr(spark.createDataFrame(rows, "series string, date int, x double, y double"), "x", "y").collect()}
+    assert got[2] == 1.0 and got[-2] < 0.9
+
+
+def test_scores_without_history_are_neutral(spark):
+    rows = spark.createDataFrame([("s", i, 100.0 + 8 * (i == 6)) for i in range(7)], "series string, date int, v double")
+    assert [r.subscore for r in technical.momentum(rows, "v", key="series").orderBy("date").collect()] == [0.5] * 6 + [1.0]
+    assert technical.pressure(rows.where("date < 6"), "v", 3, key="series").agg(F.collect_set("subscore")).first()[0] == [0.5]
+
+
+def test_remaining_rise(spark):
+    rows = spark.createDataFrame([("s", dt.date(2020, 1, i), v) for i, v in enumerate([9.0, 10.0, 14.0, None, 12.0, 8.0], 1)], "series string, date date, v double")
+    assert [r.remaining for r in technical.unwind_daily(rows, "v", "2020-01-02").orderBy("date").collect()] == [0.0, 1.0, 0.5, -0.5]
+
+
+def test_stress_weights(spark):
+    assert sum(macro.STRESS_WEIGHTS.values()) == 100.0
+    parts = {k: 1.0 for k in macro.STRESS_WEIGHTS} | {"unwind": 0.5, "momentum": 0.25}
+    rows = [(dt.date(2020, 1, 1), k, v) for k, v in parts.items()] + [(dt.date(2020, 1, 2), "rv20", 0.5)]
+    got = {r.date.day: r.score for r in macro.deleveraging_index(spark.createDataFrame(rows, "date date, part string, score double"), macro.STRESS_WEIGHTS).collect()}
+    assert got == {1: 83.0, 2: 4.0}
+
+
+def test_option_table_sides(spark):
+    day = dt.date(2020, 1, 1)
+    rows = [(day, "a", 10.0, "C", 1.5, 0.5, 50.0, 3, 7, day), (day, "a", 20.0, "P", 2.5, None, None, 4, 9, day)]
+    quotes = spark.createDataFrame(rows, "date date, contract string, strike double, cp string, close double, change double, change_pct double, volume long, oi long, expiry date")
+    got = {r.strike: r for r in derivatives.option_table(quotes).collect()}
+    assert tuple(got[10.0].call) == (1.5, 0.5, 50.0, 3, 7) and tuple(got[10.0].put) == (None, None, None, 0, 0)
+    assert (got[10.0].is_resistance, got[20.0].is_resistance, got[20.0].is_support) == (1, 0, 1)
