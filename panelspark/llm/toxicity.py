@@ -284,7 +284,8 @@ def _terms(texts: DataFrame, among: set[str] | None = None) -> DataFrame:
                 found = found if shared.value is None else found & shared.value
                 terms += found
                 alike += [like] * len(found)
-            yield pd.DataFrame({"term": terms, "alike": alike})
+            if terms:  # Arrow refuses an empty column of strings
+                yield pd.DataFrame({"term": terms, "alike": alike})
 
     return texts.select("text").mapInPandas(run, "term string, alike long")
 
