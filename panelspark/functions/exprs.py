@@ -43,10 +43,10 @@ CURVE = ((0, 0.0667), (15, 0.1711), (30, 0.2506), (60, 0.3704), (90, 0.4632), (1
 
 def pct_done(minute: Column, curve: tuple[tuple[int, float], ...] = CURVE) -> Column:
     """Piecewise linear between the curve's points, clamped at its ends."""
-    out = F.when(minute <= curve[0][0], F.lit(curve[0][1]))
+    out = F.when(minute >= curve[-1][0], F.lit(curve[-1][1])).when(minute <= curve[0][0], F.lit(curve[0][1]))
     for (m0, p0), (m1, p1) in zip(curve, curve[1:], strict=False):
         out = out.when(minute <= m1, F.lit(p0) + (minute - m0) * ((p1 - p0) / (m1 - m0)))
-    return out.otherwise(F.lit(curve[-1][1]))
+    return out
 
 
 def bayes_blend(cum: Column, pct: Column, prior: Column) -> Column:

@@ -136,9 +136,10 @@ def basis_counts(rows: DataFrame) -> DataFrame:
 def night_session_spread(rows: DataFrame) -> DataFrame:
     """Close of the busiest contract per session; each night against the same or the latest earlier day session.
 
-    rows: date, session ('day' or 'night'), contract, close, volume. Spread contracts (with '/') do not count.
+    rows: date, session ('day' or 'night'), contract, close, volume. Spread contracts (with '/') and rows without a
+    positive close do not count.
     """
-    busiest = rows.where(~F.col("contract").contains("/")).groupBy("date", "session").agg(F.max_by("close", F.struct("volume", "contract")).alias("close"))
+    busiest = rows.where(~F.col("contract").contains("/") & (F.col("close") > 0)).groupBy("date", "session").agg(F.max_by("close", F.struct("volume", "contract")).alias("close"))
     both = busiest.groupBy("date").agg(F.max(F.when(F.col("session") == "day", F.col("close"))).alias("day_close"), F.max(F.when(F.col("session") == "night", F.col("close"))).alias("night_close")).withColumn("series", F.lit("all"))
     day = F.last("day_close", ignorenulls=True).over(Window.partitionBy("series").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
     return both.withColumn("base", day).where("night_close IS NOT NULL AND base IS NOT NULL").select("date", "night_close", F.col("base").alias("day_close"), F.round(F.col("night_close") - F.col("base"), 4).alias("spread"), F.round(F.try_divide((F.col("night_close") - F.col("base")) * 100, F.col("base")), 2).alias("spread_pct"))

@@ -116,13 +116,23 @@ def concentration(holders: DataFrame, weeks: int = 52) -> DataFrame:
     return per.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= weeks).drop("_rank")
 
 
+def both_ends(df: DataFrame, value: str, limit: int, key: str = "stock_id") -> DataFrame:
+    """The first and the last `limit` rows of one ranking, whatever their sign, tagged buy and sell; a short ranking is on both sides whole."""
+    top = df.orderBy(F.desc(value), key).limit(limit).withColumn("side", F.lit("buy"))
+    return top.unionByName(df.orderBy(F.asc(value), F.desc(key)).limit(limit).withColumn("side", F.lit("sell")))
+
+
 def concentration_change(holders: DataFrame, back: int = 4, limit: int = 50) -> DataFrame:
-    """Change of the large holders' share between the latest snapshot date and the one `back` dates before, both ways."""
+    """Change of the large holders' share between the latest snapshot date and the one `back` dates before: both ends of the ranking.
+
+    A missing share counts as 0; an instrument without rows on either date is left out.
+    """
     now, then = recent_dates(holders, 1, col="sca_date"), recent_dates(holders, 1, col="sca_date", offset=back)
     dates = now.select(F.col("sca_date"), F.lit(1).alias("_now")).unionByName(then.select(F.col("sca_date"), F.lit(0).alias("_now")))
     rows = holders.where(F.col("band").between(11, 15)).join(F.broadcast(dates), "sca_date")  # two dates
-    per = rows.groupBy("stock_id").agg(F.sum(F.when(F.col("_now") == 1, F.col("pct"))).alias("now"), F.sum(F.when(F.col("_now") == 0, F.col("pct"))).alias("then")).dropna()
-    return two_sided(per.select("stock_id", F.round("now", 4).alias("pct_now"), F.round("then", 4).alias("pct_then"), F.round(F.col("now") - F.col("then"), 4).alias("delta")), "delta", limit)
+    share = lambda on: F.sum(F.when(F.col("_now") == on, F.coalesce("pct", F.lit(0.0))))
+    per = rows.groupBy("stock_id").agg(share(1).alias("now"), share(0).alias("then")).dropna()
+    return both_ends(per.select("stock_id", F.round("now", 4).alias("pct_now"), F.round("then", 4).alias("pct_then"), F.round(F.col("now") - F.col("then"), 4).alias("delta")), "delta", limit)
 
 
 def broker_top(broker_trades: DataFrame, k: int = 15) -> DataFrame:

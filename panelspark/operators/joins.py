@@ -29,10 +29,10 @@ def nth_later(df: DataFrame, n: int, columns: list[str], key: str = "stock_id",
 
 
 def align_calendars(a: DataFrame, b: DataFrame, a_col: str, b_col: str, key: str = "series") -> DataFrame:
-    """Both series on the union of their dates, carried forward, from where both have begun."""
-    rows = a.select(key, "date", a_col).join(b.select(key, "date", b_col), [key, "date"], "full")
-    w = Window.partitionBy(key).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in (a_col, b_col)}).dropna(subset=[a_col, b_col])
+    """a's calendar with b's last value at or before each date; dates before b's first value are left out."""
+    known = b.where(F.col(b_col).isNotNull()).select(key, "date", b_col)
+    got = asof_join(a.select(key, "date", a_col), known, key, "date", "date", [b_col])
+    return got.select(key, "date", a_col, F.col(f"matched_{b_col}").alias(b_col)).dropna(subset=[b_col])
 
 
 def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -49,13 +49,6 @@ def position_vote(signals: DataFrame, weights: dict[str, float], caps: dict[tupl
     return out.select("date", "raw", "position", level.alias("level"), count("GREEN").alias("greens"), count("YELLOW").alias("yellows"), count("RED").alias("reds"))
 
 
-def pairwise_correlation(series: DataFrame, least: int = 5) -> DataFrame:
-    """Pearson correlation of all pairs of series over their common dates, with a strength label."""
-    a, b = series.select("date", F.col("series").alias("a"), F.col("value").alias("x")), series.select("date", F.col("series").alias("b"), F.col("value").alias("y"))
-    out = a.join(b, "date").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.coalesce(F.nanvl(F.corr("x", "y"), F.lit(0.0)), F.lit(0.0)), 4).alias("r")).where(F.col("n") >= least)
-    return out.withColumn("strength", F.when(F.abs("r") >= 0.6, "strong").when(F.abs("r") >= 0.3, "moderate").otherwise("weak"))
-
-
 def spread(macro: DataFrame, a: str, b: str) -> DataFrame:
     """Difference of two indicators on their common dates."""
     one = lambda n, out: macro.where(F.col("indicator") == n).select("date", F.col("value").alias(out))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .chunks import in_chunks
 
 
 def _rounded(x: np.ndarray, places: int = 2) -> np.ndarray:
@@ -112,30 +115,81 @@ def lasso(x: np.ndarray, y: np.ndarray, alpha: float, rounds: int = 200) -> np.n
     return w
 
 
-def rolling_lasso_signal(features: DataFrame, columns: list[str], window: int = 756, ahead: int = 20, alpha: float = 0.001, refit: int = 1, lag_target: bool = True) -> DataFrame:
+def lasso_many(grams: np.ndarray, targets: np.ndarray, alpha: float, rounds: int = 200) -> np.ndarray:
+    """lasso() for many Gram matrices at once: each takes the same steps as alone and stops when it has converged."""
+    w = np.zeros_like(targets)
+    active = np.arange(len(targets))
+    g, t, d = grams, targets, np.einsum("fjj->fj", grams)
+    safe = np.where(d > 0, d, 1.0)
+    for _ in range(rounds):
+        if not len(active):
+            break
+        u = w[active]
+        before = u.copy()
+        for j in range(u.shape[1]):
+            rho = t[:, j] - (g[:, j, :] * u).sum(axis=1) + d[:, j] * u[:, j]
+            u[:, j] = np.where(d[:, j] > 0, np.sign(rho) * np.maximum(np.abs(rho) - alpha, 0.0) / safe[:, j], 0.0)
+        w[active] = u
+        going = np.abs(u - before).max(axis=1) >= 1e-9
+        if not going.all():
+            active, g, t, d, safe = active[going], g[going], t[going], d[going], safe[going]
+    return w
+
+
+def window_moments(x: np.ndarray, y: np.ndarray, use: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Count, means, deviations, standardised Gram matrix and target of x and y over rows starts:ends, counting `use` rows only.
+
+    Running sums of the outer products, shifted by the overall means, give each window as a difference of two of them.
+    """
+    p = x.shape[1]
+    shift_x, shift_y = (x[use].mean(axis=0), y[use].mean()) if use.any() else (np.zeros(p), 0.0)
+    z = np.column_stack([np.where(use[:, None], x - shift_x, 0.0), np.where(use, y - shift_y, 0.0)])
+    sums = np.vstack([np.zeros(p + 1), np.cumsum(z, axis=0)])
+    products = np.concatenate([np.zeros((1, p, p + 1)), np.cumsum(z[:, :p, None] * z[:, None, :], axis=0)])
+    counts = np.concatenate([[0], np.cumsum(use)])
+    n = counts[ends] - counts[starts]
+    m = np.maximum(n, 1)[:, None]
+    mean = (sums[ends] - sums[starts]) / m
+    cross = (products[ends] - products[starts]) / m[:, :, None] - mean[:, :p, None] * mean[:, None, :]
+    variance = np.einsum("fjj->fj", cross[:, :, :p])
+    flat = variance <= 1e-18
+    scale = np.where(flat, 1.0, np.sqrt(np.maximum(variance, 0.0)))
+    cross[flat] = 0.0  # a constant column takes no weight
+    gram = cross[:, :, :p] / scale[:, :, None] / scale[:, None, :]
+    gram = np.where(flat[:, None, :], 0.0, gram)
+    return n, mean[:, :p] + shift_x, mean[:, p] + shift_y, scale, gram, cross[:, :, p] / scale
+
+
+def rolling_lasso_signal(features: DataFrame, columns: list[str], window: int = 756, ahead: int = 20, alpha: float = 0.001, refit: int = 1, lag_target: bool = True, chunk: int | None = None) -> DataFrame:
     """Predicted `ahead`-row return from a Lasso on the last `window` rows before each row.
 
-    lag_target leaves out rows whose target looks past the row predicted; without it the newest targets leak.
+    lag_target leaves out rows whose target looks past the row predicted; without it the newest targets leak. A refit
+    whose window has no more complete rows than there are columns gives no prediction until the next one. Histories are
+    cut into chunks that reach back over window, target and refit, so a long one is several tasks.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        x, close = pdf[columns].to_numpy(float), pdf["close_price"].to_numpy(float)
-        y = np.full(len(pdf), np.nan)
-        y[:-ahead] = close[ahead:] / close[:-ahead] - 1 if len(pdf) > ahead else y[:-ahead]
+        pdf = pdf.sort_values("_row")
+        x, close, number = pdf[columns].to_numpy(float), pdf["close_price"].to_numpy(float), pdf["_row"].to_numpy(int)
+        first, count = number[0], len(pdf)
+        y = pdf["_later"].to_numpy(float) / close - 1
         ok = np.isfinite(x).all(axis=1)
-        signal, model = np.full(len(pdf), np.nan), None
-        for i in range(window, len(pdf)):
-            if model is None or (i - window) % refit == 0:
-                end = i - ahead if lag_target else i
-                rows = np.arange(max(0, end - window), max(0, end))
-                rows = rows[ok[rows] & np.isfinite(y[rows])]
-                if len(rows) > len(columns):
-                    mean, scale = x[rows].mean(axis=0), x[rows].std(axis=0)
-                    scale[scale == 0] = 1.0
-                    model = (mean, scale, y[rows].mean(), lasso((x[rows] - mean) / scale, y[rows] - y[rows].mean(), alpha))
-            if model is not None and ok[i]:
-                signal[i] = model[2] + (x[i] - model[0]) / model[1] @ model[3]
-        return pd.DataFrame({"stock_id": pdf["stock_id"], "date": pdf["date"], "close_price": close, "signal": signal})
-
-    return features.select("stock_id", "date", "close_price", *columns).groupBy("stock_id").applyInPandas(run, "stock_id string, date date, close_price double, signal double")
+        wanted = np.flatnonzero(pdf["_own"].to_numpy(bool) & (number >= window))
+        signal = np.full(count, np.nan)
+        if len(wanted):
+            fitted = number[wanted] - (number[wanted] - window) % refit - first  # the refit that serves each row
+            fits, which = np.unique(fitted, return_inverse=True)
+            ends = np.maximum(fits - ahead if lag_target else fits, 0)
+            starts = np.maximum(ends - window, 0)
+            n, mean, middle, scale, gram, target = window_moments(np.where(ok[:, None], x, 0.0), np.nan_to_num(y), ok & np.isfinite(y), starts, ends)
+            enough = n > len(columns)
+            weights = np.zeros_like(target)
+            weights[enough] = lasso_many(gram[enough], target[enough], alpha)
+            got = middle[which] + ((x[wanted] - mean[which]) / scale[which] * weights[which]).sum(axis=1)
+            signal[wanted] = np.where(enough[which] & ok[wanted], got, np.nan)
+        own = pdf["_own"].to_numpy(bool)
+        return pd.DataFrame({"stock_id": pdf["stock_id"], "date": pdf["date"], "close_price": close, "signal": signal})[own]
+
+    later = F.lead("close_price", ahead).over(Window.partitionBy("stock_id").orderBy("date"))
+    rows = in_chunks(features.select("stock_id", "date", "close_price", *columns, later.alias("_later")), "stock_id", window + ahead + refit, size=chunk)
+    return rows.groupBy("stock_id", "_chunk").applyInPandas(run, "stock_id string, date date, close_price double, signal double")

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right, insort
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .chunks import in_chunks
 
 DAYS = (5, 10, 20, 60, 120, 240)
 
@@ -95,24 +102,47 @@ def streak_current(signals: DataFrame, key: str = "series") -> DataFrame:
     return runs.groupBy(key).agg(F.max_by(F.struct("signal", "days", "since"), "_island").alias("r")).select(key, "r.*")
 
 
-def rolling_percentile(df: DataFrame, col: str, n: int, kind: str = "weak", key: str = "stock_id", out: str = "pctile", least: int = 1) -> DataFrame:
-    """Where the current value stands among the last n non-null values, itself included.
+def window_ranks(values: list[float | None], n: int) -> tuple[list[int], list[int], list[int]]:
+    """For each value how many of the last n (itself included, missing ones not counted) are below it, at most it, and there.
+
+    The window is kept sorted: a row costs O(log n) comparisons and one shift of contiguous memory.
+    """
+    kept: list[float] = []
+    below, upto, size = [], [], []
+    for i, v in enumerate(values):
+        if i >= n and values[i - n] is not None:
+            del kept[bisect_left(kept, values[i - n])]
+        if v is not None:
+            insort(kept, v)
+        below.append(0 if v is None else bisect_left(kept, v))
+        upto.append(0 if v is None else bisect_right(kept, v))
+        size.append(len(kept))
+    return below, upto, size
+
+
+def rolling_percentile(df: DataFrame, col: str, n: int, kind: str = "weak", key: str = "stock_id", out: str = "pctile", least: int = 1, chunk: int | None = None) -> DataFrame:
+    """Where the current value stands among the non-null ones of the last n rows, itself included; null for a null.
 
     weak: percent of values <= it; strict: percent of values < it, 50 without `least` values;
     mean: share of values below it with ties at half, null until n values are there.
     """
-    w = last_rows(n, key)
-    values = F.collect_list(col).over(w)
-    size = F.size(values)
-    below = F.size(F.filter(values, lambda v: v < F.col(col)))
-    upto = F.size(F.filter(values, lambda v: v <= F.col(col)))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_row")
+        for name, ranks in zip(("_below", "_upto", "_size"), window_ranks(table[col].to_pylist(), n), strict=True):
+            table = table.append_column(name, pa.array(ranks, pa.int64()))
+        return table.filter(table["_own"]).drop_columns(["_row", "_chunk", "_own"])
+
+    schema = StructType(list(df.schema.fields)).add("_below", "long").add("_upto", "long").add("_size", "long")
+    ranked = in_chunks(df, key, n - 1, size=chunk).groupBy(key, "_chunk").applyInArrow(run, schema)
+    below, upto, size = F.col("_below"), F.col("_upto"), F.col("_size")
     if kind == "weak":
         got = upto * 100.0 / size
     elif kind == "strict":
         got = F.when(size >= least, F.round(below * 100.0 / size, 1)).otherwise(50.0)
     else:
         got = F.when(size >= n, (below + (upto - below + 1) / 2) / size)
-    return df.withColumn(out, F.when(F.col(col).isNotNull(), got))
+    return ranked.withColumn(out, F.when(F.col(col).isNotNull(), got)).drop("_below", "_upto", "_size")
 
 
 def cume_dist_pct(df: DataFrame, col: str, key: str = "series") -> DataFrame:
@@ -189,15 +219,17 @@ def technical_features(bars: DataFrame, returns: tuple[int, ...] = (5, 10, 20, 6
 
 
 def to_position(df: DataFrame, threshold: float = 0.025, regime: int = 200, target: float = 0.16, vol: int = 90, cap: float = 3.0, key: str = "stock_id") -> DataFrame:
-    """Signals beyond the threshold become +-1, only with the trend of a long average, scaled to a target volatility."""
+    """side: signals beyond the threshold become +-1, unless against the long average (while there is one); position: side scaled to a target volatility."""
     c = F.col("close_price")
     rows = df.withColumn("_r", F.try_divide(c, F.lag(c).over(by(key))) - 1)
     trend = F.round(full(c, regime, last_rows(regime, key), F.avg(c).over(last_rows(regime, key))), 6)
     raw = F.when(F.col("signal") > threshold, 1).when(F.col("signal") < -threshold, -1).otherwise(0)
-    allowed = F.when(trend.isNull() | ((raw > 0) & (c < trend)) | ((raw < 0) & (c > trend)), 0).otherwise(raw)
+    allowed = F.when(((raw > 0) & (c < trend)) | ((raw < 0) & (c > trend)), 0).otherwise(raw)
     spread = full(F.col("_r"), vol, last_rows(vol, key), F.stddev_samp("_r").over(last_rows(vol, key))) * F.sqrt(F.lit(252.0))
-    rows = rows.withColumn("_scale", F.try_divide(F.lit(target), spread)).withColumn("_scale", F.last(F.greatest(F.lit(0.0), F.least(F.lit(cap), F.col("_scale"))), ignorenulls=True).over(by(key).rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn("position", F.round(allowed * F.coalesce("_scale", F.lit(0.0)), 6)).drop("_r", "_scale")
+    rows = rows.withColumn("_scale", F.try_divide(F.lit(target), spread))
+    clipped = F.when(F.col("_scale").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(cap), F.col("_scale"))))  # least and greatest pass over nulls
+    rows = rows.withColumn("_scale", F.last(clipped, ignorenulls=True).over(by(key).rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumns({"side": allowed, "position": F.round(allowed * F.coalesce("_scale", F.lit(0.0)), 6)}).drop("_r", "_scale")
 
 
 def strategy_equity(df: DataFrame, cost: float = 0.0005, same_day: bool = False, key: str = "stock_id") -> DataFrame:
@@ -209,40 +241,130 @@ def strategy_equity(df: DataFrame, cost: float = 0.0005, same_day: bool = False,
     return rows.withColumn("equity", F.exp(F.sum(F.log1p("net_ret")).over(by(key).rowsBetween(Window.unboundedPreceding, 0))))
 
 
-def performance_metrics(df: DataFrame, key: str = "stock_id", year: int = 252, least: int = 50) -> DataFrame:
-    """CAGR, volatility, Sharpe, largest drawdown, Calmar, win rate, switches and time in the market per key."""
-    peak = F.max("equity").over(by(key).rowsBetween(Window.unboundedPreceding, 0))
-    rows = df.withColumns({"_dd": F.col("equity") / peak - 1, "_sw": (F.col("position") != F.lag("position").over(by(key))).cast("int"), "_in": (F.col("position") != 0).cast("int")})
-    out = rows.groupBy(key).agg(
-        F.count("*").alias("n"), F.max_by("equity", "date").alias("_end"), F.avg("net_ret").alias("_mean"), F.stddev_samp("net_ret").alias("_sd"), F.min("_dd").alias("max_drawdown"), F.sum("_sw").alias("switches"), F.avg("_in").alias("time_in_market"), F.avg(F.when(F.col("net_ret") != 0, (F.col("net_ret") > 0).cast("int"))).alias("win_rate")
-    ).where(F.col("n") >= least)
-    cagr = F.pow("_end", F.lit(float(year)) / F.col("n")) - 1
-    vol = F.col("_sd") * F.sqrt(F.lit(float(year)))
-    return out.select(
-        key, "n", F.round(cagr, 4).alias("cagr"), F.round(vol, 4).alias("vol"), F.round(F.try_divide(F.col("_mean") * year, vol), 4).alias("sharpe"), F.round("max_drawdown", 4).alias("max_drawdown"), F.round(F.try_divide(cagr, -F.col("max_drawdown")), 4).alias("calmar"), F.round("win_rate", 4).alias("win_rate"), F.coalesce("switches", F.lit(0)).alias("switches"), F.round("time_in_market", 4).alias("time_in_market")
-    )
+STRATEGIES = ("strat", "vol", "bh")
+
+
+def strategy_returns(df: DataFrame, cost: float = 0.0005, key: str = "stock_id") -> DataFrame:
+    """Daily returns of holding the side (strat), the scaled position (vol) and the instrument itself (bh), one row each.
+
+    Yesterday's holding earns today's return, less cost per change of it. An instrument's first bar has no row, nor has
+    one without a return. entered marks a side that is not zero and not the one of the row before.
+    """
+    r = F.try_divide(F.col("close_price"), F.lag("close_price").over(by(key))) - 1
+    before = lambda c: F.lag(c).over(by(key))
+    held = lambda c: F.col("_r") * before(c) - F.abs(F.col(c) - before(c)) * cost
+    rows = df.withColumn("_r", r).withColumns({"strat": held("side"), "vol": held("position"), "bh": F.col("_r")}).where(F.col("_r").isNotNull())
+    changed = (F.col("side") != 0) & F.coalesce(F.col("side") != before("side"), F.lit(True))  # among the rows that are left
+    return rows.withColumn("entered", changed.cast("int")).unpivot([key, "date", "side", "entered"], list(STRATEGIES), "strategy", "ret")
+
+
+def _growth(returns: Column) -> Column:
+    """Summary of an ordered run of returns: product, highest and lowest prefix product, deepest fall from a highest one."""
+    start = F.struct(F.lit(1.0).alias("p"), F.lit(None).cast("double").alias("h"), F.lit(None).cast("double").alias("l"), F.lit(0.0).alias("d"))
+
+    def step(s: Column, r: Column) -> Column:
+        p = s["p"] * (1 + r)
+        h = F.greatest(s["h"], p)
+        return F.struct(p.alias("p"), h.alias("h"), F.least(s["l"], p).alias("l"), F.least(s["d"], p / h - 1).alias("d"))
+
+    return F.aggregate(returns, start, step)
+
+
+def _joined(runs: Column) -> Column:
+    """The same summary of runs that follow one another, from theirs alone: a fall may begin in an earlier run."""
+    start = F.struct(F.lit(1.0).alias("p"), F.lit(None).cast("double").alias("h"), F.lit(0.0).alias("d"))
+
+    def step(s: Column, r: Column) -> Column:
+        across = s["p"] * r["l"] / s["h"] - 1  # null before the first run
+        return F.struct((s["p"] * r["p"]).alias("p"), F.greatest(s["h"], s["p"] * r["h"]).alias("h"), F.least(s["d"], r["d"], across).alias("d"))
+
+    return F.aggregate(runs, start, step)
+
+
+def _figures(daily: DataFrame, key: str, year: int, least: int) -> DataFrame:
+    """Per key and strategy of daily (key, strategy, date, ret, entered, inside, the last two 0 or 1): unrounded figures.
+
+    Histories are summed up per calendar year, in as many tasks, and the years joined by their summaries; no window runs
+    over equity. Figures without a deviation, fall or win are 0.
+    """
+    r = F.col("ret")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("date", r.alias("r")))), lambda v: v["r"])  # a year of one instrument
+    blocks = daily.groupBy(key, "strategy", F.year("date").alias("block")).agg(
+        ordered.alias("_v"), F.count("*").alias("n"), F.sum(r).alias("s"), F.sum(r * r).alias("ss"), F.count_if(r > 0).alias("wins"), F.count_if(r != 0).alias("moves"), F.sum("entered").alias("switches"), F.sum("inside").alias("inside")
+    ).withColumn("g", _growth(F.col("_v"))).drop("_v")
+    runs = F.array_sort(F.collect_list(F.struct("block", "g")))
+    out = blocks.groupBy(key, "strategy").agg(runs.alias("_runs"), *[F.sum(c).alias(c) for c in ("n", "s", "ss", "wins", "moves", "switches", "inside")]).where(F.col("n") >= least)
+    out = out.withColumn("g", _joined(F.transform("_runs", lambda v: v["g"])))
+    n, total, fall = F.col("n"), F.col("g.p"), F.col("g.d")
+    spread = (F.col("ss") - F.col("s") * F.col("s") / n) / (n - 1)
+    sd = F.when(spread > 1e-18, F.sqrt(spread)).otherwise(0.0)
+    cagr = F.when(total > 0, F.pow(total, F.lit(float(year)) / n) - 1).otherwise(-1.0)
+    figures = {
+        "cagr": cagr, "vol": sd * F.sqrt(F.lit(float(year))), "sharpe": F.when(sd > 0, F.col("s") / n / sd * F.sqrt(F.lit(float(year)))).otherwise(0.0), "max_drawdown": fall,
+        "calmar": F.when(fall < 0, cagr / -fall).otherwise(0.0), "win_rate": F.coalesce(F.try_divide(F.col("wins"), F.col("moves")), F.lit(0.0)), "time_in_market": F.col("inside") / n,
+    }
+    return out.select(key, "strategy", "n", "switches", *[F.round(c, 4).alias(name) for name, c in figures.items()])
+
+
+def performance_metrics(df: DataFrame, cost: float = 0.0005, key: str = "stock_id", year: int = 252, least: int = 50) -> DataFrame:
+    """Per key and strategy: CAGR, volatility, Sharpe, largest drawdown, Calmar, win rate, switches and time in the market.
+
+    df: key, date, close_price, side, position. A switch is a change to a side that is not zero. Keys with under `least`
+    returns have no row.
+    """
+    daily = strategy_returns(df, cost, key).withColumn("inside", (F.col("side") != 0).cast("int"))
+    return _figures(daily, key, year, least)
+
+
+def light_backtest(df: DataFrame, cost: float = 0.00005, key: str = "series", year: int = 252, least: int = 252) -> DataFrame:
+    """Being in the market on the days whose signal is green (strat, cost per change) against always (bh): figures per key.
+
+    df: key, date, close_price, signal. The signal counts for its own day; a day without a return earns nothing.
+    """
+    position = F.when(F.col("signal") == "GREEN", 1.0).otherwise(0.0)
+    rows = df.withColumns({"_p": position, "_r": F.try_divide(F.col("close_price"), F.lag("close_price").over(by(key))) - 1})
+    strat = F.coalesce(F.col("_r") * F.col("_p") - cost * F.abs(F.col("_p") - F.lag("_p").over(by(key))), F.lit(0.0))
+    daily = rows.withColumns({"strat": strat, "bh": F.coalesce("_r", F.lit(0.0)), "inside": F.col("_p").cast("int"), "entered": F.lit(0)}).unpivot([key, "date", "inside", "entered"], ["strat", "bh"], "strategy", "ret")
+    return _figures(daily, key, year, least).drop("switches", "win_rate")
 
 
 def trades(df: DataFrame, cost: float = 0.0005, key: str = "stock_id") -> DataFrame:
     """Runs of one non-zero side as trades; a trade leaves at the first bar of the next run, so an open last run counts not."""
-    side = F.signum("position")
-    rows = df.withColumn("_side", side).withColumn("_run", F.sum(F.coalesce((F.col("_side") != F.lag("_side").over(by(key))).cast("int"), F.lit(1))).over(by(key).rowsBetween(Window.unboundedPreceding, 0)))
-    runs = rows.groupBy(key, "_run").agg(F.first("_side").alias("side"), F.min("date").alias("entry_date"), F.min_by("close_price", "date").alias("entry_price"), F.count("*").alias("bars"))
+    changed = F.coalesce((F.col("side") != F.lag("side").over(by(key))).cast("int"), F.lit(1))
+    rows = df.withColumn("_run", F.sum(changed).over(by(key).rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.groupBy(key, "_run").agg(F.first("side").alias("side"), F.min("date").alias("entry_date"), F.min_by("close_price", "date").alias("entry_price"), F.count("*").alias("bars"))
     after = Window.partitionBy(key).orderBy("_run")
     closed = runs.withColumns({"exit_date": F.lead("entry_date").over(after), "exit_price": F.lead("entry_price").over(after)}).where((F.col("side") != 0) & F.col("exit_date").isNotNull())
-    return closed.withColumn("pnl", F.round(F.col("side") * (F.col("exit_price") / F.col("entry_price") - 1) - 2 * cost, 6)).drop("_run")
+    return closed.withColumn("pnl", F.col("side") * (F.col("exit_price") - F.col("entry_price")) / F.col("entry_price") - 2 * cost).drop("_run")
 
 
 def trade_summary(closed: DataFrame, key: str = "stock_id") -> DataFrame:
-    wins, losses = F.col("pnl") > 0, F.col("pnl") <= 0
-    out = closed.groupBy(key).agg(F.count("*").alias("trades"), F.avg(wins.cast("int")).alias("_wr"), F.avg(F.when(wins, F.col("pnl"))).alias("_aw"), F.avg(F.when(losses, F.col("pnl"))).alias("_al"), F.avg("pnl").alias("_e"), F.count_if(F.col("side") > 0).alias("longs"), F.count_if(F.col("side") < 0).alias("shorts"))
-    return out.select(key, "trades", F.round("_wr", 4).alias("win_rate"), F.round(F.try_divide(F.col("_aw"), -F.col("_al")), 4).alias("payoff"), F.round("_e", 6).alias("expectancy"), "longs", "shorts")
+    """Per key: trades, wins and losses (a result of 0 is neither), their rate, means, payoff and expectancy, holding time, extremes, and both sides."""
+    pnl, side = F.col("pnl"), F.col("side")
+    mean = lambda c: F.coalesce(F.avg(F.when(c, pnl)), F.lit(0.0))
+    out = closed.groupBy(key).agg(
+        F.count("*").alias("trades"), F.count_if(pnl > 0).alias("wins"), F.count_if(pnl < 0).alias("losses"), mean(pnl > 0).alias("_w"), mean(pnl < 0).alias("_l"), F.avg("bars").alias("_hold"), F.max(pnl).alias("_best"), F.min(pnl).alias("_worst"),
+        F.count_if(side > 0).alias("longs"), F.count_if(side < 0).alias("shorts"), F.count_if((side > 0) & (pnl > 0)).alias("_lw"), F.count_if((side < 0) & (pnl > 0)).alias("_sw"),
+    )
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    wr = share(F.col("wins"), F.col("wins") + F.col("losses"))
+    six = lambda c, name: F.round(c, 6).alias(name)
+    return out.select(
+        key, "trades", "wins", "losses", F.round(wr, 4).alias("win_rate"), six(F.col("_w"), "avg_win"), six(F.col("_l"), "avg_loss"), F.round(F.abs(share(F.col("_w"), F.nullif(F.col("_l"), F.lit(0.0)))), 4).alias("payoff"), six(wr * F.col("_w") + (1 - wr) * F.col("_l"), "expectancy"),
+        F.round("_hold", 4).alias("hold_bars"), six(F.col("_best"), "best"), six(F.col("_worst"), "worst"), "longs", F.round(share(F.col("_lw"), F.col("longs")), 4).alias("long_win_rate"), "shorts", F.round(share(F.col("_sw"), F.col("shorts")), 4).alias("short_win_rate"),
+    )
 
 
 def trim_recent_continuous(prices: DataFrame, n: int = 60, step: float = 0.35, out: str = "avg_close") -> DataFrame:
-    """Average close of the newest n bars after the last break: a jump of over `step`, or a non-positive close."""
+    """Average close of the newest n bars after the last break: a jump of over `step`, or a non-positive close.
+
+    Only bars of the market's last max(n + 5, ceil(1.6 n)) dates count, so an instrument that stopped trading has none.
+    """
     newest = Window.partitionBy("stock_id").orderBy(F.desc("date"))
-    rows = prices.where(F.col("close_price").isNotNull()).withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= n)
+    dates = prices.select("date").distinct().orderBy(F.desc("date")).limit(max(n + 5, math.ceil(n * 1.6)))
+    oldest = dates.agg(F.min("date").alias("_oldest"))  # one row
+    recent = prices.join(F.broadcast(oldest), F.col("date") >= F.col("_oldest")).drop("_oldest")
+    rows = recent.where(F.col("close_price").isNotNull()).withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= n)
     older = F.lag("close_price").over(by())
     jump = F.when(older.isNull(), False).otherwise((older <= 0) | (F.col("close_price") <= 0) | (F.abs(F.col("close_price") - older) > step * older))
     broken = rows.withColumn("_break", jump).withColumn("_last", F.min(F.when(F.col("_break"), F.col("_rank"))).over(Window.partitionBy("stock_id")))

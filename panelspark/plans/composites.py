@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators import derivatives, flows, macro, margin, technical
+from panelspark.operators import correlation, derivatives, flows, macro, margin, technical
 from panelspark.sources import adapters
 
 from .events import _AVG_COST, _MP, ASOF, screener, x10
@@ -64,6 +64,29 @@ def indicator_series(spark: SparkSession, d: str) -> DataFrame:
     return rows.unionByName(adapters.rates(spark, d).select("date", F.col("indicator").alias("series"), "value"))
 
 
+_DIMENSIONS = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in correlation.DIMENSIONS.items()) + " END"
+_READING = "CASE WHEN r IS NULL THEN '" + correlation.TOO_SHORT + "' " + " ".join(f"WHEN abs(r) >= {least} THEN replace('{text}', '{{}}', CASE WHEN r > 0 THEN '{correlation.POSITIVE}' ELSE '{correlation.NEGATIVE}' END)" for least, text in correlation.READINGS) + f" ELSE '{correlation.UNRELATED}' END"
+
+
+@query(
+    "x8_indicator_correlation",
+    f"""{_SERIES}, c AS (SELECT a.s AS a, b.s AS b, count(*) AS n, CASE WHEN count(*) >= 5 THEN round(CASE WHEN stddev_samp(a.v) = 0 OR stddev_samp(b.v) = 0 THEN 0 ELSE corr(a.v, b.v) END, 4) END AS r FROM sr a JOIN sr b ON a.date = b.date AND a.s < b.s GROUP BY 1, 2)
+    SELECT a, b, n, r, CASE WHEN r IS NULL THEN NULL WHEN abs(r) >= 0.6 THEN 'high' WHEN abs(r) >= 0.3 THEN 'moderate' ELSE 'low' END AS bucket, {_READING} AS reading, {_DIMENSIONS.format('a')} IS NOT DISTINCT FROM {_DIMENSIONS.format('b')} AS same_dimension FROM c""",
+)
+def x8(spark: SparkSession, d: str) -> DataFrame:
+    return correlation.correlation_matrix(indicator_series(spark, d))
+
+
+@query(
+    "x8_instrument_correlation",
+    "SELECT a.stock_id AS a, b.stock_id AS b, count(*) AS n, CASE WHEN count(*) >= 5 THEN round(CASE WHEN stddev_samp(a.change_pct) = 0 OR stddev_samp(b.change_pct) = 0 THEN 0 ELSE corr(a.change_pct, b.change_pct) END, 4) END AS r FROM bars a JOIN bars b ON a.date = b.date AND a.stock_id < b.stock_id WHERE a.change_pct IS NOT NULL AND b.change_pct IS NOT NULL GROUP BY 1, 2",
+)
+def x8d(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of all instruments against one another."""
+    rows = bars(spark, d).select("date", F.col("stock_id").alias("series"), F.col("change_pct").alias("value"))
+    return correlation.correlation_matrix(rows).select("a", "b", "n", "r")
+
+
 @query(
     "x8_lags",
     f"{_SERIES} SELECT a.series, CAST(k AS INTEGER) AS lag, count(*) AS n, round(coalesce(CASE WHEN isnan(corr(a.x, b.y)) THEN 0 ELSE corr(a.x, b.y) END, 0), 4) AS r FROM big a JOIN range(-5, 6) t(k) ON true JOIN big b ON a.series = b.series AND b.i = a.i + k WHERE a.n0 >= 10 GROUP BY 1, 2 HAVING count(*) >= 5",
@@ -183,12 +206,12 @@ def p1b(spark: SparkSession, d: str) -> DataFrame:
 _LEG = "SELECT CAST(ts AS DATE) AS date, CAST(hour(ts) AS INTEGER) AS minute, event_type, CASE WHEN hour(ts) % 3 > 0 THEN round(min(value), 4) END AS bid, CASE WHEN hour(ts) % 4 > 0 THEN round(max(value), 4) END AS ask, arg_max(value, row(ts, event_id)) AS close, CASE WHEN day(ts) % 2 = 0 THEN round(avg(value), 4) END AS ref, arg_min(value, row(ts, event_id)) AS open FROM events GROUP BY CAST(ts AS DATE), hour(ts), day(ts), event_type"
 
 
-@query(
-    "x20_quoted_strength",
-    f"""WITH leg AS ({_LEG}), ch AS (SELECT *, CASE WHEN bid > 0 AND ask > 0 THEN (bid + ask) / 2 ELSE close END AS price, CASE WHEN ref > 0 THEN ref ELSE open END AS base, CASE WHEN ref > 0 THEN 'ref' ELSE 'open' END AS src FROM leg), c AS (SELECT *, coalesce((price - base) * 100 / nullif(base, 0), 0) AS chg FROM ch),
+QUOTED_STRENGTH = f"""WITH leg AS ({_LEG}), ch AS (SELECT *, CASE WHEN bid > 0 AND ask > 0 THEN (bid + ask) / 2 ELSE close END AS price, CASE WHEN ref > 0 THEN ref ELSE open END AS base, CASE WHEN ref > 0 THEN 'ref' ELSE 'open' END AS src FROM leg), c AS (SELECT *, coalesce((price - base) * 100 / nullif(base, 0), 0) AS chg FROM ch),
     s AS (SELECT a.date, a.minute, CAST(round(CAST(a.price AS DECIMAL(18, 6)), 2) AS DOUBLE) AS a_price, CAST(round(CAST(b.price AS DECIMAL(18, 6)), 2) AS DOUBLE) AS b_price, CASE WHEN a.src = b.src THEN a.src ELSE 'mixed' END AS base_source, a.chg AS x, b.chg AS y, a.chg - b.chg AS raw FROM c a JOIN c b ON a.date = b.date AND a.minute = b.minute WHERE a.event_type = 'click' AND b.event_type = 'view'), m AS (SELECT *, avg(raw) OVER (PARTITION BY date ORDER BY minute ROWS 2 PRECEDING) AS z FROM s)
-    SELECT date, minute, a_price, b_price, base_source, round(x, 4) AS a_change, round(y, 4) AS b_change, round(raw, 4) AS strength_raw, round(z, 4) AS strength, CASE WHEN round(z, 10) > 0 THEN 'red' WHEN round(z, 10) < 0 THEN 'green' ELSE 'flat' END AS colour FROM m""",
-)
+    SELECT date, minute, a_price, b_price, base_source, round(x, 4) AS a_change, round(y, 4) AS b_change, round(raw, 4) AS strength_raw, round(z, 4) AS strength, CASE WHEN round(z, 10) > 0 THEN 'red' WHEN round(z, 10) < 0 THEN 'green' ELSE 'flat' END AS colour FROM m"""
+
+
+@query("x20_quoted_strength", QUOTED_STRENGTH)
 def x20b(spark: SparkSession, d: str) -> DataFrame:
     first = F.struct("ts", "event_id")
     rows = adapters.table(spark, d, "events").groupBy(F.col("ts").cast("date").alias("date"), F.hour("ts").alias("minute"), "event_type")

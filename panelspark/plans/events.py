@@ -9,7 +9,7 @@ from panelspark.operators import disposition, joins, macro, margin, quality, tec
 from panelspark.sources import adapters
 
 from .market import _BREADTH, bars, net, stocks
-from .registry import query
+from .registry import ORACLES, query
 from .series import _COMPLETE, _TRIM, BREAKOUTS, COST_ROLL, cost_seed, rounded
 from panelspark.operators import flows, recursive
 
@@ -136,7 +136,7 @@ def j7(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "j8_align_calendars",
-    "SELECT * FROM (SELECT stock_id AS series, date, last_value(a IGNORE NULLS) OVER w AS a, last_value(b IGNORE NULLS) OVER w AS b FROM (SELECT coalesce(x.stock_id, y.stock_id) AS stock_id, coalesce(x.date, y.date) AS date, close_price AS a, foreign_buy AS b FROM (SELECT * FROM bars WHERE volume % 2 = 0) x FULL JOIN (SELECT * FROM flows WHERE total_buy % 3 = 0) y ON x.stock_id = y.stock_id AND x.date = y.date) WINDOW w AS (PARTITION BY stock_id ORDER BY date ROWS UNBOUNDED PRECEDING)) WHERE a IS NOT NULL AND b IS NOT NULL",
+    "SELECT x.stock_id AS series, x.date, x.close_price AS a, y.foreign_buy AS b FROM (SELECT * FROM bars WHERE volume % 2 = 0) x ASOF JOIN (SELECT * FROM flows WHERE total_buy % 3 = 0 AND foreign_buy IS NOT NULL) y ON x.stock_id = y.stock_id AND x.date >= y.date",
 )
 def j8(spark: SparkSession, d: str) -> DataFrame:
     a = bars(spark, d).where("volume % 2 = 0").select(F.col("stock_id").alias("series"), "date", F.col("close_price").alias("a"))
@@ -378,18 +378,6 @@ def x7(spark: SparkSession, d: str) -> DataFrame:
     return macro.position_vote(colours, VOTES, {("error", "RED"): 30.0}, {"GREEN": 90.0, "YELLOW": 50.0, "RED": 15.0})
 
 
-@query(
-    "x8_indicator_correlation",
-    f"{_BREADTH}, allseries AS (SELECT date, indicator AS series, value FROM macro UNION ALL SELECT date, 'stock ' || stock_id, close_price FROM bars WHERE stock_id IN ('1', '2', '3', '4', '5', '6') UNION ALL SELECT date, 'breadth', score FROM breadth) SELECT a.series AS a, b.series AS b, count(*) AS n, round(coalesce(CASE WHEN isnan(corr(a.value, b.value)) THEN 0 ELSE corr(a.value, b.value) END, 0), 4) AS r, CASE WHEN abs(round(coalesce(corr(a.value, b.value), 0), 4)) >= 0.6 THEN 'strong' WHEN abs(round(coalesce(corr(a.value, b.value), 0), 4)) >= 0.3 THEN 'moderate' ELSE 'weak' END AS strength FROM allseries a JOIN allseries b ON a.date = b.date AND a.series < b.series GROUP BY 1, 2 HAVING count(*) >= 5",
-)
-def x8(spark: SparkSession, d: str) -> DataFrame:
-    prices = bars(spark, d)
-    rows = adapters.macro_indicators(spark, d).select("date", F.col("indicator").alias("series"), "value")
-    rows = rows.unionByName(prices.where(F.col("stock_id").isin("1", "2", "3", "4", "5", "6")).select("date", F.concat(F.lit("stock "), "stock_id").alias("series"), F.col("close_price").alias("value")))
-    rows = rows.unionByName(flows.breadth_daily(prices, stocks(spark, d)).select("date", F.lit("breadth").alias("series"), F.col("score").alias("value")))
-    return macro.pairwise_correlation(rows)
-
-
 @query(
     "x20_pair_strength",
     """WITH q AS (SELECT CAST(ts AS DATE) AS date, CAST(hour(ts) AS INTEGER) AS minute, event_type, round(avg(value), 4) AS price FROM events GROUP BY 1, 2, 3), c AS (SELECT date, minute, event_type, (price - first_value(price) OVER w) * 100 / first_value(price) OVER w AS c FROM q WINDOW w AS (PARTITION BY event_type, date ORDER BY minute ROWS UNBOUNDED PRECEDING)),
@@ -459,11 +447,29 @@ def x15(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "x10_credit_light",
-    "WITH h AS (SELECT a.date, a.close_price / b.close_price AS ratio FROM bars a JOIN bars b ON a.date = b.date WHERE a.stock_id = '1' AND b.stock_id = '2'), r AS (SELECT date, ratio, list(ratio) OVER (ORDER BY date ROWS 38 PRECEDING) AS l FROM h), i AS (SELECT date, CASE WHEN len(l) >= 39 THEN 1 - (len(list_filter(l, lambda v: v < ratio)) + (len(list_filter(l, lambda v: v = ratio)) + 1) / 2.0) / len(l) END AS x FROM r), g AS (SELECT *, x - lag(x, 5) OVER (ORDER BY date) AS d FROM i), c AS (SELECT date, round(x, 4) AS indicator, CASE WHEN x IS NULL THEN NULL WHEN x < 0.28 THEN CASE WHEN coalesce(d > 0, false) AND x > 0.28 * 0.9 THEN 'YELLOW' ELSE 'GREEN' END WHEN x >= 0.32 THEN CASE WHEN coalesce(d < 0, false) AND x < 0.32 * 1.1 THEN 'YELLOW' ELSE 'RED' END WHEN coalesce(d > 0, false) THEN 'RED' WHEN coalesce(d < 0, false) THEN 'GREEN' ELSE 'YELLOW' END AS light FROM g) SELECT *, lag(light) OVER (ORDER BY date) AS signal FROM c",
+    "WITH h AS (SELECT a.date, a.close_price / b.close_price AS ratio FROM bars a JOIN bars b ON a.date = b.date WHERE a.stock_id = '1' AND b.stock_id = '2'), r AS (SELECT date, ratio, list(ratio) OVER (ORDER BY date ROWS 188 PRECEDING) AS l FROM h), i AS (SELECT date, CASE WHEN len(l) >= 189 THEN 1 - (len(list_filter(l, lambda v: v < ratio)) + (len(list_filter(l, lambda v: v = ratio)) + 1) / 2.0) / len(l) END AS x FROM r), g AS (SELECT *, x - lag(x, 5) OVER (ORDER BY date) AS d FROM i), c AS (SELECT date, round(x, 4) AS indicator, CASE WHEN x IS NULL THEN NULL WHEN x < 0.28 THEN CASE WHEN coalesce(d > 0, false) AND x > 0.28 * 0.9 THEN 'YELLOW' ELSE 'GREEN' END WHEN x >= 0.32 THEN CASE WHEN coalesce(d < 0, false) AND x < 0.32 * 1.1 THEN 'YELLOW' ELSE 'RED' END WHEN coalesce(d > 0, false) THEN 'RED' WHEN coalesce(d < 0, false) THEN 'GREEN' ELSE 'YELLOW' END AS light FROM g) SELECT *, lag(light) OVER (ORDER BY date) AS signal FROM c",
 )
 def x10(spark: SparkSession, d: str) -> DataFrame:
     prices = bars(spark, d)
     one = lambda s, out: prices.where(F.col("stock_id") == s).select("date", F.col("close_price").alias(out))
     ratio = one("1", "a").join(one("2", "b"), "date").select(F.lit("credit").alias("series"), "date", (F.col("a") / F.col("b")).alias("ratio"))
-    ranked = technical.rolling_percentile(ratio, "ratio", 39, "mean", key="series").withColumn("x", 1 - F.col("pctile"))
+    ranked = technical.rolling_percentile(ratio, "ratio", 189, "mean", key="series").withColumn("x", 1 - F.col("pctile"))
     return technical.traffic_light(ranked, "x").select("date", F.round("x", 4).alias("indicator"), "light", "signal")
+
+
+_LIGHTED = "".join(ORACLES["x10_credit_light"].partition("h AS (SELECT a.date")[1:])
+
+
+@query(
+    "x10_credit_backtest",
+    f"""WITH credit AS (WITH {_LIGHTED}), k AS (SELECT c.date, close_price / lag(close_price) OVER w - 1 AS r, CASE WHEN signal = 'GREEN' THEN 1.0 ELSE 0.0 END AS p FROM credit c JOIN bars b ON c.date = b.date AND b.stock_id = '1' WHERE signal IS NOT NULL WINDOW w AS (ORDER BY c.date)),
+    x AS (SELECT date, p, coalesce(r * p - 0.00005 * abs(p - lag(p) OVER (ORDER BY date)), 0) AS strat, coalesce(r, 0) AS bh FROM k), u AS (SELECT date, p, 'strat' AS strategy, strat AS ret FROM x UNION ALL SELECT date, p, 'bh', bh FROM x),
+    e AS (SELECT *, product(1 + ret) OVER (PARTITION BY strategy ORDER BY date) AS equity FROM u), f AS (SELECT *, equity / max(equity) OVER (PARTITION BY strategy ORDER BY date) - 1 AS fall FROM e),
+    a AS (SELECT strategy, count(*) AS n, pow(arg_max(equity, date), 252.0 / count(*)) - 1 AS c, stddev_samp(ret) AS sd, avg(ret) AS mean, min(fall) AS mdd, avg(p) AS tim FROM f GROUP BY 1 HAVING count(*) >= 40)
+    SELECT 'credit' AS series, strategy, n, round(c, 4) AS cagr, round(sd * sqrt(252.0), 4) AS vol, CASE WHEN sd > 0 THEN round(mean * sqrt(252.0) / sd, 4) ELSE 0.0 END AS sharpe, round(mdd, 4) AS max_drawdown, CASE WHEN mdd <> 0 THEN round(c / abs(mdd), 4) ELSE 0.0 END AS calmar, round(tim, 4) AS time_in_market FROM a""",
+)
+def x10b(spark: SparkSession, d: str) -> DataFrame:
+    """The credit light followed on the same day against holding instrument 1; 40 rows are enough for weekly bars."""
+    price = bars(spark, d).where(F.col("stock_id") == "1").select("date", "close_price")
+    rows = x10(spark, d).where("signal IS NOT NULL").join(price, "date").withColumn("series", F.lit("credit"))
+    return technical.light_backtest(rows, least=40)

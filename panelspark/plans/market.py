@@ -90,9 +90,9 @@ def a10(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "a11_concentration_change",
     """WITH ds AS (SELECT DISTINCT sca_date FROM holders), n AS (SELECT max(sca_date) AS x FROM ds), t AS (SELECT sca_date AS x FROM ds ORDER BY 1 DESC LIMIT 1 OFFSET 4),
-    p AS (SELECT stock_id, sum(pct) FILTER (sca_date = (SELECT x FROM n)) AS a, sum(pct) FILTER (sca_date = (SELECT x FROM t)) AS b FROM holders WHERE band BETWEEN 11 AND 15 GROUP BY 1),
+    p AS (SELECT stock_id, sum(coalesce(pct, 0)) FILTER (sca_date = (SELECT x FROM n)) AS a, sum(coalesce(pct, 0)) FILTER (sca_date = (SELECT x FROM t)) AS b FROM holders WHERE band BETWEEN 11 AND 15 GROUP BY 1),
     q AS (SELECT stock_id, round(a, 4) AS pct_now, round(b, 4) AS pct_then, round(a - b, 4) AS delta FROM p WHERE a IS NOT NULL AND b IS NOT NULL)
-    (SELECT *, 'buy' AS side FROM q WHERE delta > 0 ORDER BY delta DESC, stock_id LIMIT 50) UNION ALL (SELECT *, 'sell' AS side FROM q WHERE delta < 0 ORDER BY delta, stock_id LIMIT 50)""",
+    (SELECT *, 'buy' AS side FROM q ORDER BY delta DESC, stock_id LIMIT 50) UNION ALL (SELECT *, 'sell' AS side FROM q ORDER BY delta, stock_id DESC LIMIT 50)""",
 )
 def a11(spark: SparkSession, d: str) -> DataFrame:
     return flows.concentration_change(adapters.holder_distribution(spark, d))
@@ -287,7 +287,7 @@ def x6(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "x18_night_session_spread",
     """WITH q AS (SELECT CAST(l_shipdate AS DATE) AS date, CASE WHEN l_linestatus = 'F' THEN 'day' ELSE 'night' END AS session, l_returnflag || CASE WHEN l_linenumber = 7 THEN '/' ELSE '' END AS contract, round(avg(100 + 1.2 * (l_quantity - 25)), 2) AS close, CAST(sum(l_quantity) AS BIGINT) AS volume FROM lineitem GROUP BY 1, 2, 3),
-    b AS (SELECT * FROM q WHERE NOT contains(contract, '/') QUALIFY row_number() OVER (PARTITION BY date, session ORDER BY volume DESC, contract DESC) = 1),
+    b AS (SELECT * FROM q WHERE NOT contains(contract, '/') AND close > 0 QUALIFY row_number() OVER (PARTITION BY date, session ORDER BY volume DESC, contract DESC) = 1),
     t AS (SELECT date, max(close) FILTER (session = 'day') AS dc, max(close) FILTER (session = 'night') AS nc FROM b GROUP BY 1), u AS (SELECT *, last_value(dc IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS base FROM t)
     SELECT date, nc AS night_close, base AS day_close, round(nc - base, 4) AS spread, round((nc - base) * 100 / base, 2) AS spread_pct FROM u WHERE nc IS NOT NULL AND base IS NOT NULL""",
 )

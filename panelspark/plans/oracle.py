@@ -8,7 +8,7 @@ BAR = """SELECT CAST({key} AS VARCHAR) AS stock_id, CAST({date} AS DATE) AS date
   first(100 + 1.2 * (l_quantity - 25) ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS open_price,
   max(100 + 1.2 * (l_quantity - 25)) AS high_price, min(100 + 1.2 * (l_quantity - 25)) AS low_price,
   last(100 + 1.2 * (l_quantity - 25) ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS close_price,
-  CAST(sum(l_quantity) AS BIGINT) AS volume, CAST(round(sum(l_extendedprice)) AS BIGINT) AS trade_value
+  CAST(sum(l_quantity) AS BIGINT) AS volume, CAST(round(sum(CAST(l_extendedprice AS DECIMAL(18, 2)))) AS BIGINT) AS trade_value
   FROM lineitem GROUP BY 1, 2"""
 CHANGE = "SELECT *, CASE WHEN lag(close_price) OVER w <> 0 THEN round((close_price - lag(close_price) OVER w) / lag(close_price) OVER w * 100, 2) END AS change_pct FROM {0} WINDOW w AS (PARTITION BY stock_id ORDER BY date)"
 

@@ -253,12 +253,13 @@ _SIG = f"SELECT stock_id, date, close_price, round(-CASE WHEN count(close_price)
 _POS = f"""WITH sig AS ({_SIG}), p1 AS (SELECT *, close_price / {_L.format(1)} - 1 AS r, CASE WHEN count(close_price) {_w(40)} >= 40 THEN round(avg(close_price) {_w(40)}, 6) END AS trend, CASE WHEN signal > 0.025 THEN 1 WHEN signal < -0.025 THEN -1 ELSE 0 END AS raw FROM sig),
   p2 AS (SELECT *, 0.16 / ((CASE WHEN count(r) {_w(20)} >= 20 THEN nullif(stddev_samp(r) {_w(20)}, 0) END) * sqrt(252.0)) AS sc FROM p1),
   p3 AS (SELECT *, last_value(CASE WHEN sc IS NOT NULL THEN greatest(0.0, least(3.0, sc)) END IGNORE NULLS) OVER (PARTITION BY stock_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS scale FROM p2),
-  pos AS (SELECT stock_id, date, close_price, signal, round(CASE WHEN trend IS NULL OR (raw > 0 AND close_price < trend) OR (raw < 0 AND close_price > trend) THEN 0 ELSE raw END * coalesce(scale, 0.0), 6) AS position FROM p3)"""
+  p4 AS (SELECT *, CASE WHEN (raw > 0 AND close_price < trend) OR (raw < 0 AND close_price > trend) THEN 0 ELSE raw END AS side FROM p3),
+  pos AS (SELECT stock_id, date, close_price, signal, side, round(side * coalesce(scale, 0.0), 6) AS position FROM p4)"""
 
 
-@query("w23_position", f"{_POS} SELECT stock_id, date, position FROM pos")
+@query("w23_position", f"{_POS} SELECT stock_id, date, side, position FROM pos")
 def w23(spark: SparkSession, d: str) -> DataFrame:
-    return positions(spark, d).select("stock_id", "date", "position")
+    return positions(spark, d).select("stock_id", "date", "side", "position")
 
 
 _EQ = f"""{_POS}, e1 AS (SELECT *, coalesce(close_price / {_L.format(1)} - 1, 0) * coalesce(lag(position) OVER (PARTITION BY stock_id ORDER BY date), 0) - abs(position - coalesce(lag(position) OVER (PARTITION BY stock_id ORDER BY date), 0)) * 0.0005 AS net_ret FROM pos),
@@ -270,36 +271,47 @@ def w24(spark: SparkSession, d: str) -> DataFrame:
     return technical.strategy_equity(positions(spark, d)).select("stock_id", "date", F.round("net_ret", 6).alias("net_ret"), F.round("equity", 4).alias("equity"))
 
 
+_BAR = "WINDOW w AS (PARTITION BY stock_id ORDER BY date)"
+_RETURNS = f"""m0 AS (SELECT *, lag(side) OVER w AS ps, lag(position) OVER w AS pp, close_price / lag(close_price) OVER w - 1 AS r FROM pos {_BAR}),
+  m1 AS (SELECT *, CAST(side <> 0 AND coalesce(side <> lag(side) OVER w, true) AS INTEGER) AS entered FROM m0 WHERE r IS NOT NULL {_BAR}),
+  u AS (SELECT stock_id, date, side, entered, 'strat' AS strategy, r * ps - abs(side - ps) * 0.0005 AS ret FROM m1 UNION ALL SELECT stock_id, date, side, entered, 'vol', r * pp - abs(position - pp) * 0.0005 FROM m1 UNION ALL SELECT stock_id, date, side, entered, 'bh', r FROM m1),
+  q AS (SELECT *, product(1 + ret) OVER (PARTITION BY stock_id, strategy ORDER BY date) AS equity FROM u)"""
+
+
 @query(
     "w25_metrics",
-    f"""{_EQ}, m AS (SELECT *, equity / max(equity) OVER (PARTITION BY stock_id ORDER BY date) - 1 AS dd, CAST(position <> lag(position) OVER (PARTITION BY stock_id ORDER BY date) AS INTEGER) AS sw FROM eq),
-    a AS (SELECT stock_id, count(*) AS n, arg_max(equity, date) AS fin, avg(net_ret) AS mean, stddev_samp(net_ret) AS sd, min(dd) AS mdd, coalesce(sum(sw), 0) AS switches, avg(CAST(position <> 0 AS INTEGER)) AS tim, avg(CASE WHEN net_ret <> 0 THEN CAST(net_ret > 0 AS INTEGER) END) AS wr FROM m GROUP BY 1 HAVING count(*) >= 50)
-    SELECT stock_id, n, round(pow(fin, 252.0 / n) - 1, 4) AS cagr, round(sd * sqrt(252.0), 4) AS vol, CASE WHEN sd > 0 THEN round(mean * 252 / (sd * sqrt(252.0)), 4) END AS sharpe, round(mdd, 4) AS max_drawdown, CASE WHEN mdd <> 0 THEN round((pow(fin, 252.0 / n) - 1) / -mdd, 4) END AS calmar, round(wr, 4) AS win_rate, CAST(switches AS BIGINT) AS switches, round(tim, 4) AS time_in_market FROM a""",
+    f"""{_POS}, {_RETURNS}, dd AS (SELECT *, equity / max(equity) OVER (PARTITION BY stock_id, strategy ORDER BY date) - 1 AS fall FROM q),
+    a AS (SELECT stock_id, strategy, count(*) AS n, arg_max(equity, date) AS fin, avg(ret) AS mean, stddev_samp(ret) AS sd, min(fall) AS mdd, sum(entered) AS switches, avg(CAST(side <> 0 AS INTEGER)) AS tim, coalesce(count(*) FILTER (ret > 0) / nullif(count(*) FILTER (ret <> 0), 0), 0) AS wr FROM dd GROUP BY 1, 2 HAVING count(*) >= 50),
+    c AS (SELECT *, CASE WHEN fin > 0 THEN pow(fin, 252.0 / n) - 1 ELSE -1 END AS cagr_ FROM a)
+    SELECT stock_id, strategy, n, round(cagr_, 4) AS cagr, round(sd * sqrt(252.0), 4) AS vol, CASE WHEN sd > 0 THEN round(mean / sd * sqrt(252.0), 4) ELSE 0.0 END AS sharpe, round(mdd, 4) AS max_drawdown, CASE WHEN mdd < 0 THEN round(cagr_ / -mdd, 4) ELSE 0.0 END AS calmar, round(wr, 4) AS win_rate, CAST(switches AS BIGINT) AS switches, round(tim, 4) AS time_in_market FROM c""",
 )
 def w25(spark: SparkSession, d: str) -> DataFrame:
-    return technical.performance_metrics(technical.strategy_equity(positions(spark, d)))
+    return technical.performance_metrics(positions(spark, d))
 
 
-_TRADES = f"""{_POS}, s AS (SELECT *, sign(position) AS side FROM pos), rn AS (SELECT *, sum(c) OVER (PARTITION BY stock_id ORDER BY date) AS run FROM (SELECT *, coalesce(CAST(side <> lag(side) OVER (PARTITION BY stock_id ORDER BY date) AS INTEGER), 1) AS c FROM s)),
-  ru AS (SELECT stock_id, run, CAST(first(side) AS DOUBLE) AS side, min(date) AS entry_date, arg_min(close_price, date) AS entry_price, count(*) AS bars FROM rn GROUP BY 1, 2),
+_TRADES = f"""{_POS}, rn AS (SELECT *, sum(c) OVER (PARTITION BY stock_id ORDER BY date) AS run FROM (SELECT *, coalesce(CAST(side <> lag(side) OVER (PARTITION BY stock_id ORDER BY date) AS INTEGER), 1) AS c FROM pos)),
+  ru AS (SELECT stock_id, run, CAST(any_value(side) AS INTEGER) AS side, min(date) AS entry_date, arg_min(close_price, date) AS entry_price, count(*) AS bars_ FROM rn GROUP BY 1, 2),
   cl AS (SELECT *, lead(entry_date) OVER (PARTITION BY stock_id ORDER BY run) AS exit_date, lead(entry_price) OVER (PARTITION BY stock_id ORDER BY run) AS exit_price FROM ru),
-  tr AS (SELECT stock_id, side, entry_date, entry_price, bars AS n_bars, exit_date, exit_price, round(side * (exit_price / entry_price - 1) - 0.001, 6) AS pnl FROM cl WHERE side <> 0 AND exit_date IS NOT NULL)""".replace("bars AS n_bars", "bars_ AS n_bars").replace("count(*) AS bars", "count(*) AS bars_")
+  tr AS (SELECT stock_id, side, entry_date, entry_price, bars_ AS n_bars, exit_date, exit_price, side * (exit_price - entry_price) / entry_price - 0.001 AS pnl FROM cl WHERE side <> 0 AND exit_date IS NOT NULL)"""
 
 
-@query("w26_trades", f"{_TRADES} SELECT stock_id, side, entry_date, exit_date, n_bars, round(entry_price, 4) AS entry_price, round(exit_price, 4) AS exit_price, pnl FROM tr")
+@query("w26_trades", f"{_TRADES} SELECT stock_id, side, entry_date, exit_date, n_bars, round(entry_price, 4) AS entry_price, round(exit_price, 4) AS exit_price, round(pnl, 6) AS pnl FROM tr")
 def w26(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(technical.trades(positions(spark, d)).withColumnRenamed("bars", "n_bars"), "entry_price", "exit_price")
+    return rounded(rounded(technical.trades(positions(spark, d)).withColumnRenamed("bars", "n_bars"), "entry_price", "exit_price"), "pnl", places=6)
 
 
 @query(
     "w26_trade_summary",
-    f"{_TRADES} SELECT stock_id, count(*) AS trades, round(avg(CAST(pnl > 0 AS INTEGER)), 4) AS win_rate, round(avg(pnl) FILTER (pnl > 0) / nullif(-avg(pnl) FILTER (pnl <= 0), 0), 4) AS payoff, round(avg(pnl), 6) AS expectancy, count(*) FILTER (side > 0) AS longs, count(*) FILTER (side < 0) AS shorts FROM tr GROUP BY 1",
+    f"""{_TRADES}, s AS (SELECT stock_id, count(*) AS trades, count(*) FILTER (pnl > 0) AS wins, count(*) FILTER (pnl < 0) AS losses, coalesce(avg(pnl) FILTER (pnl > 0), 0) AS w, coalesce(avg(pnl) FILTER (pnl < 0), 0) AS l, avg(n_bars) AS hold, max(pnl) AS b, min(pnl) AS o, count(*) FILTER (side > 0) AS longs, count(*) FILTER (side < 0) AS shorts, count(*) FILTER (side > 0 AND pnl > 0) AS lw, count(*) FILTER (side < 0 AND pnl > 0) AS sw FROM tr GROUP BY 1),
+    r AS (SELECT *, coalesce(wins / nullif(wins + losses, 0), 0) AS wr FROM s)
+    SELECT stock_id, trades, wins, losses, round(wr, 4) AS win_rate, round(w, 6) AS avg_win, round(l, 6) AS avg_loss, round(abs(coalesce(w / nullif(l, 0), 0)), 4) AS payoff, round(wr * w + (1 - wr) * l, 6) AS expectancy, round(hold, 4) AS hold_bars, round(b, 6) AS best, round(o, 6) AS worst,
+      longs, round(coalesce(lw / nullif(longs, 0), 0), 4) AS long_win_rate, shorts, round(coalesce(sw / nullif(shorts, 0), 0), 4) AS short_win_rate FROM r""",
 )
 def w26b(spark: SparkSession, d: str) -> DataFrame:
     return technical.trade_summary(technical.trades(positions(spark, d)))
 
 
-_TRIM = """WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stock_id ORDER BY date DESC) AS rk FROM {src}) WHERE rk <= {n}),
+_TRIM = """WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stock_id ORDER BY date DESC) AS rk FROM {src} WHERE date >= (SELECT min(date) FROM (SELECT DISTINCT date FROM {src} ORDER BY date DESC LIMIT greatest({n} + 5, CAST(ceil({n} * 1.6) AS INTEGER))))) WHERE rk <= {n}),
   j AS (SELECT *, CASE WHEN o IS NULL THEN false ELSE o <= 0 OR close_price <= 0 OR abs(close_price - o) > {step} * o END AS brk FROM (SELECT *, lag(close_price) OVER (PARTITION BY stock_id ORDER BY date) AS o FROM r)),
   l AS (SELECT *, min(rk) FILTER (brk) OVER (PARTITION BY stock_id) AS lst FROM j), trimmed AS (SELECT stock_id, round(avg(close_price), 4) AS avg_close, count(*) AS n_bars FROM l WHERE lst IS NULL OR rk <= lst GROUP BY 1)"""
 

@@ -40,7 +40,7 @@ def _bars(lineitem: DataFrame, key: F.Column, date: F.Column) -> DataFrame:
             F.min(px).alias("low_price"),
             F.max_by(px, order).alias("close_price"),
             F.sum("l_quantity").cast("long").alias("volume"),
-            F.round(F.sum("l_extendedprice")).cast("long").alias("trade_value"),
+            F.round(F.sum(F.col("l_extendedprice").cast("decimal(18,2)"))).cast("long").alias("trade_value")  # exact, whatever the order of summing,
         )
     )
 

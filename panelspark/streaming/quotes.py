@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
-from panelspark.functions.exprs import bayes_blend, forecast_ci, pct_done, volume_level
-from panelspark.operators.joins import upsert
+from panelspark.functions.exprs import bayes_blend, forecast_ci, in_session, pct_done, session_minute, volume_level
+from panelspark.operators.macro import quote_change
+
+from . import replay
 
 QUOTES = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -45,15 +48,6 @@ def forecast(latest: DataFrame, adv: DataFrame, least_lots: int = 1000, least_pc
     return rows.withColumn("level", volume_level(F.col("rvol"))).where("level <> 'NONE'")
 
 
-def market_forecast(latest: DataFrame, prior: DataFrame) -> DataFrame:
-    """Blend of the market's cumulative volume and the day's prior (day, prior), with an interval: one row per day that has one."""
-    rows = latest.groupBy("day").agg(F.sum("cum_volume").cast("double").alias("cum"), F.max("minute").alias("minute")).withColumn("pct", pct_done(F.col("minute")))
-    rows = rows.join(prior, "day")
-    value = bayes_blend(F.col("cum"), F.col("pct"), F.col("prior"))
-    low, high = forecast_ci(F.col("forecast"), F.col("pct"))
-    return rows.withColumn("forecast", value).select("day", F.round("forecast", 4).alias("forecast"), F.round(low, 4).alias("low"), F.round(high, 4).alias("high"))
-
-
 def bars(quotes: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Tumbling open, high, low, close and count per instrument."""
     order = F.struct("ts", "event_id")
@@ -75,22 +69,148 @@ def market_trend(quotes: DataFrame, length: str = "1 hour", late: str = "10 minu
     return quotes.withWatermark("ts", late).groupBy(F.window("ts", length)).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("start"), "n", "total")
 
 
-def keep_latest(keys: list[str], path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: the newest row per key in a Parquet table of two alternating generations."""
+def market_ticks(snapshots: DataFrame, prior: DataFrame, length: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Per tick the value traded so far by the instruments seen in it, with the day's forecast, its interval and level.
+
+    snapshots: stock_id, ts, cum_volume, last_price; only rows within the session count. prior: day, prior — the value
+    of an average day, one row a day. Two stateful operators in a row: the newest snapshot per instrument and tick, then
+    their sum by the tick's window time.
+    """
+    rows = snapshots.where(in_session(F.col("ts")) & (F.col("cum_volume") > 0) & F.col("last_price").isNotNull()).withWatermark("ts", late)
+    newest = rows.groupBy(F.window("ts", length), "stock_id").agg(F.max(F.struct("ts", "cum_volume", "last_price")).alias("s"))
+    value = F.col("s.cum_volume") * F.col("s.last_price").cast("decimal(18,2)")
+    market = newest.groupBy(F.window(F.window_time("window"), length)).agg(F.sum(value).cast("double").alias("value"), F.count("*").alias("instruments"))
+    end = F.col("window.end")
+    ticks = market.select(end.alias("tick"), F.to_date(end).alias("day"), F.least(session_minute(end), F.lit(270)).alias("minute"), "instruments", "value")
+    return value_forecast(ticks.withColumn("pct", pct_done(F.col("minute"))).join(F.broadcast(prior), "day"), "value", "prior")  # one row a day
+
+
+def value_forecast(rows: DataFrame, value: str, prior: str) -> DataFrame:
+    """rows (with pct) and forecast, low, high, ratio to the prior and level; without a positive prior there is no row."""
+    rows = rows.where(F.col(prior) > 0).withColumn("_f", bayes_blend(F.col(value), F.col("pct"), F.col(prior)))
+    low, high = forecast_ci(F.col("_f"), F.col("pct"))
+    ratio = F.col("_f") / F.col(prior)
+    out = rows.withColumns({"forecast": F.round("_f", 2), "low": F.round(low, 2), "high": F.round(high, 2), "ratio": F.round(ratio, 3), "level": volume_level(ratio)})
+    return out.drop("_f")
+
+
+def market_value_forecast(snapshots: DataFrame, values: DataFrame, back: int = 20) -> DataFrame:
+    """Forecast of each day's traded value from the newest snapshots of the instruments seen that day.
+
+    snapshots: day, stock_id, cum_volume, last_price, minute — one row per instrument and day; values: stock_id, date,
+    trade_value. The prior is the mean over the last `back` dates before the day of what the day's own instruments
+    traded, so thin trading early on does not shrink the day against the whole market. Work grows with the days asked for.
+    """
+    seen = snapshots.where((F.col("cum_volume") > 0) & F.col("last_price").isNotNull())
+    price = F.col("last_price").cast("decimal(18,2)")
+    today = seen.groupBy("day").agg(F.sum(F.col("cum_volume") * price).cast("double").alias("value"), F.max("minute").alias("minute"), F.count("*").alias("instruments")).where("value > 0")
+    earlier = seen.select("day", "stock_id").join(values.select("stock_id", "date", "trade_value"), "stock_id").where("date < day")
+    dates = earlier.groupBy("day", "date").agg(F.sum(F.coalesce("trade_value", F.lit(0))).alias("total"))
+    newest = Window.partitionBy("day").orderBy(F.desc("date"))  # one row a date
+    prior = dates.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= back).groupBy("day").agg(F.avg(F.col("total").cast("double")).alias("prior"))
+    return value_forecast(today.withColumn("pct", pct_done(F.col("minute"))).join(prior, "day"), "value", "prior")
+
+
+def pair_legs(quotes: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Quotes of one leg per window: start, low, high, close, mean, open."""
+    order = F.struct("ts", "event_id")
+    legs = quotes.withWatermark("ts", late).groupBy(F.window("ts", length)).agg(F.round(F.min("value"), 4).alias("low"), F.round(F.max("value"), 4).alias("high"), F.max_by("value", order).alias("close"), F.round(F.avg("value"), 4).alias("mean"), F.min_by("value", order).alias("open"))
+    return legs
+
+
+def pair_ticks(a: DataFrame, b: DataFrame, pair: str = "a/b") -> DataFrame:
+    """Stream-stream join of two legs (window, bid, ask, close, ref, open) on their window, with changes and raw strength."""
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        price, source, change = quote_change(*[F.col(c) for c in ("bid", "ask", "close", "ref", "open")])
+        return df.select("window", F.round(F.round(price, 6), 2).alias(f"{p}_price"), source.alias(f"{p}_src"), change.alias(f"{p}_change"))
+
+    start = F.col("window.start")
+    source = F.when(F.col("a_src") == F.col("b_src"), F.col("a_src")).otherwise("mixed")
+    return side(a, "a").join(side(b, "b"), "window").select(F.lit(pair).alias("pair"), F.to_date(start).alias("date"), F.hour(start).alias("minute"), "a_price", "b_price", source.alias("base_source"), "a_change", "b_change", (F.col("a_change") - F.col("b_change")).alias("raw"))
+
+
+def split_late(path: str, day: str, late: str = "10 minutes") -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink: each row goes to one of the tables late, stale and fresh under path/rows, and is counted.
+
+    late: older than the watermark, which is the newest time of all earlier batches less the delay; stale: without a
+    value or of another day; fresh: the rest. A repeated batch overwrites its own files and counts with the same rows:
+    its watermark depends on earlier batches only. path/counts holds epoch, newest, watermark, late, stale, fresh.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        old = f"{path}/gen={(epoch + 1) % 2}"
-        merged = batch
+        watermark = None
         if epoch:
-            merged = upsert(spark.read.schema(batch.schema).parquet(old), batch, keys)
-        merged.write.mode("overwrite").parquet(f"{path}/gen={epoch % 2}")
+            earlier = spark.read.schema(COUNTS).parquet(f"{path}/counts").where(F.col("epoch") < epoch)
+            watermark = earlier.agg(F.max("newest") - F.expr(f"INTERVAL {late}")).first()[0]
+        too_late = F.col("ts") < F.lit(watermark).cast("timestamp")
+        off = F.col("value").isNull() | (F.to_date("ts") != F.lit(day).cast("date"))
+        kind = F.when(too_late, "late").when(off, "stale").otherwise("fresh")
+        seen = Observation()
+        rows = batch.withColumn("kind", kind).observe(seen, F.max("ts").alias("newest"), *[F.count_if(F.col("kind") == k).alias(k) for k in ("late", "stale", "fresh")])
+        rows.write.partitionBy("kind").mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
+        got = seen.get
+        spark.createDataFrame([(epoch, got["newest"], watermark, got["late"], got["stale"], got["fresh"])], COUNTS).drop("epoch").coalesce(1).write.mode("overwrite").parquet(f"{path}/counts/epoch={epoch}")
+
+    return write
+
+
+COUNTS = "epoch long, newest timestamp, watermark timestamp, late long, stale long, fresh long"
+MANIFEST = "epoch long, bucket int, version long"
+
+
+def create_state(spark: SparkSession, path: str) -> None:
+    """An empty keyed table for keep_latest."""
+    spark.createDataFrame([], "bucket int, version long").write.parquet(f"{path}/manifest/epoch=-1")
+
+
+def _versions(spark: SparkSession, path: str, before: int | None = None) -> tuple[int, dict[int, int]]:
+    """Newest committed epoch (before a given one), and the version of each bucket then: one row a bucket."""
+    rows = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    rows = rows if before is None else rows.where(F.col("epoch") < before)
+    newest = rows.agg(F.max("epoch")).first()[0]
+    return (-1, {}) if newest is None else (newest, {r.bucket: r.version for r in rows.where(F.col("epoch") == newest).collect()})
+
+
+def read_state(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Rows of the newest committed version of every bucket."""
+    _, versions = _versions(spark, path)
+    files = [f"{path}/rows/version={v}/bucket={b}" for b, v in sorted(versions.items())]
+    return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+
+
+def keep_latest(keys: list[str], order: list[str], path: str, buckets: int = 16) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink: the newest row per key, in a table of hash buckets of which a batch rewrites only those it touches.
+
+    A new version of the touched buckets is written beside the old one; the manifest of the epoch, written last, is the
+    commit. An epoch whose manifest is there changes nothing; one that was cut off before it is written again from the
+    epochs before. create_state() makes the table, read_state() reads it. The number of buckets is fixed for a table:
+    choose it so that a bucket is a few hundred MB.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        if _versions(spark, path)[0] >= epoch:
+            return
+        _, versions = _versions(spark, path, epoch)
+        rows = batch.select("*", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket"))
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most `buckets`
+        if not touched:
+            return
+        old = [f"{path}/rows/version={versions[b]}/bucket={b}" for b in touched if b in versions]
+        if old:
+            kept = spark.read.schema(batch.schema).option("basePath", f"{path}/rows").parquet(*old)
+            rows = rows.unionByName(kept.select(*batch.columns, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")))
+        row = F.struct(*order, F.struct(*batch.columns).alias("_row"))
+        newest = rows.groupBy("bucket", *keys).agg(F.max(row).alias("_r")).select("_r._row.*", "bucket")
+        newest.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/rows/version={epoch}")
+        versions |= dict.fromkeys(touched, epoch)
+        spark.createDataFrame(sorted(versions.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/epoch={epoch}")
 
     return write
 
 
 def run_to_end(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Run over all that is available and stop; results in a Parquet table at path, which tasks write."""
-    query = df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
+    return replay.run_to_end(df, path, checkpoint)

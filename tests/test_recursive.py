@@ -109,3 +109,50 @@ def test_rolling_lasso_refits_at_every_row(spark, small):
     got = QUERIES["w22_rolling_lasso"](spark, small).where(f"stock_id = '{stock}'").orderBy("date").toPandas().signal.to_numpy(float)
     assert np.isfinite(want).sum() > 10
     assert np.allclose(got, want, atol=2e-6, equal_nan=True)
+
+
+def test_chunks_change_nothing(spark, small):
+    """Histories cut into short chunks give the same ranks and predictions as whole ones."""
+    from panelspark.operators import technical
+
+    prices = adapters.daily_prices(spark, small).select("stock_id", "date", "close_price", "change_pct")
+    for kind in ("weak", "strict", "mean"):
+        one, cut = (technical.rolling_percentile(prices, "change_pct", 40, kind, chunk=c).orderBy("stock_id", "date").collect() for c in (None, 7))
+        assert one == cut
+    columns = ["ret_5", "ret_10", "gap_20", "bar_range"]
+    features = technical.technical_features(adapters.daily_prices(spark, small))
+    for lag, refit in ((True, 1), (False, 3)):
+        one, cut = (recursive.rolling_lasso_signal(features, columns, window=60, ahead=5, refit=refit, lag_target=lag, chunk=c).orderBy("stock_id", "date").toPandas() for c in (None, 45))
+        assert one.signal.notna().sum() > 100
+        assert np.allclose(one.signal, cut.signal, atol=1e-8, equal_nan=True)
+
+
+def test_ranks_of_a_long_window_against_counting():
+    from panelspark.operators.technical import window_ranks
+
+    rng = np.random.default_rng(2)
+    values = [None if rng.random() < 0.1 else float(v) for v in rng.integers(0, 400, size=4000)]
+    below, upto, size = window_ranks(values, 1250)
+    for i in [*range(0, 4000, 61), 1249, 1250, 3999]:
+        window = [v for v in values[max(0, i - 1249) : i + 1] if v is not None]
+        assert size[i] == len(window)
+        if values[i] is not None:
+            assert (below[i], upto[i]) == (sum(v < values[i] for v in window), sum(v <= values[i] for v in window))
+
+
+def test_many_fits_at_once_are_the_plain_fits():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(300, 5)), rng.normal(size=300) * 0.1
+    x[:, 3] = 2.5  # constant
+    x[:, 4] = x[:, 0] * 3 + 100
+    y += 0.3 * x[:, 0]
+    use = rng.random(300) < 0.9
+    starts, ends = np.arange(0, 200), np.arange(80, 280)
+    n, mean, middle, scale, gram, target = recursive.window_moments(x, y, use, starts, ends)
+    w = recursive.lasso_many(gram, target, 0.01)
+    for k in range(0, 200, 13):
+        rows = np.flatnonzero(use[starts[k] : ends[k]]) + starts[k]
+        m, s = x[rows].mean(axis=0), x[rows].std(axis=0)
+        s[s < 1e-9] = 1.0
+        want = recursive.lasso((x[rows] - m) / s, y[rows] - y[rows].mean(), 0.01)
+        assert n[k] == len(rows) and np.allclose(w[k], want, atol=1e-8)

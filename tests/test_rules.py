@@ -131,3 +131,127 @@ def test_option_table_sides(spark):
     got = {r.strike: r for r in derivatives.option_table(quotes).collect()}
     assert tuple(got[10.0].call) == (1.5, 0.5, 50.0, 3, 7) and tuple(got[10.0].put) == (None, None, None, 0, 0)
     assert (got[10.0].is_resistance, got[20.0].is_resistance, got[20.0].is_support) == (1, 0, 1)
+
+
+def days(stock, closes, start=dt.date(2020, 1, 1)):
+    return [(stock, start + dt.timedelta(days=i), float(c)) for i, c in enumerate(closes)]
+
+
+def test_regime_filter_waits_for_its_average(spark):
+    """Without a long average the side stays; with one, a long below it and a short above it go."""
+    rows = [("a", d, c, s) for (_, d, c), s in zip(days("a", [10, 11, 12, 9, 9, 14]), [0.1, -0.1, 0.1, 0.1, -0.1, -0.1], strict=True)]
+    got = technical.to_position(spark.createDataFrame(rows, "stock_id string, date date, close_price double, signal double"), regime=3, vol=2).orderBy("date").collect()
+    # averages from the third bar: 11, 10.67, 10, 10.67
+    assert [r.side for r in got] == [1, -1, 1, 0, -1, 0]
+    assert got[0].position == 0 and got[1].position == 0 and got[2].position != 0  # no deviation before the third bar
+
+
+def test_strategies_by_hand(spark):
+    """Four bars: one entry, one turn to the other side, one exit."""
+    rows = [(*r, side, pos) for r, side, pos in zip(days("a", [100, 110, 99, 99]), [1, -1, -1, 0], [2.0, -1.0, -1.0, 0.0], strict=True)]
+    df = spark.createDataFrame(rows, "stock_id string, date date, close_price double, side int, position double")
+    got = {r.strategy: r for r in technical.performance_metrics(df, cost=0.01, least=3).collect()}
+    strat, vol = [0.1 - 0.02, 0.1, 0.0 - 0.01], [0.2 - 0.03, 0.1, 0.0 - 0.01]
+    import statistics as st
+
+    for name, rets in (("strat", strat), ("vol", vol), ("bh", [0.1, -0.1, 0.0])):
+        total, peak, fall = 1.0, None, 0.0
+        for r in rets:
+            total *= 1 + r
+            peak = total if peak is None else max(peak, total)
+            fall = min(fall, total / peak - 1)
+        sd = st.stdev(rets)
+        want = [round(total ** (252 / 3) - 1, 4), round(sd * 252**0.5, 4), round(st.mean(rets) / sd * 252**0.5, 4), round(fall, 4), round(sum(r > 0 for r in rets) / sum(r != 0 for r in rets), 4)]
+        r = got[name]
+        assert [r.cagr, r.vol, r.sharpe, r.max_drawdown, r.win_rate] == want, name
+    # of the three bars with returns the first two are inside; the first counts as entered, the exit does not
+    assert (got["strat"].switches, got["strat"].time_in_market, got["bh"].n) == (1, round(2 / 3, 4), 3)
+    flat = spark.createDataFrame([(*r, 0, 0.0) for r in days("f", [5] * 60)], df.schema)
+    r = {x.strategy: x for x in technical.performance_metrics(flat).collect()}["bh"]
+    assert (r.cagr, r.vol, r.sharpe, r.max_drawdown, r.calmar, r.win_rate, r.switches) == (0, 0, 0, 0, 0, 0, 0)
+
+
+def test_summaries_join_over_years(spark):
+    """A fall that begins in one year and ends in the next is found from the years' summaries."""
+    import random
+
+    rng = random.Random(5)
+    closes = [100.0]
+    for _ in range(900):
+        closes.append(closes[-1] * (1 + rng.uniform(-0.05, 0.05)))
+    df = spark.createDataFrame([(*r, 1, 1.0) for r in days("a", closes)], "stock_id string, date date, close_price double, side int, position double")
+    r = {x.strategy: x for x in technical.performance_metrics(df).collect()}["bh"]
+    total, peak, fall = 1.0, 0.0, 0.0
+    for a, b in zip(closes, closes[1:], strict=False):
+        total *= b / a
+        peak = max(peak, total)
+        fall = min(fall, total / peak - 1)
+    assert (r.n, r.max_drawdown, r.cagr) == (900, round(fall, 4), round(total ** (252 / 900) - 1, 4))
+
+
+def test_trades_that_end_even_are_neither_won_nor_lost(spark):
+    rows = [("a", 1, 0.1, 3), ("a", 1, 0.0, 1), ("a", -1, -0.05, 2), ("a", -1, 0.3, 4), ("b", 1, 0.0, 1)]
+    closed = spark.createDataFrame(rows, "stock_id string, side int, pnl double, bars long")
+    got = {r.stock_id: r for r in technical.trade_summary(closed).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.trades, a.wins, a.losses, a.win_rate, a.avg_win, a.avg_loss, a.payoff) == (4, 2, 1, 0.6667, 0.2, -0.05, 4.0)
+    assert (a.expectancy, a.hold_bars, a.best, a.worst) == (round(2 / 3 * 0.2 - 1 / 3 * 0.05, 6), 2.5, 0.3, -0.05)
+    assert (a.longs, a.long_win_rate, a.shorts, a.short_win_rate) == (2, 0.5, 2, 0.5)
+    assert (b.win_rate, b.payoff, b.expectancy, b.longs, b.shorts, b.short_win_rate) == (0, 0, 0, 1, 0, 0)
+
+
+def test_stopped_instruments_have_no_average(spark):
+    """Only the market's last max(n + 5, ceil(1.6 n)) dates count."""
+    market = days("a", range(10, 40))
+    stopped, resumed = days("old", [50] * 10), days("gap", [7] * 12) + days("gap", [8, 8], dt.date(2020, 1, 29))
+    got = {r.stock_id: (r.avg_close, r.bars) for r in technical.trim_recent_continuous(spark.createDataFrame(market + stopped + resumed, "stock_id string, date date, close_price double"), n=10).collect()}
+    assert got == {"a": (sum(range(30, 40)) / 10, 10), "gap": (8.0, 2)}
+
+
+def test_both_ends_of_one_ranking(spark):
+    weeks = [dt.date(2020, 1, 1) + dt.timedelta(days=7 * i) for i in range(5)]
+    change = {"a": 3.0, "b": 1.0, "c": -2.0, "d": 2.0}
+    rows = [(s, weeks[0], 12, 10.0) for s in change] + [(s, weeks[4], 12, 10.0 + x) for s, x in change.items()] + [("d", weeks[4], 13, None), ("x", weeks[4], 12, 9.0), ("y", weeks[4], 3, 1.0)] + [("b", w, 1, 1.0) for w in weeks]
+    holders = spark.createDataFrame(rows, "stock_id string, sca_date date, band int, pct double")
+    top = lambda n: {side: [r.stock_id for r in flows.concentration_change(holders, limit=n).collect() if r.side == side] for side in ("buy", "sell")}
+    assert top(1) == {"buy": ["a"], "sell": ["c"]}
+    assert top(3) == {"buy": ["a", "d", "b"], "sell": ["c", "b", "d"]}
+    assert top(50) == {"buy": ["a", "d", "b", "c"], "sell": ["c", "b", "d", "a"]}
+
+
+def test_one_calendar(spark):
+    from panelspark.operators.joins import align_calendars
+
+    a = spark.createDataFrame([("s", d, c) for _, d, c in days("s", [1, 2, 3, 4])], "series string, date date, a double")
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
+    b = spark.createDataFrame([("s", day(1), 10.0), ("s", day(2), None), ("s", day(9), 99.0)], "series string, date date, b double")
+    assert sorted((r.date, r.a, r.b) for r in align_calendars(a, b, "a", "b").collect()) == [(day(1), 2.0, 10.0), (day(2), 3.0, 10.0), (day(3), 4.0, 10.0)]
+
+
+def test_correlation_tiles_against_pairs(spark):
+    """Small tiles and runs of dates, series with gaps, one that does not move, one too short, one alone."""
+    import itertools
+    import math
+    import random
+
+    from panelspark.operators.correlation import correlation_matrix
+
+    rng = random.Random(11)
+    series = {f"s{i:02d}": {d: 1000 + rng.gauss(0, 1) + (d * 0.05 if i % 2 else 0) for d in range(60) if rng.random() < 0.8} for i in range(11)}
+    series |= {"flat": dict.fromkeys(range(60), 7.0), "short": {1: 1.0, 2: 5.0, 3: 2.0}, "alone": {500: 1.0}}
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=d), s, v) for s, vs in series.items() for d, v in vs.items()] + [(dt.date(2020, 1, 1), "nulls", None)]
+    got = {(r.a, r.b): r for r in correlation_matrix(spark.createDataFrame(rows, "date date, series string, value double"), block=4, dates=16).collect()}
+    seen = 0
+    for a, b in itertools.combinations(sorted(series), 2):
+        common = sorted(set(series[a]) & set(series[b]))
+        if not common:
+            assert (a, b) not in got
+            continue
+        seen += 1
+        x, y = [series[a][d] for d in common], [series[b][d] for d in common]
+        mx, my = sum(x) / len(x), sum(y) / len(y)
+        vx, vy = sum((v - mx) ** 2 for v in x), sum((v - my) ** 2 for v in y)
+        want = None if len(common) < 5 else 0.0 if min(vx, vy) < 1e-20 else round(sum((p - mx) * (q - my) for p, q in zip(x, y, strict=True)) / math.sqrt(vx * vy), 4)
+        assert (got[a, b].n, got[a, b].r) == (len(common), want), (a, b)
+    assert seen == len(got)
+    assert got["flat", "short"].reading == "資料不足" and got["flat", "short"].bucket is None

@@ -117,11 +117,31 @@ def test_asof_keeps_unmatched(spark):
     assert got == {("a", 5): "y", ("a", 1): None, ("b", 3): None}
 
 
-def test_latest_state_sink(spark, tmp_path):
-    from panelspark.streaming.quotes import keep_latest
-
-    write = keep_latest(["k"], str(tmp_path / "s"))
-    batch = lambda *r: spark.createDataFrame(list(r), "k string, v long, load_ts long")
-    write(batch(("a", 1, 1), ("b", 1, 1)), 0)
-    write(batch(("a", 2, 2)), 1)
-    assert {tuple(r)[:2] for r in spark.read.parquet(str(tmp_path / "s/gen=1")).collect()} == {("a", 2), ("b", 1)}
+def test_latest_state_in_buckets(spark, tmp_path):
+    from panelspark.streaming import quotes
+
+    path, schema = str(tmp_path / "s"), "k string, v long, at long"
+    files = lambda: {p.relative_to(path): p.stat().st_mtime_ns for p in (tmp_path / "s").rglob("*.parquet")}
+    show = lambda: {(r.k, r.v) for r in quotes.read_state(spark, path, schema).collect()}
+    batch = lambda *r: spark.createDataFrame(list(r), schema)
+    quotes.create_state(spark, path)
+    assert show() == set()
+    write = quotes.keep_latest(["k"], ["at", "v"], path, buckets=8)
+    write(batch(*[(f"k{i}", i, 1) for i in range(40)]), 0)
+    assert show() == {(f"k{i}", i) for i in range(40)}
+    before = files()
+    write(batch(("k7", 99, 2), ("k7", 98, 2), ("k3", 5, 0)), 1)  # the newest by (at, v); an older row changes nothing
+    assert show() == {(f"k{i}", 99 if i == 7 else i) for i in range(40)}
+    added = set(files()) - set(before)
+    assert len({p.parts[2] for p in added if p.parts[0] == "rows"}) <= 2 and all(files()[p] == before[p] for p in before)
+    after = files()
+    write(batch(("k7", 99, 2), ("k7", 98, 2), ("k3", 5, 0)), 1)  # a repeated epoch
+    write(batch(("k1", 500, 9)), 0)
+    assert files() == after
+    write(batch(), 2)
+    assert show() == {(f"k{i}", 99 if i == 7 else i) for i in range(40)}
+    for p in (tmp_path / "s/manifest/epoch=1").glob("*"):
+        p.unlink()  # cut off before its commit: the batch runs again from epoch 0
+    (tmp_path / "s/manifest/epoch=1").rmdir()
+    write(batch(("k7", 99, 2), ("k7", 98, 2), ("k3", 5, 0)), 1)
+    assert show() == {(f"k{i}", 99 if i == 7 else i) for i in range(40)}
