@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -116,24 +118,32 @@ def lasso(x: np.ndarray, y: np.ndarray, alpha: float, rounds: int = 200) -> np.n
 
 
 def lasso_many(grams: np.ndarray, targets: np.ndarray, alpha: float, rounds: int = 200) -> np.ndarray:
-    """lasso() for many Gram matrices at once: each takes the same steps as alone and stops when it has converged."""
-    w = np.zeros_like(targets)
+    """lasso() for many Gram matrices at once: each takes the same steps as alone and stops when it has converged.
+
+    What is left of a target after its weights is kept up to date, so a step costs one column of the Gram matrix.
+    """
+    done = np.zeros_like(targets)
     active = np.arange(len(targets))
-    g, t, d = grams, targets, np.einsum("fjj->fj", grams)
-    safe = np.where(d > 0, d, 1.0)
+    g, w = np.ascontiguousarray(np.moveaxis(grams, 0, 2)), np.zeros_like(targets).T.copy()  # fits last: steps run along them
+    left, d = targets.T.copy(), np.einsum("jjf->jf", g).copy()
     for _ in range(rounds):
         if not len(active):
             break
-        u = w[active]
-        before = u.copy()
-        for j in range(u.shape[1]):
-            rho = t[:, j] - (g[:, j, :] * u).sum(axis=1) + d[:, j] * u[:, j]
-            u[:, j] = np.where(d[:, j] > 0, np.sign(rho) * np.maximum(np.abs(rho) - alpha, 0.0) / safe[:, j], 0.0)
-        w[active] = u
-        going = np.abs(u - before).max(axis=1) >= 1e-9
-        if not going.all():
-            active, g, t, d, safe = active[going], g[going], t[going], d[going], safe[going]
-    return w
+        moved = np.zeros(len(active))
+        inverse = np.divide(1.0, d, out=np.zeros_like(d), where=d > 0)
+        for j in range(len(w)):
+            rho = left[j] + d[j] * w[j]
+            new = (rho - np.clip(rho, -alpha, alpha)) * inverse[j]
+            step = new - w[j]
+            left -= g[j] * step
+            w[j] = new
+            np.maximum(moved, np.abs(step), out=moved)
+        going = moved >= 1e-9
+        if going.sum() < 0.75 * len(going) or not going.any():
+            done[active[~going]] = w[:, ~going].T
+            active, g, w, left, d = active[going], g[:, :, going], w[:, going], left[:, going], d[:, going]
+    done[active] = w.T
+    return done
 
 
 def window_moments(x: np.ndarray, y: np.ndarray, use: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -168,28 +178,66 @@ def rolling_lasso_signal(features: DataFrame, columns: list[str], window: int =
     cut into chunks that reach back over window, target and refit, so a long one is several tasks.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_row")
+    def moments(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        """Rows to predict of one chunk, which fit serves each, and the fits."""
         x, close, number = pdf[columns].to_numpy(float), pdf["close_price"].to_numpy(float), pdf["_row"].to_numpy(int)
-        first, count = number[0], len(pdf)
-        y = pdf["_later"].to_numpy(float) / close - 1
-        ok = np.isfinite(x).all(axis=1)
-        wanted = np.flatnonzero(pdf["_own"].to_numpy(bool) & (number >= window))
-        signal = np.full(count, np.nan)
-        if len(wanted):
-            fitted = number[wanted] - (number[wanted] - window) % refit - first  # the refit that serves each row
-            fits, which = np.unique(fitted, return_inverse=True)
-            ends = np.maximum(fits - ahead if lag_target else fits, 0)
-            starts = np.maximum(ends - window, 0)
-            n, mean, middle, scale, gram, target = window_moments(np.where(ok[:, None], x, 0.0), np.nan_to_num(y), ok & np.isfinite(y), starts, ends)
-            enough = n > len(columns)
-            weights = np.zeros_like(target)
-            weights[enough] = lasso_many(gram[enough], target[enough], alpha)
-            got = middle[which] + ((x[wanted] - mean[which]) / scale[which] * weights[which]).sum(axis=1)
-            signal[wanted] = np.where(enough[which] & ok[wanted], got, np.nan)
-        own = pdf["_own"].to_numpy(bool)
-        return pd.DataFrame({"stock_id": pdf["stock_id"], "date": pdf["date"], "close_price": close, "signal": signal})[own]
+        y, ok = pdf["_later"].to_numpy(float) / close - 1, np.isfinite(x).all(axis=1)
+        wanted = np.flatnonzero(pdf["_own"].to_numpy(bool) & (number >= window) & ok)
+        fits, which = np.unique(number[wanted] - (number[wanted] - window) % refit - number[0], return_inverse=True)
+        ends = np.maximum(fits - ahead if lag_target else fits, 0)
+        n, *rest = window_moments(np.where(ok[:, None], x, 0.0), np.nan_to_num(y), ok & np.isfinite(y), np.maximum(ends - window, 0), ends)
+        keep = n > len(columns)
+        place = np.cumsum(keep) - 1
+        served = keep[which]
+        return x[wanted[served]], wanted[served], place[which[served]], *[m[keep] for m in rest]
+
+    def solved(waiting: list[tuple]) -> pd.DataFrame:
+        """Predictions of several chunks, whose fits are solved together."""
+        weights = lasso_many(np.concatenate([m[6] for _, m in waiting]), np.concatenate([m[7] for _, m in waiting]), alpha)
+        out, first = [], 0
+        for pdf, (x, rows, which, mean, middle, scale, gram, _) in waiting:
+            w = weights[first : first + len(gram)]
+            first += len(gram)
+            signal = np.full(len(pdf), np.nan)
+            signal[rows] = middle[which] + ((x - mean[which]) / scale[which] * w[which]).sum(axis=1)
+            out.append(pdf.assign(signal=signal).loc[pdf["_own"].to_numpy(bool), ["stock_id", "date", "close_price", "signal"]])
+        return pd.concat(out)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting, fits = [], 0
+        for pdf in whole_chunks(batches):
+            found = moments(pdf)
+            waiting.append((pdf, found))
+            fits += len(found[6]) + 1
+            if fits >= FITS:
+                yield solved(waiting)
+                waiting, fits = [], 0
+        if waiting:
+            yield solved(waiting)
 
     later = F.lead("close_price", ahead).over(Window.partitionBy("stock_id").orderBy("date"))
     rows = in_chunks(features.select("stock_id", "date", "close_price", *columns, later.alias("_later")), "stock_id", window + ahead + refit, size=chunk)
-    return rows.groupBy("stock_id", "_chunk").applyInPandas(run, "stock_id string, date date, close_price double, signal double")
+    return rows.repartition("stock_id", "_chunk").sortWithinPartitions("stock_id", "_chunk", "_row").mapInPandas(run, "stock_id string, date date, close_price double, signal double")
+
+
+#: Fits of different instruments that are solved together.
+FITS = 4096
+
+
+def whole_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The chunks of a partition sorted by (stock_id, _chunk, _row), one at a time, however the batches cut them."""
+    left: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        new = (batch["stock_id"].ne(batch["stock_id"].shift()) | batch["_chunk"].ne(batch["_chunk"].shift())).to_numpy()
+        starts = np.flatnonzero(new)
+        if left and (left[-1]["stock_id"].iloc[-1], left[-1]["_chunk"].iloc[-1]) == (batch["stock_id"].iloc[0], batch["_chunk"].iloc[0]):
+            starts = starts[1:]
+            left.append(batch.iloc[: starts[0] if len(starts) else len(batch)])
+        for a, b in zip(starts, [*starts[1:], len(batch)], strict=True):
+            if left:
+                yield pd.concat(left, ignore_index=True)
+            left = [batch.iloc[a:b]]
+    if left:
+        yield pd.concat(left, ignore_index=True)
