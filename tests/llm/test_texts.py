@@ -380,10 +380,9 @@ def test_contaminated(spark):
     left = decontaminate.drop_contaminated(docs, bench)
     assert {r.doc_id for r in left.collect()} == {d for d, _ in rows} - {d for d, _ in want}
     # against a search of every passage with every item, without cosines
-    block = decontaminate.Block.of([(i, t) for i, t in items if t])
     counts = Counter(w for _, t in rows for w in decontaminate.words_of(t))
     passages = sum(len(decontaminate.words_of(t)) // decontaminate.PASSAGE + 1 for _, t in rows)
-    weight = {w: max(0.1, np.log((passages + 1) / (counts[w] + 0.5))) for w in block.vocabulary}
+    weight = {w: max(0.1, np.log((passages + 1) / (counts[w] + 0.5))) for _, t in items for w in decontaminate.words_of(t)}
     plain = set()
     for d, t in rows:
         ws = decontaminate.words_of(t)
@@ -405,3 +404,19 @@ def test_contaminated(spark):
     clash = docs.selectExpr("doc_id", "text", "doc_id AS item_id", "text AS start")
     assert decontaminate.contaminated(clash, bench).count() == len(got) and decontaminate.drop_contaminated(clash, bench).columns == clash.columns
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_one_space_whatever_the_blocks(spark, small, monkeypatch):
+    """All items share one space of fewer axes than passages; blocks of three items find the same with the same cosines."""
+    docs, bench = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
+    show = lambda: sorted(tuple(r) for r in decontaminate.contaminated(docs, bench).collect())
+    whole = show()
+    items = decontaminate.Block.of([(r.item_id, r.text) for r in bench.collect() if r.text]).items
+    ids = decontaminate.encoded(docs, {w: decontaminate.number_of(w) for r in bench.collect() for w in decontaminate.words_of(r.text)})
+    space = decontaminate.latent_space(ids, items)
+    passages = decontaminate.Block(items).passages()[1]
+    assert space.axes.shape[1] == decontaminate.RANK <= len(passages) / 2
+    held = space.axes[np.unique(np.concatenate(passages))]
+    assert np.allclose(held.T @ held, np.eye(decontaminate.RANK), atol=1e-3)
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
+    assert whole and show() == whole
