@@ -1,11 +1,10 @@
 """Chat formatting by incremental black-box rendering.
 
-A template is any function from a list of messages to a string. Nothing is assumed of its
-markup: the operator renders successive turn prefixes, and where one output continues the
-previous one the difference is the turn's span. Inside a span the text is located by
-rendering the same prefix with two probe texts: what the two outputs share before and after the
-probes is the turn's frame. Templates that rewrite history (an output that does not continue the
-previous one) are reported, and their spans are measured on the last output only.
+A template is any function from a list of messages to a string. Nothing is assumed of its markup: the operator renders
+successive turn prefixes and compares consecutive outputs. What an output has that the one before has not is the turn's
+span: at the end, or before a trailer that both share. Where an earlier output is not kept whole around that span, the
+template rewrites history; such templates are reported, and their turns are measured on the last output only. Inside a
+turn's span the text is what changes between two renderings of the turn with probe texts.
 """
 
 from __future__ import annotations
@@ -67,36 +66,62 @@ def _shared(a: str, b: str) -> int:
     return lo
 
 
-def render_spans(messages: list[Message], template: Template) -> tuple[str, list[tuple[int, int]], bool]:
-    """The whole output, (start, end) of each turn's text in it, and whether the template rewrote history."""
-    outputs = [template([])]
-    rewrites = False
-    spans: list[tuple[int, int]] = []
+def _shared_end(a: str, b: str, most: int) -> int:
+    """Length of the longest common suffix, at most `most`."""
+    return _shared(a[len(a) - most :][::-1], b[len(b) - most :][::-1]) if most else 0
+
+
+def added(before: str, after: str) -> tuple[int, int, bool]:
+    """(start, end) of what `after` has and `before`, the output of one turn less, has not, and whether more than that changed."""
+    start = _shared(before, after)
+    tail = _shared_end(before, after, min(len(before), len(after)) - start)
+    return start, len(after) - tail, start + tail < len(before)
+
+
+def _changing(a: str, b: str) -> tuple[int, int]:
+    """Lengths of what two renderings that differ in one text share before and after it."""
+    before = _shared(a, b)
+    return before, _shared_end(a, b, min(len(a), len(b)) - before)
+
+
+def render_turns(messages: list[Message], template: Template) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]], bool]:
+    """The whole output, (start, end) of each turn and of each turn's text in it, and whether the template rewrote history.
+
+    A text that lies outside its turn's span, as far as consecutive outputs tell it, or a turn in front of an earlier
+    text, counts as rewritten history too.
+    """
+    last, rewrites = template([]), False
+    turns: list[tuple[int, int]] = []
+    texts: list[tuple[int, int]] = []
     for k, message in enumerate(messages):
-        prefix = messages[:k]
-        out = template([*prefix, message])
-        rewrites |= not out.startswith(outputs[0])
-        probes = [template([*prefix, {**message, "text": p}]) for p in _PROBES]
-        before = _shared(*probes)
-        after = _shared(probes[0][before:][::-1], probes[1][before:][::-1])
-        spans.append((before, len(out) - after))
-        outputs = [out]
-    whole = outputs[0]
-    if rewrites:  # earlier outputs no longer tell where a text stands: probe each turn in the whole
-        spans = []
+        out = template(messages[: k + 1])
+        start, end, changed = added(last, out)
+        before, after = _changing(*[template([*messages[:k], {**message, "text": p}]) for p in _PROBES])
+        rewrites |= changed or before < start or len(out) - after > end or (bool(texts) and start < texts[-1][1])
+        turns.append((start, end))
+        texts.append((before, len(out) - after))
+        last = out
+    if rewrites:  # earlier outputs no longer tell where a turn stands: each is left out of and probed in the whole
+        turns, texts = [], []
         for k, message in enumerate(messages):
-            probes = [template([*messages[:k], {**message, "text": p}, *messages[k + 1 :]]) for p in _PROBES]
-            before = _shared(*probes)
-            after = _shared(probes[0][before:][::-1], probes[1][before:][::-1])
-            spans.append((before, len(whole) - after))
-    return whole, spans, rewrites
+            start, end, _ = added(template([*messages[:k], *messages[k + 1 :]]), last)
+            before, after = _changing(*[template([*messages[:k], {**message, "text": p}, *messages[k + 1 :]]) for p in _PROBES])
+            texts.append((before, len(last) - after))
+            turns.append((min(start, before), max(end, len(last) - after)))
+    return last, turns, texts, rewrites
+
+
+def render_spans(messages: list[Message], template: Template) -> tuple[str, list[tuple[int, int]], bool]:
+    """The whole output, (start, end) of each turn's text in it, and whether the template rewrote history."""
+    whole, _, texts, rewrites = render_turns(messages, template)
+    return whole, texts, rewrites
 
 
-SCHEMA = "conv_id long, n_turns long, formatted string, loss_spans array<struct<start:long,end:long>>, rewrites_history boolean"
+SCHEMA = "conv_id long, n_turns long, formatted string, loss_spans array<struct<start:long,end:long>>, turn_spans array<struct<start:long,end:long>>, rewrites_history boolean"
 
 
 def format_chats(conversations: DataFrame, template: Template = instruct_template, loss_role: str = "assistant") -> DataFrame:
-    """One row per conversation: conv_id, n_turns, formatted, loss_spans, rewrites_history.
+    """One row per conversation: conv_id, n_turns, formatted, loss_spans, turn_spans, rewrites_history.
 
     Turns are ordered by turn (nulls first), then role and text, so ties and repeated rows have a
     defined order and all are kept; null roles and texts are empty; rows with a null conv_id form one
@@ -107,12 +132,12 @@ def format_chats(conversations: DataFrame, template: Template = instruct_templat
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
     def one(conv, messages: list[Message]) -> tuple:
-        whole, spans, rewrites = render_spans(messages, template)
-        loss = [{"start": s, "end": e} for m, (s, e) in zip(messages, spans, strict=True) if m["role"] == loss_role]
-        return conv, len(messages), whole, loss, rewrites
+        whole, turns, texts, rewrites = render_turns(messages, template)
+        loss = [{"start": s, "end": e} for m, (s, e) in zip(messages, texts, strict=True) if m["role"] == loss_role]
+        return conv, len(messages), whole, loss, [{"start": s, "end": e} for s, e in turns], rewrites
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["conv_id", "n_turns", "formatted", "loss_spans", "rewrites_history"]
+        names = ["conv_id", "n_turns", "formatted", "loss_spans", "turn_spans", "rewrites_history"]
         current: list[Message] = []
         conv: object = None
         for pdf in batches:

@@ -95,6 +95,34 @@ class PuNetwork:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
 
 
+def risk_gradient(parameters: list[np.ndarray], xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, list[np.ndarray]]:
+    """Objective of one step and its gradient, for a batch of positives and one of unlabelled rows of the same size.
+
+    Logistic loss l: the risk pi * l(g) on positives plus the negative risk, l(-g) on unlabelled less pi * l(-g) on
+    positives. Where that estimate of the negative risk is below zero, the objective is its opposite instead.
+    """
+    sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -30, 30)))
+    soft = lambda v: np.logaddexp(0, v).mean()
+    batch = len(xp)
+    x = np.concatenate([xp, xu])
+    h = np.tanh(x @ parameters[0] + parameters[1])
+    g = h @ parameters[2] + parameters[3][0]
+    gp, gu = g[:batch], g[batch:]
+    negative = soft(gu) - prior * soft(gp)
+    d = np.empty(2 * batch)
+    if negative >= 0:
+        objective = prior * soft(-gp) + negative
+        d[:batch] = prior * -sigmoid(-gp) - prior * sigmoid(gp)
+        d[batch:] = sigmoid(gu)
+    else:
+        objective = -negative
+        d[:batch] = prior * sigmoid(gp)
+        d[batch:] = -sigmoid(gu)
+    d /= batch
+    dh = d[:, None] * parameters[2][None, :] * (1 - h * h)
+    return float(objective), [x.T @ dh, dh.sum(axis=0), h.T @ d, np.array([d.sum()])]
+
+
 def train_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, seed: int = 5) -> PuNetwork:
     """Non-negative PU learning with the logistic loss: where the estimated negative risk of a batch falls below zero,
     the step goes against it instead."""
@@ -104,25 +132,11 @@ def train_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     parameters = [net.w1, net.b1, net.w2, np.zeros(1)]
     first, second = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
     p_x, u_x = (positive - net.mean) / net.scale, (unlabelled - net.mean) / net.scale
-    sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -30, 30)))
     for step in range(1, steps + 1):
         xp, xu = p_x[rng.integers(len(p_x), size=BATCH)], u_x[rng.integers(len(u_x), size=BATCH)]
-        x = np.concatenate([xp, xu])
-        h = np.tanh(x @ parameters[0] + parameters[1])
-        g = h @ parameters[2] + parameters[3][0]
-        gp, gu = g[:BATCH], g[BATCH:]
-        soft = lambda v: np.logaddexp(0, v).mean()
-        negative = soft(gu) - prior * soft(gp)
-        d = np.empty(2 * BATCH)
-        if negative >= 0:  # pi * l(g) on positives, l(-g) on unlabelled minus pi * l(-g) on positives
-            d[:BATCH] = prior * -sigmoid(-gp) - prior * sigmoid(gp)
-            d[BATCH:] = sigmoid(gu)
-        else:
-            d[:BATCH] = prior * sigmoid(gp)
-            d[BATCH:] = -sigmoid(gu)
-        d /= BATCH
-        dh = d[:, None] * parameters[2][None, :] * (1 - h * h)
-        grads = [x.T @ dh + 1e-4 * parameters[0], dh.sum(axis=0), h.T @ d + 1e-4 * parameters[2], np.array([d.sum()])]
+        _, grads = risk_gradient(parameters, xp, xu, prior)
+        grads[0] += 1e-4 * parameters[0]
+        grads[2] += 1e-4 * parameters[2]
         for q, gr, a, b in zip(parameters, grads, first, second, strict=True):
             a += 0.1 * (gr - a)
             b += 0.01 * (gr * gr - b)

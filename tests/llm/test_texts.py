@@ -322,8 +322,29 @@ def test_toxicity_learns_terms(spark):
 
 
 def test_pu_risk_and_prior():
-    """The gradient of training against differences of the risk, and the prior of mixtures."""
+    """The gradient of training against differences of the risk, on both sides of zero, and the prior of mixtures."""
     rng = np.random.default_rng(1)
+    xp, xu = rng.normal(size=(40, 6)), rng.normal(size=(40, 6))
+    below = 0
+    for bias in (0.5, 6.0):
+        parameters = [rng.normal(0, 0.5, (6, 5)), rng.normal(0, 0.5, 5), rng.normal(0, 0.5, 5), np.array([bias])]
+        for prior, unlabelled in ((0.4, xu), (0.99, xu - 3.0 * np.sign(parameters[0] @ parameters[2]))):
+            g = lambda x: np.tanh(x @ parameters[0] + parameters[1]) @ parameters[2] + parameters[3][0]  # noqa: B023, E731
+            negative = np.log1p(np.exp(g(unlabelled))).mean() - prior * np.log1p(np.exp(g(xp))).mean()
+            objective, gradient = quality.risk_gradient(parameters, xp, unlabelled, prior)
+            want = -negative if negative < 0 else prior * np.log1p(np.exp(-g(xp))).mean() + negative
+            assert abs(objective - want) < 1e-12
+            below += negative < 0
+            for p, gr in zip(parameters, gradient, strict=True):
+                for at in list(np.ndindex(p.shape))[:7]:
+                    step, held = 1e-5, p[at]
+                    values = []
+                    for sign in (1, -1):
+                        p[at] = held + sign * step
+                        values.append(quality.risk_gradient(parameters, xp, unlabelled, prior)[0])
+                    p[at] = held
+                    assert abs((values[0] - values[1]) / (2 * step) - gr[at]) < 1e-7
+    assert 0 < below < 4
     for prior in (0.3, 0.7):
         good, other = rng.normal(1.5, 1, (900, 6)), rng.normal(-1.5, 1, (900, 6))
         mixed = np.concatenate([rng.normal(1.5, 1, (int(1200 * prior), 6)), other[: int(1200 * (1 - prior))]])[rng.permutation(1200)]
@@ -420,3 +441,32 @@ def test_one_space_whatever_the_blocks(spark, small, monkeypatch):
     assert np.allclose(held.T @ held, np.eye(decontaminate.RANK), atol=1e-3)
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
     assert whole and show() == whole
+
+
+def test_turn_spans_from_consecutive_outputs():
+    messages = [{"role": r, "text": t} for r, t in (("user", "aba"), ("assistant", "b"), ("user", ""), ("assistant", "</t>b</t>"))]
+    trailed = lambda ms: "<s>" + "".join(f"<t>{m['role'][0]}:{m['text']}</t>" for m in ms) + "</s>"
+    out, turns, texts, rewrites = chat.render_turns(messages, trailed)
+    assert not rewrites and [out[s:e] for s, e in texts] == [m["text"] for m in messages]
+    # a trailer that begins like a turn may move a span by what both share; its length and the whole stay right
+    assert [e - s for s, e in turns] == [len(f"<t>u:{m['text']}</t>") for m in messages]
+    out, turns, texts, rewrites = chat.render_turns(messages, chat.instruct_template)
+    assert not rewrites and "".join(out[s:e] for s, e in turns) == out[3:]
+    assert [out[s:e] for s, e in turns] == [chat.instruct_template([m])[3:] for m in messages]
+    for rewriting in (lambda ms: f"{len(ms)} turns: " + trailed(ms), lambda ms: trailed(ms[-2:]), lambda ms: trailed(ms[::-1])):
+        assert chat.render_turns(messages, rewriting)[3]
+    out, turns, texts, rewrites = chat.render_turns(messages, lambda ms: trailed(ms[::-1]))
+    assert [out[s:e] for s, e in texts] == [m["text"] for m in messages]
+
+
+def test_chat_of_clashing_columns_and_long_conversations(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} [x] </turn>") for i in range(300)] + [(None, 0, None, None), (None, 0, None, None), (2, 5, "assistant", "z" * 100_000), (3, 1, "user", "one"), (3, 1, "user", "one")]
+    plain = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    clashing = plain.selectExpr("*", "'x' AS formatted", "'y' AS n_turns", "turn AS loss_spans", "role AS conv")
+    show = lambda df: {r.conv_id: r for r in chat.digests(chat.format_chats(df)).collect()}
+    got = show(clashing)
+    assert got == show(plain) and {c: r.n_turns for c, r in got.items()} == {1: 300, None: 2, 2: 1, 3: 2}
+    said = "".join(t for c, _, r, t in rows if c == 1 and r == "assistant")
+    assert (got[1].loss_chars, got[1].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+    assert (got[None].loss_chars, got[2].loss_chars) == (0, 100_000)
+
