@@ -107,3 +107,15 @@ def thinned(df: DataFrame, rows: int, id_col: str = "doc_id") -> DataFrame:
         return df
     cut = int(-(1 << 63) + (1 << 64) * (4 * rows / total))
     return df.where(F.xxhash64(id_col) <= F.lit(min(cut, (1 << 63) - 1)))
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, key: str, total: int, most: int = 1000) -> DataFrame:
+    """Inner join of rows with lookup (one row per key, n = how many rows it has), no key's rows in one task.
+
+    Keys with over 1 / `most` of the `total` rows, fewer than `most` of them, are broadcast; rows of all other keys, none
+    of them crowded, are shuffled. rows is read twice, so it should be a stored table.
+    """
+    crowded = F.col("n") * most > total
+    few = lookup.where(crowded).drop("n")
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(lookup.where(~crowded).drop("n"), key)
+    return rows.join(F.broadcast(few), key).unionByName(rest)

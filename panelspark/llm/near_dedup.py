@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled, shuffle_width, staged
+from .common import sampled, shuffle_width, spread_join, staged
 from .components import components
 
 SHINGLE = 5
@@ -396,8 +396,9 @@ def candidates_apart(classes: DataFrame, crowded: DataFrame, components_so_far:
     rare = staged(_rare_shingles(texts, percent).join(named, "rep"))
     parts = rare.groupBy("shingle", "component").agg(F.count("*").alias("n"))
     shingles = parts.groupBy("shingle").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("n > most.n")
-    shingles = shingles.select("shingle", F.col("most.component").alias("largest"), F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most.n")) / block).cast("int").alias("outer"))
-    rows = rare.join(shingles, "shingle").join(classes.select("rep", "n_shingles", "signature"), "rep")
+    shingles = shingles.select("shingle", "n", F.col("most.component").alias("largest"), F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most.n")) / block).cast("int").alias("outer"))
+    # n of all rows with the shingle: one that thousands of near copies share is dealt over all tasks.
+    rows = spread_join(rare, shingles, "shingle", rare.count()).join(classes.select("rep", "n_shingles", "signature"), "rep")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("lot", F.pmod(F.xxhash64("rep", F.lit(1)), "outer"))
     own = ("rep", "component", "n_shingles", "signature", "earlier")
     outsiders = rows.where("component <> largest").select("shingle", *own, F.lit(True).alias("out"), "lot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mine"))
@@ -479,7 +480,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, percent: int = PERCENT)
     """
     signed = staged(_signed(docs))
     linked = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = staged(linked.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
+    classes = staged(linked.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.count("*").alias("n")))
     signs = classes.select("rep", "n_shingles", "signature")
     every = staged(_regions(signs, block, percent))
     placed = every.where("blocks > 0").drop("crowded")
@@ -493,10 +494,10 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, percent: int = PERCENT)
     if not crowded.isEmpty():
         apart = staged(candidates_apart(signs, staged(crowded), found, docs, block, percent))
         found = components(_links_of(found).unionByName(confirmed(apart, docs, percent)))
-    named = classes.select("fingerprint", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("fingerprint", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component"))
+    named = classes.select("fingerprint", "rep", "n").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("fingerprint", "n", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component"))
     rows = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("fingerprint")).alias("fingerprint"))
     alone = rows.where("fingerprint IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
-    together = rows.where("fingerprint IS NOT NULL").join(named, "fingerprint").select("doc_id", "n_shingles", F.col("component").alias("component_id"), "class_id")
+    together = spread_join(rows.where("fingerprint IS NOT NULL"), named, "fingerprint", signed.count()).select("doc_id", "n_shingles", F.col("component").alias("component_id"), "class_id")
     return together.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
 
 

@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, staged
+from .common import checkpoint_dir, spread_join, staged
 
 # Fixed values of the Zstandard and WARC formats.
 FRAME_MAGIC, DICT_MAGIC, SKIPPABLE_MAGIC = 0xFD2FB528, 0xEC30A437, 0x184D2A5D
@@ -289,24 +289,22 @@ def with_firsts(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataF
     digest = F.unhex(F.sha2(F.col("html").cast("binary"), 256))
     rows = pages.withColumn("sha", digest)
     large = rows.where(F.octet_length("html") >= LEAST_REVISIT_BYTES)
-    per = large.groupBy("sha").agg(F.min("page_id").alias("_first"), F.count("*").alias("n")).where("n > 1 AND _first IS NOT NULL").select("sha", "_first")
+    per = large.groupBy("sha").agg(F.min("page_id").alias("_first"), F.count("*").alias("n")).where("n > 1 AND _first IS NOT NULL")
     firsts = staged(per)
     other = ~F.col("page_id").eqNullSafe(F.col("_first"))
     if firsts.count() <= broadcast_rows:
-        return rows.join(F.broadcast(firsts), "sha", "left").select("page_id", "url", "html", F.when(other, F.col("_first")).alias("first"))
-    # Copies per payload are counted, so a payload with many of them is dealt over as many salts.
+        return rows.join(F.broadcast(firsts.drop("n")), "sha", "left").select("page_id", "url", "html", F.when(other, F.col("_first")).alias("first"))
     narrow = staged(large.select("page_id", "sha"))
-    sizes = narrow.join(firsts, "sha", "left_semi").groupBy("sha").count()
-    whole = max(1, narrow.count())
-    crowded = firsts.join(sizes.where(F.col("count") * 1000 > whole), "sha").select("sha", "_first")  # under 1000 rows
-    plain = firsts.join(F.broadcast(crowded), "sha", "left_anti")
-    met = narrow.join(F.broadcast(crowded), "sha").unionByName(narrow.join(F.broadcast(crowded), "sha", "left_anti").join(plain, "sha"))
+    total = narrow.count()
+    met = spread_join(narrow, firsts, "sha", total)
     decided = met.where(other).groupBy("page_id", "sha").agg(F.min("_first").alias("first"))
     # A null page_id is spread by its payload; two rows of one page_id may have different payloads.
     salt = F.when(F.col("page_id").isNull(), F.xxhash64("sha", "url")).otherwise(0)
     named = rows.withColumn("salt", salt).join(decided.where("page_id IS NOT NULL").withColumn("salt", F.lit(0).cast("long")), ["page_id", "sha", "salt"], "left").select("page_id", "url", "html", "sha", "first")
-    unnamed = named.where("page_id IS NULL").drop("first").join(F.broadcast(crowded), "sha", "left").withColumnRenamed("_first", "_crowded").join(plain, "sha", "left")
-    return named.where("page_id IS NOT NULL").select("page_id", "url", "html", "first").unionByName(unnamed.select("page_id", "url", "html", F.coalesce("_crowded", "_first").alias("first")))
+    unnamed = named.where("page_id IS NULL").drop("first")
+    few = firsts.where(F.col("n") * 1000 > total).drop("n")  # under 1000 rows
+    copies = unnamed.join(F.broadcast(few.withColumnRenamed("_first", "_few")), "sha", "left").join(firsts.drop("n"), ["sha"], "left")
+    return named.where("page_id IS NOT NULL").select("page_id", "url", "html", "first").unionByName(copies.select("page_id", "url", "html", F.coalesce("_few", "_first").alias("first")))
 
 
 def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:

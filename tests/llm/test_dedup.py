@@ -276,3 +276,16 @@ def test_bucket_regions_are_runs_of_long_common_prefixes(block):
                 assert rows[i][3] == crowded and rows[i][1] == -(-heads[depth].count(heads[depth][i]) // block)
                 met.setdefault((depth, heads[depth][i]), set()).add(rows[i][0])
         assert all(len(names) == 1 for names in met.values()) and len({next(iter(x)) for x in met.values()}) == len(met)
+
+
+def test_spread_join_is_a_join(spark):
+    """Crowded keys go by broadcast, the others by shuffle; together they are the inner join, and only crowded ones are broadcast."""
+    from pyspark.sql import functions as F
+
+    from panelspark.llm.common import spread_join
+
+    rows = spark.range(1000).select(F.when(F.col("id") < 400, 0).when(F.col("id") < 404, None).otherwise(F.col("id") % 90).alias("k"), F.col("id").alias("v"))
+    lookup = rows.groupBy("k").agg(F.count("*").alias("n")).where("k IS NULL OR k <> 5").withColumn("x", F.col("k") * 10)
+    got = sorted(tuple(r) for r in spread_join(rows, lookup, "k", 1000, most=10).select("k", "v", "x").collect())
+    assert got == sorted((k, v, k * 10) for k, v in ((0 if i < 400 else None if i < 404 else i % 90, i) for i in range(1000)) if k is not None and k != 5)
+    assert spread_join(rows.limit(0), lookup.limit(0), "k", 0).count() == 0
