@@ -62,17 +62,25 @@ def default_contract(options: DataFrame) -> DataFrame:
 
 
 def large_trader_net(positions: DataFrame, contracts: DataFrame, days: int = 20) -> DataFrame:
-    """Net position of the large traders who are not institutions, per underlying and date, over its last dates."""
+    """Net position of the large traders who are not institutions, per underlying and date, over its last dates.
+
+    The shares are of the open interest of the largest contract (main_code): of the top five and ten buyers and sellers,
+    of the top ten's net, and of the net without institutions; null without open interest.
+    """
     pick = lambda c, t: F.max(F.when(F.col("trader_type") == t, F.col(c)))
-    per = positions.groupBy("date", "product_code").agg(*[pick(c, t).alias(f"{c}_{t}") for c in ("top10_buy", "top10_sell", "market_oi") for t in (0, 1)]).where(F.col("top10_buy_0").isNotNull())
+    held = ("top5_buy", "top5_sell", "top10_buy", "top10_sell", "market_oi")
+    per = positions.groupBy("date", "product_code").agg(*[pick(c, 0).alias(f"{c}_0") for c in held], *[pick(c, 1).alias(f"{c}_1") for c in held[2:4]]).where(F.col("top10_buy_0").isNotNull())
     other = lambda c: F.col(f"{c}_0") - F.coalesce(f"{c}_1", F.lit(0))
     rows = per.withColumn("net", other("top10_buy") - other("top10_sell")).join(contracts, "product_code")
     lots = F.col("lots_per_contract")
     order = F.struct(-F.col("is_mini"), F.col("market_oi_0") * lots, F.col("product_code"))
     out = rows.groupBy("stock_id", "date").agg(
-        F.round(F.sum(F.col("net") * lots), 1).alias("net_lots"), F.sum(F.when(F.col("is_mini") == 0, F.col("net")).otherwise(0)).alias("main_net"), F.sum(F.when(F.col("is_mini") == 1, F.col("net")).otherwise(0)).alias("mini_net"), F.max_by(F.struct("product_code", "top10_buy_0", "market_oi_0"), order).alias("m")
+        F.round(F.sum(F.col("net") * lots), 1).alias("net_lots"), F.sum(F.when(F.col("is_mini") == 0, F.col("net")).otherwise(0)).alias("main_net"), F.sum(F.when(F.col("is_mini") == 1, F.col("net")).otherwise(0)).alias("mini_net"), F.max_by(F.struct("product_code", "net", *[f"{c}_0" for c in held]), order).alias("m")
     )
-    out = out.select("stock_id", "date", "net_lots", "main_net", "mini_net", F.col("m.product_code").alias("main_code"), F.when(F.col("m.market_oi_0") > 0, F.round(F.col("m.top10_buy_0") * 100 / F.col("m.market_oi_0"), 2)).alias("concentration"))
+    m = lambda c: F.col(f"m.{c}")
+    share = lambda v, name: F.when(m("market_oi_0") > 0, F.round(v * 100 / m("market_oi_0"), 2)).alias(name)
+    shares = [share(m(f"{c}_0"), f"{c}_pct") for c in held[:4]] + [share(m("top10_buy_0") - m("top10_sell_0"), "net_pct"), share(m("net"), "big_net_pct")]
+    out = out.select("stock_id", "date", "net_lots", "main_net", "mini_net", m("product_code").alias("main_code"), m("market_oi_0").alias("market_oi"), *shares)
     newest = Window.partitionBy("stock_id").orderBy(F.desc("date"))
     return out.withColumn("_rank", F.dense_rank().over(newest)).where(F.col("_rank") <= days).drop("_rank")
 

@@ -103,3 +103,10 @@ def date_chunks(spark: SparkSession, start: str, end: str, days: int) -> DataFra
     """Consecutive segments of `days` days from start to end."""
     first = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"), F.expr(f"interval {days} days"))).alias("chunk_start"))
     return first.withColumn("chunk_end", F.least(F.date_add("chunk_start", days - 1), F.lit(end).cast("date")))
+
+
+def with_date_chunk(df: DataFrame, start: str, end: str, days: int) -> DataFrame:
+    """Rows dated from start to end, with chunk_start and chunk_end of their segment as date_chunks() numbers them; by arithmetic, without a join."""
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    begin = F.date_add(first, (F.floor(F.datediff("date", first) / days) * days).cast("int"))
+    return df.where(F.col("date").between(first, last)).withColumn("chunk_start", begin).withColumn("chunk_end", F.least(F.date_add("chunk_start", days - 1), last))

@@ -220,9 +220,8 @@ def u5(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s17_date_chunks", "WITH c AS (SELECT CAST(lo AS DATE) AS chunk_start, least(CAST(lo AS DATE) + 89, DATE '2005-12-31') AS chunk_end FROM range(TIMESTAMP '1990-01-01', TIMESTAMP '2006-01-01', INTERVAL 90 DAY) t(lo)) SELECT chunk_start, chunk_end, count(*) AS n, count(DISTINCT stock_id) AS stocks FROM c JOIN bars ON date BETWEEN chunk_start AND chunk_end GROUP BY 1, 2")
 def s17(spark: SparkSession, d: str) -> DataFrame:
-    chunks = quality.date_chunks(spark, "1990-01-01", "2005-12-31", 90)
-    inside = F.col("date").between(F.col("chunk_start"), F.col("chunk_end"))
-    return bars(spark, d).join(F.broadcast(chunks), inside).groupBy("chunk_start", "chunk_end").agg(F.count("*").alias("n"), F.countDistinct("stock_id").alias("stocks"))  # a calendar of chunks
+    dealt = quality.with_date_chunk(bars(spark, d), "1990-01-01", "2005-12-31", 90)
+    return dealt.groupBy("chunk_start", "chunk_end").agg(F.count("*").alias("n"), F.countDistinct("stock_id").alias("stocks"))
 
 
 # Restriction periods --------------------------------------------------------------------------

@@ -164,11 +164,12 @@ def a17b(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "a20_large_trader_net",
-    """WITH p AS (SELECT date, product_code, max(top10_buy) FILTER (trader_type = 0) AS b0, max(top10_buy) FILTER (trader_type = 1) AS b1, max(top10_sell) FILTER (trader_type = 0) AS s0, max(top10_sell) FILTER (trader_type = 1) AS s1, max(market_oi) FILTER (trader_type = 0) AS oi FROM ltrader GROUP BY 1, 2),
+    """WITH p AS (SELECT date, product_code, max(top10_buy) FILTER (trader_type = 0) AS b0, max(top10_buy) FILTER (trader_type = 1) AS b1, max(top10_sell) FILTER (trader_type = 0) AS s0, max(top10_sell) FILTER (trader_type = 1) AS s1, max(top5_buy) FILTER (trader_type = 0) AS b5, max(top5_sell) FILTER (trader_type = 0) AS s5, max(market_oi) FILTER (trader_type = 0) AS oi FROM ltrader GROUP BY 1, 2),
     r AS (SELECT p.*, m.stock_id, is_mini, lots_per_contract AS lots, (b0 - coalesce(b1, 0)) - (s0 - coalesce(s1, 0)) AS net FROM p JOIN fmap m ON p.product_code = m.product_code WHERE b0 IS NOT NULL),
     g AS (SELECT stock_id, date, round(sum(net * lots), 1) AS net_lots, CAST(sum(CASE WHEN is_mini = 0 THEN net ELSE 0 END) AS BIGINT) AS main_net, CAST(sum(CASE WHEN is_mini = 1 THEN net ELSE 0 END) AS BIGINT) AS mini_net,
-      first(product_code ORDER BY is_mini, oi * lots DESC, product_code DESC) AS main_code, first(CASE WHEN oi > 0 THEN round(b0 * 100 / oi, 2) END ORDER BY is_mini, oi * lots DESC, product_code DESC) AS concentration FROM r GROUP BY 1, 2)
-    SELECT * FROM g QUALIFY dense_rank() OVER (PARTITION BY stock_id ORDER BY date DESC) <= 20""",
+      first({'code': product_code, 'b5': b5, 's5': s5, 'b': b0, 's': s0, 'net': net, 'oi': oi} ORDER BY is_mini, oi * lots DESC, product_code DESC) AS m FROM r GROUP BY 1, 2)
+    SELECT stock_id, date, net_lots, main_net, mini_net, m.code AS main_code, m.oi AS market_oi, CASE WHEN m.oi > 0 THEN round(m.b5 * 100 / m.oi, 2) END AS top5_buy_pct, CASE WHEN m.oi > 0 THEN round(m.s5 * 100 / m.oi, 2) END AS top5_sell_pct, CASE WHEN m.oi > 0 THEN round(m.b * 100 / m.oi, 2) END AS top10_buy_pct,
+      CASE WHEN m.oi > 0 THEN round(m.s * 100 / m.oi, 2) END AS top10_sell_pct, CASE WHEN m.oi > 0 THEN round((m.b - m.s) * 100 / m.oi, 2) END AS net_pct, CASE WHEN m.oi > 0 THEN round(m.net * 100 / m.oi, 2) END AS big_net_pct FROM g QUALIFY dense_rank() OVER (PARTITION BY stock_id ORDER BY date DESC) <= 20""",
 )
 def a20(spark: SparkSession, d: str) -> DataFrame:
     return derivatives.large_trader_net(adapters.futures_large_trader(spark, d), adapters.stock_futures_map(spark, d))

@@ -205,11 +205,12 @@ def w20(spark: SparkSession, d: str) -> DataFrame:
     return technical.last_valid(bars(spark, d), "change_pct", "stock_id")
 
 
-FEATURES = ("ret_5", "ret_10", "ret_20", "gap_20", "vol_ratio", "bar_range", "upper_shadow", "lower_shadow", "rel_volume")
+RETURNS, GAPS = (5, 10, 20, 60, 120), (20, 60, 120, 250)
+FEATURES = (*(f"ret_{n}" for n in RETURNS), *(f"gap_{n}" for n in GAPS), "vol_ratio", "bar_range", "upper_shadow", "lower_shadow", "rel_volume")
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
-    return technical.technical_features(bars(spark, d), returns=(5, 10, 20), gaps=(20,), vol=(10, 20), volume=20)
+    return technical.technical_features(bars(spark, d), RETURNS, GAPS)
 
 
 _L = "lag(close_price, {0}) OVER (PARTITION BY stock_id ORDER BY date)"
@@ -217,22 +218,19 @@ _L = "lag(close_price, {0}) OVER (PARTITION BY stock_id ORDER BY date)"
 
 @query(
     "w21_features",
-    f"""SELECT stock_id, date, {', '.join(f'round(close_price / {_L.format(n)} - 1, 6) AS ret_{n}' for n in (5, 10, 20))},
-    CASE WHEN count(close_price) {_w(20)} >= 20 THEN round(close_price / avg(close_price) {_w(20)} - 1, 6) END AS gap_20,
-    round((CASE WHEN count(r) {_w(10)} >= 10 THEN stddev_samp(r) {_w(10)} END) / nullif(CASE WHEN count(r) {_w(20)} >= 20 THEN stddev_samp(r) {_w(20)} END, 0), 6) AS vol_ratio,
+    f"""SELECT stock_id, date, {', '.join(f'round(close_price / {_L.format(n)} - 1, 6) AS ret_{n}' for n in RETURNS)},
+    {', '.join(f'CASE WHEN count(close_price) {_w(n)} >= {n} THEN round(close_price / avg(close_price) {_w(n)} - 1, 6) END AS gap_{n}' for n in GAPS)},
+    round((CASE WHEN count(r) {_w(20)} >= 20 THEN stddev_samp(r) {_w(20)} END) / nullif(CASE WHEN count(r) {_w(60)} >= 60 THEN stddev_samp(r) {_w(60)} END, 0), 6) AS vol_ratio,
     round((high_price - low_price) / close_price, 6) AS bar_range, round((high_price - greatest(open_price, close_price)) / close_price, 6) AS upper_shadow, round((least(open_price, close_price) - low_price) / close_price, 6) AS lower_shadow,
-    CASE WHEN count(volume) {_w(20)} >= 20 THEN round(volume / avg(volume) {_w(20)}, 6) END AS rel_volume FROM (SELECT *, close_price / {_L.format(1)} - 1 AS r FROM bars)""",
+    CASE WHEN count(volume) {_w(60)} >= 60 THEN round(volume / avg(volume) {_w(60)}, 6) END AS rel_volume FROM (SELECT *, close_price / {_L.format(1)} - 1 AS r FROM bars)""",
 )
 def w21(spark: SparkSession, d: str) -> DataFrame:
     return rounded(features(spark, d).select("stock_id", "date", *FEATURES), *FEATURES, places=6)
 
 
-LASSO_FEATURES = (*(f"ret_{n}" for n in (5, 10, 20, 60, 120)), *(f"gap_{n}" for n in (20, 60, 120, 250)), *FEATURES[4:])
-
-
 def lasso(spark: SparkSession, d: str) -> DataFrame:
     """All 14 features, refit at every row; weekly bars are too few for 756 rows, but 250 leave out no row that has all features."""
-    return recursive.rolling_lasso_signal(technical.technical_features(bars(spark, d)), list(LASSO_FEATURES), window=250)
+    return recursive.rolling_lasso_signal(features(spark, d), list(FEATURES), window=250)
 
 
 @query("w22_rolling_lasso")

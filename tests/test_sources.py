@@ -107,7 +107,8 @@ def test_large_trader_constants(spark):
     assert (r.main_net, r.net_lots) == (300, 600.0)
     rows = [(day, "CDF", 0, 0, 0, 1000, 0, 50000), (day, "QFF", 0, 0, 0, 0, 5000, 99999)]
     r = derivatives.large_trader_net(spark.createDataFrame(rows, columns), contracts).first()
-    assert (r.net_lots, r.mini_net, r.main_code, r.concentration) == (1500.0, -5000, "CDF", 2.0)
+    assert (r.net_lots, r.mini_net, r.main_code, r.top10_buy_pct) == (1500.0, -5000, "CDF", 2.0)
+    assert (r.market_oi, r.top5_buy_pct, r.top10_sell_pct, r.net_pct, r.big_net_pct) == (50000, 0.0, 0.0, 2.0, 2.0)
 
 
 def test_asof_keeps_unmatched(spark):
