@@ -10,7 +10,7 @@ from panelspark.llm.queries import QUERIES
 
 #: Names that the operators use inside or return.
 CLASHING = ("kept", "component_id", "score", "piece", "length", "bucket", "shard", "group_size", "key", "rank", "n", "words", "sequence_id")
-OVER_DOCUMENTS = ["op1_near_dedup", "op2_best_fit_packing", "op4_decontamination", "op5_language_id", "op7_sharding", "op8_quality", "op9_exact_dedup", "op10_toxicity"]
+OVER_DOCUMENTS = ["op1_near_dedup", "op2_best_fit_packing", "op4_decontamination", "op5_language_id", "op7_sharding", "op8_quality", "op9_exact_dedup", "op10_toxicity", "op11_fill_in_middle"]
 LONG = 900_001
 
 
@@ -70,7 +70,7 @@ def test_stages_keep_columns_with_clashing_names(spark, awkward):
         assert at.where("kept <> 'x' OR component_id <> 'x' OR score <> 'x'").count() == 0, name
 
 
-@pytest.mark.parametrize("name", ["op1_near_dedup", "op2_best_fit_packing", "op4_decontamination", "op7_sharding", "op9_exact_dedup"])
+@pytest.mark.parametrize("name", ["op1_near_dedup", "op2_best_fit_packing", "op4_decontamination", "op7_sharding", "op9_exact_dedup", "op11_fill_in_middle"])
 def test_no_documents(spark, awkward, tmp_path, name):
     spark.read.parquet(f"{awkward}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{awkward}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
