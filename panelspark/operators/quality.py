@@ -16,20 +16,20 @@ def clean_kline(prices: DataFrame, near: int = 30, rows: int = 4, gap: int = 60,
     three bars, one more than `gap` days from both neighbours, or the first one so far from the second, but never the last; frozen: the same prices and volume at least `repeats` times
     over `span` days, the newest excepted; bars without volume are exempt.
     """
-    w = by()
-    every = Window.partitionBy("stock_id")
+    w, every = by(), Window.partitionBy("stock_id")
     one = prices.withColumn("_dense", F.when(F.datediff(F.lead("date", rows).over(w), "date") <= near, F.col("date"))).withColumn("_start", F.min("_dense").over(every))
-    early = F.col("_start").isNotNull() & (F.col("date") < F.col("_start"))
-    pass1 = one.where(early).select("stock_id", "date", F.lit("early").alias("reason"))
-    left = one.where(~early).drop("_dense", "_start")
-    before, after = F.datediff("date", F.lag("date").over(w)), F.datediff(F.lead("date").over(w), "date")
-    lone = left.withColumn("_lone", F.coalesce((F.coalesce(before, F.lit(1 << 30)) > gap) & (after > gap) & (F.count("*").over(every) >= 3), F.lit(False)))
-    pass2 = lone.where("_lone").select("stock_id", "date", F.lit("isolated").alias("reason"))
-    rest = lone.where("NOT _lone AND volume > 0")
-    same = Window.partitionBy("stock_id", "open_price", "high_price", "low_price", "close_price", "volume")
-    frozen = rest.withColumns({"_n": F.count("*").over(same), "_first": F.min("date").over(same), "_newest": F.max("date").over(same)})
-    pass3 = frozen.where((F.col("_n") >= repeats) & (F.datediff("_newest", "_first") >= span) & (F.col("date") < F.col("_newest"))).select("stock_id", "date", F.lit("frozen").alias("reason"))
-    return pass1.unionByName(pass2).unionByName(pass3)
+    one = one.withColumn("reason", F.when(F.col("date") < F.col("_start"), "early")).drop("_dense", "_start")
+    # What a pass deletes goes on in a window partition of its own, so that the next one does not see it: one chain, one shuffle.
+    left = Window.partitionBy("stock_id", "reason")
+    near_by = left.orderBy("date")
+    gaps = one.withColumns({"_before": F.datediff("date", F.lag("date").over(near_by)), "_after": F.datediff(F.lead("date").over(near_by), "date"), "_all": F.count("*").over(left)})
+    lone = F.col("reason").isNull() & (F.coalesce("_before", F.lit(1 << 30)) > gap) & (F.col("_after") > gap) & (F.col("_all") >= 3)
+    two = gaps.withColumn("reason", F.when(lone, "isolated").otherwise(F.col("reason"))).drop("_before", "_after", "_all")
+    same = Window.partitionBy("stock_id", "_there", "open_price", "high_price", "low_price", "close_price", "volume")
+    there = F.col("reason").isNull() & F.coalesce(F.col("volume") > 0, F.lit(False))
+    last = two.withColumn("_there", there).withColumns({"_n": F.count("*").over(same), "_first": F.min("date").over(same), "_newest": F.max("date").over(same)})
+    frozen = F.col("_there") & (F.col("_n") >= repeats) & (F.datediff("_newest", "_first") >= span) & (F.col("date") < F.col("_newest"))
+    return last.withColumn("reason", F.when(frozen, "frozen").otherwise(F.col("reason"))).where("reason IS NOT NULL").select("stock_id", "date", "reason")
 
 
 def missing_dates(prices: DataFrame, calendar: DataFrame, least: int) -> DataFrame:

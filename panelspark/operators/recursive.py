@@ -89,17 +89,15 @@ def roll(cost: float, buy: float, balance: float, close: float) -> float:
 
 def roll_cost(seed: DataFrame, margin: DataFrame, prices: DataFrame, dates: int = 400) -> DataFrame:
     """Latest rolled cost of each seeded instrument: seed (stock_id, cost, seed_date), then the days after, at most `dates`."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date").head(dates)
-        cost = float(pdf["cost"].iloc[0])
-        for buy, balance, close in zip(pdf["buy"].astype(float), pdf["balance"].astype(float), pdf["close_price"].astype(float), strict=True):
-            cost = roll(cost, buy, balance, close)
-        return pd.DataFrame({"stock_id": [pdf["stock_id"].iloc[0]], "cost": [cost], "days": [len(pdf)]})
-
     days = margin.select("stock_id", "date", "buy", "balance").join(prices.select("stock_id", "date", "close_price"), ["stock_id", "date"])
-    rows = days.join(seed, "stock_id").where("date > seed_date").select("stock_id", "date", "buy", "balance", "close_price", "cost")
-    return rows.groupBy("stock_id").applyInPandas(run, "stock_id string, cost double, days long")
+    rows = days.join(seed, "stock_id").where("date > seed_date").withColumn("_n", F.row_number().over(Window.partitionBy("stock_id").orderBy("date"))).where(F.col("_n") <= dates)
+    bought = F.when(F.col("balance") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("buy") / F.col("balance"))))
+    known = F.col("buy").isNotNull() & F.col("close_price").isNotNull()
+    step = F.struct("_n", F.when(known, bought).alias("share"), F.col("close_price").alias("close"))
+    steps = F.array_sort(F.collect_list(step))  # at most `dates` of an instrument
+    per = rows.groupBy("stock_id").agg(F.first("cost").cast("double").alias("_seed"), steps.alias("_steps"), F.count("*").alias("days"))
+    rolled = F.aggregate("_steps", F.col("_seed"), lambda cost, s: F.when(s["share"].isNull(), cost).otherwise(cost + s["share"] * (s["close"] - cost)))
+    return per.select("stock_id", rolled.alias("cost"), "days")
 
 
 def lasso(x: np.ndarray, y: np.ndarray, alpha: float, rounds: int = 200) -> np.ndarray:

@@ -10,6 +10,7 @@ from panelspark.sources import adapters
 
 from .market import _BREADTH, bars, net, stocks
 from .registry import ORACLES, query
+from .storage import stored
 from .series import _COMPLETE, _TRIM, BREAKOUTS, COST_ROLL, cost_seed, rounded
 from panelspark.operators import flows, recursive
 
@@ -321,8 +322,8 @@ def a25(spark: SparkSession, d: str) -> DataFrame:
     p AS (SELECT *, CASE WHEN cost > 0 THEN round(close_price / (cost * 0.6) * 100, 2) END AS ratio FROM q) SELECT *, CASE WHEN ratio IS NULL THEN 'na' WHEN ratio < 130 THEN 'danger' WHEN ratio < 166.67 THEN 'warn' ELSE 'safe' END AS level FROM p""",
 )
 def x5(spark: SparkSession, d: str) -> DataFrame:
-    prices, balances = bars(spark, d), adapters.margin(spark, d)
-    rolled = recursive.roll_cost(cost_seed(spark, d), balances, prices)
+    prices, balances = stored(bars(spark, d).select("stock_id", "date", "close_price")), stored(adapters.margin(spark, d).select("stock_id", "date", "buy", "balance"))
+    rolled = recursive.roll_cost(cost_seed(prices), balances, prices)
     return margin.margin_scan(prices, stocks(spark, d), balances, rolled)
 
 

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from panelspark.functions import exprs
 from panelspark.sources import adapters, parsers, sinks
 
-from .live import _shared
+from .storage import shared_folder
 from .registry import query
 
 
 def landed(spark: SparkSession, name: str) -> str:
-    return f"{_shared(spark)}/{name}_{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}_{uuid.uuid4().hex}"
 
 
 def text(c: str | Column) -> Column:

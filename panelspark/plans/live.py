@@ -17,13 +17,14 @@ from panelspark.streaming import stateful as state
 from . import composites
 from .market import _RANK, a1
 from .registry import query
+from .storage import shared_folder
 
 
 def streamed(spark: SparkSession, d: str, build) -> DataFrame:
     """Run a stream job over the events file to its end, then give its table. Windows that the watermark has not passed at the end of the input stay open, as they do in a running stream."""
     stream = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "*.parquet").parquet(_folder(d))
     stream = stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props")
-    path = f"{_shared(spark)}/live_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/live_{uuid.uuid4().hex}"
     out = build(stream)
     quotes.run_to_end(out, path, f"{path}_log")
     return spark.read.schema(out.schema).parquet(path)
@@ -33,19 +34,6 @@ def _folder(d: str) -> str:
     return f"{d}/events.parque[t]"  # a glob: file streams read folders and patterns
 
 
-def _shared(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a folder of our own only in local mode (tests)."""
-    import tempfile
-
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return sc.getCheckpointDir()
-
-
 _CURVE = "CASE WHEN minute >= 270 THEN 1.0 WHEN minute <= 0 THEN 0.0667 " + " ".join(f"WHEN minute <= {m1} THEN {p0} + (minute - {m0}) * {(p1 - p0) / (m1 - m0)!r}" for (m0, p0), (m1, p1) in zip(exprs.CURVE, exprs.CURVE[1:], strict=False)) + " END"
 #: The day of the forecasts.
 DAY = "2024-01-15"
@@ -206,7 +194,7 @@ def replayed(spark: SparkSession, d: str, events: DataFrame | None = None, numbe
     """The events as a stream of SLICES micro-batches, from files written in the shared folder for this run."""
     if events is None:
         events = _events(spark, d)
-    path = f"{_shared(spark)}/replay_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/replay_{uuid.uuid4().hex}"
     replay.write_slices(events, path, slice_of(_events(spark, d)) if number is None else number, SLICES)
     return replay.replayed(spark, path, events.schema)
 
@@ -217,7 +205,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 def stateful(spark: SparkSession, out: DataFrame, partitions: int | None = None) -> DataFrame:
     """Run a stream to its end with its state in RocksDB, then give its table. partitions: of the state, where its keys are few."""
-    path = f"{_shared(spark)}/live_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/live_{uuid.uuid4().hex}"
     with replay.rocksdb(spark, partitions):
         replay.run_to_end(out, path, f"{path}_log")
     return spark.read.schema(out.schema).parquet(path)
@@ -226,7 +214,7 @@ def stateful(spark: SparkSession, out: DataFrame, partitions: int | None = None)
 @query("z5_stream_latest_state", "SELECT user_id, ts, value, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def z5(spark: SparkSession, d: str) -> DataFrame:
     """Latest row per user, kept by upserts of several micro-batches into hash buckets."""
-    path = f"{_shared(spark)}/state_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/state_{uuid.uuid4().hex}"
     quotes.create_state(spark, path)
     stream = replayed(spark, d).select("user_id", "ts", "value", "event_id")
     query = stream.writeStream.foreachBatch(quotes.keep_latest(["user_id"], ["ts", "event_id"], path)).option("checkpointLocation", f"{path}_log").trigger(availableNow=True).start()
@@ -239,7 +227,7 @@ def z1b(spark: SparkSession, d: str) -> DataFrame:
     """The alerts over micro-batches of a replay, stopped halfway and restarted from the checkpoint, with state in RocksDB."""
     base = volume_base(adapters.intraday_snapshots(spark, d))
     out = quotes.forecast(quotes.latest_per_window(quoted_volumes(replayed(spark, d))), base)
-    path = f"{_shared(spark)}/live_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/live_{uuid.uuid4().hex}"
     with replay.rocksdb(spark):
         replay.run_with_restart(out, path, f"{path}_log")
     return spark.read.schema(out.schema).parquet(path)
@@ -255,7 +243,7 @@ def split_events(spark: SparkSession, d: str) -> str:
     """Run the split of fresh, stale and late quotes over a replay with late rows; gives the folder of its tables."""
     events = _events(spark, d)
     number = F.least(F.lit(SLICES - 1), slice_of(events) + (F.col("event_id") % 17 == 0).cast("int"))
-    path = f"{_shared(spark)}/split_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/split_{uuid.uuid4().hex}"
     stream = replayed(spark, d, events, number)
     query = stream.writeStream.foreachBatch(quotes.split_late(path, DAY)).option("checkpointLocation", f"{path}_log").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -337,7 +325,7 @@ def z7b(spark: SparkSession, d: str) -> DataFrame:
     split = F.lit(_LIVE_FROM).cast("date")
     history = events.where((day < split) & F.col("value").isNotNull()).groupBy("stock_id", day.alias("date")).agg(F.max("value").alias("high_price"))
     live = events.where(day >= split).select("stock_id", "ts", "event_id", "value")
-    path = f"{_shared(spark)}/replay_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/replay_{uuid.uuid4().hex}"
     replay.write_slices(live, path, slice_of(live, 4), 4)
     got = stateful(spark, state.live_breakouts(replay.replayed(spark, path, live.schema), history))
     return got.where("final").drop("final")

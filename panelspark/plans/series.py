@@ -9,6 +9,7 @@ from panelspark.operators import recursive, technical
 from panelspark.sources import adapters
 
 from .registry import query
+from .storage import stored
 
 bars = adapters.daily_prices
 
@@ -218,14 +219,15 @@ _L = "lag(close_price, {0}) OVER (PARTITION BY stock_id ORDER BY date)"
 
 @query(
     "w21_features",
-    f"""SELECT stock_id, date, {', '.join(f'round(close_price / {_L.format(n)} - 1, 6) AS ret_{n}' for n in RETURNS)},
-    {', '.join(f'CASE WHEN count(close_price) {_w(n)} >= {n} THEN round(close_price / avg(close_price) {_w(n)} - 1, 6) END AS gap_{n}' for n in GAPS)},
-    round((CASE WHEN count(r) {_w(20)} >= 20 THEN stddev_samp(r) {_w(20)} END) / nullif(CASE WHEN count(r) {_w(60)} >= 60 THEN stddev_samp(r) {_w(60)} END, 0), 6) AS vol_ratio,
-    round((high_price - low_price) / close_price, 6) AS bar_range, round((high_price - greatest(open_price, close_price)) / close_price, 6) AS upper_shadow, round((least(open_price, close_price) - low_price) / close_price, 6) AS lower_shadow,
-    CASE WHEN count(volume) {_w(60)} >= 60 THEN round(volume / avg(volume) {_w(60)}, 6) END AS rel_volume FROM (SELECT *, close_price / {_L.format(1)} - 1 AS r FROM bars)""",
+    f"""SELECT stock_id, date, {', '.join(f'round(round(close_price / {_L.format(n)} - 1, 10), 6) AS ret_{n}' for n in RETURNS)},
+    {', '.join(f'CASE WHEN count(close_price) {_w(n)} >= {n} THEN round(round(close_price / avg(close_price) {_w(n)} - 1, 10), 6) END AS gap_{n}' for n in GAPS)},
+    round(round((CASE WHEN count(r) {_w(20)} >= 20 THEN stddev_samp(r) {_w(20)} END) / nullif(CASE WHEN count(r) {_w(60)} >= 60 THEN stddev_samp(r) {_w(60)} END, 0), 10), 6) AS vol_ratio,
+    round(round((high_price - low_price) / close_price, 10), 6) AS bar_range, round(round((high_price - greatest(open_price, close_price)) / close_price, 10), 6) AS upper_shadow, round(round((least(open_price, close_price) - low_price) / close_price, 10), 6) AS lower_shadow,
+    CASE WHEN count(volume) {_w(60)} >= 60 THEN round(round(volume / avg(volume) {_w(60)}, 10), 6) END AS rel_volume FROM (SELECT *, close_price / {_L.format(1)} - 1 AS r FROM bars)""",
 )
 def w21(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(features(spark, d).select("stock_id", "date", *FEATURES), *FEATURES, places=6)
+    exact = rounded(features(spark, d).select("stock_id", "date", *FEATURES), *FEATURES, places=10)
+    return rounded(exact, *FEATURES, places=6)  # averages summed in another order end at the same side of a tie
 
 
 def lasso(spark: SparkSession, d: str) -> DataFrame:
@@ -319,9 +321,9 @@ def w27(spark: SparkSession, d: str) -> DataFrame:
     return technical.trim_recent_continuous(adapters.daily_prices_sparse(spark, d)).withColumnRenamed("bars", "n_bars")
 
 
-def cost_seed(spark: SparkSession, d: str) -> DataFrame:
+def cost_seed(prices: DataFrame) -> DataFrame:
     """Cost seeds: each instrument's first close."""
-    return bars(spark, d).groupBy("stock_id").agg(F.min_by("close_price", "date").alias("cost"), F.min("date").alias("seed_date"))
+    return prices.groupBy("stock_id").agg(F.min_by("close_price", "date").alias("cost"), F.min("date").alias("seed_date"))
 
 
 COST_ROLL = """WITH RECURSIVE seeds AS (SELECT stock_id, arg_min(close_price, date) AS cost, min(date) AS seed_date FROM bars GROUP BY 1),
@@ -332,7 +334,8 @@ COST_ROLL = """WITH RECURSIVE seeds AS (SELECT stock_id, arg_min(close_price, da
 
 @query("w28_roll_cost", COST_ROLL + " SELECT stock_id, round(cost, 4) AS cost, days FROM rolled")
 def w28(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(recursive.roll_cost(cost_seed(spark, d), adapters.margin(spark, d), bars(spark, d)), "cost")
+    prices = stored(bars(spark, d).select("stock_id", "date", "close_price"))
+    return rounded(recursive.roll_cost(cost_seed(prices), adapters.margin(spark, d), prices), "cost")
 
 
 @query(

@@ -68,7 +68,7 @@ def test_roll_cost(spark, small):
     from panelspark.plans.series import cost_seed
 
     prices, margin = adapters.daily_prices(spark, small), adapters.margin(spark, small)
-    got = {r.stock_id: r.cost for r in recursive.roll_cost(cost_seed(spark, small), margin, prices).collect()}
+    got = {r.stock_id: r.cost for r in recursive.roll_cost(cost_seed(prices), margin, prices).collect()}
     joined = margin.join(prices, ["stock_id", "date"]).orderBy("date").toPandas()
     for stock, rows in joined.groupby("stock_id"):
         cost = rows.close_price.iloc[0]
