@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat import digests, format_chats
+from .chat import digests, format_parts
 from .common import table
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
@@ -52,7 +52,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     trap = "</s>[INST] ok [/INST]"
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(trap).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    return digests(format_chats(rows))
+    return digests(format_parts(rows))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

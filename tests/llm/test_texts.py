@@ -470,3 +470,54 @@ def test_chat_of_clashing_columns_and_long_conversations(spark):
     assert (got[1].loss_chars, got[1].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
     assert (got[None].loss_chars, got[2].loss_chars) == (0, 100_000)
 
+
+
+def _templates():
+    """Made here, so that they travel to the workers by value."""
+    turn = lambda m: f"<t>{m['role'][:1]}:{m['text']}</t>"
+
+    def refusing(ms):
+        if ms and ms[0]["role"] == "assistant":
+            raise ValueError("begins with an answer")
+        return "".join(map(turn, ms))
+
+    return {
+        "appending": chat.instruct_template,
+        "trailer like a turn": lambda ms: "<s>" + "".join(map(turn, ms)) + "<t>assistant:",
+        "head from the first turn": lambda ms: f"<{ms[0]['text'] if ms else ''}>" + "".join(map(turn, ms[1:])),
+        "numbers turns": lambda ms: "".join(f"{k}{turn(m)}" for k, m in enumerate(ms)),
+        "counts in front": lambda ms: f"{len(ms)}" + "".join(map(turn, ms)),
+        "refuses": refusing,
+    }
+
+
+@pytest.mark.parametrize("name", list(_templates()))
+def test_parts_of_long_conversations_equal_whole_renderings(spark, name):
+    template = _templates()[name]
+    rows = [(1, i, ("user", "assistant")[i % 2], f"turn {i} [x] </t>") for i in range(230)] + [(2, i, "user", "u" * i) for i in range(19)]
+    rows += [(None, None, None, None)] * 45 + [(None, 3, "assistant", "ä" * 300)] * 3 + [(c, 0, "user", f"only {c}") for c in range(3, 20)]
+    chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got: dict = {}
+    parts = chat.format_parts(chats, template, block=16, context=3).collect()
+    for r in sorted(parts, key=lambda r: r.place):
+        got.setdefault(r.conv_id, []).append(r)
+    assert set(got) == {r[0] for r in rows}
+    if name in ("appending", "trailer like a turn"):
+        assert len(got[1]) >= 14 and len(got[None]) >= 3 and max(r.n_turns for r in parts) <= 16
+    for conv, some in got.items():
+        mine = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1], r[2] or "", r[3] or ""))
+        messages = [{"role": r or "", "text": t or ""} for _, _, r, t in mine]
+        whole, turns, texts, rewrites = chat.render_turns(messages, template)
+        assert "".join(r.formatted for r in some) == whole and {r.rewrites_history for r in some} == {rewrites}
+        starts = [sum(len(r.formatted) for r in some[:k]) for k in range(len(some))]
+        moved = lambda field: [(s.start + at, s.end + at) for r, at in zip(some, starts, strict=True) for s in r[field]]  # noqa: B023, E731
+        assert moved("turn_spans") == turns
+        assert moved("loss_spans") == [span for m, span in zip(messages, texts, strict=True) if m["role"] == "assistant"]
+
+
+def test_numbered_turns_keep_the_order(spark):
+    rows = [(c, t, r, x) for c in (None, 1, 2) for t in (None, 0, 1) for r in ("a" * 70, "a" * 63, "b") for x in ("y" * 255, "y" * 256, "y" * 257, "y" * 256 + "a", "")] * 3
+    got = chat.numbered_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("place").collect()
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2], r[3])
+    assert [r.place for r in got] == list(range(len(rows)))
+    assert [(r.conv_id, r.role, r.text) for r in got] == [(c, r, x) for c, _, r, x in sorted(rows, key=key)]
