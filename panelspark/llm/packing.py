@@ -10,6 +10,7 @@ their rank within their length. Ranks come from counts per (length, salt); frequ
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import zlib
 from array import array
@@ -37,6 +38,15 @@ DOORS = 1 << 21
 #: Letters and signs whose lower case, composition and splitting are plain: words, digits and runs of signs are tokenised apart.
 _LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _PLAIN = re.compile(rf"[{_LETTERS}0-9!-&(-/:-@\[-`{{-~ \t\n\r]*")
+#: What a tokenizer must do to a text for its ids to be those of its chunks between blanks.
+CHUNKED_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CHUNKED_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 _WORD = re.compile(rf"[{_LETTERS}]+")
 _PARTS = re.compile(rf"[{_LETTERS}]+|[0-9]|[!-&(-/:-@\[-`{{-~]+")
 #: A stop or comma that belongs to a run of signs.
@@ -55,9 +65,25 @@ def _byte_letters() -> dict[int, str]:
     return out
 
 
+def works_by_chunks(tokenizer) -> bool:
+    """Whether the tokenizer's normaliser, pre-tokeniser and merges are those that ChunkTokenizer takes apart."""
+    state = lambda part: json.loads(part.__getstate__()) if part is not None else None
+    model = state(tokenizer.model)
+    return (
+        state(tokenizer.normalizer) == CHUNKED_NORMALIZER
+        and state(tokenizer.pre_tokenizer) == CHUNKED_SPLIT
+        and model["type"] == "BPE"
+        and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback"))
+        and tokenizer.truncation is None
+        and tokenizer.padding is None
+    )
+
+
 class ChunkTokenizer:
     """Ids of texts under a lower-casing byte-level tokenizer that drops white space, put together from remembered ids.
 
+    Any other tokenizer (works_by_chunks says which) encodes each text whole.
+
     A blank ends every token of such a vocabulary, so a text's ids are the ids of its chunks between blanks one after
     the other. In plain texts stops and commas are set apart first, which changes nothing, and words, digits and runs
     of signs go straight to the merges; all other chunks, and texts that hold the string of an added token, go
@@ -68,6 +94,7 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_chunks = works_by_chunks(self.tokenizer)
         self.merge = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
         self.forget()
@@ -93,7 +120,7 @@ class ChunkTokenizer:
         return array("I", ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
+        if not self.by_chunks or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         if _PLAIN.fullmatch(text):
             text = text.lower()

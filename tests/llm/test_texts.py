@@ -521,3 +521,18 @@ def test_numbered_turns_keep_the_order(spark):
     key = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2], r[3])
     assert [r.place for r in got] == list(range(len(rows)))
     assert [(r.conv_id, r.role, r.text) for r in got] == [(c, r, x) for c, _, r, x in sorted(rows, key=key)]
+
+
+def test_only_tokenizers_that_work_by_chunks_are_taken_apart():
+    from tokenizers import Tokenizer, normalizers
+
+    folder = tokenizer_path().rsplit("/", 1)[0]
+    texts = ["Hello, World.\n It's 12 o'clock...  OK", "", " ", "Ünïcödé <|endoftext|> x", "a.b , c\t\td"]
+    for name, by_chunks in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        encoder, plain = packing.ChunkTokenizer(f"{folder}/{name}"), Tokenizer.from_file(f"{folder}/{name}")
+        assert encoder.by_chunks == by_chunks
+        assert [encoder.encode(t).tolist() for t in texts] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    plain = Tokenizer.from_file(f"{folder}/word_bpe_49k.json")
+    assert packing.works_by_chunks(plain)
+    plain.normalizer = normalizers.NFC()
+    assert not packing.works_by_chunks(plain)
