@@ -124,6 +124,16 @@ def test_stress_weights(spark):
     assert got == {1: 83.0, 2: 4.0}
 
 
+def test_stress_index_of_known_parts(spark):
+    # The points of each part on a day whose index is known.
+    points = {"margin_total": 11.8464, "turn_heat": 7.1936, "margin_util": 4.144, "unwind": 15.5345, "momentum": 2.0}
+    points |= {"maint_inverse": 8.0448, "low140": 6.1824, "rv20": 7.1808, "turn_val": 6.832, "foreign_sell": 9.178}
+    day = dt.date(2020, 1, 1)
+    rows = [(day, k, v / macro.STRESS_WEIGHTS[k]) for k, v in points.items()]
+    got = macro.deleveraging_index(spark.createDataFrame(rows, "date date, part string, score double"), macro.STRESS_WEIGHTS).first()
+    assert got.score == 78.14
+
+
 def test_option_table_sides(spark):
     day = dt.date(2020, 1, 1)
     rows = [(day, "a", 10.0, "C", 1.5, 0.5, 50.0, 3, 7, day), (day, "a", 20.0, "P", 2.5, None, None, 4, 9, day)]
