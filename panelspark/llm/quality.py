@@ -176,7 +176,8 @@ def train_on(docs: DataFrame, labels: DataFrame, positives: int = TRAIN_POSITIVE
     """A network from at most `positives` trusted and `unlabelled` other texts; None without any positive.
 
     docs and labels must already be confined to rows that may be learned from. Both samples come from one pass over docs,
-    and the class prior is estimated from them. The sampled identifiers are broadcast; their number is bounded.
+    and the class prior is estimated from them. The sampled identifiers are broadcast; their number is bounded. Of labels
+    that repeat a doc_id the largest holds; null labels and doc_ids are left out.
     """
     known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     trusted = known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives).select("doc_id", F.lit(True).alias("good"), F.lit(False).alias("web"))

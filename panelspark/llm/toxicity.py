@@ -294,7 +294,8 @@ def learn_grammar(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     """Lexicon and context weights from at most `rows` labelled texts; docs and labels hold what may be learned from.
 
     Terms are counted by Spark; at most CANDIDATES that pass LEAST_DOCS come to the driver, and at most LEXICON that also
-    pass LEAST_SHARE are kept. The sampled labels are broadcast; their number is bounded.
+    pass LEAST_SHARE are kept. The sampled labels are broadcast; their number is bounded. Of labels that repeat a doc_id the
+    largest holds; null labels and doc_ids are left out; without toxic labels the lexicon is empty and threats alone score.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)

@@ -77,6 +77,22 @@ def test_no_documents(spark, awkward, tmp_path, name):
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op5_language_id", "op8_quality", "op10_toxicity", "op12_filter_audit"])
+@pytest.mark.parametrize("empty", [("documents",), ("labels",), ("documents", "labels")])
+def test_learned_operators_without_rows(spark, awkward, tmp_path, name, empty):
+    for table in ("documents", "labels"):
+        rows = spark.read.parquet(f"{awkward}/{table}.parquet")
+        (rows.limit(0) if table in empty else rows).write.parquet(f"{tmp_path}/{table}.parquet")
+    got = QUERIES[name](spark, str(tmp_path)).collect()
+    if "documents" in empty:
+        assert got == []
+    elif name == "op12_filter_audit":
+        assert got and all(r.good_lost == r.toxic_lost == 0 for r in got)
+    else:
+        assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in spark.read.parquet(f"{awkward}/documents.parquet").select("doc_id").collect())
+        assert all(0 <= r.score <= 1 for r in got)
+
+
 def test_no_pages_and_clashing_columns(spark, small, tmp_path):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     pages.withColumns({"text": F.lit("x"), "n_chars": F.lit(1), "cost": F.lit(2)}).write.parquet(f"{tmp_path}/a/pages.parquet")
