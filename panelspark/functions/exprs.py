@@ -32,6 +32,11 @@ def clip(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
 
+def round_scaled(c: Column, places: int) -> Column:
+    """round() of the scaled double, as DuckDB's: it differs from F.round, which goes by the shortest decimal form, in halves."""
+    return F.round(c * 10.0**places) / 10.0**places
+
+
 def lots(shares: Column) -> Column:
     """Shares to lots of 1,000, rounded down also below zero."""
     return F.floor(shares / 1000).cast("long")

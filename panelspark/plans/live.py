@@ -305,7 +305,7 @@ def z6b(spark: SparkSession, d: str) -> DataFrame:
     got = stateful(spark, state.smoothed_strength(quotes.pair_ticks(leg("click"), leg("view"))), partitions=2)  # open hours of one pair
     shown = F.round("strength", 10)
     colour = F.when(shown > 0, "red").when(shown < 0, "green").otherwise("flat")
-    four = lambda c, name: F.round(c, 4).alias(name)
+    four = lambda c, name: exprs.round_scaled(F.col(c), 4).alias(name)
     return got.select("date", "minute", "a_price", "b_price", "base_source", four("a_change", "a_change"), four("b_change", "b_change"), four("raw", "strength_raw"), four("strength", "strength"), colour.alias("colour"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from panelspark.functions.exprs import bayes_blend, forecast_ci, in_session, pct_done, session_minute, volume_level
+from panelspark.functions.exprs import bayes_blend, forecast_ci, in_session, pct_done, round_scaled, session_minute, volume_level
 from panelspark.operators.macro import quote_change
 
 from . import replay
@@ -112,10 +112,16 @@ def market_value_forecast(snapshots: DataFrame, values: DataFrame, back: int = 2
 
 
 def pair_legs(quotes: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Quotes of one leg per window: start, low, high, close, mean, open."""
+    """Quotes of one leg per window: start, low, high, close, mean, open.
+
+    The mean adds the values up in order of (ts, event_id), whatever the order of arrival: it often lies halfway between
+    two shown values, where the order of a sum of doubles decides. An open window's state holds its quotes for that.
+    """
     order = F.struct("ts", "event_id")
-    legs = quotes.withWatermark("ts", late).groupBy(F.window("ts", length)).agg(F.round(F.min("value"), 4).alias("low"), F.round(F.max("value"), 4).alias("high"), F.max_by("value", order).alias("close"), F.round(F.avg("value"), 4).alias("mean"), F.min_by("value", order).alias("open"))
-    return legs
+    four = lambda c: round_scaled(c, 4)
+    legs = quotes.withWatermark("ts", late).groupBy(F.window("ts", length)).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.max_by("value", order).alias("close"), F.collect_list(F.when(F.col("value").isNotNull(), F.struct("ts", "event_id", "value"))).alias("_seen"), F.min_by("value", order).alias("open"))
+    total = F.aggregate(F.array_sort("_seen"), F.lit(0.0), lambda s, q: s + q["value"])
+    return legs.select("window", four(F.col("low")).alias("low"), four(F.col("high")).alias("high"), "close", four(F.try_divide(total, F.size("_seen"))).alias("mean"), "open")
 
 
 def pair_ticks(a: DataFrame, b: DataFrame, pair: str = "a/b") -> DataFrame:

@@ -60,6 +60,26 @@ def test_live_bars_on_history(spark, tmp_path):
     assert sorted((r.stock_id, r.date, r.break_3, r.break_10) for r in got if r.final) == sorted((r.stock_id, r.date, r.break_3, r.break_10) for r in closed.collect())
 
 
+def test_a_mean_adds_up_in_time_order(spark):
+    """52.36875 lies halfway: added up in time order it is just that, from the other end a little less."""
+    values = [22.02, 93.26, 10.34, 41.8, 19.32, 81.18, 73.65, 77.38]
+    rows = [(i, dt.datetime(2024, 1, 15, 9, i), v) for i, v in enumerate(values)] + [(8, dt.datetime(2024, 1, 15, 9, 3), None)]
+    for arrived in (rows, rows[::-1], rows[4:] + rows[:4]):
+        (r,) = quotes.pair_legs(spark.createDataFrame(arrived, "event_id long, ts timestamp, value double").coalesce(1)).collect()
+        assert (r.low, r.high, r.mean, r.open, r.close) == (10.34, 93.26, 52.3688, 22.02, 77.38)
+
+
+def test_pair_strength_with_halves(spark):
+    """sf0.01 has means that lie halfway between two shown values, sf0.001 has none."""
+    from oracle import both, connect
+
+    from panelspark.plans import ORACLES
+
+    folder = "/root/testdata/sf0.01"
+    got, want = both(spark, folder, QUERIES["z6_pair_strength"], ORACLES["z6_pair_strength"], connect(folder))
+    assert len(got) == 627 and got == want
+
+
 def test_every_quote_is_in_one_table(spark, tmp_path):
     at = lambda h, m=0: dt.datetime(2024, 1, 15, h, m)
     schema = "event_id long, ts timestamp, value double"
