@@ -355,15 +355,18 @@ def trade_summary(closed: DataFrame, key: str = "stock_id") -> DataFrame:
     )
 
 
-def trim_recent_continuous(prices: DataFrame, n: int = 60, step: float = 0.35, out: str = "avg_close") -> DataFrame:
+def trim_recent_continuous(prices: DataFrame, n: int = 60, step: float = 0.35, out: str = "avg_close", bounded: bool = True) -> DataFrame:
     """Average close of the newest n bars after the last break: a jump of over `step`, or a non-positive close.
 
-    Only bars of the market's last max(n + 5, ceil(1.6 n)) dates count, so an instrument that stopped trading has none.
+    bounded: only bars of the market's last max(n + 5, ceil(1.6 n)) dates count, so an instrument that stopped trading has
+    none; otherwise every instrument has its newest n, whatever their age.
     """
     newest = Window.partitionBy("stock_id").orderBy(F.desc("date"))
-    dates = prices.select("date").distinct().orderBy(F.desc("date")).limit(max(n + 5, math.ceil(n * 1.6)))
-    oldest = dates.agg(F.min("date").alias("_oldest"))  # one row
-    recent = prices.join(F.broadcast(oldest), F.col("date") >= F.col("_oldest")).drop("_oldest")
+    recent = prices
+    if bounded:
+        dates = prices.select("date").distinct().orderBy(F.desc("date")).limit(max(n + 5, math.ceil(n * 1.6)))
+        oldest = dates.agg(F.min("date").alias("_oldest"))  # one row
+        recent = prices.join(F.broadcast(oldest), F.col("date") >= F.col("_oldest")).drop("_oldest")
     rows = recent.where(F.col("close_price").isNotNull()).withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= n)
     older = F.lag("close_price").over(by())
     jump = F.when(older.isNull(), False).otherwise((older <= 0) | (F.col("close_price") <= 0) | (F.abs(F.col("close_price") - older) > step * older))

@@ -311,13 +311,21 @@ def w26b(spark: SparkSession, d: str) -> DataFrame:
     return technical.trade_summary(technical.trades(positions(spark, d)))
 
 
-_TRIM = """WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stock_id ORDER BY date DESC) AS rk FROM {src} WHERE date >= (SELECT min(date) FROM (SELECT DISTINCT date FROM {src} ORDER BY date DESC LIMIT greatest({n} + 5, CAST(ceil({n} * 1.6) AS INTEGER))))) WHERE rk <= {n}),
+_TRIM_ALL = """WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stock_id ORDER BY date DESC) AS rk FROM {src}) WHERE rk <= {n}),
   j AS (SELECT *, CASE WHEN o IS NULL THEN false ELSE o <= 0 OR close_price <= 0 OR abs(close_price - o) > {step} * o END AS brk FROM (SELECT *, lag(close_price) OVER (PARTITION BY stock_id ORDER BY date) AS o FROM r)),
   l AS (SELECT *, min(rk) FILTER (brk) OVER (PARTITION BY stock_id) AS lst FROM j), trimmed AS (SELECT stock_id, round(avg(close_price), 4) AS avg_close, count(*) AS n_bars FROM l WHERE lst IS NULL OR rk <= lst GROUP BY 1)"""
+_TRIM = _TRIM_ALL.replace("{src})", "{src} WHERE date >= (SELECT min(date) FROM (SELECT DISTINCT date FROM {src} ORDER BY date DESC LIMIT greatest({n} + 5, CAST(ceil({n} * 1.6) AS INTEGER)))))", 1)
 
 
-@query("w27_trim_recent", _TRIM.format(src="sparse", n=60, step=0.35) + " SELECT * FROM trimmed")
+@query("w27_trim_recent", _TRIM_ALL.format(src="sparse", n=60, step=0.35) + " SELECT * FROM trimmed")
 def w27(spark: SparkSession, d: str) -> DataFrame:
+    """Of every instrument, whatever the age of its bars."""
+    return technical.trim_recent_continuous(adapters.daily_prices_sparse(spark, d), bounded=False).withColumnRenamed("bars", "n_bars")
+
+
+@query("w27_bulk_average", _TRIM.format(src="sparse", n=60, step=0.35) + " SELECT * FROM trimmed")
+def w27b(spark: SparkSession, d: str) -> DataFrame:
+    """Of the instruments that trade in the market's last dates, as the margin scan takes it."""
     return technical.trim_recent_continuous(adapters.daily_prices_sparse(spark, d)).withColumnRenamed("bars", "n_bars")
 
 

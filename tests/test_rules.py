@@ -218,6 +218,24 @@ def test_stopped_instruments_have_no_average(spark):
     assert got == {"a": (sum(range(30, 40)) / 10, 10), "gap": (8.0, 2)}
 
 
+def test_instruments_that_stopped_trading_have_an_average(spark):
+    """Unbounded, every instrument has its newest n bars; the break still ends them."""
+    market = days("a", range(10, 40))
+    stopped, resumed = days("old", [50] * 10), days("gap", [7] * 12) + days("gap", [8, 8], dt.date(2020, 1, 29))
+    broken = days("split", [40, 10, 11])
+    prices = spark.createDataFrame(market + stopped + resumed + broken, "stock_id string, date date, close_price double")
+    got = {r.stock_id: (r.avg_close, r.bars) for r in technical.trim_recent_continuous(prices, n=10, bounded=False).collect()}
+    assert got == {"a": (sum(range(30, 40)) / 10, 10), "old": (50.0, 10), "gap": (7.2, 10), "split": (10.5, 2)}
+
+
+def test_trim_recent_covers_all_instruments(spark, small):
+    from panelspark.plans import QUERIES
+    from panelspark.sources import adapters
+
+    prices = adapters.daily_prices_sparse(spark, small)
+    assert QUERIES["w27_trim_recent"](spark, small).count() == prices.select("stock_id").distinct().count()
+
+
 def test_both_ends_of_one_ranking(spark):
     weeks = [dt.date(2020, 1, 1) + dt.timedelta(days=7 * i) for i in range(5)]
     change = {"a": 3.0, "b": 1.0, "c": -2.0, "d": 2.0}
