@@ -35,6 +35,13 @@ def align_calendars(a: DataFrame, b: DataFrame, a_col: str, b_col: str, key: str
     return got.select(key, "date", a_col, F.col(f"matched_{b_col}").alias(b_col)).dropna(subset=[b_col])
 
 
+def align_both_calendars(a: DataFrame, b: DataFrame, a_col: str, b_col: str, key: str = "series") -> DataFrame:
+    """Both series on the union of their dates, carried forward, from where both have begun."""
+    rows = a.select(key, "date", a_col).join(b.select(key, "date", b_col), [key, "date"], "full")
+    w = Window.partitionBy(key).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in (a_col, b_col)}).dropna(subset=[a_col, b_col])
+
+
 def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The newest row of each key, without a self-join."""
     rest = [c for c in df.columns if c != key]

@@ -135,14 +135,25 @@ def j7(spark: SparkSession, d: str) -> DataFrame:
     return joins.nth_later(bars(spark, d), 5, ["close_price"]).select("stock_id", "date", "later_close_price")
 
 
+def two_calendars(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    a = bars(spark, d).where("volume % 2 = 0").select(F.col("stock_id").alias("series"), "date", F.col("close_price").alias("a"))
+    return a, net(spark, d).where("total_buy % 3 = 0").select(F.col("stock_id").alias("series"), "date", F.col("foreign_buy").alias("b"))
+
+
 @query(
     "j8_align_calendars",
-    "SELECT x.stock_id AS series, x.date, x.close_price AS a, y.foreign_buy AS b FROM (SELECT * FROM bars WHERE volume % 2 = 0) x ASOF JOIN (SELECT * FROM flows WHERE total_buy % 3 = 0 AND foreign_buy IS NOT NULL) y ON x.stock_id = y.stock_id AND x.date >= y.date",
+    "SELECT * FROM (SELECT stock_id AS series, date, last_value(a IGNORE NULLS) OVER w AS a, last_value(b IGNORE NULLS) OVER w AS b FROM (SELECT coalesce(x.stock_id, y.stock_id) AS stock_id, coalesce(x.date, y.date) AS date, close_price AS a, foreign_buy AS b FROM (SELECT * FROM bars WHERE volume % 2 = 0) x FULL JOIN (SELECT * FROM flows WHERE total_buy % 3 = 0) y ON x.stock_id = y.stock_id AND x.date = y.date) WINDOW w AS (PARTITION BY stock_id ORDER BY date ROWS UNBOUNDED PRECEDING)) WHERE a IS NOT NULL AND b IS NOT NULL",
 )
 def j8(spark: SparkSession, d: str) -> DataFrame:
-    a = bars(spark, d).where("volume % 2 = 0").select(F.col("stock_id").alias("series"), "date", F.col("close_price").alias("a"))
-    b = net(spark, d).where("total_buy % 3 = 0").select(F.col("stock_id").alias("series"), "date", F.col("foreign_buy").alias("b"))
-    return joins.align_calendars(a, b, "a", "b")
+    return joins.align_both_calendars(*two_calendars(spark, d), "a", "b")
+
+
+@query(
+    "j8_one_calendar",
+    "SELECT x.stock_id AS series, x.date, x.close_price AS a, y.foreign_buy AS b FROM (SELECT * FROM bars WHERE volume % 2 = 0) x ASOF JOIN (SELECT * FROM flows WHERE total_buy % 3 = 0 AND foreign_buy IS NOT NULL) y ON x.stock_id = y.stock_id AND x.date >= y.date",
+)
+def j8b(spark: SparkSession, d: str) -> DataFrame:
+    return joins.align_calendars(*two_calendars(spark, d), "a", "b")
 
 
 @query("j9_active_instruments", "SELECT * FROM instruments WHERE stock_id IN (SELECT stock_id FROM sparse WHERE date >= (SELECT max(date) FROM sparse) - 30)")

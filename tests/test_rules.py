@@ -256,6 +256,24 @@ def test_one_calendar(spark):
     assert sorted((r.date, r.a, r.b) for r in align_calendars(a, b, "a", "b").collect()) == [(day(1), 2.0, 10.0), (day(2), 3.0, 10.0), (day(3), 4.0, 10.0)]
 
 
+def test_both_calendars(spark):
+    """Dates of either series, each carried forward, from where both have begun; a date of b alone is there too."""
+    from panelspark.operators.joins import align_both_calendars
+
+    a = spark.createDataFrame([("s", d, c) for _, d, c in days("s", [1, 2, 3, 4])], "series string, date date, a double")
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
+    b = spark.createDataFrame([("s", day(1), 10.0), ("s", day(2), None), ("s", day(9), 99.0), ("t", day(1), 5.0)], "series string, date date, b double")
+    want = [(day(1), 2.0, 10.0), (day(2), 3.0, 10.0), (day(3), 4.0, 10.0), (day(9), 4.0, 99.0)]
+    assert sorted((r.date, r.a, r.b) for r in align_both_calendars(a, b, "a", "b").collect()) == want
+
+
+def test_aligned_dates_are_those_of_either_series(spark, small):
+    from panelspark.plans import QUERIES
+
+    both, one = (QUERIES[q](spark, small).select("series", "date") for q in ("j8_align_calendars", "j8_one_calendar"))
+    assert one.exceptAll(both).count() == 0 and both.exceptAll(one).count() > 0
+
+
 def test_correlation_tiles_against_pairs(spark):
     """Small tiles and runs of dates, series with gaps, one that does not move, one too short, one alone."""
     import itertools
