@@ -1,6 +1,6 @@
 """Sharding along a Hilbert curve, with DataFrame functions only.
 
-Metadata dimensions are quantised to a few bits each by sampled splitters, a cell's place on the
+Metadata dimensions are quantised to a few bits each at exact quantiles of all rows, a cell's place on the
 Hilbert curve comes from a generated table, and equal runs of the curve become shards, so that
 each shard spans a small box of the metadata and files can be pruned on any of its dimensions.
 Row ranks come from counts per (cell, salt), never from one global sort; crowded cells have more salts.
@@ -11,11 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, cuts_of, sampled, staged
+from .common import bucket_of, shuffle_width, staged
 
 BITS = 4
-#: Sampled rows for each cell of a dimension.
-PER_CUT = 256
 #: Least number of salts of a cell, and rows for each salt where that gives more.
 SALTS, ROWS_PER_SALT = 64, 1 << 18
 
@@ -54,18 +52,35 @@ def hilbert_table(dims: int, bits: int) -> list[int]:
     return [hilbert_index(tuple(c >> (bits * (dims - 1 - d)) & mask for d in range(dims)), bits) for c in range(1 << (bits * dims))]
 
 
+def quantile_cuts(rows: DataFrame, dim: str, parts: int) -> list[list]:
+    """The distinct values at places n * i // parts of the n sorted rows, nulls first: exact, from counts per value.
+
+    Values are dealt out by ranges and places added up within each, so no task meets all of them.
+    """
+    up = F.col("v").asc_nulls_first()
+    counts = rows.groupBy(F.col(dim).alias("v")).agg(F.count("*").alias("n"))
+    counts = staged(counts.repartitionByRange(shuffle_width(rows.sparkSession), up).withColumn("_part", F.spark_partition_id()))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = counts.groupBy("_part").agg(F.sum("n").alias("n"))  # one row a task
+    starts = totals.select("_part", earlier(Window.orderBy("_part")).alias("_start"), F.sum("n").over(Window.partitionBy()).alias("_total"))
+    placed = counts.join(F.broadcast(starts), "_part").withColumn("_at", F.col("_start") + earlier(Window.partitionBy("_part").orderBy(up)))
+    wanted = F.expr(f"exists(sequence(1, {parts - 1}), i -> (_total * i) div {parts} >= _at AND (_total * i) div {parts} < _at + n)")
+    cuts = [r["v"] for r in placed.where(wanted).select("v").collect()] if parts > 1 else []  # fewer than parts
+    return [[v] for v in sorted(cuts, key=lambda v: (v is not None, v))]
+
+
 def hilbert_shards(rows: DataFrame, id_col: str, dims: list[str], shards: int, bits: int = BITS, salts: int = SALTS) -> DataFrame:
     """rows with shard (0 .. shards-1) and slot (gapless from 0 within a shard); counts differ by one at most.
 
     Null dimensions sort before all values, rows of one cell are ordered by a hash of their identifier
     and then by it; repeated rows take slots of their own. An empty table stays empty. rows should be narrow: they are
-    staged once, with their cells.
+    staged, and again with their cells.
     """
-    sample = sampled(rows.select(*dims), PER_CUT << bits).collect()  # bounded, whatever the table's size
+    rows = staged(rows)
     cell = F.lit(0)
     for d in dims:
         kind = rows.schema[d].dataType.simpleString()
-        cuts = cuts_of([(r[d],) for r in sample], 1 << bits)
+        cuts = quantile_cuts(rows, d, 1 << bits)
         cell = cell * (1 << bits) + bucket_of(F.struct(F.col(d).alias("v")), f"struct<v:{kind}>", cuts)
     curve = F.expr(f"array({', '.join(map(str, hilbert_table(len(dims), bits)))})")
     placed = staged(rows.withColumn("_cell", F.get(curve, cell)))

@@ -11,12 +11,13 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from panelspark.llm import near_dedup
 from panelspark.llm.components import components
 from panelspark.llm.exact_dedup import drop_exact_copies, exact_dedup
 from panelspark.llm.near_dedup import drop_near_copies, links_within, near_duplicates, shingle_set
-from panelspark.llm.sharding import hilbert_index, hilbert_shards, shard_documents
+from panelspark.llm.sharding import hilbert_index, hilbert_shards, quantile_cuts, shard_documents
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -247,6 +248,23 @@ def test_sharding_prunes(spark):
     assert sum(spans) / len(spans) < 64 * 64 / 6
 
 
+def test_sharding_cuts_at_exact_quantiles(spark):
+    """More rows than any sample had: with one dimension each of the 16 shards is one run of 1,000 values."""
+    df = spark.range(16_000).selectExpr("id", "(id * 7919) % 16000 AS a").repartition(3)
+    got = hilbert_shards(df, "id", ["a"], 16).groupBy("shard").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.count("*").alias("n")).collect()
+    assert sorted((r.lo, r.hi, r.n) for r in got) == [(1000 * k, 1000 * k + 999, 1000) for k in range(16)]
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string", "double"])
+def test_quantile_cuts(spark, kind):
+    rng = np.random.default_rng(5)
+    for values in ([None] * 40 + (rng.integers(0, 30, 500) ** 2).tolist() + [7] * 200, [3], [None], [1, 2], []):
+        df = spark.createDataFrame([(v,) for v in values], "a bigint").select(F.col("a").cast(kind)).repartition(3)
+        rows = sorted((r.a for r in df.collect()), key=lambda v: (v is not None, v))
+        want = {rows[len(rows) * i // 16] for i in range(1, 16)} if rows else set()
+        assert quantile_cuts(df, "a", 16) == [[v] for v in sorted(want, key=lambda v: (v is not None, v))]
+
+
 @pytest.mark.parametrize("block", [1, 4])
 def test_bucket_regions_are_runs_of_long_common_prefixes(block):
     """Regions of one sorted bucket against prefixes compared pair by pair, with crowded ones and with cuts."""
