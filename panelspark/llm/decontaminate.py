@@ -2,7 +2,7 @@
 
 Documents become word numbers of the benchmark's vocabulary and are cut into overlapping passages. A randomised SVD of
 TF-IDF passages, multiplied out by Spark tasks, gives one latent space for all items, of far fewer axes than there are
-benchmark passages; word weights come from all documents, the axes from a bounded sample of them and from the benchmark.
+benchmark passages; word weights and axes come from all documents, the axes from the benchmark too.
 A passage whose cosine with a benchmark passage is high in that space is a candidate, and a candidate counts when the
 longest common subsequence of words covers most of the item and its answer is there too, so that light paraphrases are
 caught and texts that merely share a phrase are not.
@@ -25,13 +25,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, thinned
+from .common import staged
 
 BLOCK_ITEMS = 2000
 #: Words of a passage and from one passage's start to the next.
 PASSAGE, STRIDE = 24, 12
-#: Axes of the space, further ones of the sketch, and documents that the axes are fitted on, chosen by a hash.
-RANK, OVERSAMPLING, FIT_DOCS = 48, 8, 20_000
+#: Axes of the space, and further ones of the sketch.
+RANK, OVERSAMPLING = 48, 8
 #: Words are numbered by a hash, below this; the table of the benchmark's own words is what documents are encoded by.
 NUMBERS = 65_521
 #: Candidates: least cosine in the space, and least share of a passage's squared weights in the benchmark's words. A
@@ -101,18 +101,18 @@ def _words(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint16).astype(np.int64)
 
 
-def _occurrences(pdf: pd.DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(passage, word) numbers of the vocabulary words of disjoint passages, in order, some hundred thousand at a time,
-    and the number of passages."""
+def _occurrences(pdf: pd.DataFrame, size: int, place: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(passage, word) numbers of the vocabulary words of disjoint passages, in order, some ten thousand at a time, and the
+    number of passages. place gives words other numbers; those of size or more are left out."""
     held, at, n = [], 0, 0
     raws = pdf["ids"].tolist()
     for i, raw in enumerate(raws):
-        ids = _words(raw)
-        place = np.flatnonzero(ids < size)
-        held.append((place // PASSAGE + at, ids[place]))
+        ids = _words(raw) if place is None else place[np.frombuffer(raw, np.uint16)]
+        known = np.flatnonzero(ids < size)
+        held.append((known // PASSAGE + at, ids[known]))
         at += len(ids) // PASSAGE + 1
-        n += len(place)
-        if n > 100_000 or i == len(raws) - 1:
+        n += len(known)
+        if n > 10_000 or i == len(raws) - 1:
             yield np.concatenate([p for p, _ in held]), np.concatenate([w for _, w in held]), at
             held, at, n = [], 0, 0
 
@@ -135,32 +135,34 @@ def word_counts(ids: DataFrame, size: int) -> tuple[np.ndarray, int]:
     return out[:size], int(out[size])
 
 
-def _gram(passage: np.ndarray, word: np.ndarray, weight: np.ndarray, basis: np.ndarray, total: np.ndarray) -> None:
-    """total += X'X basis for the TF-IDF rows X given by (passage, word) pairs sorted by passage."""
+def _gram(passage: np.ndarray, word: np.ndarray, weighted: np.ndarray, total: np.ndarray) -> None:
+    """total += X'X weighted for the rows X of word counts given by (passage, word) pairs sorted by passage."""
     if not len(word):
         return
-    value = weight[word].astype(np.float32)[:, None]
-    first = np.flatnonzero(np.r_[True, np.diff(passage) != 0])
-    rows = np.add.reduceat(basis[word] * value, first, axis=0)
-    spread = np.repeat(rows, np.diff(np.r_[first, len(word)]), axis=0) * value
+    begins = np.r_[True, np.diff(passage) != 0]
+    rows = np.add.reduceat(weighted[word], np.flatnonzero(begins), axis=0)
     order = np.argsort(word, kind="stable")
-    starts = np.flatnonzero(np.r_[True, np.diff(word[order]) != 0])
-    total[word[order][starts]] += np.add.reduceat(spread[order], starts, axis=0)
+    there = word[order]
+    starts = np.flatnonzero(np.r_[True, there[1:] != there[:-1]])
+    total[there[starts]] += np.add.reduceat(rows[(np.cumsum(begins) - 1)[order]], starts, axis=0)
 
 
-def times_gram(ids: DataFrame, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A'A basis, with A the TF-IDF rows of all disjoint passages; tasks send one short vector for each word they saw."""
+def times_gram(ids: DataFrame, place: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """A'A basis, with A the TF-IDF rows of all disjoint passages; tasks send one short vector for each word they saw.
+
+    place: of each word number among the rows of weight and basis.
+    """
     size, width = basis.shape
-    shared = ids.sparkSession.sparkContext.broadcast((weight, basis.astype(np.float32)))
+    shared = ids.sparkSession.sparkContext.broadcast((place.astype(np.uint16), (basis * weight[:, None]).astype(np.float32)))
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, b = shared.value
-        total = np.zeros((size, width), np.float32)
+        at, weighted = shared.value
+        total = np.zeros((size, width))
         for pdf in batches:
-            for passage, word, _ in _occurrences(pdf, size):
-                _gram(passage, word, w, b, total)
+            for passage, word, _ in _occurrences(pdf, size, at):
+                _gram(passage, word, weighted, total)
         seen = np.flatnonzero(total.any(axis=1))
-        yield pd.DataFrame({"word": seen, "v": [total[k].tobytes() for k in seen]})
+        yield pd.DataFrame({"word": seen, "v": [total[k].astype(np.float32).tobytes() for k in seen]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
@@ -174,7 +176,7 @@ def times_gram(ids: DataFrame, weight: np.ndarray, basis: np.ndarray) -> np.ndar
     parts = ids.select("ids").mapInPandas(part, "word long, v binary").repartition("word")
     for r in parts.mapInPandas(add, "word long, v binary").collect():  # at most NUMBERS rows
         out[r["word"]] = np.frombuffer(r["v"], np.float64)
-    return out
+    return out * weight[:, None]
 
 
 @dataclass
@@ -187,8 +189,8 @@ class Space:
 def latent_space(ids: DataFrame, items: list[tuple[int, np.ndarray, set[int]]], seed: int = 13) -> Space:
     """Randomised SVD: a random sketch of A'A, its orthonormal basis, and the eigenvectors of A'A within that basis.
 
-    Weights count all passages. The axes are fitted on the passages of about FIT_DOCS documents, and the benchmark's own
-    passages join them with the same total energy, so the space leans towards what is searched for.
+    Weights count all passages, and the axes are fitted on all of them. The benchmark's own passages join them with the
+    same total energy, so the space leans towards what is searched for.
     """
     counts, passages = word_counts(ids, NUMBERS)
     weight = np.log((passages + 1) / (counts + 0.5)).clip(0.1)
@@ -201,16 +203,12 @@ def latent_space(ids: DataFrame, items: list[tuple[int, np.ndarray, set[int]]],
     held = weight[present]
     corpus_energy = float((counts[present] * held**2).sum())
     own_energy = float((held[own_word] ** 2).sum())
-    sample = thinned(ids, FIT_DOCS // 4)
     lean = corpus_energy / own_energy if corpus_energy else 1.0
-    lean *= min(1.0, FIT_DOCS / max(1, ids.count()))
 
     def gram(basis: np.ndarray) -> np.ndarray:
-        own = np.zeros(basis.shape, np.float32)
-        _gram(own_passage, own_word, held, basis.astype(np.float32), own)
-        spread = np.zeros((NUMBERS, basis.shape[1]), np.float32)
-        spread[present] = basis
-        return times_gram(sample, weight, spread)[present] + lean * own
+        own = np.zeros(basis.shape)
+        _gram(own_passage, own_word, basis * held[:, None], own)
+        return times_gram(ids, place, held, basis) + lean * own * held[:, None]
 
     width = min(len(present), RANK + OVERSAMPLING)
     q, _ = np.linalg.qr(gram(np.random.default_rng(seed).standard_normal((len(present), width))))

@@ -443,6 +443,18 @@ def test_one_space_whatever_the_blocks(spark, small, monkeypatch):
     assert whole and show() == whole
 
 
+def test_axes_are_fitted_on_all_documents(spark):
+    """Twelve words that stand together only in documents of the highest third of hashes span one of the axes."""
+    rng = np.random.default_rng(4)
+    rows = spark.range(30_000).selectExpr("id AS doc_id", "xxhash64(id) > 3074457345618258602 AS late").collect()
+    late = np.arange(100, 112)
+    of = lambda r: late if r.late else rng.choice(60, 3, replace=False)
+    ids = spark.createDataFrame([(r.doc_id, bytearray(of(r).astype(np.uint16).tobytes())) for r in rows], "doc_id long, ids binary")
+    items = [(k, np.r_[rng.permutation(60)[:20], late[k % 12 : k % 12 + (k < 12)]], {0}) for k in range(36)]
+    axes = decontaminate.latent_space(ids, items).axes
+    assert axes.shape[1] < 60 and np.linalg.norm(axes[late].sum(axis=0) / np.sqrt(12)) > 0.99
+
+
 def test_turn_spans_from_consecutive_outputs():
     messages = [{"role": r, "text": t} for r, t in (("user", "aba"), ("assistant", "b"), ("user", ""), ("assistant", "</t>b</t>"))]
     trailed = lambda ms: "<s>" + "".join(f"<t>{m['role'][0]}:{m['text']}</t>" for m in ms) + "</s>"
