@@ -455,6 +455,18 @@ def test_axes_are_fitted_on_all_documents(spark):
     assert axes.shape[1] < 60 and np.linalg.norm(axes[late].sum(axis=0) / np.sqrt(12)) > 0.99
 
 
+def test_pipeline_fits_axes_on_every_document(spark, small, monkeypatch):
+    """Both products of the decontamination stage read all 21,000 documents, and so does the search."""
+    import corpus_pipeline
+
+    counts, product = [], decontaminate.times_gram
+    monkeypatch.setattr(decontaminate, "times_gram", lambda ids, *rest: counts.append(ids.count()) or product(ids, *rest))
+    item = spark.read.parquet(f"{small}/benchmark.parquet").orderBy("item_id").first().text
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3000 == 7, F.lit(item)).otherwise(F.concat_ws(" ", F.lit("one of"), "id")).alias("text"))
+    left = corpus_pipeline.benchmark_leaks(spark, docs, small)
+    assert counts == [21_000, 21_000] and left.count() == 20_993
+
+
 def test_turn_spans_from_consecutive_outputs():
     messages = [{"role": r, "text": t} for r, t in (("user", "aba"), ("assistant", "b"), ("user", ""), ("assistant", "</t>b</t>"))]
     trailed = lambda ms: "<s>" + "".join(f"<t>{m['role'][0]}:{m['text']}</t>" for m in ms) + "</s>"
