@@ -118,8 +118,9 @@ def parse_announcements(raw: DataFrame) -> DataFrame:
     rows = F.from_json("payload", "data array<array<string>>")["data"]
     at = lambda i: F.element_at("r", i + 1)
     span = F.split(at(4), "[～~至]")
-    real = at(1).rlike(r"^\d{4}$") & at(1).try_cast("int").between(1000, 9999)
-    out = raw.select(F.explode(rows).alias("r")).select(roc_date(at(0)).alias("announce_date"), F.trim(at(1)).alias("stock_id"), at(2).alias("name"), at(3).alias("condition"), roc_date(F.get(span, 0)).alias("period_start"), roc_date(F.get(span, 1)).alias("period_end"), at(5).alias("action"), F.coalesce(real, F.lit(False)).cast("int").alias("is_real_stock"))
+    stock = F.trim(at(1))
+    real = stock.rlike(r"^\d{4}$") & stock.try_cast("int").between(1000, 9999)
+    out = raw.select(F.explode(rows).alias("r")).select(roc_date(at(0)).alias("announce_date"), stock.alias("stock_id"), at(2).alias("name"), at(3).alias("condition"), roc_date(F.get(span, 0)).alias("period_start"), roc_date(F.get(span, 1)).alias("period_end"), at(5).alias("action"), F.coalesce(real, F.lit(False)).cast("int").alias("is_real_stock"))
     return out.where("announce_date IS NOT NULL")
 
 

@@ -62,6 +62,13 @@ def test_announcements_and_series(spark, tmp_path):
     assert {(r.stock_id, r.buy, r.balance) for r in parsers.explode_margin_snapshots(raw).collect()} == {("a", 1, 2), ("b", 5, 6)}
 
 
+def test_announced_codes_with_blanks_are_real_stocks(spark):
+    """A page's blanks around a code don't count; no code of the small tables has four digits."""
+    payload = json.dumps({"data": [["115/04/17", i, "n", "c", "115/04/20～115/05/04", "a"] for i in (" 2330", "1101 ", " 0050", " 999", " 10000", "9999", None)]})
+    got = {r.stock_id: r.is_real_stock for r in parsers.parse_announcements(spark.createDataFrame([(payload,)], "payload string")).collect()}
+    assert got == {"2330": 1, "1101": 1, "0050": 0, "999": 0, "10000": 0, "9999": 1, None: 0}
+
+
 def test_read_table(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"a": 1, "b": "x"}\n')
     assert parsers.read_table(spark, str(tmp_path / "a.json"), "a long, b string", "json").first() == (1, "x")
