@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -233,7 +234,7 @@ def whole_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if left and (left[-1]["stock_id"].iloc[-1], left[-1]["_chunk"].iloc[-1]) == (batch["stock_id"].iloc[0], batch["_chunk"].iloc[0]):
             starts = starts[1:]
             left.append(batch.iloc[: starts[0] if len(starts) else len(batch)])
-        for a, b in zip(starts, [*starts[1:], len(batch)], strict=True):
+        for a, b in pairwise([*starts, len(batch)]):  # none if the batch lies within one chunk
             if left:
                 yield pd.concat(left, ignore_index=True)
             left = [batch.iloc[a:b]]

@@ -127,6 +127,17 @@ def test_chunks_change_nothing(spark, small):
         assert np.allclose(one.signal, cut.signal, atol=1e-8, equal_nan=True)
 
 
+def test_chunks_are_whole_however_batches_cut_them():
+    """Also where a batch lies within one chunk, as a partition's last rows do, or is empty."""
+    keys = [("1", 0)] * 5 + [("1", 1)] * 3 + [("2", 0)] + [("2", 1)] * 4 + [("3", 1)] * 2
+    rows = pd.DataFrame(keys, columns=["stock_id", "_chunk"]).assign(_row=range(len(keys)))
+    want = [part for _, part in rows.groupby(["stock_id", "_chunk"], sort=False)]
+    for size in range(1, len(rows) + 1):
+        batches = [rows.iloc[i : i + size].reset_index(drop=True) for i in range(0, len(rows), size)]
+        got = list(recursive.whole_chunks(iter([rows.iloc[:0], *batches])))
+        assert [g.to_numpy().tolist() for g in got] == [w.to_numpy().tolist() for w in want], size
+
+
 def test_ranks_of_a_long_window_against_counting():
     from panelspark.operators.technical import window_ranks
 
