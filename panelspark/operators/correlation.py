@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Series on one side of a tile, and dates summed at once.
-BLOCK, DATES = 64, 1024
+#: Series and dates of a packed row; bands of series, unless one would have more cells (dates by series) than CELLS.
+BLOCK, DATES, BANDS, CELLS = 64, 1024, 16, 1 << 22
+PACKED = pa.schema([("of", pa.int64()), ("run", pa.int64()), ("at", pa.list_(pa.int32())), ("names", pa.list_(pa.string())), ("width", pa.int32()), ("m", pa.binary())])
 
 # The dimension of each indicator, and how a correlation's strength reads.
 DIMENSIONS = {"regime": "股票異常", "credit": "信用風險", "breadth": "台股內部", "T10Y3M": "景氣政策", "CP_SPREAD": "資金流動", "DOLLAR": "資金流動", "COR3M": "尾部波動", "MOVE": "尾部波動"}
@@ -16,56 +19,87 @@ READINGS = ((0.8, "極強{} — 高度共線風險"), (0.6, "強{} — 需注意
 UNRELATED, TOO_SHORT, POSITIVE, NEGATIVE = "幾乎無關 — 完全獨立", "資料不足", "正相關", "負相關"
 BUCKETS = ((0.6, "high"), (0.3, "moderate"))
 
-MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
-
-
-def pair_moments(series: DataFrame, block: int = BLOCK, dates: int = DATES) -> DataFrame:
-    """Sums over the common dates of every two series: a, b (a before b), n, sx, sy, sxx, syy, sxy of values less their series' mean.
+def pair_correlations(series: DataFrame, least: int = 5, block: int = BLOCK, dates: int = DATES) -> DataFrame:
+    """Every two series that share a date: a, b (a before b), n common dates, and their correlation r over these, to four places.
 
-    series: date, series, value; one row per date and series, nulls are no value. Pairs without a common date have n 0.
-    Series are dealt into blocks by name. A value goes to the tiles of its block's row and column, not to every pair, and
-    a tile's dates are cut into runs; a task holds one run of one tile, `dates` rows of two blocks, and the runs of a
-    tile are summed up afterwards. The table of series is broadcast: the result has the square of its rows.
+    series: date, series, value; one row per date and series, nulls and NaN are no value. r is null on fewer than `least`
+    dates and 0 where a series does not move on them. Series are numbered by name; the values of `block` of them over
+    `dates` dates make one packed row, and some blocks a band. A packed row goes to the tiles of its band's row and
+    column, and a tile, which is one task's, gives its pairs finished, so what is shuffled grows with the values times the
+    bands, not with the pairs. The table of series is broadcast: the result has the square of its rows.
     """
-    known = series.where(F.col("value").isNotNull())
-    names = known.groupBy("series").agg(F.avg("value").alias("middle")).withColumn("at", F.row_number().over(Window.orderBy("series")) - 1)
+    known = series.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    names = known.select("series").distinct().withColumn("at", F.row_number().over(Window.orderBy("series")) - 1)
     days = known.select("date").distinct().withColumn("day", F.row_number().over(Window.orderBy("date")) - 1)
     placed = known.join(F.broadcast(names), "series").join(F.broadcast(days), "date")
-    last = names.agg(F.floor((F.max("at")) / block).alias("last"))  # one row
-    values = placed.join(F.broadcast(last)).select("day", "at", (F.col("value") - F.col("middle")).alias("v"), F.floor(F.col("at") / block).alias("of"), "last")
-    tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda o: F.struct(F.least("of", o).alias("i"), F.greatest("of", o).alias("j")))
-    dealt = values.withColumn("t", F.explode(tiles)).select("day", "at", "v", "t.i", "t.j", F.floor(F.col("day") / dates).alias("run"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        at, row, v = pdf["at"].to_numpy(), pdf["day"].to_numpy() % dates, pdf["v"].to_numpy(float)
-
-        def side(of: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            mine = at // block == of
-            x, m = np.zeros((dates, block)), np.zeros((dates, block))
-            x[row[mine], at[mine] % block], m[row[mine], at[mine] % block] = v[mine], 1.0
-            return x, m, x * x
-
-        (x, mx, xx), (y, my, yy) = side(i), side(j)
-        sums = {"n": mx.T @ my, "sx": x.T @ my, "sy": mx.T @ y, "sxx": xx.T @ my, "syy": mx.T @ yy, "sxy": x.T @ y}
-        a, b = np.nonzero(sums["n"])
-        keep = i * block + a < j * block + b
-        a, b = a[keep], b[keep]
-        return pd.DataFrame({"a": i * block + a, "b": j * block + b} | {k: s[a, b] for k, s in sums.items()})
-
-    parts = dealt.groupBy("i", "j", "run").applyInPandas(run, "a long, b long, " + ", ".join(f"{m} double" for m in MOMENTS))
-    sums = parts.groupBy("a", "b").agg(*[F.sum(m).alias(m) for m in MOMENTS])
-    index = F.broadcast(names.select("series", "at"))
-    first, second = index.select(F.col("at").alias("a"), F.col("series").alias("a_name")), index.select(F.col("at").alias("b"), F.col("series").alias("b_name"))
-    got = sums.join(first, "a").join(second, "b").select(F.col("a_name").alias("a"), F.col("b_name").alias("b"), F.col("n").cast("long").alias("n"), *MOMENTS[1:])
-    return got
-
-
-def pearson(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
-    """Correlation from sums of products; 0 where a series does not move."""
+    cut = placed.select(F.floor(F.col("at") / block).alias("of"), F.floor(F.col("day") / dates).alias("run"), "at", (F.col("day") % dates).alias("day"), "series", F.col("value").cast("double").alias("v"))
+
+    def pack(rows: pa.Table) -> pa.Table:
+        at, first, row = np.unique(rows["at"].to_numpy(), return_index=True, return_inverse=True)
+        day = rows["day"].to_numpy()
+        x = np.full((len(at), int(day.max()) + 1), np.nan)
+        x[row, day] = rows["v"].to_numpy()
+        packed = pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+        return pa.table({"of": rows["of"][:1], "run": rows["run"][:1], "at": [at.tolist()], "names": [rows["series"].take(pa.array(first)).to_pylist()], "width": [x.shape[1]], "m": [packed]}, schema=PACKED)
+
+    blocks = cut.groupBy("of", "run").applyInArrow(pack, "of long, run long, at array<int>, names array<string>, width int, m binary")
+    size = names.agg((F.max("at") + 1).alias("_series")).join(days.agg((F.max("day") + 1).alias("_days")))  # one row
+    per = F.greatest(F.lit(1), F.least(F.ceil(F.col("_series") / (block * BANDS)), F.floor(CELLS / (F.col("_days") * block))))
+    banded = blocks.join(F.broadcast(size)).withColumn("band", F.floor(F.col("of") / per)).withColumn("_last", F.floor((F.ceil(F.col("_series") / block) - 1) / per))
+    tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_last")), lambda o: F.struct(F.least("band", o).alias("i"), F.greatest("band", o).alias("j")))
+    dealt = banded.withColumn("t", F.explode(tiles)).select("t.i", "t.j", "band", "of", "run", "at", "names", "width", "m")
+
+    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        i, j, span = rows[0]["i"], rows[0]["j"], max(r["run"] * dates + r["width"] for r in rows)
+
+        def side(band: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+            """Names of a band's series, their values less their means (0 for none), and where there are any."""
+            mine = [r for r in rows if r["band"] == band]
+            first = min(r["of"] for r in mine) * block
+            x = np.full((max(r["at"][-1] for r in mine) - first + 1, span), np.nan)
+            name = [""] * len(x)
+            for r in mine:
+                shape = len(r["at"]), r["width"]
+                at, start = np.array(r["at"]) - first, r["run"] * dates
+                x[at, start : start + r["width"]] = np.frombuffer(pa.decompress(r["m"], shape[0] * shape[1] * 8, "zstd")).reshape(shape)
+                for k, series_name in zip(at, r["names"], strict=True):
+                    name[k] = series_name
+            there = ~np.isnan(x)
+            x[~there] = 0.0
+            x -= (x.sum(axis=1) / there.sum(axis=1))[:, None]
+            x[~there] = 0.0
+            return pa.array(name, pa.string()), x, there.astype(float)
+
+        left = side(i)
+        a_names, x, mx = left
+        b_names, y, my = left if i == j else side(j)
+        yy = y * y
+        for s in range(0, len(x), block):
+            p, m = x[s : s + block], mx[s : s + block]
+            t = s + 1 if i == j else 0  # first of the other series
+            n = m @ my[t:].T
+            keep = n > 0
+            if i == j:
+                keep &= np.arange(t, len(y)) > np.arange(s, s + len(p))[:, None]
+            a, b = np.nonzero(keep)
+            if not len(a):
+                continue
+            sums = (v[keep] for v in (p @ my[t:].T, m @ y[t:].T, (p * p) @ my[t:].T, m @ yy[t:].T, p @ y[t:].T))
+            n = n[keep]
+            r = pearson(n, *sums)
+            yield pa.record_batch([a_names.take(pa.array(a + s)), b_names.take(pa.array(b + t)), pa.array(n.astype(np.int64)), pa.array(r, mask=n < least)], names=["a", "b", "n", "r"])
+
+    return dealt.groupBy("i", "j").applyInArrow(tile, "a string, b string, n long, r double")
+
+
+def pearson(n: np.ndarray, sx: np.ndarray, sy: np.ndarray, sxx: np.ndarray, syy: np.ndarray, sxy: np.ndarray) -> np.ndarray:
+    """Correlation from sums of products, to four places, half away from zero; 0 where a series does not move."""
     vx, vy = sxx - sx * sx / n, syy - sy * sy / n
-    moved = (vx > 1e-12 * F.greatest(sxx, F.lit(1e-300))) & (vy > 1e-12 * F.greatest(syy, F.lit(1e-300)))
-    return F.when(moved, (sxy - sx * sy / n) / F.sqrt(vx * vy)).otherwise(0.0)
+    still = (vx <= 1e-12 * np.maximum(sxx, 1e-300)) | (vy <= 1e-12 * np.maximum(syy, 1e-300))
+    r = (sxy - sx * sy / n) / np.sqrt(np.where(still, 1.0, vx * vy))
+    r[still] = 0.0
+    return np.sign(r) * np.floor(np.abs(r) * 1e4 + 0.5) / 1e4 + 0.0
 
 
 def reading(r: Column) -> Column:
@@ -83,10 +117,9 @@ def correlation_matrix(series: DataFrame, least: int = 5, dimensions: dict[str,
     r is null, and so is the bucket, on fewer than `least` common dates; same_dimension is true for two series that
     are in no dimension.
     """
-    sums = pair_moments(series, block, dates)
-    r = F.when(F.col("n") >= least, F.round(pearson(*[F.col(m) for m in MOMENTS]), 4))
+    pairs = pair_correlations(series, least, block, dates)
     bucket = F.when(F.col("r").isNull(), None)
     for limit, name in BUCKETS:
         bucket = bucket.when(F.abs("r") >= limit, name)
     kind = F.create_map(*[F.lit(x) for kv in dimensions.items() for x in kv])
-    return sums.withColumn("r", r).select("a", "b", "n", "r", bucket.otherwise("low").alias("bucket"), reading(F.col("r")).alias("reading"), kind[F.col("a")].eqNullSafe(kind[F.col("b")]).alias("same_dimension"))
+    return pairs.select("a", "b", "n", "r", bucket.otherwise("low").alias("bucket"), reading(F.col("r")).alias("reading"), kind[F.col("a")].eqNullSafe(kind[F.col("b")]).alias("same_dimension"))

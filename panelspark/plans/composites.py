@@ -11,6 +11,7 @@ from panelspark.sources import adapters
 from .events import _AVG_COST, _MP, ASOF, screener, x10
 from .market import _BREADTH, _PAIN, _WALLS, bars, net, stocks
 from .registry import ORACLES, query
+from .storage import stored
 
 _RATES = """ranked AS (SELECT *, list(value) OVER (PARTITION BY indicator ORDER BY date ROWS 250 PRECEDING) AS l FROM macro5), places AS (SELECT date, indicator, value, CASE WHEN indicator = 'DOLLAR' THEN CASE WHEN len(l) >= 21 THEN round(len(list_filter(l, lambda v: v < value)) * 100.0 / len(l), 1) ELSE 50.0 END END AS pctile FROM ranked),
   rates AS (SELECT *, CASE indicator WHEN 'T10Y3M' THEN CASE WHEN value > 1.0 THEN 'GREEN' WHEN value > 0.0 THEN 'YELLOW' ELSE 'RED' END WHEN 'CP_SPREAD' THEN CASE WHEN value < 0.3 THEN 'GREEN' WHEN value < 0.8 THEN 'YELLOW' ELSE 'RED' END
@@ -83,8 +84,8 @@ def x8(spark: SparkSession, d: str) -> DataFrame:
 )
 def x8d(spark: SparkSession, d: str) -> DataFrame:
     """Changes of all instruments against one another."""
-    rows = bars(spark, d).select("date", F.col("stock_id").alias("series"), F.col("change_pct").alias("value"))
-    return correlation.correlation_matrix(rows).select("a", "b", "n", "r")
+    rows = stored(bars(spark, d).select("date", F.col("stock_id").alias("series"), F.col("change_pct").alias("value")))
+    return correlation.pair_correlations(rows)
 
 
 @query(

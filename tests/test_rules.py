@@ -301,3 +301,22 @@ def test_correlation_tiles_against_pairs(spark):
         assert (got[a, b].n, got[a, b].r) == (len(common), want), (a, b)
     assert seen == len(got)
     assert got["flat", "short"].reading == "資料不足" and got["flat", "short"].bucket is None
+
+
+def test_correlations_shuffle_values_not_pairs(spark):
+    """1200 series of 12 dates: what tasks exchange grows with the values and the bands, not with the 719,400 pairs."""
+    from panelspark.operators.correlation import BANDS, correlation_matrix
+
+    series, days = 1200, 12
+    rows = spark.range(series * days).select(F.date_add(F.lit("2020-01-01"), (F.col("id") % days).cast("int")).alias("date"), F.format_string("s%04d", F.floor(F.col("id") / days)).alias("series"), F.round(F.randn(5) * 10, 2).alias("value"))
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(60_000)
+        executors = sc.statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    before = written()
+    got = correlation_matrix(rows).agg(F.count("*").alias("pairs"), F.sum("n").alias("n")).first()
+    assert (got.pairs, got.n) == (series * (series - 1) // 2, days * series * (series - 1) // 2)
+    assert written() - before < 2 * (BANDS + 1) * series * days * 8
