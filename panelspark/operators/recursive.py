@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import pairwise
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -215,7 +217,9 @@ def rolling_lasso_signal(features: DataFrame, columns: list[str], window: int =
             yield solved(waiting)
 
     later = F.lead("close_price", ahead).over(Window.partitionBy("stock_id").orderBy("date"))
-    rows = in_chunks(features.select("stock_id", "date", "close_price", *columns, later.alias("_later")), "stock_id", window + ahead + refit, size=chunk)
+    complete = reduce(and_, [F.col(c).isNotNull() for c in columns])
+    known = [F.when(complete, F.col(c)).alias(c) for c in columns]  # a row that lacks one counts nowhere, and nulls take no space where rows are exchanged
+    rows = in_chunks(features.select("stock_id", "date", "close_price", *known, later.alias("_later")), "stock_id", window + ahead + refit, size=chunk)
     return rows.repartition("stock_id", "_chunk").sortWithinPartitions("stock_id", "_chunk", "_row").mapInPandas(run, "stock_id string, date date, close_price double, signal double")
 
 
