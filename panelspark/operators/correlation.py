@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Series and dates of a packed row; bands of series, unless one would have more cells (dates by series) than CELLS.
 BLOCK, DATES, BANDS, CELLS = 64, 1024, 16, 1 << 22
-PACKED = pa.schema([("of", pa.int64()), ("run", pa.int64()), ("at", pa.list_(pa.int32())), ("names", pa.list_(pa.string())), ("width", pa.int32()), ("m", pa.binary())])
+PACKED = pa.schema([("of", pa.int64()), ("run", pa.int64()), ("at", pa.list_(pa.int32())), ("names", pa.list_(pa.string())), ("width", pa.int32()), ("levels", pa.int32()), ("m", pa.binary())])
 
 # The dimension of each indicator, and how a correlation's strength reads.
 DIMENSIONS = {"regime": "股票異常", "credit": "信用風險", "breadth": "台股內部", "T10Y3M": "景氣政策", "CP_SPREAD": "資金流動", "DOLLAR": "資金流動", "COR3M": "尾部波動", "MOVE": "尾部波動"}
@@ -19,6 +19,19 @@ READINGS = ((0.8, "極強{} — 高度共線風險"), (0.6, "強{} — 需注意
 UNRELATED, TOO_SHORT, POSITIVE, NEGATIVE = "幾乎無關 — 完全獨立", "資料不足", "正相關", "負相關"
 BUCKETS = ((0.6, "high"), (0.3, "moderate"))
 
+def packed(x: np.ndarray) -> tuple[int, bytes]:
+    """How many different values x has, and these, then the cells' places among them byte by byte, compressed: changes in percent to two places repeat."""
+    levels, place = np.unique(x, return_inverse=True)
+    return len(levels), pa.compress(levels.tobytes() + place.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(m: bytes, levels: int, shape: tuple[int, int]) -> np.ndarray:
+    cells = shape[0] * shape[1]
+    raw = np.frombuffer(pa.decompress(m, 8 * levels + 4 * cells, "zstd"), np.uint8)
+    place = np.ascontiguousarray(raw[8 * levels :].reshape(4, cells).T).view("<u4")
+    return raw[: 8 * levels].view(np.float64)[place].reshape(shape)
+
+
 def pair_correlations(series: DataFrame, least: int = 5, block: int = BLOCK, dates: int = DATES) -> DataFrame:
     """Every two series that share a date: a, b (a before b), n common dates, and their correlation r over these, to four places.
 
@@ -39,15 +52,15 @@ def pair_correlations(series: DataFrame, least: int = 5, block: int = BLOCK, dat
         day = rows["day"].to_numpy()
         x = np.full((len(at), int(day.max()) + 1), np.nan)
         x[row, day] = rows["v"].to_numpy()
-        packed = pa.compress(x.tobytes(), codec="zstd", asbytes=True)
-        return pa.table({"of": rows["of"][:1], "run": rows["run"][:1], "at": [at.tolist()], "names": [rows["series"].take(pa.array(first)).to_pylist()], "width": [x.shape[1]], "m": [packed]}, schema=PACKED)
+        levels, m = packed(x)
+        return pa.table({"of": rows["of"][:1], "run": rows["run"][:1], "at": [at.tolist()], "names": [rows["series"].take(pa.array(first)).to_pylist()], "width": [x.shape[1]], "levels": [levels], "m": [m]}, schema=PACKED)
 
-    blocks = cut.groupBy("of", "run").applyInArrow(pack, "of long, run long, at array<int>, names array<string>, width int, m binary")
+    blocks = cut.groupBy("of", "run").applyInArrow(pack, "of long, run long, at array<int>, names array<string>, width int, levels int, m binary")
     size = names.agg((F.max("at") + 1).alias("_series")).join(days.agg((F.max("day") + 1).alias("_days")))  # one row
     per = F.greatest(F.lit(1), F.least(F.ceil(F.col("_series") / (block * BANDS)), F.floor(CELLS / (F.col("_days") * block))))
     banded = blocks.join(F.broadcast(size)).withColumn("band", F.floor(F.col("of") / per)).withColumn("_last", F.floor((F.ceil(F.col("_series") / block) - 1) / per))
     tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_last")), lambda o: F.struct(F.least("band", o).alias("i"), F.greatest("band", o).alias("j")))
-    dealt = banded.withColumn("t", F.explode(tiles)).select("t.i", "t.j", "band", "of", "run", "at", "names", "width", "m")
+    dealt = banded.withColumn("t", F.explode(tiles)).select("t.i", "t.j", "band", "of", "run", "at", "names", "width", "levels", "m")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for batch in batches for r in batch.to_pylist()]
@@ -60,9 +73,8 @@ def pair_correlations(series: DataFrame, least: int = 5, block: int = BLOCK, dat
             x = np.full((max(r["at"][-1] for r in mine) - first + 1, span), np.nan)
             name = [""] * len(x)
             for r in mine:
-                shape = len(r["at"]), r["width"]
                 at, start = np.array(r["at"]) - first, r["run"] * dates
-                x[at, start : start + r["width"]] = np.frombuffer(pa.decompress(r["m"], shape[0] * shape[1] * 8, "zstd")).reshape(shape)
+                x[at, start : start + r["width"]] = unpacked(r["m"], r["levels"], (len(at), r["width"]))
                 for k, series_name in zip(at, r["names"], strict=True):
                     name[k] = series_name
             there = ~np.isnan(x)
